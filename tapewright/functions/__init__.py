@@ -1 +1 @@
-
+"""Column helpers that the operators share."""

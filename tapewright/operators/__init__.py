@@ -1 +1 @@
-
+"""Dataflow operators, each from DataFrames to a DataFrame."""
