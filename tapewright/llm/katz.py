@@ -351,7 +351,7 @@ def finish(split: Split, level: Backoff, hot: dict[int, tuple[float, np.ndarray]
     return run
 
 
-def score(docs: DataFrame, fold: int = 10, block_tokens: int = 1 << 21) -> DataFrame:
+def score(docs: DataFrame, fold: int = 10, block_tokens: int = 1 << 20) -> DataFrame:
     """log10 probability of every whole text under a Katz bigram model of the rows whose crc32(doc_id) mod ``fold`` is not 0.
 
     Output: doc_id, held_out, n_tokens (the end counts), n_known, train_tokens, base_score (smoothed unigram), score.
@@ -361,10 +361,8 @@ def score(docs: DataFrame, fold: int = 10, block_tokens: int = 1 << 21) -> DataF
     """
     spark = docs.sparkSession
     scratch, buckets = Scratch(spark, "katz"), max(1, partitions(spark))
-    stored = scratch.put(blocks(docs, block_tokens, fold), "blocks")
-    # a task takes few blocks, each of which is large
-    asked = stored.mapInArrow(ask_words(buckets), "block long, bucket int, body binary")
-    words = scratch.put(asked.groupBy("bucket").applyInPandas(answer_words, ANSWER), "words")
+    stored = scratch.put_bucketed(blocks(docs, block_tokens, fold), "block", buckets, "blocks")
+    words = scratch.put(stored.mapInArrow(ask_words(buckets), "block long, bucket int, body binary").groupBy("bucket").applyInPandas(answer_words, ANSWER), "words")
     total, distinct, of_counts, top = 0, 0, np.zeros(K + 2), {}
     for row in words.where("kind = 'facts'").select("body").toLocalIterator():
         facts, top_words, top_counts = expand(bytes(row["body"]), np.uint64, np.uint64, np.uint64)
@@ -373,8 +371,8 @@ def score(docs: DataFrame, fold: int = 10, block_tokens: int = 1 << 21) -> DataF
     model, split = Words(total, of_counts), Split(top, total, buckets)
     scratch.release()
     word_answers = words.where("kind = 'answer'").select("block", "bucket", "body")
-    asked = stored.groupBy("block").cogroup(word_answers.groupBy("block")).applyInPandas(ask_pairs(model, split), "block long, bucket int, body binary")
-    pairs = scratch.put(asked.groupBy("bucket").applyInPandas(answer_pairs(model, split), ANSWER), "pairs")
+    asked = lambda: stored.groupBy("block").cogroup(word_answers.groupBy("block")).applyInPandas(ask_pairs(model, split), "block long, bucket int, body binary")
+    pairs = scratch.put(asked().groupBy("bucket").applyInPandas(answer_pairs(model, split), ANSWER), "pairs")
     of_counts, hot = np.zeros(K + 2), {}
     for row in pairs.where("kind = 'facts'").select("body").toLocalIterator():
         facts, hot_words, mass, by_count = expand(bytes(row["body"]), np.uint64, np.uint64, np.float64, np.uint32)
