@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, crc_mod, doc_columns, texts
+from .common import Scratch, bounded, crc_mod, doc_columns, texts
 
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -58,17 +58,32 @@ class Sparse:
         return np.bincount(self.col, g[self.row], self.shape[1])
 
 
-def choose(positive: list[set[str]], unlabelled: list[set[str]], size: int) -> list[str]:
-    """Words that most tell confirmed examples from text at large: by the likelihood ratio of their document frequencies."""
-    p, u = Counter(w for d in positive for w in d), Counter(w for d in unlabelled for w in d)
-    n, m = len(positive), len(unlabelled)
-    gain = {}
-    for w, k in p.items():
-        if k >= 3:
-            a, b = (k + 0.5) / (n + 1), (u.get(w, 0) + 0.5) / (m + 1)
-            if a > b:
-                gain[w] = k * np.log(a / b) + (n - k) * np.log((1 - a + 1e-9) / (1 - b + 1e-9))
-    return [w for w, g in sorted(gain.items(), key=lambda x: (-x[1], x[0]))[:size] if g > 4.0]
+def frequencies(sample: DataFrame) -> DataFrame:
+    """feature, p, u: in how many confirmed and how many unlabelled texts of the sample each feature stands."""
+
+    def run(batches):
+        p, u = Counter(), Counter()
+        for b in bounded(batches):
+            for text, positive, plain in zip(texts(b), b.column("positive").to_pylist(), b.column("plain").to_pylist(), strict=True):
+                found = words(text)
+                if positive:
+                    p.update(found)
+                if plain:
+                    u.update(found)
+        names = list(p.keys() | u.keys())
+        for i in range(0, len(names), 1 << 16):
+            part = names[i : i + (1 << 16)]
+            yield pa.RecordBatch.from_pydict({"feature": pa.array(part, pa.string()), "p": pa.array([p[w] for w in part], pa.int64()), "u": pa.array([u[w] for w in part], pa.int64())})
+
+    return sample.mapInArrow(run, "feature string, p long, u long").groupBy("feature").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
+
+
+def choose(counts: DataFrame, n: int, m: int, size: int) -> list[str]:
+    """The features that most tell confirmed texts from text at large: by the likelihood ratio of their frequencies in n and m texts."""
+    a, b = (F.col("p") + 0.5) / (n + 1), (F.col("u") + 0.5) / (m + 1)
+    gain = F.col("p") * F.log(a / b) + (n - F.col("p")) * F.log((1 - a + 1e-9) / (1 - b + 1e-9))
+    best = counts.where((F.col("p") >= 3) & (a > b)).select("feature", F.round(gain, 6).alias("gain")).where("gain > 4").orderBy(F.desc("gain"), "feature").limit(size)
+    return [r["feature"] for r in best.collect()]
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -104,15 +119,19 @@ def sampled(df: DataFrame, n: int, total: int) -> DataFrame:
     return df.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 24)) < int((1 << 24) * min(1.0, n / max(1, total))))
 
 
-def gather(df: DataFrame, most: int) -> list[set[str]]:
-    """The sample's distinct words to the driver, which holds at most ``most`` texts."""
+def matrices(sample: DataFrame, names: list[str]) -> tuple[Sparse, Sparse]:
+    """The sample as matrices over the chosen features: some numbers a text reach the driver."""
+    shared = sample.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(names)})
 
     def run(batches):
+        place = shared.value
         for b in bounded(batches):
-            yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "words": pa.array([" ".join(sorted(words(t))) for t in texts(b)])})
+            found = [sorted(place[w] for w in words(t) if w in place) for t in texts(b)]
+            yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "positive": b.column("positive"), "plain": b.column("plain"), "at": pa.array(found, pa.list_(pa.int32()))})
 
-    rows = sorted((r["doc_id"], r["words"]) for r in df.mapInArrow(run, "doc_id long, words string").toLocalIterator())
-    return [set(w.split()) for _, w in rows[:most]]
+    rows = sorted((r["doc_id"], r["positive"], r["plain"], r["at"]) for r in sample.mapInArrow(run, "doc_id long, positive boolean, plain boolean, at array<int>").toLocalIterator())
+    pick = lambda i: Sparse([np.array(r[3], np.int64) for r in rows if r[i]], len(names))
+    return pick(1), pick(2)
 
 
 def fit(docs: DataFrame, labels: DataFrame, fold: int = 5, positives: int = 3000, unlabelled: int = 9000, features: int = 2048) -> tuple[dict[str, float], float]:
@@ -128,16 +147,17 @@ def fit(docs: DataFrame, labels: DataFrame, fold: int = 5, positives: int = 3000
     if not n["toxic"] or not total:
         return {}, -10.0
     # the chosen ids are about ``positives`` in number, whatever the size of the table
-    chosen = F.broadcast(sampled(taught.where("toxic = 1"), positives, n["toxic"]).select("doc_id"))
-    p = gather(docs.join(chosen, "doc_id", "left_semi"), 2 * positives)
-    u = gather(sampled(docs, unlabelled, total), 2 * unlabelled)
-    if not p or not u:
+    chosen = F.broadcast(sampled(taught.where("toxic = 1"), positives, n["toxic"]).select("doc_id", F.lit(True).alias("chosen")))
+    share = int((1 << 24) * min(1.0, unlabelled / total))
+    flags = {"positive": F.coalesce("chosen", F.lit(False)), "plain": F.pmod(F.xxhash64("doc_id", F.lit("u")), F.lit(1 << 24)) < share}
+    scratch = Scratch(docs.sparkSession, "toxicity")
+    sample = scratch.put(docs.join(chosen, "doc_id", "left").withColumns(flags).where("positive or plain").drop("chosen"), "sample")
+    seen = sample.agg(F.count_if("positive").alias("p"), F.count_if("plain").alias("u")).first()
+    if not seen["p"] or not seen["u"]:
         return {}, -10.0
-    names = choose(p, u, features)
-    place = {w: i for i, w in enumerate(names)}
-    matrix = lambda rows: Sparse([np.array([place[w] for w in d if w in place], np.int64) for d in rows], len(names))
+    names = choose(frequencies(sample), seen["p"], seen["u"], features)
     prior = min(0.9, max(0.001, n["toxic"] / n["n"]))
-    w, b = train(matrix(p), matrix(u), prior)
+    w, b = train(*matrices(sample, names), prior)
     return dict(zip(names, w.tolist(), strict=True)), b
 
 
