@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import ratio, yes
 
-BY = Window.partitionBy("symbol").orderBy("session_no")
+def by_session():
+    """A symbol's sessions in order."""
+    return Window.partitionBy("symbol").orderBy("session_no")
 
 
 def number_sessions(panel: DataFrame) -> DataFrame:
@@ -18,7 +20,7 @@ def number_sessions(panel: DataFrame) -> DataFrame:
 
 
 def frame(a: int, b: int):
-    return BY.rangeBetween(a, b)
+    return by_session().rangeBetween(a, b)
 
 
 def shift(x: Column | str, k: int) -> Column:
@@ -81,7 +83,7 @@ def price_features(panel: DataFrame, bench: DataFrame, sectors: DataFrame, min_t
     """Features of the price and volume lab. ``panel``: symbol, date, OHLC, volume; ``sectors``: symbol, sector."""
     c, h, low, v = (F.col(x) for x in ("close", "high", "low", "volume"))
     d = gap_aware_mean(number_sessions(panel), "close", 2 / 201, 200, "e200")
-    d = d.join(F.broadcast(bench), "date", "left").join(F.broadcast(sectors), "symbol", "left")
+    d = d.join(F.broadcast(bench), "date", "left").join(sectors, "symbol", "left")
     d = d.withColumns({
         **{f"ret{k}": change("close", k) for k in (1, 5, 20, 60, 250)}, "vs200": c / F.col("e200") - 1, "range": h - low, "c1": shift("close", 1), "turn": c * v / 1e7,
         "v5": rolling(F.avg, "volume", 5), "v50": rolling(F.avg, "volume", 50), "hi20": rolling(F.max, "high", 20), "lo20": rolling(F.min, "low", 20), "hi252": rolling(F.max, "high", 252), "lo252": rolling(F.min, "low", 252),

@@ -13,13 +13,17 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import labels, ratio, yes
 
-W = Window.partitionBy("symbol").orderBy("date")
 YEAR = math.sqrt(252)
 
 
+def own():
+    """A symbol's bars in order."""
+    return Window.partitionBy("symbol").orderBy("date")
+
+
 def back(k: int, skip: int = 0):
     """The last k bars, the newest ``skip`` of them left out."""
-    return W.rowsBetween(-(k + skip - 1), -skip)
+    return own().rowsBetween(-(k + skip - 1), -skip)
 
 
 def ema(x: Column, alpha: float, n: Column, first: int = 1) -> Column:
@@ -30,12 +34,12 @@ def ema(x: Column, alpha: float, n: Column, first: int = 1) -> Column:
     """
     t = n - first
     weight = F.when(t == 0, F.lit(1.0)).otherwise(F.lit(alpha) * F.pow(F.lit(1 - alpha), -t))
-    return F.when(t >= 0, F.pow(F.lit(1 - alpha), t) * F.sum(F.when(t >= 0, x * weight)).over(W.rowsBetween(Window.unboundedPreceding, 0)))
+    return F.when(t >= 0, F.pow(F.lit(1 - alpha), t) * F.sum(F.when(t >= 0, x * weight)).over(own().rowsBetween(Window.unboundedPreceding, 0)))
 
 
 def numbered(bars: DataFrame) -> DataFrame:
     """Bars with their number n and the symbol's count of them, ``bars``."""
-    return bars.withColumn("n", F.row_number().over(W)).withColumn("bars", F.count(F.lit(1)).over(Window.partitionBy("symbol")))
+    return bars.withColumn("n", F.row_number().over(own())).withColumn("bars", F.count(F.lit(1)).over(Window.partitionBy("symbol")))
 
 
 def first_of_day(bars: DataFrame, order: str = "close") -> DataFrame:
@@ -47,10 +51,10 @@ def first_of_day(bars: DataFrame, order: str = "close") -> DataFrame:
 def technicals(bars: DataFrame) -> DataFrame:
     """Bars with all features as of each bar."""
     c, h, l, v, n = (F.col(x) for x in ("close", "high", "low", "volume", "n"))  # noqa: E741
-    lag = lambda k, x=c: F.lag(x, k).over(W)
+    lag = lambda k, x=c: F.lag(x, k).over(own())
     guard = lambda k, x: F.when(n > k, x)
     d = numbered(bars)
-    prev = F.lag("close").over(W)
+    prev = F.lag("close").over(own())
     d = d.withColumns({
         "ema20": ema(c, 2 / 21, n), "ema50": ema(c, 2 / 51, n), "ema200": ema(c, 2 / 201, n),
         "prev": prev, "dr": F.when(n > 1, F.log(c / prev)), "step": F.abs(c - prev),
@@ -118,7 +122,7 @@ def band_percentile(tech: DataFrame) -> DataFrame:
 def max_drawdown(numbered_bars: DataFrame, k: int = 252) -> DataFrame:
     """symbol, max_dd_1y: the deepest fall below the highest close so far, within the last k bars."""
     b = numbered_bars.where((F.col("n") > F.col("bars") - k) & (F.col("bars") >= 60))
-    peak = F.max("close").over(W.rowsBetween(Window.unboundedPreceding, 0))
+    peak = F.max("close").over(own().rowsBetween(Window.unboundedPreceding, 0))
     return b.select("symbol", (F.col("close") / peak - 1).alias("dd")).groupBy("symbol").agg(F.min("dd").alias("max_dd_1y"))
 
 
@@ -136,7 +140,7 @@ def calendar(bench: DataFrame) -> DataFrame:
 def relative_strength(bars: DataFrame, bench: DataFrame) -> DataFrame:
     """symbol, rs_3m, rs_6m, rs_12m: own return over the benchmark's between the same days (first level inside to last level inside, more than two of them)."""
     d = numbered(bars)
-    cols = {f"c{k}": F.lag("close", k).over(W) for k in (63, 126, 252)} | {f"d{k}": F.lag("date", k).over(W) for k in (63, 126, 252)}
+    cols = {f"c{k}": F.lag("close", k).over(own()) for k in (63, 126, 252)} | {f"d{k}": F.lag("date", k).over(own()) for k in (63, 126, 252)}
     now = latest(d.withColumns(cols)).select("symbol", "date", "close", *cols)
     cal = calendar(bench)
     out = now.join(F.broadcast(cal.select(F.col("day").alias("date"), F.col("last_level").alias("b1"), F.col("last_no").alias("n1"))), "date", "left")
@@ -149,7 +153,7 @@ def relative_strength(bars: DataFrame, bench: DataFrame) -> DataFrame:
 def rs_line(bars: DataFrame, bench: DataFrame) -> DataFrame:
     """symbol, rs_line_pos_52: where close over benchmark stands in its range of the last 252 days that both have (more than 252 are needed)."""
     both = bars.join(F.broadcast(bench), "date").select("symbol", "date", (F.col("close") / F.col("bench")).alias("line"))
-    d = both.withColumn("n", F.row_number().over(W)).withColumn("bars", F.count(F.lit(1)).over(Window.partitionBy("symbol")))
+    d = both.withColumn("n", F.row_number().over(own())).withColumn("bars", F.count(F.lit(1)).over(Window.partitionBy("symbol")))
     low, high = F.min("line").over(back(252)), F.max("line").over(back(252))
     return d.withColumn("pos", F.when(F.col("n") > 252, (F.col("line") - low) / (high - low + 1e-12))).where("n = bars and bars >= 60").select("symbol", F.col("pos").alias("rs_line_pos_52"))
 
@@ -184,7 +188,7 @@ def daily_tail(tech: DataFrame, days: int = 80, digits: int = 2) -> DataFrame:
 def setups(tech: DataFrame) -> DataFrame:
     """symbol, early_setup, breakout_watch: early momentum setups, base and multi-year breakouts on the newest bar."""
     c, n = F.col("close"), F.col("n")
-    lag = lambda k: F.lag("close", k).over(W)
+    lag = lambda k: F.lag("close", k).over(own())
     top = lambda k: F.max("close").over(back(k, 1))
     low = lambda k: F.min("close").over(back(k, 1))
     d = tech.withColumns({
@@ -216,10 +220,10 @@ def regime(bench: DataFrame) -> DataFrame:
     """The market's efficiency ratio and its percentile in its own history, trend and drawdown; null below 120 sessions."""
     d = numbered(bench.select(F.lit("INDEX").alias("symbol"), "date", F.col("bench").alias("close")))
     c, n = F.col("close"), F.col("n")
-    d = d.withColumn("step", F.abs(c - F.lag("close").over(W)))
+    d = d.withColumn("step", F.abs(c - F.lag("close").over(own())))
     d = d.withColumns({
-        "er": F.when(n > 60, ratio(F.abs(c - F.lag("close", 60).over(W)), F.sum("step").over(back(60)))),
-        "ema200": ema(c, 2 / 201, n), "ema50": ema(c, 2 / 51, n), "top": F.max(c).over(back(252)), "r1": F.lag("close", 21).over(W), "r3": F.lag("close", 63).over(W),
+        "er": F.when(n > 60, ratio(F.abs(c - F.lag("close", 60).over(own())), F.sum("step").over(back(60)))),
+        "ema200": ema(c, 2 / 201, n), "ema50": ema(c, 2 / 51, n), "top": F.max(c).over(back(252)), "r1": F.lag("close", 21).over(own()), "r3": F.lag("close", 63).over(own()),
     })
     newest = F.max_by("er", "n").over(Window.partitionBy("symbol"))
     d = d.withColumn("below", (F.col("er") < newest).cast("double"))

@@ -15,7 +15,6 @@ from ..sources import panels
 from .sql import TECH, TICKS, pick
 
 ASOF = "2000-09-01"
-DAY = F.lit(ASOF).cast("date")
 
 
 def known(spark: SparkSession, sf_dir: str, asof: str = ASOF) -> DataFrame:
@@ -66,7 +65,7 @@ def fund(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pit_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
-    both = [S.point_in_time(panels.periods(spark, sf_dir, q), DAY, q).groupBy("symbol").agg(F.count("*").alias("n"), F.max("period_end").alias("newest")).select("symbol", F.lit("q" if q else "a").alias("kind"), "n", "newest") for q in (False, True)]
+    both = [S.point_in_time(panels.periods(spark, sf_dir, q), F.lit(ASOF).cast("date"), q).groupBy("symbol").agg(F.count("*").alias("n"), F.max("period_end").alias("newest")).select("symbol", F.lit("q" if q else "a").alias("kind"), "n", "newest") for q in (False, True)]
     return both[0].unionByName(both[1])
 
 

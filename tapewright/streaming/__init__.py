@@ -1 +1 @@
-
+"""The append-only feeds as Structured Streaming."""
