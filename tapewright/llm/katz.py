@@ -360,7 +360,7 @@ def score(docs: DataFrame, fold: int = 10, block_tokens: int = 1 << 20) -> DataF
     count, and are scored, as often as they stand. Words are told apart by a 64-bit hash.
     """
     spark = docs.sparkSession
-    scratch, buckets = Scratch(spark, "katz"), max(1, partitions(spark))
+    scratch, buckets = Scratch(spark, "katz"), 2 * max(1, partitions(spark))
     stored = scratch.put_bucketed(blocks(docs, block_tokens, fold), "block", buckets, "blocks")
     words = scratch.put(stored.mapInArrow(ask_words(buckets), "block long, bucket int, body binary").groupBy("bucket").applyInPandas(answer_words, ANSWER), "words")
     total, distinct, of_counts, top = 0, 0, np.zeros(K + 2), {}
