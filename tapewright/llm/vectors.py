@@ -9,6 +9,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from .common import Scratch, bounded, mix64, runs
 from .components import stars
@@ -72,8 +73,14 @@ def roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return label
 
 
+def width(vectors: DataFrame, column: str) -> str:
+    """The kind in which components travel: single precision where the column has no more."""
+    return "<f4" if isinstance(vectors.schema[column].dataType.elementType, FloatType) else "<f8"
+
+
 def read(vectors: DataFrame, id_column: str, column: str) -> DataFrame:
-    """id, h1, h2 (hash of the vector), vec (its doubles) of the vectors that can link."""
+    """id, h1, h2 (hash of the vector), vec (its components' bytes) of the vectors that can link."""
+    kind = width(vectors, column)
 
     def run(batches):
         for b in bounded(batches):
@@ -86,7 +93,7 @@ def read(vectors: DataFrame, id_column: str, column: str) -> DataFrame:
                 if np.isfinite(x).all() and x.any():
                     x = x + 0.0  # one kind of zero
                     x = x / np.abs(x).max() if not 1e-100 < np.abs(x).max() < 1e100 else x
-                    raw = x.tobytes()
+                    raw = x.astype(kind).tobytes()
                     out.append((i, xxhash.xxh3_64_intdigest(raw, 1), xxhash.xxh3_64_intdigest(raw, 2), raw))
             ids, h1, h2, raw = zip(*out, strict=True) if out else ((),) * 4
             yield pa.RecordBatch.from_pydict({"id": pa.array(ids, pa.int64()), "h1": pa.array(np.array(h1, np.uint64).view(np.int64)), "h2": pa.array(np.array(h2, np.uint64).view(np.int64)), "vec": pa.array(raw, pa.binary())})
@@ -94,7 +101,7 @@ def read(vectors: DataFrame, id_column: str, column: str) -> DataFrame:
     return vectors.select(F.col(id_column).cast("long").alias("id"), F.col(column).cast("array<double>").alias("vec")).mapInArrow(run, "id long, h1 long, h2 long, vec binary")
 
 
-def deal(tables: int, bits: int):
+def deal(tables: int, bits: int, kind: str):
     def run(batches):
         for b in bounded(batches):
             raw, ids, m = b.column("vec").to_pylist(), b.column("id"), b.column("m")
@@ -102,7 +109,7 @@ def deal(tables: int, bits: int):
             key = np.zeros((len(raw), tables), np.uint64)
             for size in np.unique(sizes):
                 at = np.flatnonzero(sizes == size)
-                x = np.frombuffer(b"".join(raw[i] for i in at), np.float64).reshape(len(at), -1)
+                x = np.frombuffer(b"".join(raw[i] for i in at), kind).reshape(len(at), -1).astype(np.float64)
                 own = codes(x / np.linalg.norm(x, axis=1, keepdims=True), tables, bits)
                 key[at] = mix64(own ^ mix64(np.arange(tables, dtype=np.uint64) + np.uint64(int(size) << 16)))
             for t in range(tables):
@@ -111,7 +118,7 @@ def deal(tables: int, bits: int):
     return run
 
 
-def compare(least: float, tables: int, bits: int):
+def compare(least: float, tables: int, bits: int, kind: str):
     """Links within buckets: (id, null, copies linked) rows, and (id, smaller id, null) rows that connect what is linked.
 
     A pair that meets in several tables counts in the first of them.
@@ -119,7 +126,7 @@ def compare(least: float, tables: int, bits: int):
 
     def load(t):
         ids = t["id"].to_numpy()
-        raw = np.frombuffer(b"".join(t["vec"].to_pylist()), np.float64).reshape(len(ids), -1)
+        raw = np.frombuffer(b"".join(t["vec"].to_pylist()), kind).reshape(len(ids), -1).astype(np.float64)
         return ids, t["m"].to_numpy(), raw, (raw, *quantise(raw / np.linalg.norm(raw, axis=1, keepdims=True)))
 
     def run(batches):
@@ -179,7 +186,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, miss: float = 0.003, i
     their own component. Rows that repeat an id are one node.
     """
     spark = vectors.sparkSession
-    scratch = Scratch(spark, "vectors")
+    scratch, kind = Scratch(spark, "vectors"), width(vectors, column)
     good = scratch.put(read(vectors, id_column, column), "vectors")
     groups = good.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.count_distinct("id").alias("m"))
     copies = scratch.put(good.select("id", "h1", "h2").join(groups, ["h1", "h2"]).select("id", "first", "m").distinct(), "copies")
@@ -188,7 +195,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, miss: float = 0.003, i
     bits = min(40, max(6, math.ceil(math.log2(max(1, n) / 16)) if n > 16 else 6))
     same = (1 - math.acos(least) / math.pi) ** bits
     tables = max(1, math.ceil(math.log(miss) / math.log1p(-same)))
-    rows = single.mapInArrow(deal(tables, bits), "key long, t int, id long, m long, vec binary")
+    rows = single.mapInArrow(deal(tables, bits, kind), "key long, t int, id long, m long, vec binary")
     keys = rows.groupBy("key").agg(F.count("*").alias("n"))
     big = scratch.put(keys.where(F.col("n") > CHUNK), "big")
     if big.isEmpty():
@@ -198,7 +205,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, miss: float = 0.003, i
         dealt = rows.join(big, "key", "left").select(*rows.columns, ways.alias("ways"), F.pmod(F.xxhash64("id"), ways.cast("long")).cast("int").alias("chunk"))
         other = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("ways") - 1)).alias("other"))
         tiles = other.select(*rows.columns, "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
-    found = scratch.put(tiles.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(compare(least, tables, bits), LINK), "links")
+    found = scratch.put(tiles.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(compare(least, tables, bits, kind), LINK), "links")
     links = found.where("n is not null").groupBy("a").agg(F.sum("n").alias("n"))
     edges = found.where("b is not null").select("a", "b").unionByName(copies.where("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b")))
     root = stars(edges, scratch)
