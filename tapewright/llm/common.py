@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import gc
 import os
 import tempfile
@@ -41,6 +43,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.at, self.n = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}", 0
+        atexit.register(self.sweep)
 
     def put(self, df: DataFrame, name: str = "t") -> DataFrame:
         self.n += 1
@@ -60,11 +63,19 @@ class Scratch:
         out._scratch_path = path
         return out
 
+    def delete(self, folder: str) -> None:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
     def drop(self, *tables: DataFrame) -> None:
-        jvm = self.spark.sparkContext._jvm
         for t in tables:
-            path = jvm.org.apache.hadoop.fs.Path(t._scratch_path)
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            self.delete(t._scratch_path)
+
+    def sweep(self) -> None:
+        """At the driver's end, while its session still stands, what it left goes: results are read lazily, so not before."""
+        with contextlib.suppress(Exception):
+            if self.spark.sparkContext._jsc is not None:
+                self.delete(self.at)
 
     def release(self) -> None:
         """Let the driver's cleaner drop shuffle files of finished jobs."""
