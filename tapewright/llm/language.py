@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 import re
 
 import numpy as np
@@ -81,8 +82,6 @@ class Tree:
         return bits
 
     def to_bytes(self) -> bytes:
-        import pickle
-
         return pickle.dumps(self.levels)
 
 
@@ -141,6 +140,23 @@ def fit(docs: DataFrame, rows: Column, sample_mb: float = 1.0, languages: int =
     return {r["lang"]: bytes(r["tree"]) for r in sample.groupBy("lang").applyInPandas(learn, "lang string, tree binary").toLocalIterator()}
 
 
+class Verdicts:
+    """Texts to (languages, scores, bits a byte), for workers."""
+
+    def __init__(self, names: list[str], trees: list[bytes]):
+        self.names, self.judge = names, Judge([Tree(pickle.loads(t)) for t in trees])
+
+    def __call__(self, rows: list[str | None]) -> tuple[list[str], list[float], list[float | None]]:
+        lettered = [bool(self.names) and has_letter(t) for t in rows]
+        raw = [t.encode() if ok else b"" for t, ok in zip(rows, lettered, strict=True)]
+        bits = self.judge.bits(raw) if self.names else np.zeros((len(rows), 1))
+        best = bits.argmin(1)
+        least = bits[np.arange(len(rows)), best]
+        score = 1.0 / np.exp2(np.maximum(least[:, None] - bits, -1000.0)).sum(1)
+        each = list(zip(lettered, best.tolist(), score.tolist(), least.tolist(), raw, strict=True))
+        return [self.names[i] if ok else UNDEFINED for ok, i, *_ in each], [s if ok else 0.0 for ok, _, s, *_ in each], [n / len(r) if ok else None for ok, _, _, n, r in each]
+
+
 def identify(docs: DataFrame, sample_mb: float = 1.0, fold: int = 4, held: int = 2, train: DataFrame | None = None) -> DataFrame:
     """The language in which each whole text has the shortest code.
 
@@ -149,37 +165,32 @@ def identify(docs: DataFrame, sample_mb: float = 1.0, fold: int = 4, held: int =
     letterless texts, and all texts if nothing could be learnt, are ``und`` with score 0. Ties go to the language that
     sorts first. Repeated rows each give a row.
     """
-    import pickle
-
-    source = (docs if train is None else train).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    remainder = crc_mod("doc_id", fold)
-    trees = fit(source, F.coalesce(remainder != held, F.lit(True)), sample_mb)
-    names = sorted(trees)
-    shared = docs.sparkSession.sparkContext.broadcast([trees[n] for n in names])
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(remainder == held, F.lit(False)).alias("held_out"))
+    shared = docs.sparkSession.sparkContext.broadcast(learn(docs if train is None else train, sample_mb, fold, held))
+    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(crc_mod("doc_id", fold) == held, F.lit(False)).alias("held_out"))
 
     def run(batches):
-        judge = Judge([Tree(pickle.loads(t)) for t in shared.value])
+        verdicts = Verdicts(*shared.value)
         for b in bounded(batches, mb=1):
-            rows = b.column("text").to_pylist()
-            lettered = [bool(names) and has_letter(t) for t in rows]
-            raw = [t.encode() if ok else b"" for t, ok in zip(rows, lettered, strict=True)]
-            bits = judge.bits(raw) if names else np.zeros((len(rows), 1))
-            best = bits.argmin(1)
-            least = bits[np.arange(len(rows)), best]
-            score = 1.0 / np.exp2(np.maximum(least[:, None] - bits, -1000.0)).sum(1)
-            yield pa.RecordBatch.from_pydict({
-                "doc_id": b.column("doc_id"), "held_out": b.column("held_out"),
-                "lang_pred": pa.array([names[i] if ok else UNDEFINED for i, ok in zip(best, lettered, strict=True)], pa.string()),
-                "score": pa.array([s if ok else 0.0 for s, ok in zip(score.tolist(), lettered, strict=True)], pa.float64()),
-                "bits_per_byte": pa.array([x / len(r) if ok else None for x, r, ok in zip(least.tolist(), raw, lettered, strict=True)], pa.float64()),
-            })
+            lang, score, bits = verdicts(b.column("text").to_pylist())
+            yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "held_out": b.column("held_out"), "lang_pred": pa.array(lang, pa.string()), "score": pa.array(score, pa.float64()), "bits_per_byte": pa.array(bits, pa.float64())})
 
     return out.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, bits_per_byte double")
 
 
-def keep_language(docs: DataFrame, sample_mb: float = 1.0, least: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that are text in a language: not ``und``, and with a score of ``least`` at least. Columns stay as they are."""
-    found = identify(docs, sample_mb).groupBy("doc_id").agg(F.max((F.col("lang_pred") != UNDEFINED) & (F.col("score") >= least)).alias("keeps"))
-    kept = found.where("keeps").select("doc_id")
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+def learn(docs: DataFrame, sample_mb: float, fold: int, held: int) -> tuple[list[str], list[bytes]]:
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    trees = fit(source, F.coalesce(crc_mod("doc_id", fold) != held, F.lit(True)), sample_mb)
+    return sorted(trees), [trees[n] for n in sorted(trees)]
+
+
+def keep_language(docs: DataFrame, sample_mb: float = 1.0, least: float = 0.5, fold: int = 4, held: int = 2) -> DataFrame:
+    """The rows of ``docs`` that are text in a language: not ``und``, and with a score of ``least`` at least. Columns stay as they are; nothing but the sample is shuffled."""
+    shared = docs.sparkSession.sparkContext.broadcast(learn(docs, sample_mb, fold, held))
+
+    def run(batches):
+        verdicts = Verdicts(*shared.value)
+        for b in bounded(batches, mb=1):
+            lang, score, _ = verdicts(b.column("text").to_pylist())
+            yield b.filter(pa.array([x != UNDEFINED and s >= least for x, s in zip(lang, score, strict=True)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -161,6 +161,12 @@ def fit(docs: DataFrame, labels: DataFrame, fold: int = 5, positives: int = 3000
     return dict(zip(names, w.tolist(), strict=True)), b
 
 
+def scorer(weights: dict[str, float], bias: float):
+    """Texts to scores."""
+    hits = Hits(weights)
+    return lambda rows: sigmoid(np.array([hits.total(t) for t in rows]) + bias)
+
+
 def score(docs: DataFrame, labels: DataFrame, fold: int = 5, **bounds) -> DataFrame:
     """Toxicity of every whole text: doc_id, held_out, score (0 to 1), predicted (score >= 0.5).
 
@@ -168,16 +174,13 @@ def score(docs: DataFrame, labels: DataFrame, fold: int = 5, **bounds) -> DataFr
     example to learn from every score is near 0. Repeated rows each give a row; labels of unknown documents and null
     labels are ignored, and of several labels of a document the highest counts.
     """
-    weights, bias = fit(docs, labels, fold, **bounds)
-    shared = docs.sparkSession.sparkContext.broadcast((weights, bias))
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, fold, **bounds))
     held = F.coalesce(crc_mod("doc_id", fold) == 0, F.lit(False)).alias("held_out")
 
     def run(batches):
-        w, b0 = shared.value
-        hits = Hits(w)
+        judge = scorer(*shared.value)
         for b in bounded(batches):
-            total = np.array([hits.total(t) for t in texts(b)]) + b0
-            s = sigmoid(total)
+            s = judge(texts(b))
             yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "held_out": b.column("held_out"), "score": pa.array(s, pa.float64()), "predicted": pa.array((s >= 0.5).astype(np.int32), pa.int32())})
 
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held)
@@ -185,6 +188,12 @@ def score(docs: DataFrame, labels: DataFrame, fold: int = 5, **bounds) -> DataFr
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, **bounds) -> DataFrame:
-    """The rows of ``docs`` not predicted toxic, columns as they are. Equal doc_ids go only if every one is toxic."""
-    toxic = score(docs, labels, **bounds).groupBy("doc_id").agg(F.min("predicted").alias("predicted")).where("predicted = 0").select("doc_id")
-    return docs.join(toxic, docs["doc_id"].eqNullSafe(toxic["doc_id"]), "left_semi")
+    """The rows of ``docs`` that are not predicted toxic, columns as they are. Rows are judged where they are read: nothing is shuffled."""
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, **bounds))
+
+    def run(batches):
+        judge = scorer(*shared.value)
+        for b in bounded(batches):
+            yield b.filter(pa.array(judge(texts(b)) < 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
