@@ -8,6 +8,17 @@ from pyspark.sql import functions as F
 from ..functions.columns import average_rank
 
 
+def nominal_days(start: Column, end: Column, kind: str) -> Column:
+    """The nominal cohort days from start to end: ``MS`` and ``QS`` first days of months and quarters, ``2W-MON`` every other Monday, ``AS-JUL`` the firsts of July."""
+    if kind == "2W-MON":
+        first = F.date_sub(F.next_day(start, "MON"), F.when(F.weekday(start) == 0, 7).otherwise(0))
+        return F.filter(F.sequence(first, F.greatest(end, first), F.expr("INTERVAL 14 DAYS")), lambda d: d <= end)
+    unit, step = {"MS": ("month", 1), "QS": ("quarter", 3), "AS-JUL": ("year", 12)}[kind]
+    first = F.add_months(F.trunc(start, unit), 6 if kind == "AS-JUL" else 0)
+    days = F.sequence(F.add_months(first, -step), F.greatest(end, first), F.expr(f"INTERVAL {step} MONTHS"))
+    return F.filter(days, lambda d: (d >= start) & (d <= end))
+
+
 def cohorts(bars: DataFrame, days: list[str]) -> DataFrame:
     """cohort, exit: for each nominal day the first session at or after it, clamped to the last session, with the next one's.
 
@@ -15,9 +26,9 @@ def cohorts(bars: DataFrame, days: list[str]) -> DataFrame:
     """
     nominal = bars.sparkSession.createDataFrame([(d,) for d in days], "day string").select(F.to_date("day").alias("day"))
     sessions = bars.select("date").distinct()
-    last = sessions.agg(F.max("date").alias("last"))
+    last = bars.agg(F.max("date")).scalar()
     found = sessions.join(F.broadcast(nominal), F.col("date") >= F.col("day")).groupBy("day").agg(F.min("date").alias("date"))
-    dates = nominal.join(found, "day", "left").crossJoin(F.broadcast(last)).select(F.coalesce("date", "last").alias("cohort")).distinct()
+    dates = nominal.join(found, "day", "left").select(F.coalesce(F.col("date"), last).alias("cohort")).distinct()
     return dates.withColumn("exit", F.lead("cohort").over(Window.orderBy("cohort"))).where("exit is not null")
 
 

@@ -29,7 +29,7 @@ def measures(panel: DataFrame, prior: DataFrame | None = None) -> DataFrame:
     Conditional aggregates over session numbers, as a symbol need not have a bar at the last session.
     """
     d = repair(panel).withColumn("turn", F.col("close") * F.col("volume"))
-    d = d.crossJoin(F.broadcast(d.agg(F.max("session_no").alias("last"))))
+    d = d.withColumn("last", panel.agg(F.count_distinct("date")).scalar())
     s = F.col("session_no")
     recent = lambda x, k: F.when(s > F.col("last") - k, F.col(x))
     mean = lambda k, least: F.when(F.count(recent("turn", k)) >= least, F.avg(recent("turn", k)))

@@ -134,6 +134,29 @@ def sector_heat(spark, sf_dir):
     return R.heat(R.measures(panel), sector)
 
 
+def radar_counts(spark, sf_dir):
+    return radar_list(spark, sf_dir).groupBy("score").agg(F.count("*").alias("n"))
+
+
+def filed_coverage(spark, sf_dir):
+    """How many symbols have filings, and what share of filings has a profit."""
+    f = N.upsert(filings(spark, sf_dir), ["symbol", "period_end"], F.desc("source"))
+    return f.agg(F.count_distinct("symbol").alias("symbols"), F.round(F.avg(F.col("pat").isNotNull().cast("double")), 6).alias("covered"), F.max("period_end").alias("freshest"))
+
+
+def nominal(spark, sf_dir):
+    """Nominal cohort days of all kinds between the first and last session."""
+    ends = panels.bars(spark, sf_dir).agg(F.min("date").alias("a"), F.max("date").alias("b"))
+    one = lambda kind: ends.select(F.lit(kind).alias("kind"), F.explode(B.nominal_days(F.col("a"), F.col("b"), kind)).alias("day"))
+    return one("MS").unionByName(one("QS")).unionByName(one("2W-MON")).unionByName(one("AS-JUL"))
+
+
+def audit(spark, sf_dir):
+    from ..sources.sinks import audit_table
+
+    return rounded(audit_table(scores.scored(spark, sf_dir), ["roe", "de", "pe"], ["ret_6m", "pos_52"], ["quality", "trend"], ["longterm", "swing_long"]))
+
+
 def market_context(spark, sf_dir):
     panel, shares, *_ = radar_inputs(spark, sf_dir)
     return R.context(R.measures(panel), shares, 1.0)
@@ -228,6 +251,7 @@ QUERIES = {
     "j05_asof_fwd": j05, "j04_asof_back": j04, "a07_cohorts": cohort_rows, "a08_deciles": decile_table, "a09_ic": cohort_ic, "a11_summary": summary, "a21_picks": ledger,
     "a03_sectors": partial(desk, D.sectors), "a04_breadth": breadth_now, "x11_swing": swing_tiers, "x14_move_quality": moves, "x16_movers": partial(past, partial(D.movers, top=20)), "x17_deltas": partial(past, D.deltas), "a17_track": partial(past, D.track_record), "snk5_retention": partial(past, partial(D.retained, runs=3)),
     "w38_ca_adjust": repaired, "w40_radar_inputs": radar_measures, "w41_ath": radar_prior, "w42_promoters": promoters, "a14_heat": sector_heat, "a15_context": market_context, "x12_radar": radar_list,
+    "a16_counts": radar_counts, "a20_coverage": filed_coverage, "b03_days": nominal, "snk4_audit": audit,
     "o05_upsert": merged, "j07_interval_yoy": yoy, "j11_cross_check": checked, "a01_futures": futures, "a22_mcap": market_caps, "p19_freshness": fresh, "p18_expected": expected, "src_harvest": harvested, "src_pick": picked, "src_props": props, "src_keys": keys, "snk11_append": appended, "src_shards": sharded, "src_days": weekdays,
 }
 
@@ -315,7 +339,7 @@ ORACLES = {
     "x14_move_quality": f"WITH {_LABS}, m AS (SELECT *, coalesce(deliv_per >= 1.5 * dpmed AND deliv_per >= 50, false) AS spike, coalesce(ret5 > 0.04, false) AS rally FROM lab WHERE session_no = (SELECT max(session_no) FROM lab) AND deliv_per IS NOT NULL) SELECT symbol, CASE WHEN coalesce(spike AND oi5 >= 0.10 AND abs(ret5) < 0.05, false) THEN 'accumulating' WHEN rally AND coalesce(deliv_per <= 0.5 * dpmed, false) THEN 'hollow' WHEN rally AND coalesce(oi5 <= -0.08, false) THEN 'covering' WHEN rally AND (coalesce(oi5 > 0.02, false) OR spike OR coalesce(dpmed <> 0 AND deliv_per >= 1.2 * dpmed, false)) THEN 'backed' END AS st, round(deliv_per, 1) AS dp, round(dpmed, 1) AS dp_med, round(oi5, 3) + 0.0 AS oi5, round(ret5, 3) + 0.0 AS ret5, round(vr5, 2) AS vr5 FROM m",
     "x16_movers": _MOVERS,
     "x17_deltas": f"WITH {COHORTS}, far AS (SELECT least(5, max(back)) AS far FROM h) SELECT n.symbol, round(n.score - a.score, 1) + 0.0 AS d1, round(n.score - b.score, 1) + 0.0 AS d5 FROM (SELECT * FROM h WHERE back = 0) n LEFT JOIN (SELECT * FROM h WHERE back = 1) a USING (symbol) LEFT JOIN (SELECT h.* FROM h, far WHERE back = far) b ON b.symbol = n.symbol",
-    "a17_track": f"WITH {COHORTS}, n0 AS (SELECT symbol, price AS p1, {ASOF_} AS today FROM h WHERE back = 0), p AS (SELECT *, row_number() OVER (PARTITION BY {ASOF_} ORDER BY score DESC, symbol) AS r FROM (SELECT *, count(*) OVER (PARTITION BY {ASOF_}) AS m FROM h WHERE back > 0 AND passes AND score IS NOT NULL) WHERE m >= 20), q AS (SELECT p.*, today, p1 / p.price - 1 AS ret FROM p LEFT JOIN n0 USING (symbol)) SELECT {ASOF_}, CAST(max(today) - {ASOF_} AS INT) AS days, round(avg(CASE WHEN r <= 10 THEN ret END), 4) + 0.0 AS top, round(avg(ret), 4) + 0.0 AS universe, round(avg(CASE WHEN r <= 10 THEN CASE WHEN ret > 0 THEN 1.0 WHEN ret <= 0 THEN 0.0 END END), 2) AS hit FROM q GROUP BY asof",
+    "a17_track": f"WITH {COHORTS}, n0 AS (SELECT symbol, price AS p1, {ASOF_} AS today FROM h WHERE back = 0), p AS (SELECT *, row_number() OVER (PARTITION BY {ASOF_} ORDER BY score DESC, symbol) AS r FROM (SELECT *, count(*) OVER (PARTITION BY {ASOF_}) AS m FROM h WHERE back > 0 AND passes AND score IS NOT NULL) WHERE m >= 20), q AS (SELECT p.*, today, p1 / p.price - 1 AS ret FROM p LEFT JOIN n0 USING (symbol)) SELECT {ASOF_}, CAST(max(today) - {ASOF_} AS INT) AS days, round(avg(CASE WHEN r <= 10 THEN ret END), 4) + 0.0 AS top, round(avg(ret), 4) + 0.0 AS universe, round(avg(CASE WHEN r <= 10 THEN CASE WHEN ret > 0 THEN 1.0 WHEN ret <= 0 THEN 0.0 END END), 2) AS hit FROM q GROUP BY {ASOF_}",
     "snk5_retention": f"WITH {COHORTS} SELECT {ASOF_}, symbol, price, score, passes FROM h WHERE back <= 3",
     "w38_ca_adjust": f"WITH {BARS}, s0 AS (SELECT symbol, date, close, dense_rank() OVER (ORDER BY date) AS session_no FROM bars), {_events('s0')} SELECT symbol, date, {_r('event adj')} FROM rep",
     "w40_radar_inputs": f"WITH {_RADAR} SELECT symbol, bars, {_r('price turn20 volreg ath ret3 ret6 ret12 dd_ath')} FROM meas",
@@ -324,6 +348,10 @@ ORACLES = {
     "a14_heat": f"WITH {_RADAR} SELECT sector, heat FROM heat",
     "a15_context": f"WITH {_RADAR}, d AS (SELECT count(*) FILTER (WHERE mcap >= 1) AS n_universe, quantile_cont(CASE WHEN mcap >= 1 AND turn20 >= 5 AND bars >= 100 THEN dd_ath END, 0.5) AS dd FROM cand) SELECT n_universe, round(dd, 3) + 0.0 AS mkt_dd, CASE WHEN dd <= -0.35 THEN 'CRUSHED' WHEN dd <= -0.22 THEN 'MODERATE' ELSE 'NEAR HIGHS' END AS context FROM d",
     "x12_radar": f"WITH {_RADAR}, s AS (SELECT *, {' + '.join(f'CASE WHEN {c} THEN {v} ELSE 0 END' for c, _, v in _RULES)} AS score FROM cand WHERE mcap >= 1 AND turn20 >= 5 AND bars >= 100) SELECT symbol, score, concat_ws(', ', {', '.join(f'CASE WHEN {c} THEN {chr(39)}{t}{chr(39)} END' for c, t, _ in _RULES)}) AS why, concat_ws(', ', CASE WHEN b % 7 = 0 THEN 'SURVEILLANCE' END, CASE WHEN turn20 < 50 THEN 'thin' END) AS flags, concat_ws(', ', CASE WHEN dd_ath <= -0.5 THEN 'deep' END, CASE WHEN turn20 < 100 AND (ret12 IS NULL OR ret12 < 0.4) THEN 'quiet' END, CASE WHEN ret12 >= 0.6 THEN 'late' END) AS tags, heat, sector, round(mcap, 0) AS mcap_cr, round(price, 1) AS price, round(ret6, 3) + 0.0 AS ret6, round(dd_ath, 2) + 0.0 AS dd_ath, round(volreg, 4) AS volreg FROM s WHERE score >= 1 ORDER BY score DESC, coalesce(round(volreg, 4), 0) DESC, symbol LIMIT 400",
+    "a16_counts": f"WITH {_RADAR}, s AS (SELECT {' + '.join(f'CASE WHEN {c} THEN {v} ELSE 0 END' for c, _, v in _RULES)} AS score FROM cand WHERE mcap >= 1 AND turn20 >= 5 AND bars >= 100) SELECT score, count(*) AS n FROM s WHERE score >= 1 GROUP BY score",
+    "a20_coverage": f"WITH {_FILED} SELECT count(DISTINCT symbol) AS symbols, round(avg(CASE WHEN pat IS NOT NULL THEN 1.0 ELSE 0.0 END), 6) AS covered, max(period_end) AS freshest FROM filed",
+    "b03_days": "WITH e AS (SELECT CAST(min(l_shipdate) AS DATE) AS a, CAST(max(l_shipdate) AS DATE) AS b FROM lineitem), d AS (SELECT CAST(a + CAST(i AS INT) AS DATE) AS day, a FROM e, range(0, 4000) t(i) WHERE a + CAST(i AS INT) <= b) SELECT 'MS' AS kind, day FROM d WHERE day(day) = 1 UNION ALL SELECT 'QS', day FROM d WHERE day(day) = 1 AND month(day) IN (1, 4, 7, 10) UNION ALL SELECT 'AS-JUL', day FROM d WHERE day(day) = 1 AND month(day) = 7 UNION ALL SELECT '2W-MON', day FROM d WHERE isodow(day) = 1 AND (day - (SELECT min(day) FROM d WHERE isodow(day) = 1)) % 14 = 0",
+    "snk4_audit": f"WITH {scores.SCORED} SELECT symbol, {', '.join(f'round({c}, 6) + 0.0 AS f_{c}' for c in ('roe', 'de', 'pe'))}, {', '.join(f'round({c}, 6) + 0.0 AS t_{c}' for c in ('ret_6m', 'pos_52'))}, round(p_quality, 6) AS pillar_quality, round(p_trend, 6) AS pillar_trend, {', '.join(f'round(score_{m}, 6) AS score_{m}, round(cov_{m}, 6) AS cov_{m}, replace(gates_{m}, {chr(39)};{chr(39)}, {chr(39)}; {chr(39)}) AS gates_{m}' for m in ('longterm', 'swing_long'))} FROM scored",
     "o05_upsert": f"WITH {_FILED} SELECT symbol, period_end, round(sales, 7) AS sales, round(pat, 7) + 0.0 AS pat, source FROM filed",
     "j07_interval_yoy": f"WITH {_FILED}, l AS (SELECT symbol, arg_max(struct_pack(p := period_end, pat := pat, sales := sales), period_end) AS l FROM filed GROUP BY 1), j AS (SELECT l.symbol, any_value(l.l.p) AS period_end, any_value(l.l.pat) AS pat, any_value(l.l.sales) AS sales, arg_max(f.pat, f.period_end) AS pat0, arg_max(f.sales, f.period_end) AS sales0 FROM l LEFT JOIN filed f ON f.symbol = l.symbol AND f.period_end BETWEEN l.l.p - 376 AND l.l.p - 354 GROUP BY 1) SELECT symbol, period_end, round(pat, 5) + 0.0 AS pat, round({_g('pat', 'pat0')}, 5) + 0.0 AS pat_yoy, round({_g('sales', 'sales0')}, 5) + 0.0 AS sales_yoy FROM j",
     "j11_cross_check": f"WITH {_FILED}, z AS (SELECT symbol, period_end, pat, pat * CASE WHEN key % 6 = 0 THEN 0.1 ELSE 1.0 END AS vendor_pat FROM filed) SELECT symbol, period_end, {_r('pat vendor_pat', 4)}, round(pat / vendor_pat, 4) AS ratio FROM z WHERE abs(pat) > 5 AND abs(vendor_pat) > 5 AND (pat / vendor_pat > 5 OR pat / vendor_pat < 0.2)",

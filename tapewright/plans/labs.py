@@ -88,8 +88,8 @@ def all_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def price_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     f, k = kept(price_lab, E.PRICE_SIGNALS, price_mask(), spark, sf_dir)
-    middle = f.agg((F.floor(F.max("session_no") / 2) + 1).alias("mid"))
-    return rounded(E.price_verdicts(E.with_excess(k, f, (10, 20, 40)).crossJoin(F.broadcast(middle)), F.col("mid"), LEAST, CONTROL))
+    middle = weekly_bars(spark, sf_dir).agg(F.floor(F.count_distinct("date") / 2) + 1).scalar()
+    return rounded(E.price_verdicts(E.with_excess(k, f, (10, 20, 40)).withColumn("mid", middle), F.col("mid"), LEAST, CONTROL))
 
 
 def flow_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ import pytest
 import __spark_entry__ as entry
 from tapewright.plans.registry import ORACLES, QUERIES
 
-SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
+SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
 
