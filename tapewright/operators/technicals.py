@@ -65,7 +65,7 @@ def technicals(bars: DataFrame) -> DataFrame:
     up = dr > 0
     d = d.withColumns({
         "vs_ema20": c / e20 - 1, "vs_ema50": c / e50 - 1, "vs_ema200": c / e200 - 1,
-        "ema_stack": F.when((e20 > e50) & (e50 > e200), 1).when((e20 < e50) & (e50 < e200), -1).otherwise(0),
+        "ema_stack": F.when((e20 / e50 > 1 + 1e-12) & (e50 / e200 > 1 + 1e-12), 1).when((e20 / e50 < 1 - 1e-12) & (e50 / e200 < 1 - 1e-12), -1).otherwise(0),
         "ema200_slope": guard(220, e200 / lag(20, e200) - 1), "ema50_slope": e50 / lag(10, e50) - 1,
         "above_200_days": guard(199, F.sum((c > e200).cast("long")).over(back(60))),
         **{name: guard(k, c / lag(k) - 1) for name, k in (("ret_1w", 5), ("ret_1m", 21), ("ret_3m", 63), ("ret_6m", 126), ("ret_12m", 252))},

@@ -149,7 +149,7 @@ def test_a_composite_of_nothing_is_neutral(spark):
     d = spark.range(1).select(*[F.lit(None).cast("double").alias(f"p_{p}") for p in scoring.PILLARS])
     for m in scoring.MODES:
         assert tuple(d.select(*scoring.composite(m)).first()) == (50.0, 0.0)
-    assert tuple(d.select(*scoring.composite("longterm", {})).first()) == (None, 0.0)
+    assert tuple(d.select(*scoring.composite("longterm", {"quality": 0})).first()) == (None, 0.0)
 
 
 def test_sector_blend_needs_eight(spark):
