@@ -14,6 +14,8 @@ from .dart import SLOTS, Shingler, bands, jaccard, signatures
 #: Slots agree with a standard error of 0.037 at similarity 0.8: pairs below LOW or above HIGH need no exact check (four of them away).
 LOW, HIGH = 0.65, 0.95
 CHUNK = 512
+#: Partners of each member that the first repair round checks; the next ones take sixteen times as many, until none is left.
+PARTNERS = 8
 
 
 def sign(docs: DataFrame) -> DataFrame:
@@ -43,7 +45,8 @@ def cluster(ids: np.ndarray, sketches: np.ndarray, at_least: float) -> tuple[lis
     """Edges to check within one bucket, and its leaders (places).
 
     Members follow the first leader that looks similar enough; those that follow none are leaders too. Among leaders the
-    edges are a spanning forest of the likeliest ones that might be similar. So there are fewer edges than members.
+    edges are a spanning forest of the likeliest ones that might be similar. So there are fewer edges than members;
+    ``joined`` finds what they miss.
     """
     edges, leaders, rest = [], [], np.argsort(ids, kind="stable")
     while len(rest):
@@ -97,8 +100,8 @@ def bucket_edges(rows: DataFrame, at_least: float) -> DataFrame:
     return rows.repartition("key", "salt").sortWithinPartitions("key", "salt").mapInArrow(run, "a long, b long, like double, key long, sketch binary")
 
 
-def candidates(signed: DataFrame, scratch: Scratch, at_least: float) -> DataFrame:
-    """Distinct (a, b, like) with a < b, from buckets of equal band keys.
+def candidates(signed: DataFrame, scratch: Scratch, at_least: float) -> tuple[DataFrame, DataFrame]:
+    """Distinct (a, b, like) with a < b, from buckets of equal band keys; and these buckets' members (id, key, n, head).
 
     Buckets of over CHUNK members are dealt out in chunks by a hash of the member, each with the bucket's smallest member
     besides; the chunks' leaders then meet in chunks four times as large, and so on until a bucket's leaders fit one.
@@ -106,7 +109,7 @@ def candidates(signed: DataFrame, scratch: Scratch, at_least: float) -> DataFram
     members = signed.select(F.col("doc_id").alias("id"), F.explode("bands").alias("key"))
     # counts are written first: joined straight from their aggregation, a hot key's rows could not be split
     counts = scratch.put(members.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("head")).where("n > 1"), "counts")
-    shared = members.join(counts.hint("merge"), "key")
+    shared = scratch.put(members.join(counts.hint("merge"), "key"), "shared")
     level = shared.join(signed.select(F.col("doc_id").alias("id"), "sketch"), "id")
     size, found = CHUNK, []
     while True:
@@ -124,7 +127,91 @@ def candidates(signed: DataFrame, scratch: Scratch, at_least: float) -> DataFram
     edges = found[0]
     for more in found[1:]:
         edges = edges.unionByName(more)
-    return edges.groupBy("a", "b").agg(F.max("like").alias("like"))
+    return edges.groupBy("a", "b").agg(F.max("like").alias("like")), shared
+
+
+def between(ids: np.ndarray, comp: np.ndarray, sketches: np.ndarray, side: np.ndarray, partners: int) -> tuple[list[tuple[int, int, float]], bool]:
+    """Pairs of one tile (side 0 with side 1, or side 0 with itself) that might be similar and join two components.
+
+    Each member's likeliest ``partners`` of them, and whether there are more.
+    """
+    one, two = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    own = not len(two)
+    two = one if own else two
+    if not len(one):
+        return [], False
+    like = np.stack([likeness(sketches[two], sketches[i]) for i in one])
+    like[comp[one][:, None] == comp[two][None, :]] = 0
+    near, top = like >= LOW, np.zeros(like.shape, bool)
+    for whole, chosen in ((like, top), (like.T, top.T)):
+        k = min(partners, whole.shape[1])
+        chosen[np.arange(len(whole))[:, None], np.argpartition(-whole, k - 1, axis=1)[:, :k]] = True
+    i, j = np.nonzero(near & top)
+    pairs = {(int(min(ids[a], ids[b])), int(max(ids[a], ids[b]))): float(x) for a, b, x in zip(one[i], two[j], like[i, j], strict=True)}
+    return [(a, b, x) for (a, b), x in pairs.items()], bool((near & ~top).any())
+
+
+def unjoined(shared: DataFrame, signed: DataFrame, root: DataFrame, scratch: Scratch, partners: int) -> DataFrame:
+    """a, b, like of pairs that share a bucket, might be similar and stand in different components; a row of key alone where ``partners`` left some out.
+
+    In each bucket, members of its most frequent component meet all others, and these each other, in tiles of CHUNK by CHUNK.
+    A bucket of two has had its only pair as a candidate.
+    """
+    live = scratch.put(shared.where("n > 2").select("key", "id").join(root.select(F.col("node").alias("id"), "root"), "id", "left").select("key", "id", F.coalesce("root", "id").alias("comp")), "live")
+    sizes = live.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "comp")).alias("big"), F.sum("c").alias("n"), F.count("*").alias("comps"))
+    mixed = scratch.put(sizes.where("comps > 1").select("key", F.col("big.comp").alias("big"), F.ceil((F.col("n") - F.col("big.c")) / CHUNK).cast("int").alias("others"), F.ceil(F.col("big.c") / CHUNK).cast("int").alias("alike")), "mixed")
+    rows = live.join(mixed.hint("merge"), "key").join(signed.select(F.col("doc_id").alias("id"), "sketch"), "id")
+    main, wide = F.col("comp") == F.col("big"), F.col("others") + F.col("alike")
+    block = F.pmod(F.xxhash64("id"), F.when(main, F.col("alike")).otherwise(F.col("others")).cast("long")).cast("int")
+    tile = lambda i, j, side: F.struct((i * F.col("wide") + j).alias("salt"), F.lit(side).alias("side"))
+    at = F.col("block")
+    as_first = F.transform(F.sequence(at, F.col("wide") - 1), lambda j: tile(at, j, 0))
+    as_second = F.when(at > 0, F.transform(F.sequence(F.lit(0), at - 1), lambda i: tile(i, at, 1))).otherwise(F.array().cast("array<struct<salt:int,side:int>>"))
+    of_main = F.transform(F.sequence(F.lit(0), F.col("others") - 1), lambda i: tile(i, F.col("others") + at, 1))
+    dealt = rows.withColumn("wide", wide).withColumn("block", block).select("key", "id", "comp", "sketch", F.explode(F.when(main, of_main).otherwise(F.concat(as_first, as_second))).alias("t")).select("key", "t.salt", "t.side", "id", "comp", "sketch")
+
+    def run(batches):
+        out: list[tuple] = []
+        for t in runs(batches, "key", "salt"):
+            sketches = np.frombuffer(b"".join(x.as_py() for x in t["sketch"]), np.uint16).reshape(t.num_rows, -1)
+            pairs, more = between(t["id"].to_numpy(), t["comp"].to_numpy(), sketches, t["side"].to_numpy(), partners)
+            out += [(a, b, x, None) for a, b, x in pairs]
+            if more:
+                out.append((None, None, None, t["key"][0].as_py()))
+            if len(out) > 4096:
+                yield batch(out)
+                out = []
+        if out:
+            yield batch(out)
+
+    def batch(out):
+        a, b, x, key = zip(*out, strict=True)
+        return pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "like": pa.array(x, pa.float64()), "key": pa.array(key, pa.int64())})
+
+    return dealt.repartition("key", "salt").sortWithinPartitions("key", "salt").mapInArrow(run, "a long, b long, like double, key long")
+
+
+def joined(root: DataFrame, shared: DataFrame, signed: DataFrame, tested: DataFrame, docs: DataFrame, scratch: Scratch, at_least: float) -> DataFrame:
+    """(node, root) when no pair is left that shares a bucket, might be similar, is untested and joins two components.
+
+    Candidates are fewer than members, so a failed one, or a link that only a follower has, can leave a class in parts.
+    """
+    partners, source = PARTNERS, None
+    while True:
+        made = scratch.put(unjoined(shared, signed, root, scratch, partners), "unjoined")
+        new = scratch.put(made.where("b is not null").groupBy("a", "b").agg(F.max("like").alias("like")).join(tested.select("a", "b"), ["a", "b"], "left_anti"), "new")
+        if not new.isEmpty():
+            if source is None:  # later rounds' pairs are of the same documents
+                some = made.where("b is not null").select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+                source = scratch.put(doc_columns(docs).where("text is not null").join(some.hint("merge"), "doc_id", "left_semi"), "texts")
+            links = scratch.put(new.where(F.col("like") >= HIGH).select("a", "b").unionByName(check(new.where(F.col("like") < HIGH), source, scratch, at_least)), "links")
+            if not links.isEmpty():
+                root = stars(links.unionByName(root.select(F.col("node").alias("a"), F.col("root").alias("b"))), scratch)
+            tested = tested.select("a", "b").unionByName(new.select("a", "b"))
+        cut = made.where("b is null").select("key").distinct()
+        if cut.isEmpty():
+            return root
+        shared, partners = shared.join(cut, "key", "left_semi"), 16 * partners
 
 
 def check(edges: DataFrame, docs: DataFrame, scratch: Scratch, at_least: float) -> DataFrame:
@@ -170,11 +257,12 @@ def near_duplicates(docs: DataFrame, at_least: float = 0.8) -> DataFrame:
     first = scratch.put(signed.groupBy("h1", "h2").agg(F.min("doc_id").alias("first")), "first")
     copies = scratch.put(signed.select("doc_id", "h1", "h2").join(first.hint("merge"), ["h1", "h2"]).select("doc_id", "first").distinct(), "copies")
     one_each = signed.join(copies.where("doc_id = first").select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    edges = scratch.put(candidates(one_each, scratch, at_least), "candidates")
+    edges, shared = candidates(one_each, scratch, at_least)
+    edges = scratch.put(edges, "candidates")
     sure = edges.where(F.col("like") >= HIGH).select("a", "b")
     found = sure.unionByName(check(edges.where(F.col("like") < HIGH), docs, scratch, at_least))
     links = found.unionByName(copies.where("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b")))
-    root = stars(links, scratch)
+    root = joined(stars(links, scratch), shared, one_each, edges, docs, scratch, at_least)
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
     out = ids.join(root.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return out.select("doc_id", F.coalesce("root", "doc_id").alias("class_id"), F.coalesce(F.col("root").isNull(), F.lit(True)).alias("kept"))

@@ -77,6 +77,22 @@ def test_a_hot_group_of_near_copies(spark):
     assert all(r["class_id"] == want[r["doc_id"]] for r in got)
 
 
+@pytest.mark.parametrize(("hub", "chunk"), [(299, 512), (150, 512), (0, 512), (299, 32)])
+def test_a_hub_whose_copies_are_alike_only_through_it(spark, hub, chunk, monkeypatch):
+    monkeypatch.setattr(minhash, "CHUNK", chunk)
+    rng = np.random.default_rng(4)
+    base = [f"w{i}" for i in range(112)]
+    rows = [(hub, " ".join(base))]
+    for i in range(300):
+        if i != hub:
+            words = list(base)
+            words[rng.integers(5, 50)], words[rng.integers(60, 106)] = f"x{i}", f"y{i}"
+            rows.append((i, " ".join(words)))
+    got = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = brute_classes(sorted(rows))
+    assert len(set(want.values())) == 1 and got == want
+
+
 def test_error_bounds_hold():
     rng = np.random.default_rng(0)
     x = rng.standard_normal((80, 24))
