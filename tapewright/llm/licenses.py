@@ -5,10 +5,12 @@ from __future__ import annotations
 import re
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import bounded, doc_columns, texts
+from .license_texts import TEXTS
 
 # Notices and texts of public licences, as far as scans need them.
 TEMPLATES: dict[str, list[str]] = {
@@ -39,10 +41,26 @@ TEMPLATES: dict[str, list[str]] = {
     "Unlicense": ["This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."],
 }
 
+DISCLAIMER = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'
+_three = TEMPLATES["BSD-3-Clause"][1]
+_two = _three[: _three.index(" 3. Neither")]
+TEMPLATES["BSD-3-Clause"].append(f"{_three} {DISCLAIMER}")
+TEMPLATES["BSD-2-Clause"] = ["Released under the BSD 2-Clause License.", _two, f"{_two} {DISCLAIMER}"]
+_gpl = TEMPLATES["GPL-3.0"][1]
+TEMPLATES["AGPL-3.0"] = [_gpl.replace("GNU General", "GNU Affero General")]
+TEMPLATES["LGPL-3.0"] = [_gpl.replace("GNU General", "GNU Lesser General")]
+TEMPLATES["GPL-2.0"] = [_gpl.replace("version 3", "version 2").replace("program is free software: you", "program is free software; you")]
+for _name, _text in TEXTS.items():
+    TEMPLATES.setdefault(_name, []).append(_text)
+
 WORD = re.compile(r"[^\W_]+(?:\.[^\W_]+)*")
 LINE, PARAGRAPH = re.compile(r"[^\r\n]+"), re.compile(r"(?:[^\r\n]*\S[^\r\n]*(?:\r?\n|\r|$))+")
 
 
+# what windows are made of: sentences, cut at line ends
+SEGMENT = re.compile(r"[^\r\n]+?(?:[.:;!?](?=\s)|(?=[\r\n]|\Z))")
+
+
 def normalise(text: str) -> list[str]:
     """Lower-case words; points stay inside numbers and names only."""
     return WORD.findall(text.lower())
@@ -64,6 +82,10 @@ class Scanner:
         self.least, self.slack = least, (2 - least) / least
         self.known = sorted(((name, bigrams(normalise(t))) for name, ts in templates.items() for t in ts), key=lambda x: (x[1].total(), x[0]))
         self.sizes = [g.total() for _, g in self.known]
+        self.index: dict[tuple[str, str], list[tuple[int, int]]] = {}
+        for t, (_, grams) in enumerate(self.known):
+            for k, m in grams.items():
+                self.index.setdefault(k, []).append((t, m))
         self.few, self.most = min(self.sizes) / self.slack, max(self.sizes) * self.slack
 
     def best(self, unit: str) -> tuple[str, float] | None:
@@ -82,14 +104,80 @@ class Scanner:
                 found = name, d
         return found
 
+    def possible(self, words: list[str]) -> list[int]:
+        """Templates that some run of the words might match: a coefficient d takes d/(2-d) of a template's bigrams at least."""
+        few = len(words) - 1
+        last = np.searchsorted(self.sizes, few * self.slack, "right")
+        common = [0] * last
+        for k, n in Counter(k for k in zip(words, words[1:], strict=False) if k in self.index).items():
+            for t, m in self.index[k]:
+                if t >= last:
+                    break
+                common[t] += min(n, m)
+        return [t for t in range(last) if common[t] * self.slack >= self.sizes[t] - 1e-9]
+
+    def windows(self, text: str, chosen: list[int]) -> list[tuple[int, float, int, int, int]]:
+        """(template, coefficient, bigrams in common, start, end) of the likest run of segments from each segment on."""
+        spans, words, ends = [], [], []
+        for m in SEGMENT.finditer(text):
+            if w := normalise(m.group()):
+                words += w
+                spans.append(m.span())
+                ends.append(len(words))
+        starts, ends = np.r_[0, ends[:-1]].astype(int), np.array(ends, int)
+        pairs, out = list(zip(words, words[1:], strict=False)), []
+        for t in chosen:
+            name, grams = self.known[t]
+            size = self.sizes[t]
+            is_hit = np.fromiter((k in grams for k in pairs), bool, len(pairs))
+            hits = np.r_[0, np.cumsum(is_hit)]
+            for i, s in enumerate(starts):
+                # the likest run neither begins nor ends with words that have nothing in common with the template
+                far = np.searchsorted(ends, s + 1 + size * self.slack, "right")
+                n = ends[i:far] - s - 1
+                bound = 2 * (hits[s + n.clip(0)] - hits[s]) >= self.least * (n + size) - 1e-9
+                if not bound.any() or not is_hit[s : ends[i]].any():
+                    continue
+                left, common, best, at = grams.copy(), 0, None, s
+                for j in range(i, i + int(np.flatnonzero(bound)[-1]) + 1):
+                    for k in pairs[at : ends[j] - 1]:
+                        if left.get(k, 0) > 0:
+                            left[k] -= 1
+                            common += 1
+                    at = ends[j] - 1
+                    d = 2 * common / (ends[j] - s - 1 + size)
+                    if d >= self.least and (best is None or d > best[1]):
+                        best = t, d, common, spans[i][0], spans[j][1]
+                if best:
+                    out.append(best)
+        return out
+
     def scan(self, text: str) -> list[tuple[str, float, str, int, int]]:
-        """(licence, coefficient, kind of unit, start, end) of each unit that matches: the text, its paragraphs, its lines; a place counts once, as the largest unit."""
+        """(licence, coefficient, kind of unit, start, end) of each unit that matches: the text, its paragraphs, its lines, then runs of sentences and lines.
+
+        A place counts once, as the largest unit; a run takes the place of what it holds if its template is longer, or liker.
+        """
+        if len(text) < 2 * self.few or not (chosen := self.possible(normalise(text))):
+            return []
         out, taken = [], []
         for kind, spans in (("text", [(0, len(text))]), ("paragraph", (m.span() for m in PARAGRAPH.finditer(text))), ("line", (m.span() for m in LINE.finditer(text)))):
             for s, e in spans:
                 if not any(a <= s and e <= b for a, b in taken) and (hit := self.best(text[s:e])):
                     out.append((*hit, kind, s, e))
                     taken.append((s, e))
+        if out and out[0][2] == "text":
+            return out
+        placed: list[tuple[int, int]] = []
+        for t, d, _, s, e in sorted(self.windows(text, chosen), key=lambda x: (-x[2], -x[1], x[0], x[3])):
+            name, size = self.known[t][0], self.sizes[t]
+            if any(s < b and a < e for a, b in placed) or any(x[3] <= s and e <= x[4] for x in out):
+                continue
+            inside = [x for x in out if s <= x[3] and x[4] <= e]
+            # a hit of a coefficient x has size/slack words at least: one much shorter than the run is of a shorter template
+            if any(x[1] >= d and (len(normalise(text[x[3] : x[4]])) - 1) * self.slack >= size for x in inside):
+                continue
+            out = [x for x in out if x not in inside] + [(name, d, "window", s, e)]
+            placed.append((s, e))
         return sorted(out, key=lambda x: (x[3], x[4]))
 
 

@@ -167,3 +167,17 @@ def test_scan_equals_brute_force():
         best = max(licenses.dice(own, licenses.bigrams(licenses.normalise(t))) for t in pool)
         hit = scanner.best(text)
         assert (hit is not None) == (best >= 0.8) and (hit is None or hit[1] == pytest.approx(best))
+
+
+@pytest.mark.parametrize("name", ["MIT", "GPL-3.0", "BSD-3-Clause", "Apache-2.0"])
+def test_a_licence_of_several_paragraphs_inside_a_document(name):
+    scanner = licenses.Scanner(licenses.TEMPLATES, 0.8)
+    text = max(licenses.TEMPLATES[name][:3] if name != "Apache-2.0" else licenses.TEMPLATES[name], key=len)
+    cut, times = text.replace(". ", ".\n\n"), 10 + len(text) // 30
+    before, after = "Some words of a report that stand first.\n\n" * times, "\n\nOther words close the file here.\n" * times
+    found = [m for m in scanner.scan(before + cut + after) if m[2] == "window"]
+    assert [m[0] for m in found] == [name] and found[0][1] > 0.9
+    assert abs(found[0][3] - len(before)) < 120 and abs(found[0][4] - len(before) - len(cut)) < 120
+    line = [m for m in scanner.scan(before.strip() + " " + text + " " + after.strip()) if m[0] == name]
+    assert line and line[0][1] > 0.9
+    assert [m[0] for m in scanner.scan(text)] == [name]
