@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import partial
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import rounded
@@ -113,15 +113,23 @@ def flag_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features(spark, sf_dir).select("symbol", F.array_join(F.transform(fl, lambda x: F.concat(x["sev"], F.lit(":"), x["code"])), ";").alias("flags"), count("red"), count("amber"), count("grey"))
 
 
+def ranked_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every company in each mode's list, with its place in it: what passes first, then by score."""
+    all_ = scored(spark, sf_dir)
+    each = F.explode(F.array(*[F.struct(F.lit(m).alias("mode"), (F.size(f"gates_{m}") == 0).alias("passes"), F.round(f"score_{m}", 6).alias("score")) for m in X.MODES]))
+    rows = all_.select("symbol", each.alias("m")).select("m.mode", "symbol", "m.passes", "m.score")
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy("mode").orderBy(F.desc("passes"), F.desc("score"), "symbol")))
+
+
 def ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each mode's list: what passes first, then by score."""
+    """The first 50 of the long-term mode's list: what passes first, then by score. ``ranked_all`` has all of all modes."""
     one = lambda m: scored(spark, sf_dir).select(F.lit(m).alias("mode"), "symbol", (F.size(f"gates_{m}") == 0).alias("passes"), F.col(f"score_{m}").alias("score"))
     return rounded(one("longterm").orderBy(F.desc("passes"), F.desc(F.round("score", 6)), "symbol").limit(50))
 
 
 QUERIES = {name: partial(fund, name) for name in FUND} | {
     "p07_pit_cut": pit_cut, "f23_fin_block": block, "x02_winsor": winsor, "x04_pct_rank": universe_ranks, "x05_sector_blend": ranks, "x06_pillars": pillar_table,
-    "x08_composite": composites, "x08_weights": reweighted, "x09_gates": gate_table, "x15_flags": flag_table, "snk3_ranked": ranked,
+    "x08_composite": composites, "x08_weights": reweighted, "x09_gates": gate_table, "x15_flags": flag_table, "snk3_ranked": ranked, "snk3_ranked_all": ranked_all,
 }
 
 # --- SQL
@@ -233,5 +241,6 @@ ORACLES = {name: pick(FUNDAMENTALS, "funds", f"symbol, {plain}", doubles, DIGITS
     "x08_weights": f"WITH {LONG}, z AS (SELECT symbol, {sql_composite('longterm', {'quality': 1, 'trend': 1})} FROM feats LEFT JOIN pil USING (symbol)) SELECT symbol, round(score_longterm, 6) AS score_longterm, round(cov_longterm, 6) AS cov_longterm FROM z",
     "x09_gates": f"WITH {SCORED} SELECT symbol, {', '.join(f'gates_{m}' for m in X.MODES)} FROM scored",
     "x15_flags": f"WITH {FEATS} SELECT symbol, concat_ws(';', {', '.join(f'CASE WHEN {c} THEN {chr(39)}{k}{chr(39)} END' for k, c in _FLAGS)}) AS flags, {_count('red')} AS n_red, {_count('amber')} AS n_amber, {_count('grey')} AS n_grey FROM feats",
+    "snk3_ranked_all": f"WITH {SCORED} SELECT *, row_number() OVER (PARTITION BY mode ORDER BY passes DESC, score DESC NULLS LAST, symbol) AS place FROM ({" UNION ALL ".join(f"SELECT '{m}' AS mode, symbol, gates_{m} = '' AS passes, round(score_{m}, 6) AS score FROM scored" for m in X.MODES)})",
     "snk3_ranked": f"WITH {SCORED} SELECT 'longterm' AS mode, symbol, gates_longterm = '' AS passes, round(score_longterm, 6) AS score FROM scored ORDER BY passes DESC, score DESC, symbol LIMIT 50",
 }
