@@ -61,8 +61,8 @@ def heat(measured: DataFrame, sectors: DataFrame, least: int = 5) -> DataFrame:
     return med.withColumn("p", p).withColumn("n", n).where(F.col("n") >= least).select("sector", F.when(F.col("p") >= 67, "hot").when(F.col("p") <= 33, "cold").otherwise("mid").alias("heat"))
 
 
-def radar(measured: DataFrame, shares: DataFrame, sectors: DataFrame, promoters: DataFrame, watched: DataFrame, min_mcap: float = 50.0, least: int = 2, most: int = 400) -> DataFrame:
-    """Symbols of a score of ``least`` at least, with what made it, flags and tags, best first."""
+def rated(measured: DataFrame, shares: DataFrame, sectors: DataFrame, promoters: DataFrame, watched: DataFrame, min_mcap: float = 50.0, least: int = 2) -> DataFrame:
+    """All symbols of a score of ``least`` at least, with what made it, flags and tags."""
     c = F.col
     h = heat(measured, sectors)
     d = measured.join(shares, "symbol").join(sectors, "symbol", "left").join(F.broadcast(h), "sector", "left").join(promoters, "symbol", "left").join(watched.select("symbol", F.lit(True).alias("watched")).distinct(), "symbol", "left")
@@ -73,11 +73,16 @@ def radar(measured: DataFrame, shares: DataFrame, sectors: DataFrame, promoters:
     ]
     score = sum((F.when(yes(cond), v).otherwise(0) for cond, _, v in rules), F.lit(0))
     d = d.withColumn("score", score).where(c("score") >= least)
-    out = d.select(
+    return d.select(
         "symbol", "score", F.array_join(labels(*[(cond, text) for cond, text, _ in rules]), ", ").alias("why"), F.array_join(labels((c("watched"), "SURVEILLANCE"), (c("turn20") < 50, "thin")), ", ").alias("flags"),
         F.array_join(labels((c("dd_ath") <= -0.5, "deep"), ((c("turn20") < 100) & (c("ret12").isNull() | (c("ret12") < 0.4)), "quiet"), (c("ret12") >= 0.6, "late")), ", ").alias("tags"),
         "heat", "sector", F.round("mcap", 0).alias("mcap_cr"), F.round("price", 1).alias("price"), F.round("ret6", 3).alias("ret6"), F.round("dd_ath", 2).alias("dd_ath"), F.round("volreg", 4).alias("volreg"),
     )
+
+
+def radar(measured: DataFrame, shares: DataFrame, sectors: DataFrame, promoters: DataFrame, watched: DataFrame, min_mcap: float = 50.0, least: int = 2, most: int = 400) -> DataFrame:
+    """The ``most`` best of the rated symbols, best first, as the original lists them."""
+    out = rated(measured, shares, sectors, promoters, watched, min_mcap, least)
     return out.orderBy(F.desc("score"), F.desc(F.coalesce("volreg", F.lit(0.0))), "symbol").limit(most)
 
 

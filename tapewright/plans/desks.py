@@ -135,7 +135,9 @@ def sector_heat(spark, sf_dir):
 
 
 def radar_counts(spark, sf_dir):
-    return radar_list(spark, sf_dir).groupBy("score").agg(F.count("*").alias("n"))
+    """Symbols by score, of all rated ones, listed or not."""
+    panel, shares, sector, held, watched = radar_inputs(spark, sf_dir)
+    return R.rated(R.measures(panel), shares, sector, R.promoter_change(held), watched, min_mcap=1.0, least=1).groupBy("score").agg(F.count("*").alias("n"))
 
 
 def filed_coverage(spark, sf_dir):
