@@ -30,6 +30,8 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session; a local one only where it is unset (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + os.path.join(tempfile.gettempdir(), "tapewright-shared")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -60,9 +62,14 @@ class Scratch:
         path, known = f"{self.at}/{self.n}-{name}", f"{name}_{uuid.uuid4().hex}"
         df.write.bucketBy(buckets, key).option("path", path).saveAsTable(known, format="parquet")
         out = self.spark.table(known)
-        out._scratch_path = path
+        out._scratch_path, out._scratch_name = path, known
         return out
 
+    def forget(self, bucketed: DataFrame) -> None:
+        """Takes a bucketed table, which nothing reads any more, from the catalog and the folder."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {bucketed._scratch_name}")
+        self.drop(bucketed)
+
     def delete(self, folder: str) -> None:
         path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -1,6 +1,7 @@
+import functools
 import math
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -92,56 +93,116 @@ def test_toxicity(documents, labels, empty, spark):
 # --- language model
 
 
-def plain_katz(docs):
-    """The same model with dictionaries; returns a function (context, word) -> probability, the words, and the counts."""
-    uni, bi = Counter(), Counter()
+def plain_discounts(counts):
+    """Simple Good-Turing by the book: averaged counts of counts, their line in logarithms, Katz's discounts to count 5."""
+    n = Counter(counts)
+    known = sorted(r for r in n if 0 < r <= 32)
+    slope = -2.0
+    if len(known) > 1:
+        x, y = [], []
+        for i, r in enumerate(known):
+            before = known[i - 1] if i else 0
+            after = known[i + 1] if i + 1 < len(known) else 2 * r - before
+            x.append(math.log(r))
+            y.append(math.log(2 * n[r] / (after - before)))
+        mx, my = sum(x) / len(x), sum(y) / len(y)
+        slope = min(-1.1, sum((u - mx) * (v - my) for u, v in zip(x, y, strict=True)) / sum((u - mx) ** 2 for u in x))
+    smooth = lambda r: r**slope
+    star = {r: (r + 1) * smooth(r + 1) / smooth(r) for r in range(1, 6)}
+    rest = 6 * smooth(6) / smooth(1)
+    return {r: (star[r] / r - rest) / (1 - rest) for r in star}
+
+
+def plain_katz(docs, order):
+    """The same model with dictionaries; returns a function (context, word) -> probability, the words' counts, and the contexts."""
+    counts = [Counter() for _ in range(order + 1)]
     for doc_id, text in docs:
         if fold(doc_id, 10) != 0:
-            line = katz.tokens(text)
-            uni.update(line)
-            bi.update(zip([katz.END, *line[:-1]], line, strict=True))
-    of = lambda counts: np.array([0, *(sum(v == r for v in counts.values()) for r in range(1, katz.K + 2))])
-    total = sum(uni.values())
-    words, d = katz.Words(total, of(uni)), katz.discounts(of(bi))
-    p1 = lambda w: float(words.p(np.array([uni[w]]))[0])
-
+            line = [None] * (order - 1) + katz.tokens(text)
+            for i in range(order - 1, len(line)):
+                for k in range(1, order + 1):
+                    counts[k][tuple(line[i - k + 1 : i + 1])] += 1
+    d = [None] + [plain_discounts(c.values()) for c in counts[1:]]
+    after = defaultdict(dict)
+    for k in range(2, order + 1):
+        for gram, n in counts[k].items():
+            after[gram[:-1]][gram[-1]] = n
+    total = sum(counts[1].values())
+    kept = lambda k, n: n * d[k].get(n, 1.0)
+
+    @functools.cache
     def p(context, w):
-        c = uni[context]
-        if not c:
-            return p1(w)
-        after = {k[1]: n for k, n in bi.items() if k[0] == context}
-        left = sum((1 - d[n]) * n for n in after.values() if n <= katz.K) / c
-        scale = 1.0 if left > 0 else c / (c + 1)
-        left = left if left > 0 else 1 / (c + 1)
-        if w in after:
-            return scale * (d[after[w]] if after[w] <= katz.K else 1.0) * after[w] / c
-        return left / max(1e-12, 1 - sum(map(p1, after))) * p1(w)
+        if not context:
+            return kept(1, counts[1][(w,)]) / total if (w,) in counts[1] else 1 - sum(kept(1, n) for n in counts[1].values()) / total
+        seen = after.get(context)
+        if not seen:
+            return p(context[1:], w)
+        c = sum(seen.values())
+        c += all(n > 5 for n in seen.values())
+        return kept(len(context) + 1, seen[w]) / c if w in seen else bow(context, c) * p(context[1:], w)
+
+    @functools.cache
+    def bow(context, c):
+        seen = after[context]
+        return (1 - sum(kept(len(context) + 1, n) for n in seen.values()) / c) / (1 - sum(p(context[1:], w) for w in seen))
 
-    return p, uni, total
+    return p, {g[0]: n for g, n in counts[1].items()}, total, list(after)
 
 
-def test_katz_equals_plain_and_is_normalised(documents, empty):
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_katz_equals_plain_and_is_normalised(documents, empty, order):
     docs = [(r["doc_id"], r["text"]) for r in documents.select("doc_id", "text").collect()]
-    p, uni, total = plain_katz(docs)
-    for context in [katz.END, b"the", b"der", b"neverseen"]:
-        assert sum(p(context, w) for w in uni) + p(context, b"neverseen") == pytest.approx(1, abs=1e-6)
-    got = {r["doc_id"]: r for r in katz.score(documents, block_tokens=5000).collect()}
+    p, uni, total, contexts = plain_katz(docs, order)
+    for context in contexts[:: len(contexts) // 12]:
+        assert sum(p(context, w) for w in uni) + p(context, b"neverseen") == pytest.approx(1, abs=1e-9)
+    got = defaultdict(list)
+    for r in katz.score(documents, order=order, block_tokens=5000).collect():
+        got[r["doc_id"]].append(r)
     v = len(uni)
     for doc_id, text in docs:
-        if doc_id is None or doc_id == 904:
+        if doc_id is None:
             continue
-        line, r = katz.tokens(text), got[doc_id]
-        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(line), sum(uni[w] > 0 for w in line), total)
-        assert r["base_score"] == pytest.approx(sum(math.log10((uni[w] + 0.1) / (total + 0.1 * (v + 1))) for w in line))
-        if doc_id % 7 == 0 or doc_id > 890:
-            assert r["score"] == pytest.approx(sum(math.log10(p(c, w)) for c, w in zip([katz.END, *line[:-1]], line, strict=True)), rel=1e-6)
-    assert katz.score(documents).count() == documents.count()
-    assert katz.score(empty).count() == 0
+        line, r = katz.tokens(text), got[doc_id][0]
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"], r["held_out"]) == (len(line), sum(w in uni for w in line), total, fold(doc_id, 10) == 0)
+        assert r["base_score"] == pytest.approx(sum(math.log10((uni.get(w, 0) + 0.1) / (total + 0.1 * (v + 1))) for w in line))
+        if r["held_out"] or doc_id % 7 == 0 or doc_id > 890:
+            whole = [None] * (order - 1) + line
+            assert r["score"] == pytest.approx(sum(math.log10(p(tuple(whole[i - order + 1 : i]), whole[i])) for i in range(order - 1, len(whole))), rel=1e-7)
+    assert sum(map(len, got.values())) == documents.count()
+    if order == 3:
+        assert katz.score(empty).count() == 0
+
+
+def test_blocks_and_split_contexts_do_not_matter(documents, monkeypatch):
+    one = {r["doc_id"]: r["score"] for r in katz.score(documents, block_tokens=1 << 30).collect()}
+    monkeypatch.setattr(katz, "BUCKET_TOKENS", 2000)
+    many = {r["doc_id"]: r["score"] for r in katz.score(documents, block_tokens=500).collect()}
+    assert all(one[i] == pytest.approx(many[i], rel=1e-9) for i in one)
 
 
-def test_blocks_do_not_matter(documents):
-    one, many = ({r["doc_id"]: r["score"] for r in katz.score(documents, block_tokens=n).collect()} for n in (1 << 30, 500))
-    assert all(one[i] == pytest.approx(many[i], rel=1e-9) for i in one)
+def test_discounts_are_good_turing_ones():
+    for n in ([0, 900, 300, 150, 200, 60, 40, 30], [0, 5], [0], [0, 10, 10, 10, 10, 10, 10], [0, 0, 0, 7], [0, 1195, 400, 200, 260, 70, 60]):
+        d = katz.discounts(np.array(n))[1:]
+        assert ((d > 0) & (d < 1)).all() and (np.diff(d) > 0).all()
+        assert list(d) == pytest.approx(list(plain_discounts([r for r, k in enumerate(n) for _ in range(k)]).values()))
+
+
+def test_the_tables_hold_the_counts_and_nothing_stays_in_the_catalog(spark, documents):
+    before = len(spark.catalog.listTables())
+    katz.score(documents).count()
+    assert len(spark.catalog.listTables()) == before
+    stored, tables, *_, scratch = katz.fit(documents, order=3)
+    counts = Counter()
+    for r in documents.select("doc_id", "text").collect():
+        if fold(r["doc_id"], 10) != 0:
+            line = [None, None, *katz.tokens(r["text"])]
+            counts.update(zip(line, line[1:], line[2:], strict=False))
+    held = []
+    for r in tables[2].where("kind = 'table'").collect():
+        *_, n = katz.expand(bytes(r["body"]), *[np.uint64] * 5, np.float32, np.uint64)[:5]
+        held += n.tolist()
+    assert sorted(held) == sorted(counts.values())
+    scratch.forget(stored)
 
 
 # --- licences
