@@ -15,13 +15,13 @@ context is dealt out over several of them, so that no task grows with the corpus
 from __future__ import annotations
 
 import math
-import zlib
 from itertools import pairwise
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,31 +35,36 @@ K = 5
 #: Counts of counts are fitted up to this count.
 FITTED = 32
 #: Tokens whose requests make one bucket.
-BUCKET_TOKENS = 1 << 21
+BUCKET_TOKENS = 1 << 19
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
 def squeeze(*arrays: np.ndarray) -> bytes:
     """Arrays in one packed value: bytes of equal weight stand together, and high ones that are zero throughout are left out."""
     head, parts = [], []
-    for a in map(np.ascontiguousarray, arrays):
-        wide = a.view(np.uint8).reshape(len(a), a.dtype.itemsize)
-        used = a.dtype.itemsize
-        if a.dtype.kind == "u" and len(a):
-            used = max(1, (int(a.max()).bit_length() + 7) // 8)
+    for a in arrays:
+        if a.dtype.kind == "u":
+            used = max(1, (int(a.max()).bit_length() + 7) // 8) if len(a) else 1
+            parts += [(a >> a.dtype.type(8 * i) if i else a).astype(np.uint8).tobytes() for i in range(used)]
+        else:
+            used = a.dtype.itemsize
+            parts.append(a.tobytes())
         head.append([len(a), used])
-        parts.append(wide[:, :used].T.tobytes())
-    return np.array(head, np.int64).tobytes() + zlib.compress(b"".join(parts), 1)
+    return np.array(head, np.int64).tobytes() + zstandard.compress(b"".join(parts), 1)
 
 
 def expand(data: bytes, *kinds) -> list[np.ndarray]:
     n = len(kinds)
     head = np.frombuffer(data, np.int64, 2 * n).reshape(n, 2)
-    planes, at, out = zlib.decompress(data[16 * n :]), 0, []
-    for (length, used), kind in zip(head.tolist(), kinds, strict=True):
-        wide = np.zeros((length, np.dtype(kind).itemsize), np.uint8)
-        wide[:, :used] = np.frombuffer(planes, np.uint8, length * used, at).reshape(used, length).T
-        out.append(wide.reshape(-1).view(kind) if length else np.empty(0, kind))
+    planes, at, out = zstandard.decompress(data[16 * n :]), 0, []
+    for (length, used), kind in zip(head.tolist(), map(np.dtype, kinds), strict=True):
+        if kind.kind == "u":
+            a = np.frombuffer(planes, np.uint8, length, at).astype(kind)
+            for i in range(1, used):
+                a |= np.frombuffer(planes, np.uint8, length, at + i * length).astype(kind) << kind.type(8 * i)
+        else:
+            a = np.frombuffer(planes, kind, length, at)
+        out.append(a)
         at += length * used
     return out
 
@@ -109,10 +114,23 @@ def blocks(docs: DataFrame, size: int, fold: int) -> DataFrame:
     return source.mapInArrow(run, "block long, n long, taught long, docs binary, body binary, words binary")
 
 
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys in order, a place of each, and of every place the number of its key. Keys are sorted with their places in one word if they fit."""
+    bits = max(1, len(keys) - 1).bit_length()
+    if not len(keys) or int(keys.max()).bit_length() + bits > 63:
+        return np.unique(keys, return_index=True, return_inverse=True)
+    packed = np.sort(keys.astype(np.int64) << bits | np.arange(len(keys)))
+    order, packed = packed & (1 << bits) - 1, packed >> bits
+    new = np.r_[True, packed[1:] != packed[:-1]]
+    which = np.empty(len(keys), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return packed[new], order[new], which
+
+
 def cut(bucket: np.ndarray, buckets: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
     """An order by bucket, and (bucket, from, to) of those that have members."""
-    order = np.argsort(bucket, kind="stable")
-    edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    order = np.argsort(bucket.astype(np.uint16) if buckets < 1 << 16 else bucket, kind="stable")
+    edges = np.r_[0, np.cumsum(np.bincount(bucket, minlength=buckets))]
     return order, [(i, a, b) for i, (a, b) in enumerate(pairwise(edges.tolist())) if b > a]
 
 
@@ -240,7 +258,7 @@ class Block:
         history = np.empty_like(below.which)
         history[1:] = below.which[:-1]
         history[self.starts] = 0
-        keys, first, which = np.unique(history * width + self.body, return_index=True, return_inverse=True)
+        keys, first, which = distinct(history * width + self.body)
         context, word = np.r_[0, keys // width], np.r_[0, keys % width]
         columns = [c[context] for c in below.columns] + [self.known[word]]
         level = Level(which + 1, context, word, np.r_[0, first], columns, chain(below.state[context], self.known[word]))
@@ -301,6 +319,16 @@ def weight(d: np.ndarray, context: np.ndarray, mass: np.ndarray, by_count: np.nd
         return np.log10(left) - np.log10(np.maximum(1 - mass, 1e-12))
 
 
+def joined(code: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Numbers that are equal, and in the order, of the pairs (code, word); codes are numbered anew where they would not fit."""
+    most = int(word.max()) + 1
+    if (int(code.max()) + 1) * most >= 1 << 63:
+        code = distinct(code)[2]
+        known, _, word = distinct(word.astype(np.int64))
+        most = len(known)
+    return code * most + word.astype(np.int64)
+
+
 def starts_of(context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Runs of equal contexts: the contexts, and how many stand in each run."""
     start = np.flatnonzero(np.r_[True, context[1:] != context[:-1]])
@@ -385,20 +413,31 @@ def ask(levels: Levels, split: Split):
             counts = np.r_[0, np.bincount(top.which[x.taught] - 1, minlength=len(top.context) - 1)].astype(np.uint64)
             shorter = below.which[top.first]  # the n-gram without its first word
             order, parts = x.asked(split)
-            for bucket, s, e in parts:
-                at = order[s:e]
-                contexts, n = starts_of(top.context[at])
-                lower = below.denominator[below.context[shorter[at[np.cumsum(n) - n]]]] if below.denominator is not None else np.zeros(len(n))
+            # of runs of equal contexts within each bucket: where they start, and what goes with them
+            context, ends = top.context[order], np.array([e for _, _, e in parts], np.int64)
+            new = np.r_[True, context[1:] != context[:-1]]
+            new[ends[:-1]] = True
+            start = np.flatnonzero(new)
+            many = np.diff(np.r_[start, len(order)]).astype(np.uint64)
+            columns = [c[context[start]] for c in below.columns]
+            lower = (below.denominator[below.context[shorter[order[start]]]] if below.denominator is not None else np.zeros(len(start))).astype(np.uint64)
+            word, counts, short = x.known[top.word[order]], counts[order], below.count[shorter[order]].astype(np.uint64)
+            edges = np.searchsorted(start, np.r_[0, ends]).tolist()
+            for (bucket, s, e), (i, j) in zip(parts, pairwise(edges), strict=True):
                 with np.errstate(over="ignore"):
-                    first = np.diff(below.columns[0][contexts], prepend=np.uint64(0))
-                out.append((row.block, bucket, squeeze(first, *(c[contexts] for c in below.columns[1:]), n.astype(np.uint64), lower.astype(np.uint64), x.known[top.word[at]], counts[at], below.count[shorter[at]].astype(np.uint64))))
+                    first = np.diff(columns[0][i:j], prepend=np.uint64(0))
+                out.append((row.block, bucket, squeeze(first, *(c[i:j] for c in columns[1:]), many[i:j], lower[i:j], word[s:e], counts[s:e], short[s:e])))
         return pd.DataFrame(out, columns=["block", "bucket", "body"])
 
     return run
 
 
 def answer(order: int, split: Split, words: Words | None, d: np.ndarray | None):
-    """One bucket of ``order``-grams: to each block its counts and the weights it needs; the table; counts of counts, the most frequent, and sums of split contexts."""
+    """One bucket of ``order``-grams: to each block its counts and the weights it needs; the table; counts of counts, the most frequent, and sums of split contexts.
+
+    The table: contexts (words, numbers of followers), followers (words, counts), and what backoff weights are made of:
+    the followers' probability a level below (of contexts of more than one) and how many have each discounted count.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         asked = [expand(b, *[np.uint64] * (order + 4)) for b in pdf["body"]]
@@ -408,14 +447,13 @@ def answer(order: int, split: Split, words: Words | None, d: np.ndarray | None):
         columns = [np.concatenate([a[i] for a in asked]) for i in range(order - 1)]
         followers, lower = (np.concatenate([a[i] for a in asked]).astype(np.int64) for i in (order - 1, order))
         word, count, short = (np.concatenate([a[i] for a in asked]) for i in (order + 1, order + 2, order + 3))
+        del asked
         code, state = np.zeros(len(lower), np.int64), np.zeros(len(lower), np.uint64)
         for c in columns:
-            known, number = np.unique(c, return_inverse=True)
-            _, first, code = np.unique(code * len(known) + number, return_index=True, return_inverse=True)
-            state = chain(state, c)
-        known, number = np.unique(word, return_inverse=True)
-        keys, at, which = np.unique(np.repeat(code, followers) * len(known) + number, return_index=True, return_inverse=True)
-        owner, own_word, contexts = keys // len(known), known[keys % len(known)], len(first)
+            code, state = joined(code, c), chain(state, c)
+        _, first, code = distinct(code)
+        keys, at, which = distinct(joined(np.repeat(code, followers), word))
+        owner, own_word, contexts = np.repeat(code, followers)[at], word[at], len(first)
         counts = np.bincount(which, count, len(keys)).astype(np.int64)
         seen = counts > 0
         short = short[at].astype(np.int64)
@@ -437,7 +475,7 @@ def answer(order: int, split: Split, words: Words | None, d: np.ndarray | None):
         out.append(("facts", -1, squeeze(np.zeros(2, np.uint64), of_counts(counts), chain(state[owner[top]], own_word[top]), counts[top].astype(np.uint64), state[hot], mass[hot], by_count[hot].astype(np.uint64).ravel())))
         many = np.bincount(owner[seen], minlength=contexts)
         stored = many > 0
-        out.append(("table", -1, squeeze(*(c[first][stored] for c in columns), many[stored].astype(np.uint64), own_word[seen], counts[seen].astype(np.uint64), mass[stored].astype(np.float32), by_count[stored].astype(np.uint64).ravel())))
+        out.append(("table", -1, squeeze(*(c[first][stored] for c in columns), many[stored].astype(np.uint64), own_word[seen], counts[seen].astype(np.uint64), mass[many > 1].astype(np.float32), by_count[stored].astype(np.uint64).ravel())))
         return rows_of(out, pdf)
 
     return run
