@@ -14,6 +14,7 @@ context is dealt out over several of them, so that no task grows with the corpus
 
 from __future__ import annotations
 
+import functools
 import math
 from itertools import pairwise
 
@@ -402,8 +403,8 @@ class Levels:
         return x
 
 
-def ask(levels: Levels, split: Split):
-    """Of one block: the next level's distinct n-grams by bucket: contexts (words, denominators a level below, numbers of followers) and followers (words, counts, counts a level below)."""
+def ask(levels: Levels, split: Split, turn: int, turns: int):
+    """Of one block: the next level's distinct n-grams by bucket: contexts (words, denominators a level below, numbers of followers) and followers (words, counts, counts a level below). In each turn the buckets of that remainder are asked."""
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -424,6 +425,8 @@ def ask(levels: Levels, split: Split):
             word, counts, short = x.known[top.word[order]], counts[order], below.count[shorter[order]].astype(np.uint64)
             edges = np.searchsorted(start, np.r_[0, ends]).tolist()
             for (bucket, s, e), (i, j) in zip(parts, pairwise(edges), strict=True):
+                if bucket % turns != turn:
+                    continue
                 with np.errstate(over="ignore"):
                     first = np.diff(columns[0][i:j], prepend=np.uint64(0))
                 out.append((row.block, bucket, squeeze(first, *(c[i:j] for c in columns[1:]), many[i:j], lower[i:j], word[s:e], counts[s:e], short[s:e])))
@@ -517,33 +520,38 @@ def finish(levels: Levels, total: int, distinct: int):
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def fit(docs: DataFrame, fold: int = 10, order: int = 3, block_tokens: int = 1 << 20) -> tuple[DataFrame, list[DataFrame], DataFrame, Levels, tuple[int, int], Scratch]:
-    """(blocks, a table for each level, all answers, the levels' parameters, (tokens, distinct words), scratch); tables have a row of kind "table" for each bucket, see ``answer``."""
+def fit(docs: DataFrame, fold: int = 10, order: int = 3, block_tokens: int = 1 << 20, turns: int = 2) -> tuple[DataFrame, list[DataFrame], DataFrame, Levels, tuple[int, int], Scratch]:
+    """(blocks, a table for each level, all answers, the levels' parameters, (tokens, distinct words), scratch); tables have a row of kind "table" for each bucket, see ``answer``.
+
+    A level's buckets are asked in ``turns``, so that the shuffle files of only one turn stand at a time.
+    """
     spark = docs.sparkSession
     scratch, parts = Scratch(spark, "katz"), max(1, partitions(spark))
     stored = scratch.put_bucketed(blocks(docs, block_tokens, fold), "block", 2 * parts, "blocks")
     size = stored.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("taught"), F.lit(0)).alias("taught")).first()
     buckets = max(parts, math.ceil(size["n"] / BUCKET_TOKENS))
     levels = Levels(size["taught"], buckets)
-    asked = stored.mapInArrow(ask_words(buckets), "block long, bucket int, body binary")
-    tables = [scratch.put(asked.groupBy("bucket").applyInPandas(answer_words(buckets), ANSWER), "words")]
+    tables = [scratch.put(stored.mapInArrow(ask_words(buckets), "block long, bucket int, body binary").groupBy("bucket").applyInPandas(answer_words(buckets), ANSWER), "words")]
+    scratch.release()
     (total, distinct), n, hot, _ = facts(tables[0])
     levels.words = words = Words(int(total), n)
     answered = tables[0].where("kind = 'answer'").select(F.lit(1).alias("level"), "block", "bucket", "body")
     for k in range(2, order + 1):
-        scratch.release()
         # texts start with a run of starts, which no n-gram of the level below holds
         start = np.zeros(1, np.uint64)
         for _ in range(k - 1):
             start = chain(start, np.zeros(1, np.uint64))
         split = Split(hot | {int(start[0]): size["taught"]}, int(total), buckets)
-        requests = stored.groupBy("block").cogroup(answered.groupBy("block")).applyInPandas(ask(levels, split), "block long, bucket int, body binary")
         d = levels.above[-1][1] if levels.above else None
-        tables.append(scratch.put(requests.groupBy("bucket").applyInPandas(answer(k, split, words, d), ANSWER), f"level{k}"))
+        made = []
+        for turn in range(turns):
+            requests = lambda: stored.groupBy("block").cogroup(answered.groupBy("block")).applyInPandas(ask(levels, split, turn, turns), "block long, bucket int, body binary")  # noqa: B023, E731
+            made.append(scratch.put(requests().groupBy("bucket").applyInPandas(answer(k, split, words, d), ANSWER), f"level{k}"))
+            scratch.release()
+        tables.append(functools.reduce(DataFrame.unionByName, made))
         _, n, hot, sums = facts(tables[-1])
         levels.above.append((split, discounts(n), sums))
         answered = answered.unionByName(tables[-1].where("kind = 'answer'").select(F.lit(k).alias("level"), "block", "bucket", "body"))
-    scratch.release()
     return stored, tables, answered, levels, (int(total), int(distinct)), scratch
 
 
