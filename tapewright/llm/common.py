@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import atexit
 import contextlib
-import gc
 import os
 import tempfile
 import uuid
@@ -47,10 +46,25 @@ class Scratch:
         self.spark, self.at, self.n = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}", 0
         atexit.register(self.sweep)
 
+    @contextlib.contextmanager
+    def tidy(self):
+        """Queries started within let go of their shuffle files as soon as they end, since what they wrote stands."""
+        key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+        before = self.spark.conf.get(key, None)
+        self.spark.conf.set(key, "true")
+        try:
+            yield
+        finally:
+            if before is None:
+                self.spark.conf.unset(key)
+            else:
+                self.spark.conf.set(key, before)
+
     def put(self, df: DataFrame, name: str = "t") -> DataFrame:
         self.n += 1
         path, schema = f"{self.at}/{self.n}-{name}", df.schema
-        df.write.parquet(path)
+        with self.tidy():
+            df.write.parquet(path)
         out = self.spark.read.schema(schema).parquet(path)
         out._scratch_path = path
         del df
@@ -60,7 +74,8 @@ class Scratch:
         """As ``put``, in files by a hash of ``key``: grouping what is read by that key needs no shuffle."""
         self.n += 1
         path, known = f"{self.at}/{self.n}-{name}", f"{name}_{uuid.uuid4().hex}"
-        df.write.bucketBy(buckets, key).option("path", path).saveAsTable(known, format="parquet")
+        with self.tidy():
+            df.write.bucketBy(buckets, key).option("path", path).saveAsTable(known, format="parquet")
         out = self.spark.table(known)
         out._scratch_path, out._scratch_name = path, known
         return out
@@ -84,11 +99,6 @@ class Scratch:
             if self.spark.sparkContext._jsc is not None:
                 self.delete(self.at)
 
-    def release(self) -> None:
-        """Let the driver's cleaner drop shuffle files of finished jobs."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
-
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))

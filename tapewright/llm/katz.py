@@ -532,7 +532,6 @@ def fit(docs: DataFrame, fold: int = 10, order: int = 3, block_tokens: int = 1 <
     buckets = max(parts, math.ceil(size["n"] / BUCKET_TOKENS))
     levels = Levels(size["taught"], buckets)
     tables = [scratch.put(stored.mapInArrow(ask_words(buckets), "block long, bucket int, body binary").groupBy("bucket").applyInPandas(answer_words(buckets), ANSWER), "words")]
-    scratch.release()
     (total, distinct), n, hot, _ = facts(tables[0])
     levels.words = words = Words(int(total), n)
     answered = tables[0].where("kind = 'answer'").select(F.lit(1).alias("level"), "block", "bucket", "body")
@@ -547,7 +546,6 @@ def fit(docs: DataFrame, fold: int = 10, order: int = 3, block_tokens: int = 1 <
         for turn in range(turns):
             requests = lambda: stored.groupBy("block").cogroup(answered.groupBy("block")).applyInPandas(ask(levels, split, turn, turns), "block long, bucket int, body binary")  # noqa: B023, E731
             made.append(scratch.put(requests().groupBy("bucket").applyInPandas(answer(k, split, words, d), ANSWER), f"level{k}"))
-            scratch.release()
         tables.append(functools.reduce(DataFrame.unionByName, made))
         _, n, hot, sums = facts(tables[-1])
         levels.above.append((split, discounts(n), sums))
