@@ -520,10 +520,10 @@ def finish(levels: Levels, total: int, distinct: int):
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def fit(docs: DataFrame, fold: int = 10, order: int = 3, block_tokens: int = 1 << 20, turns: int = 2) -> tuple[DataFrame, list[DataFrame], DataFrame, Levels, tuple[int, int], Scratch]:
+def fit(docs: DataFrame, fold: int = 10, order: int = 3, block_tokens: int = 1 << 20) -> tuple[DataFrame, list[DataFrame], DataFrame, Levels, tuple[int, int], Scratch]:
     """(blocks, a table for each level, all answers, the levels' parameters, (tokens, distinct words), scratch); tables have a row of kind "table" for each bucket, see ``answer``.
 
-    A level's buckets are asked in ``turns``, so that the shuffle files of only one turn stand at a time.
+    The buckets of n-grams are asked in n - 1 turns, so that the shuffle files of only one turn stand at a time.
     """
     spark = docs.sparkSession
     scratch, parts = Scratch(spark, "katz"), max(1, partitions(spark))
@@ -542,7 +542,7 @@ def fit(docs: DataFrame, fold: int = 10, order: int = 3, block_tokens: int = 1 <
             start = chain(start, np.zeros(1, np.uint64))
         split = Split(hot | {int(start[0]): size["taught"]}, int(total), buckets)
         d = levels.above[-1][1] if levels.above else None
-        made = []
+        made, turns = [], k - 1
         for turn in range(turns):
             requests = lambda: stored.groupBy("block").cogroup(answered.groupBy("block")).applyInPandas(ask(levels, split, turn, turns), "block long, bucket int, body binary")  # noqa: B023, E731
             made.append(scratch.put(requests().groupBy("bucket").applyInPandas(answer(k, split, words, d), ANSWER), f"level{k}"))
