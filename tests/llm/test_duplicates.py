@@ -93,6 +93,49 @@ def test_a_hub_whose_copies_are_alike_only_through_it(spark, hub, chunk, monkeyp
     assert len(set(want.values())) == 1 and got == want
 
 
+@pytest.mark.parametrize(("groups_", "variants", "changes"), [(8, 40, 6), (8, 60, 6), (60, 3, 6), (1, 200, 7)])
+def test_variants_near_the_threshold(spark, groups_, variants, changes):
+    """Texts of which many pairs lie on either side of 0.8, so that candidates fail and other ones must take their place."""
+    rng, rows = np.random.default_rng(groups_ * variants), []
+    for g in range(groups_):
+        base = [f"g{g}w{i}" for i in range(280)]
+        for v in range(variants):
+            words = list(base)
+            for at in rng.integers(0, 280, changes):
+                words[at] = f"g{g}v{v}at{at}"
+            rows.append((len(rows), " ".join(words)))
+    rng.shuffle(rows)
+    df = spark.createDataFrame([(int(i), t) for i, t in rows], "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(df).collect()}
+    want = brute_classes(sorted((int(i), str(t)) for i, t in rows))
+    assert {i: (got[i], want[i]) for i in want if got[i] != want[i]} == {}
+
+
+def test_rows_that_share_an_id_but_not_a_text(spark):
+    long = " ".join(f"w{i}" for i in range(80))
+    other = " ".join(f"x{i}" for i in range(80))
+    rows = [(5, long, "p"), (5, other, "q"), (5, other, "q"), (7, long + " more", "r"), (8, other + " more", "s"), (5, long, "a"), (9, None, "n"), (None, long, "i")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, content_a string")
+    got = sorted((r["doc_id"] or 0, r["class_id"] or 0, r["kept"]) for r in minhash.near_duplicates(df).collect())
+    assert got == [(0, 0, True), (5, 5, True), (5, 5, True), (5, 5, True), (5, 5, True), (7, 5, False), (8, 5, False), (9, 9, True)]
+    kept = minhash.keep_one(df)
+    assert kept.columns == df.columns
+    found = sorted((r["doc_id"] or 0, r["text"] or "") for r in kept.collect())
+    assert found == sorted([(0, long), (5, long), (5, other), (9, "")])
+
+
+def test_tiles_equal_pairs():
+    rng = np.random.default_rng(11)
+    base = rng.integers(1, 2**62, 300).astype(np.uint64)
+    make = lambda n: [np.unique(np.r_[rng.choice(base, 300 - int(k), replace=False), rng.integers(1, 2**62, int(k)).astype(np.uint64)]) for k in rng.integers(0, 60, n)] + [np.empty(0, np.uint64)]
+    one, two = make(70), make(40)
+    assert minhash.similar(one, two, 0.8).tolist() == [[minhash.alike(a, b) >= 0.8 for b in two] for a in one]
+    assert minhash.similar(one, one, 0.8)[:-1].any(1).all()
+    e, w = np.array([5, 9], np.uint64), np.array([3, 1])
+    f, v = np.array([5, 8], np.uint64), np.array([2, 1])
+    assert minhash.alike(minhash.cells(e, w), minhash.cells(f, v)) == pytest.approx(dart.jaccard((e, w), (np.sort(f), v)))
+
+
 def test_error_bounds_hold():
     rng = np.random.default_rng(0)
     x = rng.standard_normal((80, 24))
