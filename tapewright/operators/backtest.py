@@ -98,7 +98,7 @@ def summary(rows: DataFrame, per_year: float) -> DataFrame:
         e
         for c in names
         for e in (
-            chain(c).alias(f"{c}_total"), (F.pow(1 + chain(c), 1 / years) - 1).alias(f"{c}_cagr"), F.avg(c).alias(f"{c}_avg"), F.percentile(c, F.lit(0.5)).alias(f"{c}_median"), F.min(f"dd_{c}").alias(f"{c}_max_dd"), F.avg((F.col(c) > 0).cast("double")).alias(f"{c}_pos"),
+            chain(c).alias(f"{c}_total"), (F.pow(1 + chain(c), F.try_divide(F.lit(1.0), years)) - 1).alias(f"{c}_cagr"), F.avg(c).alias(f"{c}_avg"), F.percentile(c, F.lit(0.5)).alias(f"{c}_median"), F.min(f"dd_{c}").alias(f"{c}_max_dd"), F.avg((F.col(c) > 0).cast("double")).alias(f"{c}_pos"),
         )
     ]
     over = lambda c: F.col("top") - F.col(c)

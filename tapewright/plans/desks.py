@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import rounded
+from ..functions.stored import stored
 from ..operators import backtest as B
 from ..operators import desk as D
 from ..operators import feeds as N
@@ -27,16 +28,17 @@ LEAST = 20
 
 def cohort_table(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Scores and forward returns of every cohort, and the benchmark's returns. Features are causal, so they are computed once for all bars and read off as of each day."""
-    bars = panels.bars(spark, sf_dir)
-    pairs = B.cohorts(bars, DAYS)
+    bars = stored(panels.bars(spark, sf_dir))
+    pairs = stored(B.cohorts(bars, DAYS))
     tech = T.technicals(bars).withColumn("bars", F.col("n"))
     names = panels.companies(spark, sf_dir).select("symbol", "sector", "lender")
     none = {c: F.lit(None).cast("double") for c in ("pat_ttm", "pe", "other_inc_pbt", "dilution_3y", "dilution_hist", "cfo_pat_3y")}
     now = B.as_of(tech.where(F.col("n") >= 60), pairs, "cohort").select("cohort", "symbol", *TECH_FACTORS, "bars", "atr_pct", F.col("close").alias("price")).join(names, "symbol").withColumns(none)
+    now = stored(now)
     scored = X.score(now, ["cohort"], rules=RULES, factors={k: X.FACTORS[k] for k in TECH_FACTORS})
     closes = bars.select("symbol", "date", "close")
     index = panels.bench(bars).select(F.lit("INDEX").alias("symbol"), "date", F.col("bench").alias("close"))
-    return scored.join(B.forward_returns(closes, pairs), ["symbol", "cohort"]), B.forward_returns(index, pairs)
+    return stored(scored.join(B.forward_returns(closes, pairs), ["symbol", "cohort"])), B.forward_returns(index, pairs)
 
 
 def ranks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -49,7 +51,7 @@ def j05(spark, sf_dir):
 
 
 def j04(spark, sf_dir):
-    bars = panels.bars(spark, sf_dir)
+    bars = stored(panels.bars(spark, sf_dir))
     return rounded(B.forward_returns(bars.select("symbol", "date", "close"), B.cohorts(bars, DAYS)))
 
 
@@ -88,7 +90,7 @@ def breadth_now(spark, sf_dir):
 
 
 def swing_tiers(spark, sf_dir):
-    return D.swing(T.latest(T.technicals(panels.bars(spark, sf_dir))), min_ret=0.0)
+    return D.swing(stored(T.latest(T.technicals(panels.bars(spark, sf_dir)))), min_ret=0.0)
 
 
 def moves(spark, sf_dir):
@@ -346,7 +348,7 @@ ORACLES = {
     "w38_ca_adjust": f"WITH {BARS}, s0 AS (SELECT symbol, date, close, dense_rank() OVER (ORDER BY date) AS session_no FROM bars), {_events('s0')} SELECT symbol, date, {_r('event adj')} FROM rep",
     "w40_radar_inputs": f"WITH {_RADAR} SELECT symbol, bars, {_r('price turn20 volreg ath ret3 ret6 ret12 dd_ath')} FROM meas",
     "w41_ath": f"WITH {_RADAR}, pr AS (SELECT symbol, arg_min(close, date) * 1.2 AS old, min(date) AS {ASOF_} FROM weekly GROUP BY symbol), ev AS (SELECT r.symbol, product(r.event) AS f FROM rep r JOIN pr USING (symbol) WHERE event IS NOT NULL AND r.date > {ASOF_} GROUP BY 1), z AS (SELECT m.symbol, price, greatest(ath, old * coalesce(f, 1)) AS ath FROM meas m JOIN pr USING (symbol) LEFT JOIN ev USING (symbol)) SELECT symbol, round(ath, 6) AS ath, round(price / ath - 1, 6) + 0.0 AS dd_ath, CAST(300 AS BIGINT) AS bars FROM z",
-    "w42_promoters": f"WITH {_RADAR} SELECT symbol, prom_chg FROM prom",
+    "w42_promoters": f"WITH {_RADAR} SELECT symbol, CAST(prom_chg AS DOUBLE) AS prom_chg FROM prom",
     "a14_heat": f"WITH {_RADAR} SELECT sector, heat FROM heat",
     "a15_context": f"WITH {_RADAR}, d AS (SELECT count(*) FILTER (WHERE mcap >= 1) AS n_universe, quantile_cont(CASE WHEN mcap >= 1 AND turn20 >= 5 AND bars >= 100 THEN dd_ath END, 0.5) AS dd FROM cand) SELECT n_universe, round(dd, 3) + 0.0 AS mkt_dd, CASE WHEN dd <= -0.35 THEN 'CRUSHED' WHEN dd <= -0.22 THEN 'MODERATE' ELSE 'NEAR HIGHS' END AS context FROM d",
     "x12_radar": f"WITH {_RADAR}, s AS (SELECT *, {' + '.join(f'CASE WHEN {c} THEN {v} ELSE 0 END' for c, _, v in _RULES)} AS score FROM cand WHERE mcap >= 1 AND turn20 >= 5 AND bars >= 100) SELECT symbol, score, concat_ws(', ', {', '.join(f'CASE WHEN {c} THEN {chr(39)}{t}{chr(39)} END' for c, t, _ in _RULES)}) AS why, concat_ws(', ', CASE WHEN b % 7 = 0 THEN 'SURVEILLANCE' END, CASE WHEN turn20 < 50 THEN 'thin' END) AS flags, concat_ws(', ', CASE WHEN dd_ath <= -0.5 THEN 'deep' END, CASE WHEN turn20 < 100 AND (ret12 IS NULL OR ret12 < 0.4) THEN 'quiet' END, CASE WHEN ret12 >= 0.6 THEN 'late' END) AS tags, heat, sector, round(mcap, 0) AS mcap_cr, round(price, 1) AS price, round(ret6, 3) + 0.0 AS ret6, round(dd_ath, 2) + 0.0 AS dd_ath, round(volreg, 4) AS volreg FROM s WHERE score >= 1 ORDER BY score DESC, coalesce(round(volreg, 4), 0) DESC, symbol LIMIT 400",

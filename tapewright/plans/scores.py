@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import rounded
+from ..functions.stored import stored
 from ..operators import scoring as X
 from ..operators import statements as S
 from ..operators import technicals as T
@@ -17,23 +18,28 @@ from .sql import TECH, TICKS, pick
 ASOF = "2000-09-01"
 
 
-def known(spark: SparkSession, sf_dir: str, asof: str = ASOF) -> DataFrame:
-    """Fundamentals of all companies from statements that were out, and prices, on a day."""
+def known(spark: SparkSession, sf_dir: str, asof: str = ASOF, bars: DataFrame | None = None) -> DataFrame:
+    """Fundamentals of all companies from statements that were out, and prices, on a day. ``bars``: those up to the day, where they are at hand."""
     day = F.lit(asof).cast("date")
-    price = T.as_of(panels.bars(spark, sf_dir), day).groupBy("symbol").agg(F.max_by("close", "date").alias("price"))
-    annual, quarterly = (S.point_in_time(panels.periods(spark, sf_dir, q), day, q) for q in (False, True))
+    bars = T.as_of(panels.bars(spark, sf_dir), day) if bars is None else bars
+    price = bars.groupBy("symbol").agg(F.max_by("close", "date").alias("price"))
+    annual, quarterly = (stored(S.point_in_time(panels.periods(spark, sf_dir, q), day, q)) for q in (False, True))
     return S.fundamentals(annual, quarterly, panels.companies(spark, sf_dir), price)
 
 
 def features(spark: SparkSession, sf_dir: str, asof: str = ASOF) -> DataFrame:
-    """Fundamentals and technical features side by side; companies without enough bars have their fundamentals only."""
-    bars = T.as_of(panels.bars(spark, sf_dir), F.lit(asof).cast("date"))
+    """Fundamentals and technical features side by side; companies without enough bars have their fundamentals only.
+
+    Order lines are read three times, for bars and for statements of years and of quarters; the features are written, as
+    ranking reads them several times.
+    """
+    bars = stored(T.as_of(panels.bars(spark, sf_dir), F.lit(asof).cast("date")))
     bench = panels.bench(bars)
     tech = T.technicals(bars)
     now = T.latest(tech).drop("date", "open", "high", "low", "close", "volume", "price", "n")
     for part in (T.max_drawdown(tech), T.relative_strength(bars, bench), T.rs_line(bars, bench)):
         now = now.join(part, "symbol", "left")
-    return known(spark, sf_dir, asof).join(now, "symbol", "left").withColumn("dilution_hist", F.lit(None).cast("double"))
+    return stored(known(spark, sf_dir, asof, bars).join(now, "symbol", "left").withColumn("dilution_hist", F.lit(None).cast("double")))
 
 
 FUND = {
