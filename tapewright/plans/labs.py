@@ -44,8 +44,8 @@ SESSION = {
     "w34_fwd": "fwd5, fwd10, fwd20, fwd40",
     "w35_excess": "xs5, xs10, xs20, xs40",
 }
-#: Sums of turnover agree to a millionth.
-DIGITS = {"w33_move_inputs": 6, "w35_excess_flow": 9}
+#: Turnovers are decimals of up to ten places, whose halves engines round either way; they are given whole.
+WHOLE = {"turn20": 11}
 FLOW = {"w33_move_inputs": "turn20, ret5, vr5, dpmed, oi5", "w35_excess_flow": "fwd5, fwd10, fwd20, xs5, xs10, xs20"}
 
 
@@ -58,7 +58,8 @@ def session_feature(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def flow_feature(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(flow_lab(spark, sf_dir).select("symbol", "date", *split(FLOW[name])), DIGITS[name])
+    cols = split(FLOW[name])
+    return flow_lab(spark, sf_dir).select("symbol", "date", *[F.round(c, WHOLE.get(c, 9)).alias(c) for c in cols])
 
 
 def session_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -177,7 +178,7 @@ SELECT signal, n, ctrl_n, {", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in ("x5
   WHEN NOT coalesce(sign(h1) = sign(h2), false) THEN 'not robust (halves disagree)' WHEN x20 >= 0.005 AND (ctrl20 IS NULL OR x20 - ctrl20 >= 0.004) THEN 'SURVIVOR' ELSE 'weak positive' END AS verdict FROM v"""
 
 ORACLES = (
-    {name: recursive(pick(PRICE, "lab", "symbol, date", cols)) for name, cols in SESSION.items()} | {name: pick(FLOWS, "lab", "symbol, date", cols, DIGITS[name]) for name, cols in FLOW.items()}
+    {name: recursive(pick(PRICE, "lab", "symbol, date", cols)) for name, cols in SESSION.items()} | {name: f"WITH {FLOWS} SELECT symbol, date, {', '.join(f'round(CAST({c} AS DOUBLE), {WHOLE.get(c, 9)}) + 0.0 AS {c}' for c in split(cols))} FROM lab" for name, cols in FLOW.items()}
     | {f"{name}_signal": _one(PRICE, E.PRICE_SIGNALS, "elig AND bars_ok", name) for name in E.PRICE_SIGNALS} | {f"{name}_signal": _one(FLOWS, E.FLOW_SIGNALS, "elig", name) for name in E.FLOW_SIGNALS}
     | {
         "w31_flags": f"WITH RECURSIVE {PRICE} SELECT symbol, date, down3, bars_ok, elig, bo52, bo20, tight, nr7p, rs_hi60 FROM lab",
