@@ -1,17 +1,15 @@
 """Operator 1: token counts by a two-tier lookup on the map side.
 
 Tier one is a compact table of frequent pre-tokens and their token counts, broadcast to all workers; tier two is a
-bounded cache in each worker, filled by encoding misses. No pre-token is ever shuffled: what picks the frequent ones is
-a bounded summary of each partition, merged in a tree.
+bounded cache in each worker, filled by encoding misses. No pre-token is ever shuffled: the frequent ones are those of a
+bounded sample of texts.
 """
 
 from __future__ import annotations
 
-import math
 from collections import Counter
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -51,48 +49,20 @@ class Frequent(dict):
         return self.misses[word]
 
 
-def _summaries(path: str, keep: int, hold: int):
-    """Of each partition its most frequent pre-tokens. Counting holds at most ``hold`` of them at a time."""
+def frequent(docs: DataFrame, size: int = 32768, path: str | None = None, sample_mb: float = 4.0) -> tuple[list[str], np.ndarray]:
+    """The most frequent pre-tokens of a sample and their token counts: at most ``size`` entries of at most 40 characters.
 
-    def run(batches):
-        split, seen = splitter(path), Counter()
-        for b in bounded(batches):
-            for text in texts(b):
-                seen.update(w for w in split.words(text) if len(w) <= 40)
-                if len(seen) > hold:
-                    seen = Counter(dict(seen.most_common(hold // 2)))
-        if seen:
-            top = sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:keep]
-            yield pa.RecordBatch.from_pydict({"words": [[w for w, _ in top]], "counts": [[n for _, n in top]]})
-
-    return run
-
-
-def frequent(docs: DataFrame, size: int = 32768, path: str | None = None) -> tuple[list[str], np.ndarray]:
-    """The most frequent pre-tokens of all texts and their token counts: at most ``size`` entries of at most 40 characters.
-
-    Every text is counted. Partitions and merge steps hand on bounded summaries only (heavy hitters), so a count may be
-    low for rare words; that changes which tier answers, never a result.
+    The sample is of whole texts of up to a megabyte, picked by a hash, about ``sample_mb`` MB in all whatever the size of
+    the table; only it reaches the driver. Which words are in the table decides which tier answers, never a result.
     """
     path = path or tokenizer_path(VOCABULARY)
-    tops = docs.mapInArrow(_summaries(path, size // 4, 8 * size), "words array<string>, counts array<long>")
-    width = max(1, math.isqrt(tops.rdd.getNumPartitions()))
-
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        total: Counter = Counter()
-        for words, counts in zip(pdf["words"], pdf["counts"], strict=True):
-            total.update(dict(zip(words, counts, strict=True)))
-            if len(total) > 4 * size:
-                total = Counter(dict(total.most_common(2 * size)))
-        top = sorted(total.items(), key=lambda x: (-x[1], x[0]))[:size]
-        return pd.DataFrame({"words": [[w for w, _ in top]], "counts": [[n for _, n in top]]})
-
-    merged = tops.withColumn("g", F.spark_partition_id() % width).groupBy("g").applyInPandas(merge, "words array<string>, counts array<long>")
-    total: Counter = Counter()
-    for row in merged.toLocalIterator():
-        total.update(dict(zip(row["words"], row["counts"], strict=True)))
-        total = Counter(dict(total.most_common(2 * size)))
-    words = [w for w, _ in sorted(total.items(), key=lambda x: (-x[1], x[0]))[:size]]
+    length, place = F.octet_length("text"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40))
+    total = docs.agg(F.coalesce(F.sum(length), F.lit(0)).alias("n")).first()["n"]
+    picked = docs.where((place <= int((1 << 40) * min(1.0, sample_mb * 1e6 / max(1, total)))) & (length < 1 << 20)).select("text")
+    split, seen = splitter(path), Counter()
+    for row in picked.toLocalIterator():
+        seen.update(w for w in split.words(row["text"]) if len(w) <= 40)
+    words = [w for w, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:size]]
     lengths = Lengths(path, size + 1)
     return words, np.array([lengths[w] for w in words], np.uint8)
 
@@ -101,7 +71,7 @@ def count_tokens(docs: DataFrame, limit: int = 2048, size: int = 32768, cache: i
     """Token count of every whole text.
 
     Input: doc_id, text; other columns are ignored. Output: doc_id, n_bytes (UTF-8), n_tokens, over_limit. Null and empty
-    texts have 0 tokens; repeated rows each give a row; an empty table gives an empty result. Special strings inside a
+    texts have 0 tokens; very long ones are split whole; repeated rows each give a row; an empty table gives an empty result. Special strings inside a
     text count as one token each, as the vocabulary's library does by default.
     """
     path, spark = tokenizer_path(vocabulary), docs.sparkSession
