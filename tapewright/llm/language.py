@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .common import bounded, crc_mod, doc_columns, mix64
 
-#: Bytes of context; a context and the byte after it fill one 64-bit key exactly.
+#: Bytes of context; a context and the byte after it fill 40 bits of a 64-bit key.
 ORDER = 4
 UNDEFINED = "und"
 ASCII_LETTER = re.compile("[A-Za-z]").search
@@ -116,25 +116,28 @@ class Judge:
         return total
 
 
-def fit(docs: DataFrame, rows: Column, sample_mb: float = 1.0, languages: int = 64) -> dict[str, bytes]:
-    """Trees by language from the rows of ``docs`` (text, lang) that ``rows`` admits.
+def fit(docs: DataFrame, rows: Column, sample_mb: float = 1.0, total_mb: float = 12.0) -> dict[str, bytes]:
+    """Trees of all languages from the rows of ``docs`` (text, lang) that ``rows`` admits.
 
-    The sample is bounded: about ``sample_mb`` MB a language, whole texts picked by a hash of doc_id, at most twice that,
-    for the ``languages`` most frequent values of lang.
+    The sample is bounded: whole texts picked by a hash, about ``sample_mb`` MB a language, less where all languages
+    together would take more than ``total_mb``; at most twice that, and one text of each language at least. So what is
+    broadcast does not grow with the table or the number of languages.
     """
-    known = docs.where(rows & F.col("lang").isNotNull() & F.col("text").rlike("\\p{L}"))
-    sizes = known.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("size")).orderBy(F.desc("size"), "lang").limit(languages).collect()
+    place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40))
+    known = docs.where(rows & F.col("lang").isNotNull() & F.col("text").rlike("\\p{L}")).withColumn("place", place)
+    sizes = known.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("size"), F.min("place").alias("least")).collect()
     if not sizes:
         return {}
-    share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], float(min(1.0, sample_mb * 1e6 / r["size"])))])
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
-    sample = known.where(place < F.element_at(share, F.col("lang")) * (1 << 20)).select("lang", "text", place.alias("place"))
+    each = 1e6 * min(sample_mb, total_mb / len(sizes))
+    until = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], max(r["least"], int((1 << 40) * min(1.0, each / r["size"]))))])
+    # rows that repeat are one, so that copies don't fill a task
+    sample = known.where(F.col("place") <= F.element_at(until, F.col("lang"))).select("lang", "text", "place").distinct()
 
     def learn(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["place", "text"])
         raw = [t.encode() for t in pdf["text"]]
         before = np.cumsum([0, *map(len, raw)])[:-1]
-        tree = Tree.learn([r for r, b in zip(raw, before, strict=True) if b < 2e6 * sample_mb])
+        tree = Tree.learn([r for r, b in zip(raw, before, strict=True) if b < 2 * each])
         return pd.DataFrame({"lang": [pdf["lang"].iloc[0]], "tree": [tree.to_bytes()]})
 
     return {r["lang"]: bytes(r["tree"]) for r in sample.groupBy("lang").applyInPandas(learn, "lang string, tree binary").toLocalIterator()}
@@ -162,8 +165,8 @@ def identify(docs: DataFrame, sample_mb: float = 1.0, fold: int = 4, held: int =
 
     Learns from rows whose crc32(doc_id) mod ``fold`` is not ``held`` (of ``train`` if given); predicts from the text alone.
     Output: doc_id, held_out, lang_pred, score (the best language's share of 2**-bits over all), bits_per_byte. Null or
-    letterless texts, and all texts if nothing could be learnt, are ``und`` with score 0. Ties go to the language that
-    sorts first. Repeated rows each give a row.
+    letterless texts, and all texts if nothing could be learnt, are ``und`` with score 0; empty ones too. Very long texts
+    count whole. Ties go to the language that sorts first. Repeated rows each give a row; an empty table gives none.
     """
     shared = docs.sparkSession.sparkContext.broadcast(learn(docs if train is None else train, sample_mb, fold, held))
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(crc_mod("doc_id", fold) == held, F.lit(False)).alias("held_out"))
@@ -184,7 +187,10 @@ def learn(docs: DataFrame, sample_mb: float, fold: int, held: int) -> tuple[list
 
 
 def keep_language(docs: DataFrame, sample_mb: float = 1.0, least: float = 0.5, fold: int = 4, held: int = 2) -> DataFrame:
-    """The rows of ``docs`` that are text in a language: not ``und``, and with a score of ``least`` at least. Columns stay as they are; nothing but the sample is shuffled."""
+    """The rows of ``docs`` that have a language: not ``und`` (null, empty and letterless texts are), and with a score of ``least`` at least.
+
+    Columns stay as they are; nothing but the sample is shuffled. Repeated rows each stay or go; an empty table stays empty.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(learn(docs, sample_mb, fold, held))
 
     def run(batches):
