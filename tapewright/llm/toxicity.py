@@ -116,7 +116,7 @@ def train(positive: Sparse, unlabelled: Sparse, prior: float, rounds: int = 800,
 
 def sampled(df: DataFrame, n: int, total: int) -> DataFrame:
     """About ``n`` of ``total`` rows, by a hash of doc_id."""
-    return df.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 24)) < int((1 << 24) * min(1.0, n / max(1, total))))
+    return df.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < int((1 << 40) * min(1.0, n / max(1, total))))
 
 
 def matrices(sample: DataFrame, names: list[str]) -> tuple[Sparse, Sparse]:
@@ -138,7 +138,9 @@ def fit(docs: DataFrame, labels: DataFrame, fold: int = 5, positives: int = 3000
     """Word weights and bias, from rows whose crc32(doc_id) mod ``fold`` is not 0.
 
     The sample is bounded: about ``positives`` texts labelled toxic and ``unlabelled`` texts whatever their labels, which
-    stand for text at large. The class prior is the toxic share of labelled rows of the same folds.
+    stand for text at large. Of their words and word beginnings the ``features`` that most tell the two apart have a
+    weight, which bounds what is broadcast. The class prior is the toxic share of labelled rows of the same folds, by the
+    rule of succession (one more of either kind), so that it is never 0 or 1.
     """
     taught = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(crc_mod("doc_id", fold) != 0)
     docs = doc_columns(docs).where(F.col("doc_id").isNotNull()).where(crc_mod("doc_id", fold) != 0)
@@ -148,15 +150,15 @@ def fit(docs: DataFrame, labels: DataFrame, fold: int = 5, positives: int = 3000
         return {}, -10.0
     # the chosen ids are about ``positives`` in number, whatever the size of the table
     chosen = F.broadcast(sampled(taught.where("toxic = 1"), positives, n["toxic"]).select("doc_id", F.lit(True).alias("chosen")))
-    share = int((1 << 24) * min(1.0, unlabelled / total))
-    flags = {"positive": F.coalesce("chosen", F.lit(False)), "plain": F.pmod(F.xxhash64("doc_id", F.lit("u")), F.lit(1 << 24)) < share}
+    share = int((1 << 40) * min(1.0, unlabelled / total))
+    flags = {"positive": F.coalesce("chosen", F.lit(False)), "plain": F.pmod(F.xxhash64("doc_id", F.lit("u")), F.lit(1 << 40)) < share}
     scratch = Scratch(docs.sparkSession, "toxicity")
     sample = scratch.put(docs.join(chosen, "doc_id", "left").withColumns(flags).where("positive or plain").drop("chosen"), "sample")
     seen = sample.agg(F.count_if("positive").alias("p"), F.count_if("plain").alias("u")).first()
     if not seen["p"] or not seen["u"]:
         return {}, -10.0
     names = choose(frequencies(sample), seen["p"], seen["u"], features)
-    prior = min(0.9, max(0.001, n["toxic"] / n["n"]))
+    prior = (n["toxic"] + 1) / (n["n"] + 2)
     w, b = train(*matrices(sample, names), prior)
     return dict(zip(names, w.tolist(), strict=True)), b
 
@@ -170,8 +172,8 @@ def scorer(weights: dict[str, float], bias: float):
 def score(docs: DataFrame, labels: DataFrame, fold: int = 5, **bounds) -> DataFrame:
     """Toxicity of every whole text: doc_id, held_out, score (0 to 1), predicted (score >= 0.5).
 
-    A text's label is never an input of its score. Null and empty texts have the score of no words; with no toxic
-    example to learn from every score is near 0. Repeated rows each give a row; labels of unknown documents and null
+    A text's label is never an input of its score. Null and empty texts have the score of no words, very long ones that
+    of all their words; with no toxic example to learn from every score is near 0. Repeated rows each give a row; labels of unknown documents and null
     labels are ignored, and of several labels of a document the highest counts.
     """
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, fold, **bounds))
@@ -188,7 +190,10 @@ def score(docs: DataFrame, labels: DataFrame, fold: int = 5, **bounds) -> DataFr
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, **bounds) -> DataFrame:
-    """The rows of ``docs`` that are not predicted toxic, columns as they are. Rows are judged where they are read: nothing is shuffled."""
+    """The rows of ``docs`` that are not predicted toxic, columns as they are. Rows are judged where they are read: nothing is shuffled.
+
+    Null and empty texts have the score of no words, and repeated rows each stay or go; an empty table stays empty.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, **bounds))
 
     def run(batches):
