@@ -79,24 +79,25 @@ def width(vectors: DataFrame, column: str) -> str:
 
 
 def read(vectors: DataFrame, id_column: str, column: str) -> DataFrame:
-    """id, h1, h2 (hash of the vector), vec (its components' bytes) of the vectors that can link."""
+    """id, h1, h2 (hash of the vector), vec (its components' bytes); the last three are null where a vector can't link."""
     kind = width(vectors, column)
 
     def run(batches):
         for b in bounded(batches):
-            rows = b.column("vec").to_pylist()
-            out = []
-            for i, v in zip(b.column("id").to_pylist(), rows, strict=True):
-                if i is None or not v or None in v:
-                    continue
-                x = np.array(v, np.float64)
-                if np.isfinite(x).all() and x.any():
-                    x = x + 0.0  # one kind of zero
-                    x = x / np.abs(x).max() if not 1e-100 < np.abs(x).max() < 1e100 else x
-                    raw = x.astype(kind).tobytes()
-                    out.append((i, xxhash.xxh3_64_intdigest(raw, 1), xxhash.xxh3_64_intdigest(raw, 2), raw))
-            ids, h1, h2, raw = zip(*out, strict=True) if out else ((),) * 4
-            yield pa.RecordBatch.from_pydict({"id": pa.array(ids, pa.int64()), "h1": pa.array(np.array(h1, np.uint64).view(np.int64)), "h2": pa.array(np.array(h2, np.uint64).view(np.int64)), "vec": pa.array(raw, pa.binary())})
+            raw, h1, h2 = [], [], []
+            for i, v in zip(b.column("id").to_pylist(), b.column("vec").to_pylist(), strict=True):
+                one = None
+                if i is not None and v and None not in v:
+                    x = np.array(v, np.float64)
+                    if np.isfinite(x).all() and x.any():
+                        x = x + 0.0  # one kind of zero
+                        x = x / np.abs(x).max() if not 1e-100 < np.abs(x).max() < 1e100 else x
+                        one = x.astype(kind).tobytes()
+                raw.append(one)
+                h1.append(xxhash.xxh3_64_intdigest(one or b"", 1))
+                h2.append(xxhash.xxh3_64_intdigest(one or b"", 2))
+            none = np.array([r is None for r in raw], bool)
+            yield pa.RecordBatch.from_pydict({"id": b.column("id"), "h1": pa.array(np.array(h1, np.uint64).view(np.int64), mask=none), "h2": pa.array(np.array(h2, np.uint64).view(np.int64), mask=none), "vec": pa.array(raw, pa.binary())})
 
     return vectors.select(F.col(id_column).cast("long").alias("id"), F.col(column).cast("array<double>").alias("vec")).mapInArrow(run, "id long, h1 long, h2 long, vec binary")
 
@@ -183,14 +184,16 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, miss: float = 0.003, i
     (closer pairs are missed more rarely); no link below the threshold is given. Equal vectors are compared as one and
     counted as many. A bucket of over CHUNK vectors is compared in tiles of chunks, dealt out over many tasks. Vectors of
     different lengths don't link; nor do null, empty, zero ones or ones with null or non-finite components, which are
-    their own component. Rows that repeat an id are one node.
+    their own component. Each row has its row here, with the links of its own vector; rows that repeat an id and a vector
+    count once. An empty table gives no rows.
     """
     spark = vectors.sparkSession
     scratch, kind = Scratch(spark, "vectors"), width(vectors, column)
-    good = scratch.put(read(vectors, id_column, column), "vectors")
-    groups = good.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.count_distinct("id").alias("m"))
-    copies = scratch.put(good.select("id", "h1", "h2").join(groups, ["h1", "h2"]).select("id", "first", "m").distinct(), "copies")
-    single = scratch.put(good.select("id", "vec").join(copies.where("id = first").select("id", "m"), "id").dropDuplicates(["id"]), "single")
+    every = scratch.put(read(vectors, id_column, column), "vectors")
+    # a node is a distinct vector; nodes are numbered in the order of their smallest id, so that a component's smallest node has its smallest id
+    each = every.where("h1 is not null").groupBy("h1", "h2").agg(F.min("id").alias("first"), F.count_distinct("id").alias("m"), F.first("vec").alias("vec"))
+    nodes = scratch.put(each.orderBy("first", "h1", "h2").withColumn("id", F.monotonically_increasing_id()), "nodes")
+    single = nodes.select("id", "m", "vec")
     n = single.count()
     bits = min(40, max(6, math.ceil(math.log2(max(1, n) / 16)) if n > 16 else 6))
     same = (1 - math.acos(least) / math.pi) ** bits
@@ -207,9 +210,9 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, miss: float = 0.003, i
         tiles = other.select(*rows.columns, "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
     found = scratch.put(tiles.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(compare(least, tables, bits, kind), LINK), "links")
     links = found.where("n is not null").groupBy("a").agg(F.sum("n").alias("n"))
-    edges = found.where("b is not null").select("a", "b").unionByName(copies.where("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b")))
-    root = stars(edges, scratch)
-    counted = copies.join(links, copies["first"] == links["a"], "left").select("id", (F.col("m") - 1 + F.coalesce("n", F.lit(0))).alias("n_links")).dropDuplicates(["id"])
-    ids = vectors.select(F.col(id_column).cast("long").alias("vec_id"))
-    out = ids.join(counted.withColumnRenamed("id", "vec_id"), "vec_id", "left").join(root.withColumnRenamed("node", "vec_id"), "vec_id", "left")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("root", "vec_id").alias("component_id"), F.coalesce(F.col("root").isNull(), F.lit(True)).alias("kept"))
+    root = stars(found.where("b is not null").select("a", "b"), scratch).join(nodes.select(F.col("id").alias("root"), F.col("first").alias("component_id")), "root").select(F.col("node").alias("id"), "component_id")
+    of = nodes.select("id", "h1", "h2", "first", "m").join(links, nodes["id"] == links["a"], "left").join(root, "id", "left")
+    # written before it is joined: joined straight, a vector with very many copies could not be split
+    of = scratch.put(of.select("h1", "h2", (F.col("m") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component_id", "first").alias("component_id")), "of")
+    out = every.select(F.col("id").alias("vec_id"), "h1", "h2").join(of.hint("merge"), ["h1", "h2"], "left")
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"), F.coalesce(F.col("component_id") == F.col("vec_id"), F.lit(True)).alias("kept"))

@@ -168,3 +168,27 @@ def test_near_vectors_equal_brute_force(spark, chunk, monkeypatch):
         assert (got[i]["n_links"], got[i]["component_id"], got[i]["kept"]) == (link[i].sum() - 1, label[i], label[i] == i)
     assert all(got[1000 + i]["n_links"] == 0 and got[1000 + i]["component_id"] == 1000 + i for i in range(len(odd)))
     assert vectors.near_vectors(df.limit(0)).count() == 0
+
+
+def test_recall_just_over_the_threshold(spark):
+    """At the operator's own setting: pairs of cosine 0.95 to 0.96 among unrelated vectors."""
+    rng = np.random.default_rng(17)
+    base = rng.standard_normal((3000, 48))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    away = rng.standard_normal((1500, 48))
+    away -= (away * base[:1500]).sum(1, keepdims=True) * base[:1500]
+    away /= np.linalg.norm(away, axis=1, keepdims=True)
+    cos = rng.uniform(0.9501, 0.96, (1500, 1))
+    x = np.r_[base, cos * base[:1500] + np.sqrt(1 - cos**2) * away]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r for r in vectors.near_vectors(df).collect()}
+    found = np.mean([got[i]["component_id"] == got[3000 + i]["component_id"] for i in range(1500)])
+    assert found >= 0.99
+    assert all(got[i]["n_links"] == 0 for i in range(1500, 3000))
+
+
+def test_vectors_that_share_an_id(spark):
+    a, b = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
+    rows = [(1, a), (1, b), (1, b), (2, a), (3, [0.0, 1.0, 0.01]), (4, None)]
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    assert got == [(1, 1, 1, True), (1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False), (4, 0, 4, True)]

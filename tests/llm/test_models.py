@@ -66,9 +66,56 @@ def test_languages(documents, empty):
     assert {r["doc_id"] for r in kept.collect()}.isdisjoint({900, 901, 902, 903, 909})
 
 
+def test_every_language_is_learnt(spark):
+    """More languages than a fixed list would hold, one of them in a single long text."""
+    rng = np.random.default_rng(3)
+    alphabet = [chr(c) for c in range(0x4E00, 0x4E00 + 4000)]
+    rows = []
+    for n in range(90):
+        letters = alphabet[40 * n : 40 * n + 40]
+        for i in range(1 if n == 7 else 6):
+            rows.append((len(rows), " ".join("".join(rng.choice(letters, 5)) for _ in range(3000 if n == 7 else 40)), f"l{n}"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r["lang_pred"] for r in language.identify(docs, fold=1, held=2).collect()}
+    assert all(got[i] == lang for i, _, lang in rows)
+    few = language.identify(docs, sample_mb=0.0001, fold=1, held=2).select("lang_pred").distinct().count()
+    assert few == 90
+
+
 # --- toxicity
 
 
+def plain_train(positive, unlabelled, width, prior, rounds, rate=0.1, decay=1e-5):
+    """The same training, feature by feature; also how often the bound on the unlabelled risk acted."""
+    s = lambda x: 1 / (1 + math.exp(-x))
+    w, mean, square, acted = [0.0] * width + [-1.0], [0.0] * (width + 1), [0.0] * (width + 1), 0
+    for t in range(1, rounds + 1):
+        out = lambda row: s(sum(w[j] for j in row) + w[-1])  # noqa: B023, E731
+        grad = lambda rows: [sum(out(r) * (1 - out(r)) * (j in r or j == width) for r in rows) / len(rows) for j in range(width + 1)]  # noqa: B023, E731
+        gp, gu = grad(positive), grad(unlabelled)
+        risk = sum(map(out, unlabelled)) / len(unlabelled) - prior * sum(map(out, positive)) / len(positive)
+        acted += risk < 0
+        step = [-prior * p + (u - prior * p) if risk >= 0 else prior * p - u for p, u in zip(gp, gu, strict=True)]
+        step = [g + (decay * x if j < width else 0) for j, (g, x) in enumerate(zip(step, w, strict=True))]
+        mean = [0.9 * m + 0.1 * g for m, g in zip(mean, step, strict=True)]
+        square = [0.999 * q + 0.001 * g * g for q, g in zip(square, step, strict=True)]
+        w = [x - rate * (m / (1 - 0.9**t)) / (math.sqrt(q / (1 - 0.999**t)) + 1e-8) for x, m, q in zip(w, mean, square, strict=True)]
+    return w, acted
+
+
+def test_training_equals_plain_with_and_without_the_bound():
+    rng = np.random.default_rng(6)
+    rows = lambda n, p: [sorted({int(j) for j in range(6) if rng.random() < p[j]}) for _ in range(n)]
+    positive, unlabelled = rows(30, [0.9, 0.5, 0.4, 0.2, 0.1, 0.1]), rows(60, [0.1, 0.1, 0.3, 0.5, 0.5, 0.4])
+    acted = []
+    for prior in (0.1, 0.6):
+        want, n = plain_train(positive, unlabelled, 6, prior, 120)
+        w, b = toxicity.train(toxicity.Sparse([np.array(r, np.int64) for r in positive], 6), toxicity.Sparse([np.array(r, np.int64) for r in unlabelled], 6), prior, rounds=120)
+        assert [*w, b] == pytest.approx(want, abs=1e-6)
+        acted.append(n)
+    assert acted[0] < 120 and acted[1] > 0
+
+
 def test_risk_gradient_never_goes_below_the_bound():
     rng = np.random.default_rng(0)
     positive = toxicity.Sparse([np.array([0]) for _ in range(40)], 3)
