@@ -10,9 +10,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import bounded, doc_columns, texts
-from .webp import decode, decode_samples, encode_samples
+from .webp import decode, encode_samples
 
 UNIT, SIDE = 64, 16384
+#: Samples that one image holds.
+MOST = SIDE * SIDE
 
 
 def to_payload(text: str) -> bytes:
@@ -22,23 +24,38 @@ def to_payload(text: str) -> bytes:
 
 
 def store(payload: bytes) -> bytes:
-    """An image of 64 samples a row; past 16,384 rows, of wider rows, the last one filled up with zeros."""
-    width = UNIT * -(-len(payload) // (UNIT * SIDE))
-    if width > SIDE:
-        raise ValueError("a payload of more than 2**28 bytes does not fit one image")
-    samples = np.frombuffer(payload, np.uint8)
-    return encode_samples(np.pad(samples, (0, -len(samples) % width)), width)
+    """An image of 64 samples a row; past 16,384 rows, of wider rows, the last one filled up with zeros; past MOST samples, several images one after the other."""
+    out = []
+    for i in range(0, len(payload), MOST):
+        part = np.frombuffer(payload, np.uint8, min(MOST, len(payload) - i), i)
+        width = UNIT * -(-len(part) // (UNIT * SIDE))
+        out.append(encode_samples(np.pad(part, (0, -len(part) % width)), width))
+    return b"".join(out)
+
+
+def images(media: bytes) -> list[np.ndarray]:
+    """The samples (rows, columns) of each stored image."""
+    out, at = [], 0
+    while at < len(media) or not out:
+        end = at + 8 + int.from_bytes(media[at + 4 : at + 8], "little")
+        width, height, pixels = decode(media[at:end])
+        out.append((pixels >> np.uint32(8) & np.uint32(255)).astype(np.uint8).reshape(height, width))
+        at = end
+    return out
+
+
+def joined(grids: list[np.ndarray], size: int) -> bytes:
+    """The payload of ``size`` bytes that images hold, without the zeros that fill up their last rows."""
+    return b"".join(g.ravel()[: min(MOST, size - MOST * i)].tobytes() for i, g in enumerate(grids))
 
 
 def load(media: bytes, size: int) -> bytes:
-    return decode_samples(media)[:size].tobytes()
+    return joined(images(media), size)
 
 
-def features(media: bytes) -> str:
-    """Of the image as read: its size, mean, deviation and entropy of samples, mean step along rows, and a 64-bit hash of block means."""
-    width, height, pixels = decode(media)
-    grid = (pixels >> np.uint32(8) & np.uint32(255)).astype(np.int64).reshape(height, width)
-    return describe(grid)
+def features(grids: list[np.ndarray]) -> str:
+    """Of images as read: size, mean, deviation and entropy of samples, mean step along rows, and a 64-bit hash of block means."""
+    return "|".join(describe(g.astype(np.int64)) for g in grids)
 
 
 def describe(grid: np.ndarray) -> str:
@@ -58,7 +75,11 @@ SCHEMA = "doc_id long, n_bytes long, payload_bytes long, media binary"
 
 
 def to_media(docs: DataFrame) -> DataFrame:
-    """The media column: doc_id, n_bytes, payload_bytes, media (a WebP file). Null texts count as empty; equal texts give equal bytes."""
+    """The media column: doc_id, n_bytes, payload_bytes, media (WebP files, for nearly all texts one).
+
+    Null texts count as empty; equal texts, also of repeated rows, give equal bytes; very long ones are stored whole, in
+    several images. An empty table gives no rows.
+    """
 
     def run(batches):
         for b in bounded(batches):
@@ -69,21 +90,38 @@ def to_media(docs: DataFrame) -> DataFrame:
     return doc_columns(docs).mapInArrow(run, SCHEMA)
 
 
+def pixel_arrays(media: DataFrame) -> DataFrame:
+    """The images as arrays: doc_id, image (its number), width, height, pixels (ARGB words, row by row)."""
+
+    def run(batches):
+        for b in bounded(batches, rows=64):
+            out = []
+            for doc_id, stored in zip(b.column("doc_id").to_pylist(), b.column("media").to_pylist(), strict=True):
+                at, n = 0, 0
+                while at < len(stored):
+                    end = at + 8 + int.from_bytes(stored[at + 4 : at + 8], "little")
+                    out.append((doc_id, n, *decode(stored[at:end])))
+                    at, n = end, n + 1
+            ids, ns, widths, heights, pixels = zip(*out, strict=True) if out else ((),) * 5
+            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "image": pa.array(ns, pa.int32()), "width": pa.array(widths, pa.int32()), "height": pa.array(heights, pa.int32()), "pixels": pa.array(pixels, pa.list_(pa.int64()))})
+
+    return media.mapInArrow(run, "doc_id long, image int, width int, height int, pixels array<long>")
+
+
 def read_media(media: DataFrame) -> DataFrame:
-    """What the stored bytes hold: doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature."""
+    """What the stored bytes hold: doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature. A row for each row."""
 
     def run(batches):
         for b in bounded(batches):
             out: dict[str, list] = {k: [] for k in ("payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")}
             for size, image in zip(b.column("payload_bytes").to_pylist(), b.column("media").to_pylist(), strict=True):
-                width, height, pixels = decode(image)
-                samples = (pixels >> np.uint32(8) & np.uint32(255)).astype(np.uint8)
-                payload = samples[:size].tobytes()
+                grids = images(image)
+                payload = joined(grids, size)
                 out["payload_sha256"].append(hashlib.sha256(payload).hexdigest())
                 out["tail_crc32"].append(zlib.crc32(payload[-UNIT:]))
                 out["media_bytes"].append(len(image))
                 out["media_sha256"].append(hashlib.sha256(image).hexdigest())
-                out["feature"].append(describe(samples.reshape(height, width).astype(np.int64)))
+                out["feature"].append(features(grids))
             kinds = {"tail_crc32": pa.int64(), "media_bytes": pa.int64()}
             yield pa.RecordBatch.from_pydict({k: b.column(k) for k in ("doc_id", "n_bytes", "payload_bytes")} | {k: pa.array(v, kinds.get(k, pa.string())) for k, v in out.items()})
 

@@ -6,6 +6,8 @@ Fixed values below are those of the published format: code length order, distanc
 from __future__ import annotations
 
 import functools
+import heapq
+import math
 
 import numpy as np
 
@@ -40,6 +42,16 @@ class Bits:
         return value & (1 << n) - 1
 
 
+    def peek(self, n: int) -> int:
+        at = self.pos >> 3
+        return int.from_bytes(self.data[at : at + 4], "little") >> (self.pos & 7) & (1 << n) - 1
+
+    def skip(self, n: int) -> None:
+        self.pos += n
+        if self.pos > 8 * len(self.data):
+            raise ValueError("the bitstream ends early")
+
+
 class Writer:
     def __init__(self):
         self.value, self.n = 0, 0
@@ -57,15 +69,29 @@ class Writer:
         return np.unpackbits(np.frombuffer(raw, np.uint8), bitorder="little")[: self.n]
 
 
+@functools.lru_cache(4096)
+def codes_of(lengths: tuple[int, ...]) -> dict[int, tuple[int, int]]:
+    code, last, out = 0, 0, {}
+    for n, s in sorted((n, s) for s, n in enumerate(lengths) if n):
+        code <<= n - last
+        out[s] = (int(f"{code:0{n}b}"[::-1], 2), n)
+        code, last = code + 1, n
+    return out
+
+
 def canonical(lengths: list[int]) -> dict[int, tuple[int, int]]:
     """Symbol -> (code with its first bit lowest, length)."""
-    code, out = 0, {}
-    for n in range(1, 16):
-        for s in (s for s, k in enumerate(lengths) if k == n):
-            out[s] = (int(f"{code:0{n}b}"[::-1], 2), n)
-            code += 1
-        code <<= 1
-    return out
+    return codes_of(tuple(lengths))
+
+
+@functools.lru_cache(1024)
+def lookup(lengths: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Of every value of as many bits as the longest code has: the symbol that stands at its low end, and its length."""
+    most = max(lengths)
+    symbols, sizes = np.zeros(1 << most, np.int32), np.zeros(1 << most, np.int32)
+    for s, (code, n) in codes_of(lengths).items():
+        symbols[code :: 1 << n], sizes[code :: 1 << n] = s, n
+    return symbols, sizes
 
 
 class Prefix:
@@ -87,9 +113,23 @@ class Prefix:
         """Made when a code is read bit by bit; even ones seldom are."""
         return {(n, c): s for s, (c, n) in canonical(self.lengths).items()}
 
+    @functools.cached_property
+    def short(self) -> tuple[int, list[tuple[int, int]]] | None:
+        """Symbol and length by the next bits, of codes of up to eight."""
+        most = max(self.lengths)
+        if most > 8:
+            return None
+        symbols, sizes = lookup(tuple(self.lengths))
+        return most, list(zip(symbols.tolist(), sizes.tolist(), strict=True))
+
     def read(self, bits: Bits) -> int:
         if self.single is not None:
             return self.single
+        if self.short is not None:
+            most, table = self.short
+            s, n = table[bits.peek(most)]
+            bits.skip(n)
+            return s
         code = 0
         for n in range(1, 16):
             code |= bits.read(1) << n - 1
@@ -135,6 +175,86 @@ def extended(symbol: int, bits: Bits) -> int:
     return (2 + (symbol & 1) << extra) + bits.read(extra) + 1
 
 
+def distance(code: int, width: int) -> int:
+    """How far back a distance code points: the first 120 to near pixels in two dimensions."""
+    if code > 120:
+        return code - 120
+    x, y = DISTANCE_MAP[code - 1]
+    return max(1, x + y * width)
+
+
+WINDOW = 1 << 21
+
+
+def read_greens(bits: Bits, total: int, width: int, green: Prefix, far: Prefix) -> np.ndarray:
+    """Pixels of which only green takes bits: literals and back-references, read many at a time.
+
+    What stands at a bit is looked up for all bits of a window that a code can start at, which also says where the next
+    code starts. These steps are doubled (to 2, 4, ... 32 codes) by following them once more, so that one in 32 codes is
+    found by walking and the others from it. A back-reference ends a walk; the next one starts behind it.
+    """
+    if green.single is not None:
+        if green.single > 255:
+            raise ValueError("a back-reference leaves the image")
+        return np.full(total, green.single, np.uint8)
+    symbols, lengths = lookup(tuple(green.lengths))
+    most = max(green.lengths)
+    # codes start at multiples of a common step from the last back-reference on; after many of those, anywhere
+    step, odd = math.gcd(*green.lengths), 0
+    data = np.frombuffer(bits.data + b"\0" * 4, np.uint8)
+    out, at, end = np.empty(total, np.uint8), 0, 8 * len(bits.data)
+    while at < total:
+        base = bits.pos
+        count = -(-min(WINDOW, end - base) // step)
+        if count <= 0:
+            raise ValueError("the bitstream ends early")
+        low, high = base >> 3, base + step * count >> 3
+        part = data[low : high + 4].astype(np.uint32)
+        word = part[:-3] | part[1:-2] << np.uint32(8) | part[2:-1] << np.uint32(16) if len(part) > 3 else np.zeros(1, np.uint32)
+        place = np.arange(base & 7, (base & 7) + step * count, step, dtype=np.int32)
+        seen = word[np.minimum(place >> 3, len(word) - 1)] >> (place & 7).astype(np.uint32) & np.uint32((1 << most) - 1)
+        symbol, size = symbols[seen], lengths[seen] // step
+        halt = symbol >= 256
+        one = np.arange(count + 1, dtype=np.int32)
+        one[:-1] += np.where(halt, 0, size)
+        np.minimum(one, count, out=one)
+        jumps = [one]
+        for _ in range(5):
+            jumps.append(jumps[-1][jumps[-1]])
+        here = 0
+        while at < total and here < count:
+            walk, far_jump, i = [here], jumps[5], here
+            while (j := int(far_jump[i])) != i and j < count and 32 * len(walk) < total - at:
+                walk.append(j)
+                i = j
+            places = np.array(walk, np.int32)
+            for jump in jumps[4::-1]:
+                places = np.stack([places, jump[places]], 1).ravel()
+            good = (places < count) & ~halt[np.minimum(places, count - 1)]
+            n = min(total - at, len(good) if good.all() else int(good.argmin()))
+            out[at : at + n] = symbol[places[:n]]
+            at += n
+            if n:
+                bits.pos = base + step * int(places[n - 1] + size[places[n - 1]])
+            here = (bits.pos - base) // step
+            if at < total and here < count and halt[here]:
+                bits.pos += step * int(size[here])
+                length = extended(int(symbol[here]) - 256, bits)
+                d = distance(extended(far.read(bits), bits), width)
+                if d > at or at + length > total:
+                    raise ValueError("a back-reference leaves the image")
+                out[at : at + length] = np.resize(out[at - d : at], length) if d < length else out[at - d : at - d + length]
+                at += length
+                if (bits.pos - base) % step:
+                    odd += 1
+                    step = step if odd < 8 else 1
+                    break
+                here = (bits.pos - base) // step
+        if bits.pos > end:
+            raise ValueError("the bitstream ends early")
+    return out
+
+
 def read_image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
     """Entropy-coded pixels as uint32 ARGB: literals, back-references and colour cache."""
     cache_bits = bits.read(4) if bits.read(1) else 0
@@ -169,6 +289,8 @@ def read_image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
                 pixels |= symbols[0] << np.uint32(shift)
             at += k
         return pixels
+    if groups == 1 and not cache_bits and None not in (red.single, blue.single, alpha.single):
+        return read_greens(bits, total, width, green, far).astype(np.uint32) << np.uint32(8) | np.uint32(alpha.single << 24 | red.single << 16 | blue.single)
     out = [0] * total
     cache = [0] * (1 << cache_bits)
     at = cached = 0
@@ -189,12 +311,7 @@ def read_image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
             at += 1
         elif s < 280:
             n = extended(s - 256, bits)
-            d = extended(far.read(bits), bits)
-            if d <= 120:
-                x, y = DISTANCE_MAP[d - 1]
-                d = max(1, x + y * width)
-            else:
-                d -= 120
+            d = distance(extended(far.read(bits), bits), width)
             if d > at or at + n > total:
                 raise ValueError("a back-reference leaves the image")
             for i in range(at, at + n):
@@ -378,16 +495,118 @@ def header(w: Writer, width: int, height: int) -> None:
     w.put(0, 4)
 
 
+def huffman(counts: dict[int, int], size: int) -> list[int]:
+    """Code lengths of a few symbols; a lone one gets a companion, so that the code is complete."""
+    heap = [(n, s, [s]) for s, n in counts.items()]
+    if len(heap) == 1:
+        heap.append((0, -1, [0 if heap[0][1] else 1]))
+    heapq.heapify(heap)
+    lengths = [0] * size
+    while len(heap) > 1:
+        n, s, a = heapq.heappop(heap)
+        m, _, b = heapq.heappop(heap)
+        for x in a + b:
+            lengths[x] += 1
+        heapq.heappush(heap, (n + m, s, a + b))
+    return lengths
+
+
+def put_lengths(w: Writer, lengths: list[int]) -> None:
+    """A prefix code by its lengths, runs of which are told by repeats."""
+    out, i, last = [], 0, 8
+    size = max(s for s, n in enumerate(lengths) if n) + 1
+    while i < size:
+        v, run = lengths[i], 1
+        while i + run < size and lengths[i + run] == v:
+            run += 1
+        i += run
+        if v and v != last:
+            out.append((v, 0, 0))
+            run, last = run - 1, v
+        while run >= 3:
+            top, first, kind, width = (138, 11, 18, 7) if not v and run >= 11 else (10, 3, 17, 3) if not v else (6, 3, 16, 2)
+            n = min(run, top)
+            out.append((kind, n - first, width))
+            run -= n
+        out += [(v, 0, 0)] * run
+    counts: dict[int, int] = {}
+    for s, _, _ in out:
+        counts[s] = counts.get(s, 0) + 1
+    own = huffman(counts, 19)
+    codes, many = canonical(own), max(4, 1 + max(i for i, s in enumerate(CODE_LENGTH_ORDER) if own[s]))
+    w.put(0, 1)
+    w.put(many - 4, 4)
+    for s in CODE_LENGTH_ORDER[:many]:
+        w.put(own[s], 3)
+    n = max(2, len(out))
+    half = max(0, ((n - 2).bit_length() - 1) // 2)
+    w.put(1, 1)
+    w.put(half, 3)
+    w.put(n - 2, 2 + 2 * half)
+    for s, extra, width in out + [(0, 0, 0)] * (n - len(out)):
+        w.code(codes[s])
+        w.put(extra, width)
+
+
+def parted(value: int) -> tuple[int, int, int]:
+    """The prefix symbol of a length or distance, how many extra bits, and these."""
+    if value <= 4:
+        return value - 1, 0, 0
+    k = (value - 1).bit_length() - 2
+    return 2 * k + 2 + (value - 1 >> k & 1), k, value - 1 & (1 << k) - 1
+
+
+SHORTEST, LONGEST = 24, 4096
+
+
+def repeats(samples: np.ndarray) -> list[tuple[int, int, int]]:
+    """(place, length, distance) of lines that stood before, and of the zeros at the end."""
+    out, seen, at = [], {}, 0
+    raw = samples.tobytes()
+    for line in raw.split(b"\n"):
+        if len(line) >= SHORTEST:
+            before = seen.setdefault(line, at)
+            if before < at:
+                out += [(at + i, min(LONGEST, len(line) - i), at - before) for i in range(0, len(line), LONGEST)]
+        at += len(line) + 1
+    zeros = len(raw) - len(raw.rstrip(b"\0"))
+    if zeros > 8:
+        first = len(raw) - zeros + 1
+        out += [(i, min(LONGEST, len(raw) - i), 1) for i in range(first, len(raw), LONGEST)]
+    return [x for x in out if x[1] > 3]
+
+
+def spell(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Bits of numbers of so many bits each, the lowest first."""
+    sizes = sizes.astype(np.int64)
+    which = np.repeat(np.arange(len(sizes)), sizes)
+    return (values[which] >> (np.arange(len(which)) - np.repeat(np.cumsum(sizes) - sizes, sizes)) & 1).astype(np.uint8)
+
+
+def by_frequency(counts: np.ndarray, lengths_used: list[int]) -> list[int]:
+    """Code lengths of 280 symbols, of which the first ``len(counts)`` occur, the most frequent first: as many as fit have four bits, all others eight."""
+    n = len(counts) + len(lengths_used)
+    k = min(len(counts), max(0, (256 - n) // 15))
+    lengths = [0] * 280
+    for s in [*range(256 - 15 * k - len(lengths_used)), *lengths_used]:
+        lengths[s] = 4 if s < k else 8
+    return lengths
+
+
 def encode_samples(samples: np.ndarray, width: int) -> bytes:
-    """A file of 8-bit samples (rows of ``width``), each the green value of a pixel, under a palette of those that occur.
+    """A file of 8-bit samples (rows of ``width``), each the green value of a pixel, under a palette of those that occur, the most frequent first.
 
-    Up to sixteen values share bytes (two, four or eight pixels each); otherwise a sample takes as many bits as numbering
-    the palette needs, so that reading can cut all pixels at once.
+    Up to sixteen values share bytes (two, four or eight pixels each). Of more, frequent ones have codes of four bits and
+    the others of eight; lines that stood before and the zeros at the end are back-references. Where this would not be
+    shorter, a sample takes as many bits as numbering the palette needs. Other transforms and a colour cache, which the
+    reader takes, don't shorten what has one channel and no neighbours alike.
     """
     height = len(samples) // width
-    seen = np.bincount(samples, minlength=256) > 0
-    colors = np.flatnonzero(seen)
-    index = (np.cumsum(seen) - 1).astype(np.uint8)[samples]
+    counts = np.bincount(samples, minlength=256)
+    colors = np.argsort(-counts, kind="stable")[: int((counts > 0).sum())]
+    place = np.zeros(256, np.uint8)
+    place[colors] = np.arange(len(colors))
+    index = place[samples]
     w = Writer()
     header(w, width, height)
     w.put(1 | PALETTE << 1, 3)
@@ -403,8 +622,8 @@ def encode_samples(samples: np.ndarray, width: int) -> bytes:
     else:
         put_single(w, 255)
     put_single(w, 0)
-    for i, step in enumerate(np.diff(np.r_[0, colors]).tolist()):
-        w.put(int(f"{step:08b}"[::-1], 2), 8)
+    for i, difference in enumerate((np.diff(np.r_[0, colors]) & 255).tolist()):
+        w.put(int(f"{difference:08b}"[::-1], 2), 8)
         if len(colors) > 1:
             w.put(int(i == 0), 1)
     shift = per_word(len(colors))
@@ -415,12 +634,52 @@ def encode_samples(samples: np.ndarray, width: int) -> bytes:
         index = (rows << (bits * np.arange(1 << shift)).astype(np.uint8)).sum(-1, dtype=np.uint8).ravel()
     k = 8 if shift else max(1, int(len(colors) - 1).bit_length())
     w.put(0, 3)  # no more transforms, no colour cache, one group of codes
+    if not shift and (coded := prefixed(index, samples, len(colors))) is not None and len(coded[1]) < k * len(index):
+        put_lengths(w, coded[0])
+        for symbol in (0, 0, 0):
+            put_single(w, symbol)
+        put_far(w, coded[2])
+        return container(np.r_[w.bits(), coded[1]])
     put_flat(w, k)
     for symbol in (0, 0, 0, 0):
         put_single(w, symbol)
     return container(np.r_[w.bits(), np.unpackbits(index[:, None], axis=1)[:, 8 - k :].ravel()])
 
 
+def far_lengths(used: list[int]) -> list[int]:
+    return huffman(dict.fromkeys(used, 1), 40)
+
+
+def put_far(w: Writer, used: list[int]) -> None:
+    if len(used) < 2:
+        put_single(w, used[0] if used else 0)
+    else:
+        put_lengths(w, far_lengths(used))
+
+
+def prefixed(index: np.ndarray, samples: np.ndarray, colors: int) -> tuple[list[int], np.ndarray, list[int]] | None:
+    """Code lengths, the pixels' bits, and the distances' prefix symbols; nothing where there are too many colours for shorter codes."""
+    refs = repeats(samples)
+    parts = [(parted(n), parted(d + 120 if d > 1 else 2)) for _, n, d in refs]
+    used, far = sorted({256 + a[0] for a, _ in parts}), sorted({b[0] for _, b in parts})
+    if colors + len(used) > 241:
+        return None
+    plain = np.ones(len(index), bool)
+    for at, n, _ in refs:
+        plain[at : at + n] = False
+    lengths = by_frequency(np.bincount(index, minlength=colors), used)
+    codes = canonical(lengths)
+    of = np.array([codes.get(s, (0, 0)) for s in range(280)], np.int64)
+    literals = np.flatnonzero(plain)
+    values, sizes = of[index[literals]].T
+    if refs:
+        own = canonical(far_lengths(far)) if len(far) > 1 else {far[0]: (0, 0)}
+        fields = [f for (a, b) in parts for f in (tuple(of[256 + a[0]]), (a[2], a[1]), own[b[0]], (b[2], b[1]))]
+        where = np.repeat(np.searchsorted(literals, [at for at, _, _ in refs]), 4)
+        values, sizes = (np.insert(x, where, [f[i] for f in fields]) for i, x in enumerate((values, sizes)))
+    return lengths, spell(values, sizes), far
+
+
 def decode_samples(data: bytes) -> np.ndarray:
     _, _, pixels = decode(data)
     return (pixels >> np.uint32(8) & np.uint32(255)).astype(np.uint8)

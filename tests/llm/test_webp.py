@@ -224,3 +224,69 @@ def test_media_column(documents, empty):
         assert got["tail_crc32"] == zlib.crc32(payload[-64:])
     assert rows[907]["media_sha256"] == rows[908]["media_sha256"] and rows[900]["feature"] == rows[901]["feature"]
     assert media.read_media(media.to_media(empty)).count() == 0
+
+
+def test_written_files_use_prefix_codes_and_back_references(monkeypatch, documents):
+    """Of ordinary texts: shorter than plain numbering, read by the general rules as by the fast ones."""
+    rng = np.random.default_rng(8)
+    line = "".join(rng.choice(list("etaoin shrdlu,."), 90)) + "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    text = "\n".join(line if i % 3 == 0 else "".join(rng.choice(list("etaoin shrdlucmfwypvbgkjqxz"), 70)) for i in range(400))
+    reads = {"greens": 0, "refs": 0}
+    greens, far = webp.read_greens, webp.distance
+    monkeypatch.setattr(webp, "read_greens", lambda *a: [reads.__setitem__("greens", reads["greens"] + 1), greens(*a)][1])
+    monkeypatch.setattr(webp, "distance", lambda *a: [reads.__setitem__("refs", reads["refs"] + 1), far(*a)][1])
+    payload = media.to_payload(text)
+    stored = media.store(payload)
+    assert media.load(stored, len(payload)) == payload
+    assert reads == {"greens": 1, "refs": 133} and len(stored) < 0.55 * len(payload)
+    reads["greens"] = 0
+    for r in documents.collect():
+        p = media.to_payload(r["text"] or "")
+        assert media.load(media.store(p), len(p)) == p
+    assert reads["greens"] > 10  # those of more than sixteen letters
+    # bit by bit
+    width, height, fast = webp.decode(stored)
+    slow = webp.Prefix.read
+    monkeypatch.setattr(webp, "read_greens", lambda bits, total, width, green, far_: plain_greens(bits, total, width, green, far_, slow))
+    assert (webp.decode(stored)[2] == fast).all()
+
+
+def plain_greens(bits, total, width, green, far, read):
+    out = []
+    while len(out) < total:
+        s = read(green, bits)
+        if s < 256:
+            out.append(s)
+        else:
+            n = webp.extended(s - 256, bits)
+            d = webp.distance(webp.extended(read(far, bits), bits), width)
+            for _ in range(n):
+                out.append(out[-d])
+    return np.array(out, np.uint8)
+
+
+def test_windows_and_every_number_of_colours(monkeypatch):
+    rng = np.random.default_rng(9)
+    monkeypatch.setattr(webp, "WINDOW", 512)
+    for n in [17, 18, 40, 60, 61, 100, 200, 230, 240, 241, 242, 256]:
+        p = 1.0 / np.arange(1, n + 1)
+        samples = np.r_[np.arange(n), rng.choice(n, 64 * 40 - n, p=p / p.sum())].astype(np.uint8)
+        samples[-30:] = 0
+        assert (webp.decode_samples(webp.encode_samples(samples, 64)) == samples).all()
+    for text in ("a\n" * 5000, ("x" * 5000 + "\n") * 4 + "".join(map(chr, range(32, 120))), "".join(map(chr, range(48, 110))) + "\0" * 500):
+        p = media.to_payload(text)
+        assert media.load(media.store(p), len(p)) == p
+
+
+def test_long_texts_take_several_images(monkeypatch, spark):
+    monkeypatch.setattr(media, "MOST", 1024)
+    text = "".join(map(chr, np.random.default_rng(1).integers(32, 120, 5000)))
+    p = media.to_payload(text)
+    stored = media.store(p)
+    assert len(media.images(stored)) == 5 and media.load(stored, len(p)) == p and media.features(media.images(stored)).count("|") == 4
+
+
+def test_pixel_arrays(spark):
+    docs = spark.createDataFrame([(1, "some words"), (2, None)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in media.pixel_arrays(media.to_media(docs)).collect()}
+    assert bytes(v >> 8 & 255 for v in got[1]["pixels"]) == b"some words" + b"\0" * 54 and (got[2]["width"], got[2]["height"]) == (64, 1)
