@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import yes
@@ -57,6 +57,11 @@ def move_quality(flow: DataFrame) -> DataFrame:
     return d.select("symbol", st.alias("st"), F.round(dp, 1).alias("dp"), F.round(med, 1).alias("dp_med"), F.round(oi, 3).alias("oi5"), F.round(r5, 3).alias("ret5"), F.round("vr5", 2).alias("vr5"))
 
 
+def trifecta(quality: DataFrame, feed_day: Column, asof: Column, days: int = 7) -> DataFrame:
+    """symbol: those that accumulate, from ``move_quality``, if the feed's day is within ``days`` of the run's; else none."""
+    return quality.where((F.col("st") == "accumulating") & (F.abs(F.datediff(feed_day, asof)) <= days)).select("symbol")
+
+
 def snapshots(history: DataFrame) -> DataFrame:
     """Adds ``back``: 0 for the newest run, 1 for the one before, and so on. ``history``: asof, symbol, sector, price, score, passes."""
     runs = history.select("asof").distinct().withColumn("back", F.row_number().over(Window.orderBy(F.desc("asof"))) - 1)  # one row a run

@@ -67,6 +67,7 @@ def rated(measured: DataFrame, shares: DataFrame, sectors: DataFrame, promoters:
     h = heat(measured, sectors)
     d = measured.join(shares, "symbol").join(sectors, "symbol", "left").join(F.broadcast(h), "sector", "left").join(promoters, "symbol", "left").join(watched.select("symbol", F.lit(True).alias("watched")).distinct(), "symbol", "left")
     d = d.withColumn("mcap", c("price") * c("shares") / 1e7).where((c("mcap") >= min_mcap) & (c("turn20") >= 5) & (c("bars") >= 100))
+    # fixed values: limits, labels and points
     rules = [
         (c("dd_ath") <= -0.6, "fallen angel", 1), (c("volreg") >= 1.5, "volume waking", 1), (c("mcap") < 500, "small", 1), (c("ret6") >= 0.3, "6m momentum", 1), (c("prom_chg") >= 1.0, "promoter adding", 1),
         (c("prom_chg") <= -1.0, "promoter SELLING", -1), (c("heat") == "hot", "hot sector", 1), (c("heat") == "cold", "COLD sector", -1),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,21 +51,40 @@ def percent_rank(x: str, k: int, least: int) -> Column:
 def gap_aware_mean(panel: DataFrame, x: str, alpha: float, least: int, name: str) -> DataFrame:
     """Adds an exponential mean whose weights fade over sessions without a bar, too: y' = (d y + a x) / (d + a), d = (1-a)^gap.
 
-    That is sequential in a symbol's history, so it folds over one array a symbol; null before ``least`` values.
+    Each step is y' = p y + q, with p and q known from the gap and the value, so y is a running sum of q over the running
+    product of p, times that product: two windows of one order. All terms are positive. Null before ``least`` values.
     """
-    # the newest session is carried along: the step needs the distance to it
-    points = panel.where(F.col(x).isNotNull()).groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("session_no", F.col(x).alias("v")))).alias("p"))
-    kind = "struct<s:int,y:double,out:array<struct<session_no:int,y:double>>>"
-    start = F.struct(F.lit(None).cast("int").alias("s"), F.lit(None).cast("double").alias("y"), F.array().cast("array<struct<session_no:int,y:double>>").alias("out")).cast(kind)
+    run = Window.partitionBy("symbol").orderBy("session_no").rowsBetween(Window.unboundedPreceding, 0)
+    before = F.last(F.when(F.col(x).isNotNull(), F.col("session_no")), ignorenulls=True).over(run.rowsBetween(Window.unboundedPreceding, -1))
+    has, d = F.col(x).isNotNull(), F.pow(F.lit(1 - alpha), F.col("session_no") - F.col("_before"))
+    out = panel.withColumn("_before", before)
+    out = out.withColumn("_q", F.when(has & F.col("_before").isNull(), F.col(x)).when(has, alpha * F.col(x) / (d + alpha)))
+    out = out.withColumn("_s", F.sum(F.when(has & F.col("_before").isNotNull(), F.log(d / (d + alpha))).otherwise(0.0)).over(run))
+    mean = F.exp("_s") * F.sum(F.col("_q") * F.exp(-F.col("_s"))).over(run)
+    return out.withColumn(name, F.when(has & (F.count(x).over(run) >= least), mean)).drop("_before", "_q", "_s")
+
+
+# How pseudo-symbols of indices begin, and which of them is the benchmark, the best first.
+INDICES, BENCHMARKS = ("NIFTY", "BANKNIFTY", "^"), ("NIFTY500", "NIFTY50")
+
 
-    def step(acc, p):
-        d = F.pow(F.lit(1 - alpha), p["session_no"] - acc["s"])
-        y = F.when(acc["s"].isNull(), p["v"]).otherwise((d * acc["y"] + alpha * p["v"]) / (d + alpha))
-        return F.struct(p["session_no"].alias("s"), y.alias("y"), F.concat(acc["out"], F.array(F.struct(p["session_no"].alias("session_no"), y.alias("y")))).alias("out")).cast(kind)
+def is_index(symbol: Column) -> Column:
+    """Whether a symbol stands for an index."""
+    return reduce(lambda a, b: a | b, (symbol.startswith(p) for p in INDICES))
 
-    folded = points.select("symbol", F.posexplode(F.aggregate("p", start, step, lambda acc: acc["out"])).alias("i", "e"))
-    means = folded.select("symbol", F.col("e.session_no").alias("session_no"), F.when(F.col("i") + 1 >= least, F.col("e.y")).alias(name))
-    return panel.join(means, ["symbol", "session_no"], "left")
+
+def benchmark(prices: DataFrame, choice: tuple[str, ...] = BENCHMARKS) -> DataFrame:
+    """date, bench: the closes of the first of ``choice`` that has any, on every session of the stocks; a session without one has the last before it.
+
+    One row a session, so a single window orders them.
+    """
+    rank = F.array_position(F.array(*map(F.lit, choice)), F.col("symbol"))
+    indices = prices.where(F.col("symbol").isin(*choice)).withColumn("r", rank)
+    best = indices.agg(F.min("r").alias("r"))
+    chosen = indices.join(F.broadcast(best), "r").groupBy("date").agg(F.first("close").alias("close"))
+    days = prices.where(~is_index(F.col("symbol"))).select("date").distinct()
+    filled = F.last("close", ignorenulls=True).over(Window.orderBy("date").rowsBetween(Window.unboundedPreceding, 0))
+    return days.join(chosen, "date", "left").select("date", filled.alias("bench"))
 
 
 HORIZONS = (5, 10, 20, 40)
@@ -85,7 +106,7 @@ def price_features(panel: DataFrame, bench: DataFrame, sectors: DataFrame, min_t
     d = gap_aware_mean(number_sessions(panel), "close", 2 / 201, 200, "e200")
     d = d.join(F.broadcast(bench), "date", "left").join(sectors, "symbol", "left")
     d = d.withColumns({
-        **{f"ret{k}": change("close", k) for k in (1, 5, 20, 60, 250)}, "vs200": c / F.col("e200") - 1, "range": h - low, "c1": shift("close", 1), "turn": c * v / 1e7,
+        **{f"ret{k}": change("close", k) for k in (1, 3, 5, 10, 20, 60, 120, 250)}, "vs200": c / F.col("e200") - 1, "range": h - low, "c1": shift("close", 1), "turn": c * v / 1e7,
         "v5": rolling(F.avg, "volume", 5), "v50": rolling(F.avg, "volume", 50), "hi20": rolling(F.max, "high", 20), "lo20": rolling(F.min, "low", 20), "hi252": rolling(F.max, "high", 252), "lo252": rolling(F.min, "low", 252),
         "ma20": rolling(F.avg, "close", 20), "sd20": rolling(F.stddev_samp, "close", 20), "bars_ok": F.count("close").over(frame(-259, 0)) >= 250, "rsline": c / F.col("bench"), "bench20": ratio(F.col("bench"), shift("bench", 20)) - 1,
     })

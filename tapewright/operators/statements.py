@@ -181,7 +181,7 @@ def fundamentals(annual: DataFrame, quarterly: DataFrame, companies: DataFrame,
         "capex_dep": F.when(at("dep") > 0, ratio(-at("capex"), at("dep"))), "capex_sales": ratio(-at("capex"), at("rev")), "div_payout": F.when(at("ni") > 0, ratio(-at("divp"), at("ni"))), "other_inc_pbt": F.when(at("pbt") > 0, ratio(at("oth"), at("pbt"))),
         "rec_days": days("recv"), "rec_days_prev": days("recv", 1), "rec_days_delta": days("recv") - days("recv", 1), "inv_days": days("inv"), "inv_days_delta": (ratio(at("inv"), at("rev")) - ratio(at("inv", 1), at("rev", 1))) * 365,
         "gross_block_g1": growth(at("gppe"), at("gppe", 1)),
-        "pe": F.when(col("pat_ttm") > 0, ratio(col("mcap"), col("pat_ttm"))), "pe_yahoo": col("trailing_pe"), "pb": F.when(at("eq") > 0, ratio(col("mcap"), at("eq"))),
+        "pe": F.when(col("pat_ttm") > 0, ratio(col("mcap"), col("pat_ttm"))), "pe_yahoo": col("trailing_pe"), "pe_fwd": col("forward_pe"), "analyst_rec": col("recommended"), "promoter": F.coalesce(truthy(col("promoter")), col("promoter_held")), "institutions": F.coalesce(truthy(col("institutions")), col("institutions_held")), "pb": F.when(at("eq") > 0, ratio(col("mcap"), at("eq"))),
         "ev_ebitda": F.when(at("ebitda") > 0, ratio(ev, at("ebitda"))), "ev_sales": ratio(ev, truthy(col("rev_ttm"))), "ps": ratio(col("mcap"), truthy(col("rev_ttm"))),
         "analyst_upside": ratio(truthy(col("target_price")), truthy(col("current_price"))) - 1, "analyst_n": col("analysts"),
         "nii_g1": F.when(col("lender"), growth(at("nii"), at("nii", 1))), "prov_pct_nii": F.when(col("lender"), ratio(at("prov"), at("nii"))), "leverage": F.when(col("lender"), ratio(at("ta"), at("eq"))),
@@ -194,11 +194,27 @@ def fundamentals(annual: DataFrame, quarterly: DataFrame, companies: DataFrame,
     })
 
 
-def financial_block(annual: DataFrame, quarterly: DataFrame, years: int = 4, quarters: int = 6) -> DataFrame:
-    """The newest years' and quarters' figures, long: symbol, kind, k (0 = newest), period_end, rev, ni, ebit."""
+BLOCK_YEARS = ["rev", "ebit", "ebitda", "ni", "eps", "intr", "oth", "eq", "debt", "cash", "recv", "inv", "shares_a", "gppe", "ta", "cfo", "capex", "fcf", "divp"]
+BLOCK_QUARTERS = ["rev", "ebit", "ni", "eps"]
+BLOCK_LENDER = ["nii", "prov"]
 
-    def newest(df, kind, k):
+
+def financial_block(annual: DataFrame, quarterly: DataFrame, lenders: DataFrame, years: int = 4, quarters: int = 6) -> DataFrame:
+    """The newest years' and quarters' figures, long: symbol, kind, k (0 = newest), period_end and the items; those of lenders for them alone, null where a kind has no such item.
+
+    ``lenders``: symbol, lender.
+    """
+
+    def newest(df, kind, k, items):
         no = F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("period_end"))) - 1
-        return df.withColumn("k", no).where(F.col("k") < k).select("symbol", F.lit(kind).alias("kind"), "k", "period_end", "rev", "ni", "ebit")
+        have = [F.col(x) if x in items and x in df.columns else F.lit(None).cast("double").alias(x) for x in BLOCK_YEARS + BLOCK_LENDER]
+        return df.withColumn("k", no).where(F.col("k") < k).select("symbol", F.lit(kind).alias("kind"), "k", "period_end", *have)
+
+    out = newest(annual, "a", years, BLOCK_YEARS + BLOCK_LENDER).unionByName(newest(quarterly, "q", quarters, BLOCK_QUARTERS)).join(lenders, "symbol", "left")
+    return out.withColumns({x: F.when(F.col("lender"), F.col(x)) for x in BLOCK_LENDER}).drop("lender")
+
 
-    return newest(annual, "a", years).unionByName(newest(quarterly, "q", quarters))
+def share_growth(counts: DataFrame) -> DataFrame:
+    """symbol, dilution_hist: growth from the oldest to the newest known count of shares. ``counts``: symbol, day, shares."""
+    ends = counts.where("shares is not null").groupBy("symbol").agg(F.min_by("shares", "day").alias("a"), F.max_by("shares", "day").alias("b"))
+    return ends.select("symbol", growth(F.col("b"), F.col("a")).alias("dilution_hist"))

@@ -97,6 +97,12 @@ def moves(spark, sf_dir):
     return D.move_quality(labs.flow_lab(spark, sf_dir))
 
 
+def gathering(spark, sf_dir):
+    """Accumulating symbols while the feed is fresh, and of a run nine days later, which has none."""
+    q, last = stored(moves(spark, sf_dir)), panels.weekly(spark, sf_dir).agg(F.max("date").alias("day")).scalar()
+    return D.trifecta(q, last, F.date_add(last, 7)).withColumn("days", F.lit(7)).unionByName(D.trifecta(q, last, F.date_add(last, 9)).withColumn("days", F.lit(9)))
+
+
 def past(f, spark, sf_dir):
     return f(history(spark, sf_dir))
 
@@ -162,8 +168,12 @@ def audit(spark, sf_dir):
 
 
 def market_context(spark, sf_dir):
-    panel, shares, *_ = radar_inputs(spark, sf_dir)
-    return R.context(R.measures(panel), shares, 1.0)
+    """The market's state, how many symbols are rated, and of how many with each score."""
+    panel, shares, sector, held, watched = radar_inputs(spark, sf_dir)
+    measured = stored(R.measures(panel))
+    listed = R.rated(measured, shares, sector, R.promoter_change(held), watched, min_mcap=1.0, least=1)
+    counts = listed.agg(F.count("*").alias("n_listed"), *[F.count_if(F.col("score") == k).alias(f"n_{k}") for k in (2, 3, 4, 5)])
+    return R.context(measured, shares, 1.0).join(F.broadcast(counts))
 
 
 def repaired(spark, sf_dir):
@@ -253,7 +263,7 @@ def weekdays(spark, sf_dir):
 
 QUERIES = {
     "j05_asof_fwd": j05, "j04_asof_back": j04, "a07_cohorts": cohort_rows, "a08_deciles": decile_table, "a09_ic": cohort_ic, "a11_summary": summary, "a21_picks": ledger,
-    "a03_sectors": partial(desk, D.sectors), "a04_breadth": breadth_now, "x11_swing": swing_tiers, "x14_move_quality": moves, "x16_movers": partial(past, partial(D.movers, top=20)), "x17_deltas": partial(past, D.deltas), "a17_track": partial(past, D.track_record), "snk5_retention": partial(past, partial(D.retained, runs=3)),
+    "a03_sectors": partial(desk, D.sectors), "a04_breadth": breadth_now, "x11_swing": swing_tiers, "x14_move_quality": moves, "x14_trifecta": gathering, "x16_movers": partial(past, D.movers), "x17_deltas": partial(past, D.deltas), "a17_track": partial(past, D.track_record), "snk5_retention": partial(past, partial(D.retained, runs=3)),
     "w38_ca_adjust": repaired, "w40_radar_inputs": radar_measures, "w41_ath": radar_prior, "w42_promoters": promoters, "a14_heat": sector_heat, "a15_context": market_context, "x12_radar": radar_list,
     "a16_counts": radar_counts, "a20_coverage": filed_coverage, "b03_days": nominal, "snk4_audit": audit,
     "o05_upsert": merged, "j07_interval_yoy": yoy, "j11_cross_check": checked, "a01_futures": futures, "a22_mcap": market_caps, "p19_freshness": fresh, "p18_expected": expected, "src_harvest": harvested, "src_pick": picked, "src_props": props, "src_keys": keys, "snk11_append": appended, "src_shards": sharded, "src_days": weekdays,
@@ -298,8 +308,8 @@ SELECT cohorts, first, last_exit, {_r(" ".join(f"{c}_{k}" for c in _PF for k in
 _best = "row_number() OVER (ORDER BY score DESC, symbol)"
 _MOVERS = f"""WITH {COHORTS}, now0 AS (SELECT * FROM h WHERE back = 0), prev AS (SELECT * FROM h WHERE back = 1), rn AS (SELECT *, {_best} AS r FROM now0 WHERE passes AND score IS NOT NULL), rp AS (SELECT *, {_best} AS r FROM prev WHERE passes),
 both0 AS (SELECT symbol, round(n.score - p.score, 9) AS d FROM now0 n JOIN prev p USING (symbol)),
-z AS (SELECT 'new_top' AS kind, row_number() OVER (ORDER BY r) AS place, symbol, CAST(NULL AS DOUBLE) AS d, 15 AS m FROM rn WHERE r <= 20 AND symbol NOT IN (SELECT symbol FROM rp WHERE r <= 20)
-UNION ALL SELECT 'left_top', row_number() OVER (ORDER BY symbol), symbol, NULL, 15 FROM rp WHERE r <= 20 AND symbol NOT IN (SELECT symbol FROM rn WHERE r <= 20)
+z AS (SELECT 'new_top' AS kind, row_number() OVER (ORDER BY r) AS place, symbol, CAST(NULL AS DOUBLE) AS d, 15 AS m FROM rn WHERE r <= 50 AND symbol NOT IN (SELECT symbol FROM rp WHERE r <= 50)
+UNION ALL SELECT 'left_top', row_number() OVER (ORDER BY symbol), symbol, NULL, 15 FROM rp WHERE r <= 50 AND symbol NOT IN (SELECT symbol FROM rn WHERE r <= 50)
 UNION ALL SELECT 'gainer', row_number() OVER (ORDER BY d DESC, symbol), symbol, d, 10 FROM both0 WHERE d IS NOT NULL UNION ALL SELECT 'loser', row_number() OVER (ORDER BY d, symbol), symbol, d, 10 FROM both0 WHERE d IS NOT NULL
 UNION ALL SELECT 'newly_pass', row_number() OVER (ORDER BY coalesce(r, 9999), n.symbol), n.symbol, NULL, 15 FROM now0 n LEFT JOIN rn ON rn.symbol = n.symbol WHERE n.passes AND n.symbol NOT IN (SELECT symbol FROM prev WHERE passes)
 UNION ALL SELECT 'newly_fail', row_number() OVER (ORDER BY symbol), symbol, NULL, 15 FROM prev WHERE passes AND symbol NOT IN (SELECT symbol FROM now0 WHERE passes))
@@ -341,6 +351,7 @@ ORACLES = {
     "a04_breadth": f"WITH {FEATS}, d AS (SELECT * FROM feats WHERE bars >= 200) SELECT count(*) AS n, {', '.join(f'round(count(*) FILTER (WHERE vs_ema{k} > 0) / greatest(1, count(*)), 3) AS above_{k}' for k in (200, 50, 20))}, count(*) FILTER (WHERE from_52h > -0.01) AS new_52w_high, count(*) FILTER (WHERE from_52l < 0.01) AS new_52w_low, {_med('ret_1m')} AS median_ret_1m, round(count(*) FILTER (WHERE ema_stack = 1) / greatest(1, count(*)), 3) AS bull_stack, round(count(*) FILTER (WHERE ema_stack = -1) / greatest(1, count(*)), 3) AS bear_stack FROM d",
     "x11_swing": f"WITH {TECH}, e AS (SELECT *, round(ret_6m, 9) AS r6 FROM newest WHERE ret_6m >= 0.0 AND above_sma200 AND turnover_20 >= 2), p AS (SELECT *, row_number() OVER (ORDER BY r6 DESC, symbol) - 1 AS place, count(*) OVER () AS m FROM e), c AS (SELECT max(CASE WHEN place = greatest(0, CAST(floor(m * 0.25) AS INT) - 1) THEN r6 END) AS cut, max(CASE WHEN place = greatest(0, CAST(floor(m * 0.125) AS INT) - 1) THEN r6 END) AS cut_top FROM p) SELECT symbol, CASE WHEN r6 >= cut_top THEN 'A' ELSE 'B' END AS tier, coalesce(atr_pct > 0.055, false) AS hot, CASE WHEN coalesce(NOT coalesce(atr_pct > 0.055, false) AND price >= prev_high + 0.5 * atr AND vol_x50 >= 1.5, false) THEN 'TRIGGER' ELSE 'WATCH' END AS state FROM p, c WHERE m >= 4 AND r6 >= cut",
     "x14_move_quality": f"WITH {_LABS}, m AS (SELECT *, coalesce(deliv_per >= 1.5 * dpmed AND deliv_per >= 50, false) AS spike, coalesce(ret5 > 0.04, false) AS rally FROM lab WHERE session_no = (SELECT max(session_no) FROM lab) AND deliv_per IS NOT NULL) SELECT symbol, CASE WHEN coalesce(spike AND oi5 >= 0.10 AND abs(ret5) < 0.05, false) THEN 'accumulating' WHEN rally AND coalesce(deliv_per <= 0.5 * dpmed, false) THEN 'hollow' WHEN rally AND coalesce(oi5 <= -0.08, false) THEN 'covering' WHEN rally AND (coalesce(oi5 > 0.02, false) OR spike OR coalesce(dpmed <> 0 AND deliv_per >= 1.2 * dpmed, false)) THEN 'backed' END AS st, round(deliv_per, 1) AS dp, round(dpmed, 1) AS dp_med, round(oi5, 3) + 0.0 AS oi5, round(ret5, 3) + 0.0 AS ret5, round(vr5, 2) AS vr5 FROM m",
+    "x14_trifecta": f"WITH {_LABS}, m AS (SELECT *, coalesce(deliv_per >= 1.5 * dpmed AND deliv_per >= 50, false) AS spike, coalesce(ret5 > 0.04, false) AS rally FROM lab WHERE session_no = (SELECT max(session_no) FROM lab) AND deliv_per IS NOT NULL) SELECT symbol, 7 AS days FROM m WHERE coalesce(spike AND oi5 >= 0.10 AND abs(ret5) < 0.05, false)",
     "x16_movers": _MOVERS,
     "x17_deltas": f"WITH {COHORTS}, far AS (SELECT least(5, max(back)) AS far FROM h) SELECT n.symbol, round(n.score - a.score, 1) + 0.0 AS d1, round(n.score - b.score, 1) + 0.0 AS d5 FROM (SELECT * FROM h WHERE back = 0) n LEFT JOIN (SELECT * FROM h WHERE back = 1) a USING (symbol) LEFT JOIN (SELECT h.* FROM h, far WHERE back = far) b ON b.symbol = n.symbol",
     "a17_track": f"WITH {COHORTS}, n0 AS (SELECT symbol, price AS p1, {ASOF_} AS today FROM h WHERE back = 0), p AS (SELECT *, row_number() OVER (PARTITION BY {ASOF_} ORDER BY score DESC, symbol) AS r FROM (SELECT *, count(*) OVER (PARTITION BY {ASOF_}) AS m FROM h WHERE back > 0 AND passes AND score IS NOT NULL) WHERE m >= 20), q AS (SELECT p.*, today, p1 / p.price - 1 AS ret FROM p LEFT JOIN n0 USING (symbol)) SELECT {ASOF_}, CAST(max(today) - {ASOF_} AS INT) AS days, round(avg(CASE WHEN r <= 10 THEN ret END), 4) + 0.0 AS top, round(avg(ret), 4) + 0.0 AS universe, round(avg(CASE WHEN r <= 10 THEN CASE WHEN ret > 0 THEN 1.0 WHEN ret <= 0 THEN 0.0 END END), 2) AS hit FROM q GROUP BY {ASOF_}",
@@ -350,7 +361,7 @@ ORACLES = {
     "w41_ath": f"WITH {_RADAR}, pr AS (SELECT symbol, arg_min(close, date) * 1.2 AS old, min(date) AS {ASOF_} FROM weekly GROUP BY symbol), ev AS (SELECT r.symbol, product(r.event) AS f FROM rep r JOIN pr USING (symbol) WHERE event IS NOT NULL AND r.date > {ASOF_} GROUP BY 1), z AS (SELECT m.symbol, price, greatest(ath, old * coalesce(f, 1)) AS ath FROM meas m JOIN pr USING (symbol) LEFT JOIN ev USING (symbol)) SELECT symbol, round(ath, 6) AS ath, round(price / ath - 1, 6) + 0.0 AS dd_ath, CAST(300 AS BIGINT) AS bars FROM z",
     "w42_promoters": f"WITH {_RADAR} SELECT symbol, CAST(prom_chg AS DOUBLE) AS prom_chg FROM prom",
     "a14_heat": f"WITH {_RADAR} SELECT sector, heat FROM heat",
-    "a15_context": f"WITH {_RADAR}, d AS (SELECT count(*) FILTER (WHERE mcap >= 1) AS n_universe, quantile_cont(CASE WHEN mcap >= 1 AND turn20 >= 5 AND bars >= 100 THEN dd_ath END, 0.5) AS dd FROM cand) SELECT n_universe, round(dd, 3) + 0.0 AS mkt_dd, CASE WHEN dd <= -0.35 THEN 'CRUSHED' WHEN dd <= -0.22 THEN 'MODERATE' ELSE 'NEAR HIGHS' END AS context FROM d",
+    "a15_context": f"WITH {_RADAR}, sc AS (SELECT {' + '.join(f'CASE WHEN {c} THEN {v} ELSE 0 END' for c, _, v in _RULES)} AS score FROM cand WHERE mcap >= 1 AND turn20 >= 5 AND bars >= 100), ls AS (SELECT count(*) FILTER (WHERE score >= 1) AS n_listed, {', '.join(f'count(*) FILTER (WHERE score = {k}) AS n_{k}' for k in (2, 3, 4, 5))} FROM sc), d AS (SELECT count(*) FILTER (WHERE mcap >= 1) AS n_universe, quantile_cont(CASE WHEN mcap >= 1 AND turn20 >= 5 AND bars >= 100 THEN dd_ath END, 0.5) AS dd FROM cand) SELECT n_universe, n_listed, n_2, n_3, n_4, n_5, round(dd, 3) + 0.0 AS mkt_dd, CASE WHEN dd <= -0.35 THEN 'CRUSHED' WHEN dd <= -0.22 THEN 'MODERATE' ELSE 'NEAR HIGHS' END AS context FROM d, ls",
     "x12_radar": f"WITH {_RADAR}, s AS (SELECT *, {' + '.join(f'CASE WHEN {c} THEN {v} ELSE 0 END' for c, _, v in _RULES)} AS score FROM cand WHERE mcap >= 1 AND turn20 >= 5 AND bars >= 100) SELECT symbol, score, concat_ws(', ', {', '.join(f'CASE WHEN {c} THEN {chr(39)}{t}{chr(39)} END' for c, t, _ in _RULES)}) AS why, concat_ws(', ', CASE WHEN b % 7 = 0 THEN 'SURVEILLANCE' END, CASE WHEN turn20 < 50 THEN 'thin' END) AS flags, concat_ws(', ', CASE WHEN dd_ath <= -0.5 THEN 'deep' END, CASE WHEN turn20 < 100 AND (ret12 IS NULL OR ret12 < 0.4) THEN 'quiet' END, CASE WHEN ret12 >= 0.6 THEN 'late' END) AS tags, heat, sector, round(mcap, 0) AS mcap_cr, round(price, 1) AS price, round(ret6, 3) + 0.0 AS ret6, round(dd_ath, 2) + 0.0 AS dd_ath, round(volreg, 4) AS volreg FROM s WHERE score >= 1 ORDER BY score DESC, coalesce(round(volreg, 4), 0) DESC, symbol LIMIT 400",
     "a16_counts": f"WITH {_RADAR}, s AS (SELECT {' + '.join(f'CASE WHEN {c} THEN {v} ELSE 0 END' for c, _, v in _RULES)} AS score FROM cand WHERE mcap >= 1 AND turn20 >= 5 AND bars >= 100) SELECT score, count(*) AS n FROM s WHERE score >= 1 GROUP BY score",
     "a20_coverage": f"WITH {_FILED} SELECT count(DISTINCT symbol) AS symbols, round(avg(CASE WHEN pat IS NOT NULL THEN 1.0 ELSE 0.0 END), 6) AS covered, max(period_end) AS freshest FROM filed",

@@ -36,7 +36,7 @@ def flow_lab(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SESSION = {
-    "w27_changes": "ret1, ret5, ret20, ret60, ret250",
+    "w27_changes": "ret1, ret3, ret5, ret10, ret20, ret60, ret120, ret250",
     "w28_gap_mean": "e200, vs200",
     "w29_rolling": "hi20, lo20, hi252, lo252, pos52, v5, v50, vr5, vr1, turn20, bbw, gap, range",
     "w30_roll_rank": "bbw_pctl",
@@ -133,7 +133,7 @@ s0 AS (SELECT *, qty * 10000 AS volume, dense_rank() OVER (ORDER BY date) AS ses
 p AS (SELECT symbol, session_no, close, row_number() OVER (PARTITION BY symbol ORDER BY session_no) AS i FROM s0),
 ew AS (SELECT symbol, session_no, i, close AS y FROM p WHERE i = 1 UNION ALL SELECT p.symbol, p.session_no, p.i, (pow(1 - {_A}, p.session_no - ew.session_no) * ew.y + {_A} * p.close) / (pow(1 - {_A}, p.session_no - ew.session_no) + {_A}) FROM ew JOIN p ON p.symbol = ew.symbol AND p.i = ew.i + 1),
 s1 AS (SELECT s0.*, CASE WHEN i >= 200 THEN y END AS e200 FROM s0 JOIN ew USING (symbol, session_no)),
-s2 AS (SELECT *, {", ".join(f"{_ch('close', k)} AS ret{k}" for k in (1, 5, 20, 60, 250))}, close / e200 - 1 AS vs200, high - low AS range, {sh("close", 1)} AS c1, close * volume / 1e7 AS turn,
+s2 AS (SELECT *, {", ".join(f"{_ch('close', k)} AS ret{k}" for k in (1, 3, 5, 10, 20, 60, 120, 250))}, close / e200 - 1 AS vs200, high - low AS range, {sh("close", 1)} AS c1, close * volume / 1e7 AS turn,
   {ro("avg({})", "volume", 5)} AS v5, {ro("avg({})", "volume", 50)} AS v50, {ro("max({})", "high", 20)} AS hi20, {ro("min({})", "low", 20)} AS lo20, {ro("max({})", "high", 252)} AS hi252, {ro("min({})", "low", 252)} AS lo252,
   4 * {ro("stddev_samp({})", "close", 20)} / {ro("avg({})", "close", 20)} AS bbw, count(close) {g(-259, 0)} >= 250 AS bars_ok, close / bench AS rsline, {_ch("bench", 20)} AS bench20 FROM s1),
 s3 AS (SELECT *, v5 / v50 AS vr5, volume / v50 AS vr1, {ro("avg({})", "turn", 20)} AS turn20, (close - lo252) / (hi252 - lo252 + 1e-9) AS pos52, range <= ({ro("min({})", "range", 7)}) + 1e-12 AS nr7, coalesce(sum(CASE WHEN ret1 < 0 THEN 1 WHEN ret1 >= 0 THEN 0 END) {g(-2, 0)} = 3, false) AS down3,

@@ -39,7 +39,7 @@ def features(spark: SparkSession, sf_dir: str, asof: str = ASOF) -> DataFrame:
     now = T.latest(tech).drop("date", "open", "high", "low", "close", "volume", "price", "n")
     for part in (T.max_drawdown(tech), T.relative_strength(bars, bench), T.rs_line(bars, bench)):
         now = now.join(part, "symbol", "left")
-    return stored(known(spark, sf_dir, asof, bars).join(now, "symbol", "left").withColumn("dilution_hist", F.lit(None).cast("double")))
+    return stored(known(spark, sf_dir, asof, bars).join(now, "symbol", "left").join(S.share_growth(panels.share_counts(spark, sf_dir)), "symbol", "left"))
 
 
 FUND = {
@@ -53,6 +53,7 @@ FUND = {
     "f11_balance": ("", "de, net_debt_ebitda, int_cover, current_ratio, dilution_3y, debt_change_1y"),
     "f13_cash": ("fcf_pos_years", "cfo_pat, cfo_pat_3y, fcf_now, fcf_yield, capex_dep, capex_sales, div_payout, other_inc_pbt"),
     "f15_working_capital": ("", "rec_days, rec_days_prev, rec_days_delta, inv_days, inv_days_delta, gross_block_g1"),
+    "f19_forward": ("analyst_rec", "pe_fwd"),
     "f16_ownership": ("", "promoter, institutions, analyst_n, analyst_upside, beta"),
     "f17_valuation": ("", "pe, pe_yahoo, pb, ev_ebitda, ev_sales, ps, peg, earnings_yield, div_yield"),
     "f20_lenders": ("lender", "nii_g1, prov_pct_nii, leverage"),
@@ -76,7 +77,12 @@ def pit_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def block(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(S.financial_block(panels.periods(spark, sf_dir, False), panels.periods(spark, sf_dir, True)), 5)
+    return rounded(S.financial_block(panels.periods(spark, sf_dir, False), panels.periods(spark, sf_dir, True), panels.companies(spark, sf_dir).select("symbol", "lender")), 4)
+
+
+def dilution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Growth of the share count: over three years of statements, and over the known counts."""
+    return rounded(known(spark, sf_dir).select("symbol", "dilution_3y").join(S.share_growth(panels.share_counts(spark, sf_dir)), "symbol", "left"))
 
 
 def winsor(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,7 +140,7 @@ def ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {name: partial(fund, name) for name in FUND} | {
-    "p07_pit_cut": pit_cut, "f23_fin_block": block, "x02_winsor": winsor, "x04_pct_rank": universe_ranks, "x05_sector_blend": ranks, "x06_pillars": pillar_table,
+    "p07_pit_cut": pit_cut, "f23_fin_block": block, "f12_dilution": dilution, "x02_winsor": winsor, "x04_pct_rank": universe_ranks, "x05_sector_blend": ranks, "x06_pillars": pillar_table,
     "x08_composite": composites, "x08_weights": reweighted, "x09_gates": gate_table, "x15_flags": flag_table, "snk3_ranked": ranked, "snk3_ranked_all": ranked_all,
 }
 
@@ -144,7 +150,10 @@ _SYM = "'S' || lpad(CAST(l_suppkey AS VARCHAR), 5, '0')"
 _some = lambda m, r, x: f"CASE WHEN s_suppkey % {m} <> {r} THEN {x} END"
 COMPANIES = f"""companies AS (SELECT 'S' || lpad(CAST(s_suppkey AS VARCHAR), 5, '0') AS symbol, r_name AS sector, n_name AS industry, r_name = 'EUROPE' AS lender, s_suppkey AS key, 1e6 + 100 * abs(s_acctbal) AS shares, abs(s_acctbal) * 1000 AS debt_base,
   {_some(9, 4, "(s_suppkey % 70) / 100.0")} AS promoter, {_some(8, 6, "(s_suppkey % 37) / 100.0")} AS institutions, {_some(6, 2, "5.0 + s_suppkey % 90")} AS pe_yahoo, {_some(5, 1, "(s_suppkey % 40) / 10.0")} AS dividend_rate,
-  {_some(4, 3, "100.0 + s_suppkey % 60")} AS current_price, {_some(7, 5, "(s_suppkey % 9) / 10.0")} AS dividend_yield, {_some(3, 2, "90.0 + s_suppkey % 80")} AS target_price, CAST(s_suppkey % 30 AS DOUBLE) AS analyst_n, 0.5 + (s_suppkey % 11) / 10.0 AS beta, CASE WHEN s_suppkey % 10 = 7 THEN 80.0 ELSE 1.0 END AS fx
+  {_some(4, 3, "100.0 + s_suppkey % 60")} AS current_price, {_some(7, 5, "(s_suppkey % 9) / 10.0")} AS dividend_yield, {_some(3, 2, "90.0 + s_suppkey % 80")} AS target_price, CAST(s_suppkey % 30 AS DOUBLE) AS analyst_n, 0.5 + (s_suppkey % 11) / 10.0 AS beta, CASE WHEN s_suppkey % 10 = 7 THEN 80.0 ELSE 1.0 END AS fx,
+  {_some(5, 2, "4.0 + s_suppkey % 60")} AS pe_fwd, {_some(6, 1, "CASE s_suppkey % 3 WHEN 0 THEN 'buy' WHEN 1 THEN 'hold' ELSE 'sell' END")} AS analyst_rec,
+  CASE WHEN s_suppkey % 2 = 0 THEN (s_suppkey % 50) / 100.0 END AS promoter_held, CASE WHEN s_suppkey % 3 = 0 THEN (s_suppkey % 45) / 100.0 END AS institutions_held,
+  CASE WHEN s_suppkey % 3 <> 1 THEN 1 / (1 - 0.04 * (s_suppkey % 8)) - 1 END AS dilution_hist
   FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""
 _ITEMS = ", ".join(f"{e} AS {k}" for k, e in panels.ITEMS.items()).replace("sum(l_extendedprice * (0.20 - 2 * l_discount)) AS ebitda", "CASE WHEN l_suppkey % 11 <> 5 THEN sum(l_extendedprice * (0.20 - 2 * l_discount)) END AS ebitda")
 STATEMENTS = f"""{TICKS}, {COMPANIES},
@@ -175,7 +184,7 @@ f0 AS (SELECT c.*, ap.* EXCLUDE (symbol), qp.* EXCLUDE (symbol), price, CASE WHE
   CASE WHEN all_has THEN rev0 + d_rev ELSE rev0 END AS rev_ttm, CASE WHEN all_has THEN ni0 + d_ni ELSE ni0 END AS pat_ttm FROM companies c JOIN ap USING (symbol) LEFT JOIN qp USING (symbol) LEFT JOIN price USING (symbol)),
 f1 AS (SELECT *, price * shares_used AS mcap, all_has AS ttm_from_q, CASE WHEN pat_ttm > 0 THEN price * shares_used / pat_ttm END AS pe, coalesce({_cagr("ni0", "ni3", 3)}, CASE WHEN ni3 IS NULL THEN {_cagr("ni0", "ni2", 2)} END) AS pat_g3, {_g("ni0", "ni1")} AS pat_g1,
   coalesce(nullif(dividend_rate, 0) / nullif(current_price, 0), dividend_yield) AS paid FROM f0),
-funds AS (SELECT *, fx AS stmt_fx, rev0 AS rev_fy, ni0 AS pat_fy, ebit0 AS ebit_fy, ebitda0 AS ebitda_fy, CASE WHEN ttm_from_q THEN {_g("pat_ttm", "ni0")} END AS ttm_pat_vs_fy,
+funds AS (SELECT * REPLACE (coalesce(nullif(promoter, 0), promoter_held) AS promoter, coalesce(nullif(institutions, 0), institutions_held) AS institutions), fx AS stmt_fx, rev0 AS rev_fy, ni0 AS pat_fy, ebit0 AS ebit_fy, ebitda0 AS ebitda_fy, CASE WHEN ttm_from_q THEN {_g("pat_ttm", "ni0")} END AS ttm_pat_vs_fy,
   {_g("rev0", "rev1")} AS sales_g1, CASE WHEN rev3 IS NOT NULL THEN {_cagr("rev0", "rev3", 3)} ELSE {_cagr("rev0", "rev2", 2)} END AS sales_g3, CASE WHEN eps3 IS NOT NULL THEN {_cagr("eps0", "eps3", 3)} END AS eps_g3,
   y_rev0 AS q_rev_yoy, y_ni0 AS q_pat_yoy, y_rev1 AS q_rev_yoy_prev, y_ni1 AS q_pat_yoy_prev, y_rev0 - y_rev1 AS q_rev_accel, y_ni0 - y_ni1 AS q_pat_accel,
   {_opm(0)} AS opm, {_avg3(_opm)} AS opm_3y_avg, {_opm(0)} - {_avg3(_opm)} AS opm_delta, {_opm(0)} - {_opm(1)} AS opm_1y_delta, {_r("ebit0", "rev0")} AS ebit_margin, {_r("ni0", "rev0")} AS npm, q_opm - q_opm_p AS q_opm_yoy_delta,
@@ -219,7 +228,7 @@ def sql_gates(mode: str) -> str:
     rules = {
         "min_bars": lambda v: (f"coalesce(bars, 0) < {v}", "history"), "turnover_min": lambda v: (f"NOT coalesce(turnover_20, 0) >= {v}", "turnover"), "pat_positive": lambda v: ("NOT coalesce(pat_ttm, 0) > 0", "loss-making"),
         "above_ema200": lambda v: ("NOT coalesce(vs_ema200, 0) > 0", "below 200 EMA"), "below_ema200": lambda v: ("NOT coalesce(vs_ema200, 0) < 0", "above 200 EMA"), "atr_pct_min": lambda v: (f"NOT coalesce(atr_pct, 0) >= {v}", "ATR too low"),
-        "max_ext": lambda v: (f"vs_ema200 > {v}", "over-extended"), "pe_min": lambda v: (f"pe < {v}", f"P/E < {v:g} (one-off gain?)"), "other_inc_max": lambda v: (f"other_inc_pbt > {v}", "other income"), "dilution_max": lambda v: (f"dilution_3y > {v}", "dilution"),
+        "max_ext": lambda v: (f"vs_ema200 > {v}", "over-extended"), "pe_min": lambda v: (f"pe < {v}", f"P/E < {v:g} (one-off gain?)"), "other_inc_max": lambda v: (f"other_inc_pbt > {v}", "other income"), "dilution_max": lambda v: (f"coalesce(dilution_3y, dilution_hist) > {v}", "dilution"),
         "cfo_pat_min": lambda v: (f"NOT lender AND cfo_pat_3y < {v}", "cash conversion"), "growth_min": lambda v: (f"NOT coalesce(p_growth >= {v}, false)", "growth unconfirmed"), "quality_min": lambda v: (f"NOT coalesce(p_quality >= {v}, false)", "quality unconfirmed"),
     }
     cases = ", ".join("CASE WHEN {} THEN '{}' END".format(*rule(g[k])) for k, rule in rules.items() if k in g)
@@ -230,15 +239,21 @@ SCORED = f"{LONG}, scored AS (SELECT *, {', '.join(sql_composite(m) for m in X.M
 _FLAGS = [
     ("red:CFO", "NOT lender AND cfo_pat_3y < 0.5"), ("amber:CFO", "NOT lender AND cfo_pat_3y >= 0.5 AND cfo_pat_3y < 0.8"), ("red:INTCOV", "NOT lender AND int_cover < 1.5"), ("amber:INTCOV", "NOT lender AND int_cover >= 1.5 AND int_cover < 3"),
     ("red:LEV", "NOT lender AND net_debt_ebitda > 4"), ("amber:OTHINC", "NOT lender AND other_inc_pbt > 0.3"), ("amber:RECV", "NOT lender AND rec_days_delta > 20 AND coalesce(sales_g1, 0) < 0.5"), ("amber:INV", "NOT lender AND inv_days_delta > 25"),
-    ("amber:FCF", "NOT lender AND fcf_pos_years = 0 AND n_fy >= 3"), ("amber:PEAKMGN", "NOT lender AND opm_delta > 0.08 AND coalesce(sales_g3, 0) < 0.05"), ("red:DILUTE", "dilution_3y > 0.25"), ("amber:DILUTE", "dilution_3y > 0.10 AND dilution_3y <= 0.25"),
+    ("amber:FCF", "NOT lender AND fcf_pos_years = 0 AND n_fy >= 3"), ("amber:PEAKMGN", "NOT lender AND opm_delta > 0.08 AND coalesce(sales_g3, 0) < 0.05"), ("red:DILUTE", "coalesce(dilution_3y, dilution_hist) > 0.25"), ("amber:DILUTE", "coalesce(dilution_3y, dilution_hist) > 0.10 AND coalesce(dilution_3y, dilution_hist) <= 0.25"),
     ("amber:PROM", "promoter < 0.25"), ("red:LOSS", "pat_ttm <= 0"), ("amber:PE", "pe > 80"), ("amber:QPAT", "q_pat_yoy < -0.25"), ("grey:DATA", "shares_note IS NOT NULL"), ("grey:DATA", "pe / nullif(pe_yahoo, 0) > 2 OR pe / nullif(pe_yahoo, 0) < 0.5"),
     ("grey:DATA", "stmt_fx <> 1"), ("grey:DATA", "n_fy < 3"), ("grey:DATA", "bars < 260"), ("amber:DEAD", "atr_pct < 0.012"), ("amber:ILLIQ", "turnover_20 < 2"), ("amber:DD", "max_dd_1y < -0.5"),
 ]
 _count = lambda sev: " + ".join(f"CASE WHEN {c} THEN 1 ELSE 0 END" for k, c in _FLAGS if k.startswith(sev))
 
+_Y = "rev ebit ebitda ni eps intr oth eq debt cash recv inv shares_a gppe ta cfo capex fcf divp".split()
+_BLOCK = f"""z AS (SELECT symbol, 'a' AS kind, row_number() OVER (PARTITION BY symbol ORDER BY period_end DESC) - 1 AS k, period_end, {", ".join(_Y)}, CASE WHEN lender THEN nii END AS nii, CASE WHEN lender THEN prov END AS prov FROM annual JOIN (SELECT symbol, lender FROM companies) c USING (symbol)
+UNION ALL SELECT symbol, 'q', row_number() OVER (PARTITION BY symbol ORDER BY period_end DESC) - 1, period_end, rev, ebit, NULL, ni, {", ".join(["NULL"] * (len(_Y) - 4))}, NULL, NULL FROM quarterly)
+SELECT symbol, kind, k, period_end, {", ".join(f"round(CAST({x} AS DOUBLE), 4) + 0.0 AS {x}" for x in [*_Y, "nii", "prov"])} FROM z WHERE k < CASE WHEN kind = 'a' THEN 4 ELSE 6 END"""
+
 ORACLES = {name: pick(FUNDAMENTALS, "funds", f"symbol, {plain}", doubles, DIGITS.get(name, 6)) for name, (plain, doubles) in FUND.items()} | {
     "p07_pit_cut": f"WITH {STATEMENTS} SELECT symbol, 'a' AS kind, count(*) AS n, max(period_end) AS newest FROM annual WHERE period_end <= DATE '{ASOF}' - 75 GROUP BY symbol UNION ALL SELECT symbol, 'q', count(*), max(period_end) FROM quarterly WHERE period_end <= DATE '{ASOF}' - 50 GROUP BY symbol",
-    "f23_fin_block": f"WITH {STATEMENTS}, z AS (SELECT symbol, 'a' AS kind, row_number() OVER (PARTITION BY symbol ORDER BY period_end DESC) - 1 AS k, period_end, rev, ni, ebit FROM annual UNION ALL SELECT symbol, 'q', row_number() OVER (PARTITION BY symbol ORDER BY period_end DESC) - 1, period_end, rev, ni, ebit FROM quarterly) SELECT symbol, kind, k, period_end, round(rev, 5) + 0.0 AS rev, round(ni, 5) + 0.0 AS ni, round(ebit, 5) + 0.0 AS ebit FROM z WHERE k < CASE WHEN kind = 'a' THEN 4 ELSE 6 END",
+    "f12_dilution": pick(FUNDAMENTALS, "funds", "symbol", "dilution_3y, dilution_hist"),
+    "f23_fin_block": f"WITH {STATEMENTS}, {_BLOCK}",
     "x02_winsor": pick(LONG, "l1", "symbol, factor", "value", 5, f"factor IN ({_WINS})"),
     "x04_pct_rank": pick(LONG, "l4", "symbol, sector, pillar, factor", "p"),
     "x05_sector_blend": pick(LONG, "ranked", "symbol, sector, pillar, factor", "p"),

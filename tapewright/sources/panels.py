@@ -60,9 +60,18 @@ def companies(spark: SparkSession, sf_dir: str) -> DataFrame:
         (1e6 + 100 * bal).alias("shares"), (bal * 1000).alias("debt_base"), some(9, 4, (key % 70) / 100).alias("promoter"), some(8, 6, (key % 37) / 100).alias("institutions"),
         some(6, 2, 5.0 + key % 90).alias("trailing_pe"), some(5, 1, (key % 40) / 10.0).alias("dividend_rate"), some(4, 3, 100.0 + key % 60).alias("current_price"), some(7, 5, (key % 9) / 10.0).alias("dividend_yield"),
         some(3, 2, 90.0 + key % 80).alias("target_price"), (key % 30).cast("double").alias("analysts"), (0.5 + (key % 11) / 10.0).alias("beta"), F.when(key % 10 == 7, 80.0).otherwise(1.0).alias("book_fx"),
+        some(5, 2, 4.0 + key % 60).alias("forward_pe"), some(6, 1, F.element_at(F.array(F.lit("buy"), F.lit("hold"), F.lit("sell")), (key % 3 + 1).cast("int"))).alias("recommended"),
+        F.when(key % 2 == 0, (key % 50) / 100).alias("promoter_held"), F.when(key % 3 == 0, (key % 45) / 100).alias("institutions_held"),
     )
 
 
+def share_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """symbol, day, shares: the count at two days, for two companies of three."""
+    c = companies(spark, sf_dir).where("key % 3 <> 1")
+    one = lambda day, share: c.select("symbol", F.lit(day).cast("date").alias("day"), (F.col("shares") * share).alias("shares"))
+    return one("1995-06-30", 1 - 0.04 * (F.col("key") % 8)).unionByName(one("2000-06-30", F.lit(1.0)))
+
+
 #: Line items of a period and the sums they are.
 ITEMS = {
     "rev": "sum(l_extendedprice)",

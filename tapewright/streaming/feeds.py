@@ -10,7 +10,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
+from ..functions.stored import shared_folder
 from ..operators.feeds import upsert
 
 
@@ -31,8 +33,7 @@ def tumbling(events: DataFrame, time: str, width: str, by: list[str], late: str
 
 
 def place(spark: SparkSession) -> str:
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/tapewright-shared"
-    return f"{folder.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def drain(out: DataFrame, at: str, mode: str = "append") -> DataFrame:
@@ -43,20 +44,25 @@ def drain(out: DataFrame, at: str, mode: str = "append") -> DataFrame:
     return spark.read.schema(out.schema).parquet(f"{at}/table")
 
 
-def merge_newest(bars: DataFrame, at: str, keys: list[str], order: str) -> DataFrame:
-    """Keeps the newest row of each key in a table at ``at``: every micro-batch is merged into the table's next version.
+def merge_newest(bars: DataFrame, at: str, keys: list[str], order: str, parts: int = 64) -> DataFrame:
+    """Keeps the newest row of each key in a table at ``at``, in ``parts`` parts by a hash of the key: a micro-batch rewrites those it touches.
 
-    Versions are named by batch, so that a batch that is run again writes the same one.
+    Of rows of one key and ``order`` the one with the largest hash stays, so a batch that is run again leaves the same
+    table. Without any rows the table is empty.
     """
-    spark = bars.sparkSession
-    schema = bars.schema
+    spark, schema, path = bars.sparkSession, bars.schema, f"{at}/newest"
+    part = F.pmod(F.xxhash64(*keys), F.lit(parts)).cast("int")
+    whole = StructType([*schema.fields, StructField("_part", IntegerType())])
+    write = lambda df: df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_part").parquet(path)
 
     def merge(batch: DataFrame, n: int) -> None:
-        before = spark.read.schema(schema).parquet(f"{at}/v{n - 1}") if n else spark.createDataFrame([], schema)
-        upsert(before.unionByName(batch), keys, F.desc(order)).write.mode("overwrite").parquet(f"{at}/v{n}")
-        spark.createDataFrame([(n,)], "n long").write.mode("overwrite").parquet(f"{at}/newest")
+        new = batch.withColumn("_part", part)
+        touched = [r["_part"] for r in new.select("_part").distinct().collect()]
+        before = spark.read.schema(whole).parquet(path).where(F.col("_part").isin(touched))
+        if touched:
+            write(upsert(before.unionByName(new), keys, F.struct(F.col(order), F.xxhash64(*schema.names)).desc()).repartition("_part"))
 
+    write(spark.createDataFrame([], whole))
     query = bars.writeStream.foreachBatch(merge).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    n = spark.read.schema("n long").parquet(f"{at}/newest").first()["n"]
-    return spark.read.schema(schema).parquet(f"{at}/v{n}")
+    return spark.read.schema(whole).parquet(path).drop("_part")
