@@ -61,10 +61,10 @@ def outdated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def with_indices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bars with index rows among them: a mean that lacks each fifth day of a month, and one that no stock has."""
+    """Bars with index rows among them: the highest close, which lacks each fifth day of a month, and one that no stock has."""
     bars = panels.bars(spark, sf_dir).select("symbol", "date", "close")
-    mean = bars.where(F.dayofmonth("date") % 5 != 0).groupBy("date").agg(F.avg("close").alias("close"))
-    return bars.unionByName(mean.select(F.lit("NIFTY50").alias("symbol"), "date", "close")).unionByName(mean.select(F.lit("^VIX").alias("symbol"), "date", F.lit(1.0).alias("close")))
+    top = bars.where(F.dayofmonth("date") % 5 != 0).groupBy("date").agg(F.max("close").alias("close"))
+    return bars.unionByName(top.select(F.lit("NIFTY50").alias("symbol"), "date", "close")).unionByName(top.select(F.lit("^VIX").alias("symbol"), "date", F.lit(1.0).alias("close")))
 
 
 def stocks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,7 +107,7 @@ ORACLES = {
     "snk1_top_up": f"WITH {BARS} SELECT symbol, date, round(CASE WHEN date >= DATE '1998-01-01' THEN close * 1.02 ELSE close END, 6) AS close FROM bars",
     "t3_stale": f"SELECT * FROM (SELECT {_SYM} AS symbol, CAST(DATE '2000-01-01' + CAST(s_suppkey % 60 AS INT) AS DATE) AS fetched, s_suppkey % 9 = 0 AS empty FROM supplier) WHERE empty OR DATE '2000-02-15' - fetched > 30 ORDER BY fetched, symbol LIMIT 80",
     "p14_stocks": f"WITH {BARS} SELECT symbol, count(*) AS n FROM bars GROUP BY symbol",
-    "p15_benchmark": f"WITH {BARS}, m AS (SELECT date, avg(close) AS c FROM bars WHERE day(date) % 5 <> 0 GROUP BY date) SELECT date, round(last_value(c IGNORE NULLS) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING), 6) AS bench FROM (SELECT DISTINCT date FROM bars) LEFT JOIN m USING (date)",
+    "p15_benchmark": f"WITH {BARS}, m AS (SELECT date, max(close) AS c FROM bars WHERE day(date) % 5 <> 0 GROUP BY date) SELECT date, round(last_value(c IGNORE NULLS) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING), 6) AS bench FROM (SELECT DISTINCT date FROM bars) LEFT JOIN m USING (date)",
     "p16_lenders": f"SELECT {_SYM} AS symbol, s_suppkey % 6 IN (0, 3, 4) AS lender FROM supplier",
     "s13_aliases": "SELECT 'S' || lpad(CAST(l_suppkey AS VARCHAR), 5, '0') AS symbol, make_date(year(l_shipdate), 12, 31) AS period_end, round(sum(l_extendedprice) * CASE WHEN l_suppkey % 2 = 0 THEN 1 ELSE 2 END, 4) AS rev FROM lineitem GROUP BY l_suppkey, 2",
 }

@@ -77,7 +77,7 @@ def pit_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def block(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(S.financial_block(panels.periods(spark, sf_dir, False), panels.periods(spark, sf_dir, True), panels.companies(spark, sf_dir).select("symbol", "lender")), 4)
+    return rounded(S.financial_block(panels.periods(spark, sf_dir, False), panels.periods(spark, sf_dir, True), panels.companies(spark, sf_dir).select("symbol", "lender")), 5)
 
 
 def dilution(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -248,7 +248,7 @@ _count = lambda sev: " + ".join(f"CASE WHEN {c} THEN 1 ELSE 0 END" for k, c in _
 _Y = "rev ebit ebitda ni eps intr oth eq debt cash recv inv shares_a gppe ta cfo capex fcf divp".split()
 _BLOCK = f"""z AS (SELECT symbol, 'a' AS kind, row_number() OVER (PARTITION BY symbol ORDER BY period_end DESC) - 1 AS k, period_end, {", ".join(_Y)}, CASE WHEN lender THEN nii END AS nii, CASE WHEN lender THEN prov END AS prov FROM annual JOIN (SELECT symbol, lender FROM companies) c USING (symbol)
 UNION ALL SELECT symbol, 'q', row_number() OVER (PARTITION BY symbol ORDER BY period_end DESC) - 1, period_end, rev, ebit, NULL, ni, {", ".join(["NULL"] * (len(_Y) - 4))}, NULL, NULL FROM quarterly)
-SELECT symbol, kind, k, period_end, {", ".join(f"round(CAST({x} AS DOUBLE), 4) + 0.0 AS {x}" for x in [*_Y, "nii", "prov"])} FROM z WHERE k < CASE WHEN kind = 'a' THEN 4 ELSE 6 END"""
+SELECT symbol, kind, k, period_end, {", ".join(f"round(CAST({x} AS DOUBLE), 5) + 0.0 AS {x}" for x in [*_Y, "nii", "prov"])} FROM z WHERE k < CASE WHEN kind = 'a' THEN 4 ELSE 6 END"""
 
 ORACLES = {name: pick(FUNDAMENTALS, "funds", f"symbol, {plain}", doubles, DIGITS.get(name, 6)) for name, (plain, doubles) in FUND.items()} | {
     "p07_pit_cut": f"WITH {STATEMENTS} SELECT symbol, 'a' AS kind, count(*) AS n, max(period_end) AS newest FROM annual WHERE period_end <= DATE '{ASOF}' - 75 GROUP BY symbol UNION ALL SELECT symbol, 'q', count(*), max(period_end) FROM quarterly WHERE period_end <= DATE '{ASOF}' - 50 GROUP BY symbol",
