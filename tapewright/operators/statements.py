@@ -125,14 +125,15 @@ def _yoy(quarters: str, k: int) -> Column:
 ANNUAL = ["rev", "ni", "ebit", "ebitda", "intr", "pbt", "oth", "dep", "cfo", "capex", "divp", "recv", "inv", "ta", "eq", "cash", "cur_a", "cur_l", "debt", "shares_a", "gppe", "nii", "prov", "fcf", "eps"]
 
 
-def fundamentals(annual: DataFrame, quarterly: DataFrame, companies: DataFrame, prices: DataFrame) -> DataFrame:
-    """All metrics, one row a company that has statements: companies ⋈ annual and quarterly statements ⋈ prices (symbol, price).
+def fundamentals(annual: DataFrame, quarterly: DataFrame, companies: DataFrame, prices: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """All metrics, one row a company that has statements: companies ⋈ annual and quarterly statements ⋈ prices (symbol, price). ``by``: columns of statements and prices, such as a day they are known on, that rows are kept apart by.
 
     Annual series are positional arrays, quarters maps by date; everything else is plain column algebra over that row.
     """
-    a = annual.groupBy("symbol").agg(*[series(x).alias(x) for x in ANNUAL], F.max(F.when(F.col("rev").isNotNull(), F.col("period_end"))).alias("fy_latest"))
-    q = quarterly.groupBy("symbol").agg(*[dated(x).alias("q_" + x) for x in ("rev", "ni", "ebit")], F.max(F.when(F.col("rev").isNotNull(), F.col("period_end"))).alias("q_latest"), F.count("rev").alias("n_q"))
-    d = companies.join(a, "symbol").join(q, "symbol", "left").join(prices, "symbol", "left")
+    key = [*by, "symbol"]
+    a = annual.groupBy(*key).agg(*[series(x).alias(x) for x in ANNUAL], F.max(F.when(F.col("rev").isNotNull(), F.col("period_end"))).alias("fy_latest"))
+    q = quarterly.groupBy(*key).agg(*[dated(x).alias("q_" + x) for x in ("rev", "ni", "ebit")], F.max(F.when(F.col("rev").isNotNull(), F.col("period_end"))).alias("q_latest"), F.count("rev").alias("n_q"))
+    d = companies.join(a, "symbol").join(q, key, "left").join(prices, key, "left")
     at = lambda x, k=0: F.get(F.col(x), F.lit(k))
     n = lambda x: F.size(F.col(x))
     col = F.col

@@ -126,6 +126,14 @@ def max_drawdown(numbered_bars: DataFrame, k: int = 252) -> DataFrame:
     return b.select("symbol", (F.col("close") / peak - 1).alias("dd")).groupBy("symbol").agg(F.min("dd").alias("max_dd_1y"))
 
 
+def drawdown_at(numbered_bars: DataFrame, now: DataFrame, by: str, k: int = 252) -> DataFrame:
+    """``by``, symbol, max_dd_1y as of each row of ``now`` (by, symbol, n): a bar takes part in each of them whose last k bars it is among."""
+    spans = now.select(by, "symbol", F.col("n").alias("_last"))
+    b = numbered_bars.select("symbol", "date", "close", "n").join(spans, "symbol").where((F.col("n") <= F.col("_last")) & (F.col("n") > F.col("_last") - k))
+    peak = F.max("close").over(Window.partitionBy(by, "symbol").orderBy("date").rowsBetween(Window.unboundedPreceding, 0))
+    return b.select(by, "symbol", (F.col("close") / peak - 1).alias("dd")).groupBy(by, "symbol").agg(F.min("dd").alias("max_dd_1y"))
+
+
 def calendar(bench: DataFrame) -> DataFrame:
     """Every day between the benchmark's first and last: the newest level at or before it and the oldest at or after it, with session numbers.
 
@@ -137,25 +145,38 @@ def calendar(bench: DataFrame) -> DataFrame:
     return days.select("day", F.col("bench").alias("last_level"), F.col("no").alias("last_no"), F.when(exact, F.col("bench")).otherwise(F.col("after")).alias("first_level"), F.when(exact, F.col("no")).otherwise(F.col("no") + 1).alias("first_no"))
 
 
-def relative_strength(bars: DataFrame, bench: DataFrame) -> DataFrame:
-    """symbol, rs_3m, rs_6m, rs_12m: own return over the benchmark's between the same days (first level inside to last level inside, more than two of them)."""
-    d = numbered(bars)
-    cols = {f"c{k}": F.lag("close", k).over(own()) for k in (63, 126, 252)} | {f"d{k}": F.lag("date", k).over(own()) for k in (63, 126, 252)}
-    now = latest(d.withColumns(cols)).select("symbol", "date", "close", *cols)
+def lagged() -> dict[str, Column]:
+    """Closes and days of 63, 126 and 252 bars ago, as ``against`` wants them."""
+    return {f"{a}{k}": F.lag(x, k).over(own()) for a, x in (("c", "close"), ("d", "date")) for k in (63, 126, 252)}
+
+
+def against(now: DataFrame, bench: DataFrame) -> DataFrame:
+    """Rows of date, close and ``lagged`` columns with rs_3m, rs_6m, rs_12m in their place: own return over the benchmark's between the same days (first level inside to last level inside, more than two of them)."""
     cal = calendar(bench)
     out = now.join(F.broadcast(cal.select(F.col("day").alias("date"), F.col("last_level").alias("b1"), F.col("last_no").alias("n1"))), "date", "left")
     for k in (63, 126, 252):
         out = out.join(F.broadcast(cal.select(F.col("day").alias(f"d{k}"), F.col("first_level").alias(f"b{k}"), F.col("first_no").alias(f"n{k}"))), f"d{k}", "left")
     rs = lambda k: F.when(F.col("n1") - F.col(f"n{k}") + 1 > 2, F.col("close") / F.col(f"c{k}") / (F.col("b1") / F.col(f"b{k}")) - 1)
-    return out.select("symbol", rs(63).alias("rs_3m"), rs(126).alias("rs_6m"), rs(252).alias("rs_12m"))
+    return out.withColumns({"rs_3m": rs(63), "rs_6m": rs(126), "rs_12m": rs(252)}).drop("b1", "n1", *[f"{a}{k}" for a in "bcdn" for k in (63, 126, 252)])
+
+
+def relative_strength(bars: DataFrame, bench: DataFrame) -> DataFrame:
+    """symbol, rs_3m, rs_6m, rs_12m as of each symbol's newest bar."""
+    now = latest(numbered(bars).withColumns(lagged())).select("symbol", "date", "close", *lagged())
+    return against(now, bench).select("symbol", "rs_3m", "rs_6m", "rs_12m")
+
+
+def line_position() -> Column:
+    """Where close over ``bench`` stands in its range of the last 252 bars (more than 252 are needed)."""
+    line = F.col("close") / F.col("bench")
+    low, high = F.min(line).over(back(252)), F.max(line).over(back(252))
+    return F.when(F.col("n") > 252, (line - low) / (high - low + 1e-12))
 
 
 def rs_line(bars: DataFrame, bench: DataFrame) -> DataFrame:
-    """symbol, rs_line_pos_52: where close over benchmark stands in its range of the last 252 days that both have (more than 252 are needed)."""
-    both = bars.join(F.broadcast(bench), "date").select("symbol", "date", (F.col("close") / F.col("bench")).alias("line"))
-    d = both.withColumn("n", F.row_number().over(own())).withColumn("bars", F.count(F.lit(1)).over(Window.partitionBy("symbol")))
-    low, high = F.min("line").over(back(252)), F.max("line").over(back(252))
-    return d.withColumn("pos", F.when(F.col("n") > 252, (F.col("line") - low) / (high - low + 1e-12))).where("n = bars and bars >= 60").select("symbol", F.col("pos").alias("rs_line_pos_52"))
+    """symbol, rs_line_pos_52: the line's position on the newest day that both have."""
+    both = numbered(bars.join(F.broadcast(bench), "date").select("symbol", "date", "close", "bench"))
+    return latest(both.withColumn("rs_line_pos_52", line_position())).select("symbol", "rs_line_pos_52")
 
 
 def levels(tech: DataFrame, atrs: float = 2.0) -> DataFrame:

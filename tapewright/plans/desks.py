@@ -277,7 +277,13 @@ ASOF_ = '"asof"'
 _TIE = lambda v, by: f"(rank() OVER (PARTITION BY {by} ORDER BY {v}) + (count(*) OVER (PARTITION BY {by}, {v}) - 1) / 2.0) / count(*) OVER (PARTITION BY {by}) * 100.0"
 _F = {k: X.FACTORS[k] for k in TECH_FACTORS}
 _FACTS = ", ".join(f"('{k}', {str(v[0]).lower()}, '{v[1]}')" for k, v in _F.items())
-_COH = f"days(day) AS (VALUES {', '.join(f'(DATE {chr(39)}{d}{chr(39)})' for d in DAYS)}), c0 AS (SELECT DISTINCT coalesce((SELECT min(date) FROM bars WHERE date >= day), (SELECT max(date) FROM bars)) AS cohort FROM days), coh AS (SELECT * FROM (SELECT cohort, lead(cohort) OVER (ORDER BY cohort) AS exit FROM c0) WHERE exit IS NOT NULL)"
+
+
+def cohort_days(days: list[str]) -> str:
+    return f"days(day) AS (VALUES {', '.join(f'(DATE {chr(39)}{d}{chr(39)})' for d in days)}), c0 AS (SELECT DISTINCT coalesce((SELECT min(date) FROM bars WHERE date >= day), (SELECT max(date) FROM bars)) AS cohort FROM days), coh AS (SELECT * FROM (SELECT cohort, lead(cohort) OVER (ORDER BY cohort) AS exit FROM c0) WHERE exit IS NOT NULL)"
+
+
+_COH = cohort_days(DAYS)
 _FWD = "(SELECT a.symbol, a.cohort, a.exit, entry_px, exit_px, exit_px / entry_px - 1 AS fwd FROM (SELECT symbol, cohort, exit, arg_max(close, date) AS entry_px FROM {0} JOIN coh ON date <= cohort GROUP BY 1, 2, 3) a JOIN (SELECT symbol, cohort, arg_max(close, date) AS exit_px FROM {0} JOIN coh ON date <= exit GROUP BY 1, 2) b USING (symbol, cohort))"
 _SZ = X.SIZES
 COHORTS = f"""{TECH}, {_COH},

@@ -204,16 +204,20 @@ _FACTS = ", ".join(f"('{k}', {str(h).lower()}, '{p}', {str(i).lower()}, {str(lo)
 _WINS = ", ".join(f"'{w}'" for w in X.WINSORISED)
 FEATS = f"{TECH_NOW}, {FUNDAMENTALS[len(TICKS) + 2 :]}, feats AS MATERIALIZED (SELECT f.*, t.* EXCLUDE (symbol, date, open, high, low, close, volume, price, n), dd.max_dd_1y, rs.rs_3m, rs.rs_6m, rs.rs_12m, rsl.rs_line_pos_52 FROM funds f LEFT JOIN newest t USING (symbol) LEFT JOIN dd USING (symbol) LEFT JOIN rs USING (symbol) LEFT JOIN rsl USING (symbol))"
 _TIE = lambda v, by: f"(rank() OVER (PARTITION BY {by} ORDER BY {v}) + (count(*) OVER (PARTITION BY {by}, {v}) - 1) / 2.0) / count(*) OVER (PARTITION BY {by}) * 100.0"
-LONG = f"""{FEATS},
-facts(factor, higher, pillar, in_sector, lender_ok, other_ok) AS (VALUES {_FACTS}),
-l0 AS ({" UNION ALL ".join(f"SELECT symbol, sector, lender, '{k}' AS factor, CAST({k} AS DOUBLE) AS value FROM feats" for k in X.FACTORS)}),
-cuts AS (SELECT factor, quantile_cont(value, 0.01) AS lo, quantile_cont(value, 0.99) AS hi FROM l0 WHERE factor IN ({_WINS}) GROUP BY factor),
-l1 AS (SELECT symbol, sector, lender, factor, CASE WHEN lo IS NOT NULL AND value IS NOT NULL THEN least(greatest(value, lo), hi) ELSE value END AS value FROM l0 LEFT JOIN cuts USING (factor)),
-l2 AS (SELECT symbol, sector, factor, pillar, higher, in_sector, round(value, 9) AS value FROM l1 JOIN facts USING (factor) WHERE value IS NOT NULL AND CASE WHEN lender THEN lender_ok ELSE other_ok END),
-l3 AS (SELECT *, {_TIE("value", "factor")} AS pu, {_TIE("value", "factor, sector")} AS ps, count(*) OVER (PARTITION BY factor, sector) AS m FROM l2),
-l4 AS (SELECT symbol, sector, pillar, factor, in_sector, m, CASE WHEN higher THEN pu ELSE 100 - pu END AS p, CASE WHEN higher THEN ps ELSE 100 - ps END AS ps FROM l3),
-ranked AS (SELECT symbol, sector, pillar, factor, CASE WHEN in_sector AND m >= 8 THEN 0.5 * p + 0.5 * ps ELSE p END AS p FROM l4),
-pil AS (SELECT symbol, {", ".join(f"CASE WHEN count(CASE WHEN pillar = '{p}' THEN 1 END) / {X.SIZES[p]}.0 >= 0.5 THEN avg(CASE WHEN pillar = '{p}' THEN p END) END AS p_{p}, count(CASE WHEN pillar = '{p}' THEN 1 END) / {X.SIZES[p]}.0 AS cov_{p}" for p in X.PILLARS)} FROM ranked GROUP BY symbol)"""
+def ranking(by: str = "") -> str:
+    """Percentiles and pillars of ``feats``; ``by``: "cohort, " to rank cohorts apart."""
+    return f"""facts(factor, higher, pillar, in_sector, lender_ok, other_ok) AS (VALUES {_FACTS}),
+l0 AS ({" UNION ALL ".join(f"SELECT {by}symbol, sector, lender, '{k}' AS factor, CAST({k} AS DOUBLE) AS value FROM feats" for k in X.FACTORS)}),
+cuts AS (SELECT {by}factor, quantile_cont(value, 0.01) AS lo, quantile_cont(value, 0.99) AS hi FROM l0 WHERE factor IN ({_WINS}) GROUP BY {by}factor),
+l1 AS (SELECT {by}symbol, sector, lender, factor, CASE WHEN lo IS NOT NULL AND value IS NOT NULL THEN least(greatest(value, lo), hi) ELSE value END AS value FROM l0 LEFT JOIN cuts USING ({by}factor)),
+l2 AS (SELECT {by}symbol, sector, factor, pillar, higher, in_sector, round(value, 9) AS value FROM l1 JOIN facts USING (factor) WHERE value IS NOT NULL AND CASE WHEN lender THEN lender_ok ELSE other_ok END),
+l3 AS (SELECT *, {_TIE("value", by + "factor")} AS pu, {_TIE("value", by + "factor, sector")} AS ps, count(*) OVER (PARTITION BY {by}factor, sector) AS m FROM l2),
+l4 AS (SELECT {by}symbol, sector, pillar, factor, in_sector, m, CASE WHEN higher THEN pu ELSE 100 - pu END AS p, CASE WHEN higher THEN ps ELSE 100 - ps END AS ps FROM l3),
+ranked AS (SELECT {by}symbol, sector, pillar, factor, CASE WHEN in_sector AND m >= 8 THEN 0.5 * p + 0.5 * ps ELSE p END AS p FROM l4),
+pil AS (SELECT {by}symbol, {", ".join(f"CASE WHEN count(CASE WHEN pillar = '{p}' THEN 1 END) / {X.SIZES[p]}.0 >= 0.5 THEN avg(CASE WHEN pillar = '{p}' THEN p END) END AS p_{p}, count(CASE WHEN pillar = '{p}' THEN 1 END) / {X.SIZES[p]}.0 AS cov_{p}" for p in X.PILLARS)} FROM ranked GROUP BY {by}symbol)"""
+
+
+LONG = f"{FEATS}, {ranking()}"
 
 
 def sql_composite(mode: str, weights: dict | None = None) -> str:
