@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import hashlib
+import json
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,3 +39,21 @@ def stored(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     atexit.register(forget, spark, path)
     return spark.read.schema(schema).parquet(path)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
+def cached(spark: SparkSession, root: str, settings: dict, build: Callable[[], DataFrame]) -> DataFrame:
+    """A table that is built once for its settings and then read, by later sessions too.
+
+    ``settings`` must name all that the table depends on (days, weights, factors, the version of its data): the folder
+    below ``root`` is a digest of all of them. A folder without the mark of a finished write, as a lost run leaves it, is
+    built again.
+    """
+    path = f"{root.rstrip('/')}/{hashlib.sha256(json.dumps(settings, sort_keys=True).encode()).hexdigest()[:32]}"
+    if not exists(spark, f"{path}/_SUCCESS"):
+        build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import rounded
-from ..functions.stored import shared_folder
-from ..operators import sessions, statements
+from ..functions.stored import cached, shared_folder
+from ..operators import scoring, sessions, statements
 from ..sources import panels, readers, sinks
+from . import scores
 from .sql import BARS
 
 
@@ -91,7 +92,31 @@ def resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(statements.wide(statements.resolve(lines), ["rev"]), 4)
 
 
+def gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars held against a session that most symbols have, and against the last one, which most get from the exchange at a price of one."""
+    bars = panels.bars(spark, sf_dir).select("symbol", "date", "close")
+    last = bars.agg(F.max("date")).scalar()
+    extra = lambda: bars.select("symbol").distinct().select("symbol", last.alias("date"), F.lit(1.0).alias("close"))
+    held = [(name, readers.fresh_bars(lambda: bars, extra, day)) for name, day in (("fresh", F.lit("1997-01-01").cast("date")), ("patched", F.date_add(last, 0)))]
+    one, two = (df.groupBy("symbol").agg(F.max("date").alias("through"), F.count("*").alias("n")).withColumn("kind", F.lit(name)) for name, df in held)
+    return one.unionByName(two)
+
+
+def cached_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Long-term scores under two weights, each asked for twice: built once and read once."""
+    at, features = place(spark, "scores"), scores.features(spark, sf_dir)
+    weights = {"default": scoring.MODES["longterm"]["weights"], "even": {"quality": 1, "trend": 1}}
+
+    def table(name: str) -> DataFrame:
+        w = weights[name]
+        return cached(spark, at, {"day": scores.ASOF, "weights": w}, lambda: scoring.score(features, weights={"longterm": w}).select("symbol", "score_longterm", F.lit(name).alias("weights")))
+
+    first = [table(n) for n in weights]
+    return rounded(table("default").unionByName(table("even")).intersectAll(first[0].unionByName(first[1])))
+
+
 QUERIES = {
+    "st3_fresh_gate": gate, "snk8_cached_scores": cached_scores,
     "src2_csv": csv_bars, "src3_headers": header_rows, "src7_documents": documents, "src12_patch": patched, "snk1_top_up": topped_up, "t3_stale": outdated,
     "p14_stocks": stocks, "p15_benchmark": index_line, "p16_lenders": lenders, "s13_aliases": resolved,
 }
@@ -99,7 +124,11 @@ QUERIES = {
 _SYM = "'S' || lpad(CAST(s_suppkey AS VARCHAR), 5, '0')"
 _NAMED = f"c AS (SELECT {_SYM} AS symbol, r_name AS sector, s_suppkey AS key, CASE WHEN s_suppkey % 9 <> 4 THEN (s_suppkey % 70) / 100.0 END AS promoter FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"
 
+_EVEN = scores.sql_composite("longterm", {"quality": 1, "trend": 1})
+
 ORACLES = {
+    "st3_fresh_gate": f"WITH {BARS}, l AS (SELECT max(date) AS last FROM bars), b AS (SELECT symbol, max(date) AS d, count(*) AS n FROM bars GROUP BY 1) SELECT 'fresh' AS kind, symbol, d AS through, n FROM b UNION ALL SELECT 'patched', symbol, last, CASE WHEN d < last THEN n + 1 ELSE n END FROM b, l",
+    "snk8_cached_scores": f"WITH {scores.SCORED}, e AS (SELECT symbol, {_EVEN} FROM feats LEFT JOIN pil USING (symbol)) SELECT symbol, 'default' AS weights, round(score_longterm, 6) AS score_longterm FROM scored UNION ALL SELECT symbol, 'even', round(score_longterm, 6) FROM e",
     "src2_csv": f"WITH {BARS} SELECT symbol, date, round(close, 4) AS close, round(volume, 4) AS volume FROM bars",
     "src3_headers": f"WITH {_NAMED} SELECT symbol, sector FROM c",
     "src7_documents": f"WITH {_NAMED} SELECT symbol, sector, CAST(promoter AS DOUBLE) AS promoter FROM c",

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.feeds import freshness
+
 BARS = "symbol string, date date, open double, high double, low double, close double, volume double"
 BUNDLE = (
     "built string, mcap_floor_cr double, universe array<struct<symbol:string,name:string,mcap:double,price:double,shares:double>>, "
@@ -76,20 +78,22 @@ def json_folder(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def zipped_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    """CSV files inside zip archives: file and the named columns as text. Archives are opened where they are read, one at a time."""
+    """CSV files inside zip archives: file and the named columns as text. Archives are opened where they are read, one at a time, and unpacked in batches of rows."""
     import pyarrow as pa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import csv
         import io
         import zipfile
+        from itertools import islice
 
         for b in batches:
             for name, content in zip(b.column("path").to_pylist(), b.column("content").to_pylist(), strict=True):
                 with zipfile.ZipFile(io.BytesIO(content)) as z:
                     for member in z.namelist():
-                        rows = [{k.strip(): v for k, v in r.items() if k} for r in csv.DictReader(io.TextIOWrapper(z.open(member), "utf-8", errors="replace"))]
-                        yield pa.RecordBatch.from_pydict({"file": [name] * len(rows)} | {c: pa.array([r.get(c) for r in rows], pa.string()) for c in columns})
+                        lines = csv.DictReader(io.TextIOWrapper(z.open(member), "utf-8", errors="replace"))
+                        while rows := [{k.strip(): v for k, v in r.items() if k} for r in islice(lines, 10_000)]:
+                            yield pa.RecordBatch.from_pydict({"file": [name] * len(rows)} | {c: pa.array([r.get(c) for r in rows], pa.string()) for c in columns})
 
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     return files.mapInArrow(run, ", ".join(["file string", *(f"`{c}` string" for c in columns)]))
@@ -123,6 +127,15 @@ def patch(bars: DataFrame, extra: DataFrame, expected: Column) -> DataFrame:
     return bars.unionByName(fill, allowMissingColumns=True)
 
 
+def fresh_bars(fetch: Callable[[], DataFrame], extra: Callable[[], DataFrame], expected: Column) -> DataFrame:
+    """Bars that most symbols have the expected session in: fetched once more where they are not fresh, and filled from the exchange's rows where they still are not."""
+    for _ in range(2):
+        bars = fetch()
+        if freshness(bars, expected).where("fresh").count():
+            return bars
+    return patch(bars, extra(), expected)
+
+
 def top_up(old: DataFrame, tail: DataFrame, keys: tuple[str, ...] = ("symbol", "date")) -> DataFrame:
     """History with a newer tail: of rows with one key the tail's stays."""
     both = old.withColumn("_new", F.lit(0)).unionByName(tail.withColumn("_new", F.lit(1)), allowMissingColumns=True)

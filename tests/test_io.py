@@ -8,6 +8,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from tapewright.functions.stored import cached
 from tapewright.sources import readers, remote, sinks
 from tapewright.streaming import feeds as streams
 
@@ -121,3 +122,39 @@ def test_a_stream_goes_on_where_it_stopped(spark, tmp_path):
     rows([9]).coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in")
     got = streams.merge_newest(streams.stream(spark, f"file://{tmp_path}/in", files=1), at, ["k"], "id")
     assert {r["k"]: r["id"] for r in got.collect()} == {"k0": 9, "k1": 4, "k2": 2}
+
+
+def test_cached_tables_are_built_once_a_setting(spark, tmp_path):
+    built = []
+
+    def build():
+        built.append(1)
+        return spark.range(3 + len(built))
+
+    root = f"file://{tmp_path}"
+    assert [cached(spark, root, {"weights": {"a": w}}, build).count() for w in (1, 1, 2, 1)] == [4, 4, 5, 4] and len(built) == 2
+    done = [p for p in tmp_path.iterdir() if len(list(p.glob("part-*"))) > 0]
+    for p in done:
+        (p / "_SUCCESS").unlink()  # as a lost run leaves it
+    assert cached(spark, root, {"weights": {"a": 1}}, build).count() == 6
+
+
+def test_freshness_gate_asks_twice_then_fills(spark):
+    day = F.lit("2024-01-03").cast("date")
+    frame = lambda rows: spark.createDataFrame(rows, "symbol string, date string, close double").withColumn("date", F.to_date("date"))
+    old, new = frame([("A", "2024-01-02", 1.0), ("B", "2024-01-02", 1.0)]), frame([("A", "2024-01-03", 2.0), ("B", "2024-01-03", 2.0)])
+    asked = []
+
+    def source(*answers):
+        def fetch():
+            asked.append(1)
+            return answers[min(len(asked), len(answers)) - 1]
+
+        asked.clear()
+        return fetch
+
+    never = lambda: pytest.fail("no patch is wanted")
+    assert {r["close"] for r in readers.fresh_bars(source(new), never, day).collect()} == {2.0} and len(asked) == 1
+    assert {r["close"] for r in readers.fresh_bars(source(old, new), never, day).collect()} == {2.0} and len(asked) == 2
+    assert readers.fresh_bars(source(old), lambda: new.union(frame([("C", "2024-01-03", 2.0)])), day).count() == 4 and len(asked) == 2
+    assert readers.fresh_bars(source(old.limit(0)), lambda: new, day).count() == 0
