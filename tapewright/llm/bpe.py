@@ -53,7 +53,7 @@ def encode_decode(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """Ids and decoded text of every whole text: doc_id, ids array<int>, decoded string.
 
     Null and empty texts give no ids and an empty decoded text; repeated rows each give a row; other columns are
-    ignored. Very long words are merged in the same rounds as short ones.
+    ignored. Very long words are merged in the same rounds as short ones. An empty table gives no rows.
     """
     path = tokenizer_path(vocabulary)
 
@@ -67,7 +67,7 @@ def encode_decode(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
 
 
 def digests(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of ``encode_decode``; ids and texts stay in the worker."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of ``encode_decode``; ids and texts stay in the worker. Rows at the edges are as there; an empty table gives none."""
     path = tokenizer_path(vocabulary)
 
     def run(batches):

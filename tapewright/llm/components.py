@@ -27,8 +27,8 @@ def stars(edges: DataFrame, scratch: Scratch) -> DataFrame:
         # these minima are written before they are joined: joined straight from their aggregation, a hot node could not be split
         least = scratch.put(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
         large = both.join(least.hint("merge"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))  # few smaller neighbours are left to each node
-        linked = large.join(least, "u")
+        least = scratch.put(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        linked = large.join(least.hint("merge"), "u")
         small = linked.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
         done, now = now, scratch.put(small, "edges")
         scratch.drop(done)

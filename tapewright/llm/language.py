@@ -15,6 +15,8 @@ from .common import bounded, crc_mod, doc_columns, mix64
 
 #: Bytes of context; a context and the byte after it fill 40 bits of a 64-bit key.
 ORDER = 4
+#: Bytes that are scored at once.
+PIECE = 1 << 20
 UNDEFINED = "und"
 ASCII_LETTER = re.compile("[A-Za-z]").search
 
@@ -96,8 +98,20 @@ class Judge:
         self.cost = np.zeros((n, len(trees)), np.float32)
 
     def bits(self, texts: list[bytes]) -> np.ndarray:
-        """(texts, trees)"""
-        keys, starts = grams(texts)
+        """(texts, trees). Long texts are walked in pieces, each with the context before it, so that memory does not follow their length."""
+        total = np.zeros((len(texts), len(self.trees)))
+        short = [i for i, t in enumerate(texts) if len(t) <= PIECE]
+        total[short] = self.piece([texts[i] for i in short])
+        for i, t in enumerate(texts):
+            if len(t) > PIECE:
+                for s in range(0, len(t), PIECE):
+                    total[i] += self.piece([t[s : s + PIECE]], t[max(0, s - ORDER) : s])[0]
+        return total
+
+    def piece(self, texts: list[bytes], before: bytes = b"") -> np.ndarray:
+        """(texts, trees), of bytes that follow on ``before``."""
+        keys, starts = grams([before + t for t in texts] if before else texts)
+        keys = keys[len(before) :]
         total = np.zeros((len(texts), len(self.trees)))
         if not len(keys):
             return total
@@ -160,15 +174,16 @@ class Verdicts:
         return [self.names[i] if ok else UNDEFINED for ok, i, *_ in each], [s if ok else 0.0 for ok, _, s, *_ in each], [n / len(r) if ok else None for ok, _, _, n, r in each]
 
 
-def identify(docs: DataFrame, sample_mb: float = 1.0, fold: int = 4, held: int = 2, train: DataFrame | None = None) -> DataFrame:
+def identify(docs: DataFrame, sample_mb: float = 1.0, total_mb: float = 12.0, fold: int = 4, held: int = 2, train: DataFrame | None = None) -> DataFrame:
     """The language in which each whole text has the shortest code.
 
-    Learns from rows whose crc32(doc_id) mod ``fold`` is not ``held`` (of ``train`` if given); predicts from the text alone.
+    Learns from rows whose crc32(doc_id) mod ``fold`` is not ``held`` (of ``train`` if given), from a sample of about
+    ``sample_mb`` MB a language and ``total_mb`` in all (see ``fit``); predicts from the text alone.
     Output: doc_id, held_out, lang_pred, score (the best language's share of 2**-bits over all), bits_per_byte. Null or
     letterless texts, and all texts if nothing could be learnt, are ``und`` with score 0; empty ones too. Very long texts
-    count whole. Ties go to the language that sorts first. Repeated rows each give a row; an empty table gives none.
+    count whole, in pieces. Ties go to the language that sorts first. Repeated rows each give a row; an empty table gives none.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(learn(docs if train is None else train, sample_mb, fold, held))
+    shared = docs.sparkSession.sparkContext.broadcast(learn(docs if train is None else train, sample_mb, total_mb, fold, held))
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(crc_mod("doc_id", fold) == held, F.lit(False)).alias("held_out"))
 
     def run(batches):
@@ -180,18 +195,18 @@ def identify(docs: DataFrame, sample_mb: float = 1.0, fold: int = 4, held: int =
     return out.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, bits_per_byte double")
 
 
-def learn(docs: DataFrame, sample_mb: float, fold: int, held: int) -> tuple[list[str], list[bytes]]:
+def learn(docs: DataFrame, sample_mb: float, total_mb: float, fold: int, held: int) -> tuple[list[str], list[bytes]]:
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    trees = fit(source, F.coalesce(crc_mod("doc_id", fold) != held, F.lit(True)), sample_mb)
+    trees = fit(source, F.coalesce(crc_mod("doc_id", fold) != held, F.lit(True)), sample_mb, total_mb)
     return sorted(trees), [trees[n] for n in sorted(trees)]
 
 
-def keep_language(docs: DataFrame, sample_mb: float = 1.0, least: float = 0.5, fold: int = 4, held: int = 2) -> DataFrame:
+def keep_language(docs: DataFrame, sample_mb: float = 1.0, total_mb: float = 12.0, least: float = 0.5, fold: int = 4, held: int = 2) -> DataFrame:
     """The rows of ``docs`` that have a language: not ``und`` (null, empty and letterless texts are), and with a score of ``least`` at least.
 
-    Columns stay as they are; nothing but the sample is shuffled. Repeated rows each stay or go; an empty table stays empty.
+    Columns stay as they are; nothing but the sample, bounded as in ``identify``, is shuffled. Very long texts count whole. Repeated rows each stay or go; an empty table stays empty.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(learn(docs, sample_mb, fold, held))
+    shared = docs.sparkSession.sparkContext.broadcast(learn(docs, sample_mb, total_mb, fold, held))
 
     def run(batches):
         verdicts = Verdicts(*shared.value)

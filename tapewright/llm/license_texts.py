@@ -1,4 +1,4 @@
-"""Complete texts of public licences, as they are published."""
+"""Complete texts of public licences, as they are published: fixed values, not to be changed."""
 
 TEXTS: dict[str, str] = {
     "Apache-2.0": """

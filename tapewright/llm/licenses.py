@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import bisect
+import heapq
 import re
 from collections import Counter
 
@@ -75,6 +77,31 @@ def dice(a: Counter, b: Counter) -> float:
     return 2 * sum(min(n, b[k]) for k, n in a.items() if k in b) / whole if whole else 0.0
 
 
+class Spans:
+    """Spans that lie apart, in order, so that what one meets is found by bisection."""
+
+    def __init__(self, spans: list[tuple[int, int]] | None = None):
+        self.starts, self.ends = [s for s, _ in spans or []], [e for _, e in spans or []]
+
+    def add(self, s: int, e: int) -> None:
+        at = bisect.bisect_left(self.starts, s)
+        self.starts.insert(at, s)
+        self.ends.insert(at, e)
+
+    def around(self, s: int, e: int) -> bool:
+        """Whether one of them holds this span."""
+        at = bisect.bisect_right(self.starts, s) - 1
+        return at >= 0 and e <= self.ends[at]
+
+    def meets(self, s: int, e: int) -> bool:
+        at = bisect.bisect_left(self.starts, e) - 1
+        return at >= 0 and s < self.ends[at]
+
+    def within(self, s: int, e: int) -> tuple[int, int]:
+        """The places of those that this span holds."""
+        return bisect.bisect_left(self.starts, s), bisect.bisect_right(self.ends, e)
+
+
 class Scanner:
     """Templates by number of bigrams. A unit of n bigrams can reach a coefficient d only with templates of n d/(2-d) to n (2-d)/d bigrams."""
 
@@ -159,32 +186,35 @@ class Scanner:
         """
         if len(text) < 2 * self.few or not (chosen := self.possible(normalise(text))):
             return []
-        out, taken = [], []
+        out: list[tuple] = []
+        held = Spans()
         for kind, spans in (("text", [(0, len(text))]), ("paragraph", (m.span() for m in PARAGRAPH.finditer(text))), ("line", (m.span() for m in LINE.finditer(text)))):
-            for s, e in spans:
-                if not any(a <= s and e <= b for a, b in taken) and (hit := self.best(text[s:e])):
-                    out.append((*hit, kind, s, e))
-                    taken.append((s, e))
+            # units of one kind come in order and lie apart; those of a kind lie within those of the kinds before, or apart from them
+            new = [(*hit, kind, s, e) for s, e in spans if not held.around(s, e) and (hit := self.best(text[s:e]))]
+            out = list(heapq.merge(out, new, key=lambda x: x[3]))
+            held = Spans([x[3:] for x in out])
         if out and out[0][2] == "text":
             return out
-        placed: list[tuple[int, int]] = []
+        placed, gone, found = Spans(), set(), []
         for t, d, _, s, e in sorted(self.windows(text, chosen), key=lambda x: (-x[2], -x[1], x[0], x[3])):
             name, size = self.known[t][0], self.sizes[t]
-            if any(s < b and a < e for a, b in placed) or any(x[3] <= s and e <= x[4] for x in out):
+            if placed.meets(s, e) or held.around(s, e):
                 continue
-            inside = [x for x in out if s <= x[3] and x[4] <= e]
+            inside = [i for i in range(*held.within(s, e)) if i not in gone]
             # a hit of a coefficient x has size/slack words at least: one much shorter than the run is of a shorter template
-            if any(x[1] >= d and (len(normalise(text[x[3] : x[4]])) - 1) * self.slack >= size for x in inside):
+            if any(out[i][1] >= d and (len(normalise(text[out[i][3] : out[i][4]])) - 1) * self.slack >= size for i in inside):
                 continue
-            out = [x for x in out if x not in inside] + [(name, d, "window", s, e)]
-            placed.append((s, e))
-        return sorted(out, key=lambda x: (x[3], x[4]))
+            gone.update(inside)
+            found.append((name, d, "window", s, e))
+            placed.add(s, e)
+        return sorted(found + [x for i, x in enumerate(out) if i not in gone], key=lambda x: (x[3], x[4]))
 
 
 def scan(docs: DataFrame, least: float = 0.8, templates: dict[str, list[str]] | None = None) -> DataFrame:
     """Licence notices in every whole text: doc_id, matches array<(license, dice, unit, start, end)>.
 
-    Null and empty texts have none. Repeated rows each give a row, other columns are ignored. Of templates with equal
+    Null and empty texts have none. Very long texts are searched whole, in time that grows with their length. Repeated rows
+    each give a row, other columns are ignored; an empty table gives no rows. Of templates with equal
     coefficients the one of fewer bigrams, then the name that sorts first, is given.
     """
     chosen = templates or TEMPLATES

@@ -13,8 +13,8 @@ from .common import bounded, doc_columns, texts
 from .webp import decode, encode_samples
 
 UNIT, SIDE = 64, 16384
-#: Samples that one image holds.
-MOST = SIDE * SIDE
+#: Samples that one image holds: what an image takes to write and read is bounded by a megabyte of them.
+MOST = UNIT * SIDE
 
 
 def to_payload(text: str) -> bytes:
@@ -24,13 +24,8 @@ def to_payload(text: str) -> bytes:
 
 
 def store(payload: bytes) -> bytes:
-    """An image of 64 samples a row; past 16,384 rows, of wider rows, the last one filled up with zeros; past MOST samples, several images one after the other."""
-    out = []
-    for i in range(0, len(payload), MOST):
-        part = np.frombuffer(payload, np.uint8, min(MOST, len(payload) - i), i)
-        width = UNIT * -(-len(part) // (UNIT * SIDE))
-        out.append(encode_samples(np.pad(part, (0, -len(part) % width)), width))
-    return b"".join(out)
+    """An image of 64 samples a row; past 16,384 rows, several images one after the other."""
+    return b"".join(encode_samples(np.frombuffer(payload, np.uint8, min(MOST, len(payload) - i), i), UNIT) for i in range(0, len(payload), MOST))
 
 
 def images(media: bytes) -> list[np.ndarray]:
@@ -45,7 +40,7 @@ def images(media: bytes) -> list[np.ndarray]:
 
 
 def joined(grids: list[np.ndarray], size: int) -> bytes:
-    """The payload of ``size`` bytes that images hold, without the zeros that fill up their last rows."""
+    """The payload of ``size`` bytes that images hold."""
     return b"".join(g.ravel()[: min(MOST, size - MOST * i)].tobytes() for i, g in enumerate(grids))
 
 
@@ -91,7 +86,10 @@ def to_media(docs: DataFrame) -> DataFrame:
 
 
 def pixel_arrays(media: DataFrame) -> DataFrame:
-    """The images as arrays: doc_id, image (its number), width, height, pixels (ARGB words, row by row)."""
+    """The images as arrays: doc_id, image (its number), width, height, pixels (ARGB words, row by row).
+
+    A row for each image of each row, repeated or not; a row without stored bytes has none; an empty table gives no rows.
+    """
 
     def run(batches):
         for b in bounded(batches, rows=64):
@@ -109,7 +107,10 @@ def pixel_arrays(media: DataFrame) -> DataFrame:
 
 
 def read_media(media: DataFrame) -> DataFrame:
-    """What the stored bytes hold: doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature. A row for each row."""
+    """What the stored bytes hold: doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature.
+
+    A row for each row, repeated or not; very long texts are read image by image; an empty table gives no rows.
+    """
 
     def run(batches):
         for b in bounded(batches):

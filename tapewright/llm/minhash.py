@@ -397,7 +397,8 @@ def contents(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame, at_least: float = 0.8) -> DataFrame:
     """One row of each class, columns as they are, and all rows whose doc_id or text is null.
 
-    The row of the smallest doc_id stays; of rows that share it, one of the class's first text, and of equal ones the one
+    Very long texts are compared whole, by all their shingles; an empty table stays empty. The row of the smallest doc_id
+    stays; of rows that share it, one of the class's first text, and of equal ones the one
     whose columns have the smallest hash.
     """
     _, of = classes(docs, at_least)

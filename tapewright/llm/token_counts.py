@@ -53,12 +53,12 @@ def frequent(docs: DataFrame, size: int = 32768, path: str | None = None, sample
     """The most frequent pre-tokens of a sample and their token counts: at most ``size`` entries of at most 40 characters.
 
     The sample is of whole texts of up to a megabyte, picked by a hash, about ``sample_mb`` MB in all whatever the size of
-    the table; only it reaches the driver. Which words are in the table decides which tier answers, never a result.
+    the table, repeated texts once; only it reaches the driver. Which words are in the table decides which tier answers, never a result.
     """
     path = path or tokenizer_path(VOCABULARY)
     length, place = F.octet_length("text"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40))
     total = docs.agg(F.coalesce(F.sum(length), F.lit(0)).alias("n")).first()["n"]
-    picked = docs.where((place <= int((1 << 40) * min(1.0, sample_mb * 1e6 / max(1, total)))) & (length < 1 << 20)).select("text")
+    picked = docs.where((place <= int((1 << 40) * min(1.0, sample_mb * 1e6 / max(1, total)))) & (length < 1 << 20)).select("text").distinct()
     split, seen = splitter(path), Counter()
     for row in picked.toLocalIterator():
         seen.update(w for w in split.words(row["text"]) if len(w) <= 40)

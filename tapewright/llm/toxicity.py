@@ -139,11 +139,14 @@ def fit(docs: DataFrame, labels: DataFrame, fold: int = 5, positives: int = 3000
 
     The sample is bounded: about ``positives`` texts labelled toxic and ``unlabelled`` texts whatever their labels, which
     stand for text at large. Of their words and word beginnings the ``features`` that most tell the two apart have a
-    weight, which bounds what is broadcast. The class prior is the toxic share of labelled rows of the same folds, by the
-    rule of succession (one more of either kind), so that it is never 0 or 1.
+    weight, which bounds what is broadcast. The class prior is the toxic share of labelled documents of the same folds, by
+    the rule of succession (one more of either kind), so that it is never 0 or 1. A document counts once: labels without
+    a document are ignored, and of several texts of one doc_id the smallest is learnt from.
     """
+    scratch = Scratch(docs.sparkSession, "toxicity")
     taught = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(crc_mod("doc_id", fold) != 0)
     docs = doc_columns(docs).where(F.col("doc_id").isNotNull()).where(crc_mod("doc_id", fold) != 0)
+    taught = scratch.put(taught.join(docs.select("doc_id"), "doc_id", "left_semi"), "taught")
     n = taught.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("toxic")).first()
     total = docs.count()
     if not n["toxic"] or not total:
@@ -152,8 +155,8 @@ def fit(docs: DataFrame, labels: DataFrame, fold: int = 5, positives: int = 3000
     chosen = F.broadcast(sampled(taught.where("toxic = 1"), positives, n["toxic"]).select("doc_id", F.lit(True).alias("chosen")))
     share = int((1 << 40) * min(1.0, unlabelled / total))
     flags = {"positive": F.coalesce("chosen", F.lit(False)), "plain": F.pmod(F.xxhash64("doc_id", F.lit("u")), F.lit(1 << 40)) < share}
-    scratch = Scratch(docs.sparkSession, "toxicity")
-    sample = scratch.put(docs.join(chosen, "doc_id", "left").withColumns(flags).where("positive or plain").drop("chosen"), "sample")
+    picked = docs.join(chosen, "doc_id", "left").withColumns(flags).where("positive or plain")
+    sample = scratch.put(picked.groupBy("doc_id", "positive", "plain").agg(F.min("text").alias("text")), "sample")
     seen = sample.agg(F.count_if("positive").alias("p"), F.count_if("plain").alias("u")).first()
     if not seen["p"] or not seen["u"]:
         return {}, -10.0
@@ -173,7 +176,8 @@ def score(docs: DataFrame, labels: DataFrame, fold: int = 5, **bounds) -> DataFr
     """Toxicity of every whole text: doc_id, held_out, score (0 to 1), predicted (score >= 0.5).
 
     A text's label is never an input of its score. Null and empty texts have the score of no words, very long ones that
-    of all their words; with no toxic example to learn from every score is near 0. Repeated rows each give a row; labels of unknown documents and null
+    of all their words; with no toxic example to learn from every score is near 0. Repeated rows each give a row, an empty
+    table none; labels of unknown documents and null
     labels are ignored, and of several labels of a document the highest counts.
     """
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, fold, **bounds))
@@ -192,7 +196,8 @@ def score(docs: DataFrame, labels: DataFrame, fold: int = 5, **bounds) -> DataFr
 def keep_clean(docs: DataFrame, labels: DataFrame, **bounds) -> DataFrame:
     """The rows of ``docs`` that are not predicted toxic, columns as they are. Rows are judged where they are read: nothing is shuffled.
 
-    Null and empty texts have the score of no words, and repeated rows each stay or go; an empty table stays empty.
+    Null and empty texts have the score of no words, very long ones that of all their words; repeated rows each stay or go;
+    an empty table stays empty.
     """
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, **bounds))
 

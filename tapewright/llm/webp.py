@@ -557,17 +557,20 @@ def parted(value: int) -> tuple[int, int, int]:
 
 
 SHORTEST, LONGEST = 24, 4096
+#: Distances have 40 prefix symbols: the farthest that they spell, less the 120 that name near places.
+FARTHEST = (1 << 20) - 120
 
 
 def repeats(samples: np.ndarray) -> list[tuple[int, int, int]]:
-    """(place, length, distance) of lines that stood before, and of the zeros at the end."""
+    """(place, length, distance) of lines that stood before, no farther than the format's distances reach, and of the zeros at the end."""
     out, seen, at = [], {}, 0
     raw = samples.tobytes()
     for line in raw.split(b"\n"):
         if len(line) >= SHORTEST:
-            before = seen.setdefault(line, at)
-            if before < at:
+            before = seen.get(line)
+            if before is not None and at - before <= FARTHEST:
                 out += [(at + i, min(LONGEST, len(line) - i), at - before) for i in range(0, len(line), LONGEST)]
+            seen[line] = at
         at += len(line) + 1
     zeros = len(raw) - len(raw.rstrip(b"\0"))
     if zeros > 8:
