@@ -9,22 +9,34 @@ from tapewright.llm.common import Scratch, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents not predicted toxic; the classifier learns from the labels of ``docs``."""
+    """Documents not predicted toxic; the classifier learns from the labels of ``docs``.
+
+    Null and empty texts stay, very long ones are judged by all their words; repeated rows each stay or go; an empty table
+    stays empty.
+    """
     return toxicity.keep_clean(docs, table(spark, sf_dir, "labels"))
 
 
 def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are text in one of the languages of ``docs``."""
+    """Documents that are text in one of the languages of ``docs``.
+
+    Null, empty and letterless texts go; very long ones are scored whole; repeated rows each stay or go; an empty table
+    stays empty.
+    """
     return language.keep_language(docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates, that of the smallest doc_id."""
+    """One document of each class of near-duplicates, that of the smallest doc_id.
+
+    Rows with a null doc_id or text stay; of repeated rows one does; very long texts are compared by all their shingles; an
+    empty table stays empty.
+    """
     return minhash.keep_one(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token sequences."""
+    """Pieces of token sequences. Null and empty texts have their end alone, very long ones several pieces; an empty table gives none."""
     return packing.pack(docs)
 
 
