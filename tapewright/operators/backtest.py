@@ -33,10 +33,22 @@ def cohorts(bars: DataFrame, days: list[str]) -> DataFrame:
 
 
 def as_of(panel: DataFrame, days: DataFrame, day: str) -> DataFrame:
-    """Each symbol's newest row at or before each of ``days`` (broadcast: its size is that of a list of dates)."""
+    """Each symbol's newest row at or before each of ``days``, dates.
+
+    A row holds from its date until the symbol's next one. How many of the days come before a date is read off an array
+    with a place for every date between the first and last of them (a single value, as long as the calendar); so a row
+    knows its first and last day, and gives itself for each: linear in rows and results, in the order that is there.
+    """
     until = F.lead("date").over(Window.partitionBy("symbol").orderBy("date"))
-    spans = panel.withColumn("_until", until)
-    return spans.join(F.broadcast(days), (F.col("date") <= F.col(day)) & (F.col("_until").isNull() | (F.col("_until") > F.col(day)))).drop("_until")
+    listed = days.agg(F.array_sort(F.collect_set(day)).alias("d")).select("d", F.get("d", F.lit(0)).alias("low"), F.get("d", F.size("d") - 1).alias("high"))
+    before = F.transform(F.sequence("low", "high", F.expr("INTERVAL 1 DAY")), lambda x: F.size(F.filter("d", lambda y: y < x)))
+    index = listed.select(F.struct("d", "low", "high", before.alias("before")).alias("x")).scalar()
+    spans = panel.withColumns({"_until": until, "_days": index})
+    x = F.col("_days")
+    earlier = lambda c: F.when(c <= x["low"], 0).when(c <= x["high"], F.get(x["before"], F.datediff(c, x["low"]))).otherwise(F.size(x["d"]))
+    first, last = earlier(F.col("date")), earlier(F.col("_until"))
+    held = spans.where(F.size(x["d"]) > 0).withColumn(day, F.explode(F.slice(x["d"], first + 1, F.greatest(F.lit(0), last - first)))).drop("_until", "_days")
+    return held if days.columns == [day] else held.join(F.broadcast(days), day)  # one row a day
 
 
 def forward_returns(closes: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import yes
+from ..functions.stored import stored
+from .ranking import at_place, tie_ranks
+
+
+#: Fixed value: the place of symbols that pass and have no score.
+SCORED = 9999
 
 
 def median(c) -> F.Column:
@@ -32,16 +40,16 @@ def breadth(features: DataFrame, least: int = 200) -> DataFrame:
 def swing(features: DataFrame, min_ret: float = 0.35, min_turnover: float = 2.0) -> DataFrame:
     """symbol, tier, hot, state of the strongest quarter by 6-month return among liquid symbols in an uptrend; none if fewer than four qualify.
 
-    Cuts are the returns at fixed places of the ranking, and ties with a cut are in.
+    Cuts are the returns at fixed places of the ranking, and ties with a cut are in. Returns are ranked by ranges.
     """
     d = features.where(yes((F.col("ret_6m") >= min_ret) & F.col("above_sma200") & (F.col("turnover_20") >= min_turnover))).withColumn("ret_6m", F.round("ret_6m", 9))
-    d = d.withColumn("place", F.row_number().over(Window.orderBy(F.desc("ret_6m"), "symbol")) - 1).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy()))
-    at = lambda share: F.greatest(F.lit(0), F.floor(F.col("n") * share) - 1)
-    cut = lambda share: F.max(F.when(F.col("place") == at(share), F.col("ret_6m"))).over(Window.partitionBy())
-    d = d.withColumn("cut", cut(0.25)).withColumn("cut_top", cut(0.125)).where((F.col("n") >= 4) & (F.col("ret_6m") >= F.col("cut")))
+    at = lambda share: F.greatest(F.lit(0), F.floor(F.col("total") * share) - 1)
+    ranks = tie_ranks(d, "ret_6m", [])
+    cuts = ranks.agg(F.struct(F.max("total").alias("n"), at_place(ranks, "ret_6m", at(0.25)).alias("in"), at_place(ranks, "ret_6m", at(0.125)).alias("top")).alias("x")).scalar()
+    d = d.withColumn("_cut", cuts).where((F.col("_cut.n") >= 4) & (F.col("ret_6m") >= F.col("_cut.in")))
     hot = yes(F.col("atr_pct") > 0.055)
     fires = yes(~hot & (F.col("price") >= F.col("prev_high") + 0.5 * F.col("atr")) & (F.col("vol_x50") >= 1.5))
-    return d.select("symbol", F.when(F.col("ret_6m") >= F.col("cut_top"), "A").otherwise("B").alias("tier"), hot.alias("hot"), F.when(fires, "TRIGGER").otherwise("WATCH").alias("state"))
+    return d.select("symbol", F.when(F.col("ret_6m") >= F.col("_cut.top"), "A").otherwise("B").alias("tier"), hot.alias("hot"), F.when(fires, "TRIGGER").otherwise("WATCH").alias("state"))
 
 
 def move_quality(flow: DataFrame) -> DataFrame:
@@ -85,28 +93,36 @@ def deltas(history: DataFrame) -> DataFrame:
 
 def movers(history: DataFrame, top: int = 50, moved: int = 10, shown: int = 15) -> DataFrame:
     """kind, place, symbol, d: who entered or left the best ``top``, gained or lost most, newly passes or fails, since the last run."""
-    h = snapshots(history)
-    best = F.row_number().over(Window.orderBy(F.desc("score"), "symbol"))
-    now, before = (h.where(F.col("back") == k).select("symbol", "score", "passes", "price") for k in (0, 1))
-    rank_now = now.where("passes and score is not null").withColumn("r", best)
-    rank_before = before.where("passes").withColumn("r", best)
-    top_now, top_before = rank_now.where(F.col("r") <= top), rank_before.where(F.col("r") <= top)
-    both = now.join(before.select("symbol", F.col("score").alias("old")), "symbol").where("score is not null and old is not null").withColumn("d", F.round(F.col("score") - F.col("old"), 9))
+    h = snapshots(history).where("back < 2")
+    one = lambda c, k: F.max(F.when(F.col("back") == k, F.col(c)))
+    both = h.groupBy("symbol").agg(*[one(c, k).alias(f"{c}{k}") for c in ("score", "passes") for k in (0, 1)])
+    pass0, pass1 = yes(F.col("passes0")), yes(F.col("passes1"))
+    change = F.round(F.col("score0") - F.col("score1"), 9)
+    inside = lambda c, kind, *order: F.when(c, F.struct(F.lit(kind).alias("kind"), *[o.cast("double").alias(f"o{i}") for i, o in enumerate(order)]))
+    # a symbol stands in each list that it might be in, by the order of that list; each task passes on no more than a list holds
+    lists = [
+        inside(pass0 & F.col("score0").isNotNull(), "now", -F.col("score0")), inside(pass1, "before", -F.col("score1")), inside(change.isNotNull(), "gainer", -change), inside(change.isNotNull(), "loser", change),
+        inside(pass0 & ~pass1 & F.col("score0").isNotNull(), "passes", -F.col("score0")), inside(pass0 & ~pass1 & F.col("score0").isNull(), "unscored", F.lit(0)), inside(pass1 & ~pass0, "newly_fail", F.lit(0)),
+    ]
+    each = both.select("symbol", change.alias("d"), F.explode(F.array_compact(F.array(*lists))).alias("x")).select("symbol", "d", "x.*")
+    place = F.row_number().over(Window.partitionBy("kind").orderBy(F.col("o0").asc_nulls_last(), "symbol"))
+    ranked = each.withColumn("r", place).where(F.col("r") <= SCORED)
+    ranked = stored(ranked.where(F.col("kind").isin("now", "passes") | (F.col("r") <= max(top, moved, shown))))
     none = F.lit(None).cast("double")
+    of = lambda kind, most: ranked.where((F.col("kind") == kind) & (F.col("r") <= most))
 
     def listed(kind, df, order, d=none, most=shown):
         return df.withColumn("place", F.row_number().over(Window.orderBy(*order))).where(F.col("place") <= most).select(F.lit(kind).alias("kind"), "place", "symbol", F.round(d, 1).alias("d"))
 
-    passes_now, passes_before = now.where("passes"), before.where("passes")
+    now, before = of("now", top), of("before", top)
+    # a passing symbol without a score stands where the last scored place would be
+    passing = of("passes", shown).join(of("now", SCORED).select("symbol", F.col("r").alias("at")), "symbol", "left").unionByName(of("unscored", shown).withColumn("at", F.lit(SCORED)))
+    late = F.coalesce("at", F.lit(SCORED + 1))
     parts = [
-        listed("new_top", top_now.join(top_before, "symbol", "left_anti"), ["r"]), listed("left_top", top_before.join(top_now, "symbol", "left_anti"), ["symbol"]),
-        listed("gainer", both, [F.desc("d"), "symbol"], F.col("d"), moved), listed("loser", both, ["d", "symbol"], F.col("d"), moved),
-        listed("newly_pass", passes_now.join(passes_before, "symbol", "left_anti").join(rank_now.select("symbol", "r"), "symbol", "left"), [F.coalesce("r", F.lit(9999)), "symbol"]), listed("newly_fail", passes_before.join(passes_now, "symbol", "left_anti"), ["symbol"]),
+        listed("new_top", now.join(before, "symbol", "left_anti"), ["r"]), listed("left_top", before.join(now, "symbol", "left_anti"), ["symbol"]), listed("gainer", of("gainer", moved), ["r"], F.col("d"), moved), listed("loser", of("loser", moved), ["r"], F.col("d"), moved),
+        listed("newly_pass", passing, [late, F.when(late > SCORED, F.col("o0")), "symbol"]), listed("newly_fail", of("newly_fail", shown), ["symbol"]),
     ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return reduce(DataFrame.unionByName, parts)
 
 
 def track_record(history: DataFrame, top: int = 10, least: int = 20, sign: int = 1) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import yes
+from .sliding import spaced
 
 #: Price and volume lab: signal -> (predicate, control or None) over ``sessions.price_features``. Fixed values.
 PRICE_SIGNALS = {
@@ -50,13 +51,9 @@ def hits(features: DataFrame, signals: dict[str, tuple], mask: Column) -> DataFr
 def de_overlap(events: DataFrame, gap: int = 20) -> DataFrame:
     """Of each signal, arm and symbol the events at least ``gap`` sessions after the last one kept.
 
-    Greedy, so it folds over one array of a symbol's event sessions.
+    Greedy: each depends on the last one kept, which a pass in order remembers.
     """
-    kind = "struct<last:int,kept:array<int>>"
-    start = F.struct(F.lit(-1_000_000_000).alias("last"), F.array().cast("array<int>").alias("kept")).cast(kind)
-    step = lambda acc, s: F.when(s - acc["last"] >= gap, F.struct(s.alias("last"), F.concat(acc["kept"], F.array(s)).alias("kept")).cast(kind)).otherwise(acc)
-    folded = events.groupBy("signal", "arm", "symbol").agg(F.aggregate(F.array_sort(F.collect_list("session_no")), start, step, lambda acc: acc["kept"]).alias("kept"))
-    return folded.select("signal", "arm", "symbol", F.explode("kept").alias("session_no"))
+    return spaced(events, ["signal", "arm", "symbol"], "session_no", gap)
 
 
 def with_excess(kept: DataFrame, features: DataFrame, horizons: tuple[int, ...]) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import ratio, yes
+from .sliding import sorted_rank
 
 def by_session():
     """A symbol's sessions in order."""
@@ -40,14 +41,6 @@ def rolling(f, x: Column | str, k: int, least: int | None = None, skip: int = 0)
     return F.when(F.count(x).over(w) >= (k if least is None else least), f(x).over(w))
 
 
-def percent_rank(x: str, k: int, least: int) -> Column:
-    """Place of the newest value among the last k, in (0, 1], ties by their average."""
-    values = F.collect_list(x).over(frame(-(k - 1), 0))
-    below = F.size(F.filter(values, lambda v: v < F.col(x)))
-    same = F.size(F.filter(values, lambda v: v == F.col(x)))
-    return F.when(F.col(x).isNotNull() & (F.size(values) >= least), (below + (same + 1) / 2) / F.size(values))
-
-
 def gap_aware_mean(panel: DataFrame, x: str, alpha: float, least: int, name: str) -> DataFrame:
     """Adds an exponential mean whose weights fade over sessions without a bar, too: y' = (d y + a x) / (d + a), d = (1-a)^gap.
 
@@ -103,21 +96,23 @@ def excess(df: DataFrame, elig: str, mask: bool, horizons: tuple[int, ...] = HOR
 def price_features(panel: DataFrame, bench: DataFrame, sectors: DataFrame, min_turnover: float) -> DataFrame:
     """Features of the price and volume lab. ``panel``: symbol, date, OHLC, volume; ``sectors``: symbol, sector."""
     c, h, low, v = (F.col(x) for x in ("close", "high", "low", "volume"))
-    d = gap_aware_mean(number_sessions(panel), "close", 2 / 201, 200, "e200")
+    d = number_sessions(panel).withColumns({"ma20": rolling(F.avg, "close", 20), "sd20": rolling(F.stddev_samp, "close", 20)})
+    d = sorted_rank(d.withColumn("bbw", 4 * F.col("sd20") / F.col("ma20")), "bbw", 252, 60, "bbw_pctl")
+    d = gap_aware_mean(d, "close", 2 / 201, 200, "e200")
     d = d.join(F.broadcast(bench), "date", "left").join(sectors, "symbol", "left")
     d = d.withColumns({
         **{f"ret{k}": change("close", k) for k in (1, 3, 5, 10, 20, 60, 120, 250)}, "vs200": c / F.col("e200") - 1, "range": h - low, "c1": shift("close", 1), "turn": c * v / 1e7,
         "v5": rolling(F.avg, "volume", 5), "v50": rolling(F.avg, "volume", 50), "hi20": rolling(F.max, "high", 20), "lo20": rolling(F.min, "low", 20), "hi252": rolling(F.max, "high", 252), "lo252": rolling(F.min, "low", 252),
-        "ma20": rolling(F.avg, "close", 20), "sd20": rolling(F.stddev_samp, "close", 20), "bars_ok": F.count("close").over(frame(-259, 0)) >= 250, "rsline": c / F.col("bench"), "bench20": ratio(F.col("bench"), shift("bench", 20)) - 1,
+        "bars_ok": F.count("close").over(frame(-259, 0)) >= 250, "rsline": c / F.col("bench"), "bench20": ratio(F.col("bench"), shift("bench", 20)) - 1,
     })
     d = d.withColumns({
-        "vr5": F.col("v5") / F.col("v50"), "vr1": v / F.col("v50"), "turn20": rolling(F.avg, "turn", 20), "pos52": (c - F.col("lo252")) / (F.col("hi252") - F.col("lo252") + 1e-9), "bbw": 4 * F.col("sd20") / F.col("ma20"),
+        "vr5": F.col("v5") / F.col("v50"), "vr1": v / F.col("v50"), "turn20": rolling(F.avg, "turn", 20), "pos52": (c - F.col("lo252")) / (F.col("hi252") - F.col("lo252") + 1e-9),
         "nr7": F.col("range") <= rolling(F.min, "range", 7) + 1e-12, "down3": yes(F.sum((F.col("ret1") < 0).cast("int")).over(frame(-2, 0)) == 3), "gap": F.col("open") / F.col("c1") - 1,
         "rs20": F.col("ret20") - F.col("bench20"), "rs_hi60": yes(F.col("rsline") >= rolling(F.max, "rsline", 60) - 1e-12),
         "p_hi": shift("hi252", 1), "hi20p": shift("hi20", 1), "lo20p": shift("lo20", 1), "h1": shift("high", 1), "l1": shift("low", 1),
     })
     d = d.withColumns({
-        "bbw_pctl": percent_rank("bbw", 252, 60), "bo52": yes((c > F.col("p_hi")) & (F.col("c1") <= shift("p_hi", 1))), "bo20": yes(c > F.col("hi20p")), "nr7p": yes(shift("nr7", 1)),
+        "bo52": yes((c > F.col("p_hi")) & (F.col("c1") <= shift("p_hi", 1))), "bo20": yes(c > F.col("hi20p")), "nr7p": yes(shift("nr7", 1)),
         "elig": yes((F.col("turn20") >= min_turnover) & F.col("ret250").isNotNull()), "sec20": F.percentile("ret20", F.lit(0.5)).over(Window.partitionBy("session_no", "sector")),
     })
     return d.withColumn("tight", yes(shift("bbw_pctl", 1) < 0.2))

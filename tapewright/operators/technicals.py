@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import labels, ratio, yes
+from .sliding import drawdown
 
 YEAR = math.sqrt(252)
 
@@ -121,17 +122,7 @@ def band_percentile(tech: DataFrame) -> DataFrame:
 
 def max_drawdown(numbered_bars: DataFrame, k: int = 252) -> DataFrame:
     """symbol, max_dd_1y: the deepest fall below the highest close so far, within the last k bars."""
-    b = numbered_bars.where((F.col("n") > F.col("bars") - k) & (F.col("bars") >= 60))
-    peak = F.max("close").over(own().rowsBetween(Window.unboundedPreceding, 0))
-    return b.select("symbol", (F.col("close") / peak - 1).alias("dd")).groupBy("symbol").agg(F.min("dd").alias("max_dd_1y"))
-
-
-def drawdown_at(numbered_bars: DataFrame, now: DataFrame, by: str, k: int = 252) -> DataFrame:
-    """``by``, symbol, max_dd_1y as of each row of ``now`` (by, symbol, n): a bar takes part in each of them whose last k bars it is among."""
-    spans = now.select(by, "symbol", F.col("n").alias("_last"))
-    b = numbered_bars.select("symbol", "date", "close", "n").join(spans, "symbol").where((F.col("n") <= F.col("_last")) & (F.col("n") > F.col("_last") - k))
-    peak = F.max("close").over(Window.partitionBy(by, "symbol").orderBy("date").rowsBetween(Window.unboundedPreceding, 0))
-    return b.select(by, "symbol", (F.col("close") / peak - 1).alias("dd")).groupBy(by, "symbol").agg(F.min("dd").alias("max_dd_1y"))
+    return latest(drawdown(numbered_bars.select("symbol", "date", "close", "n", "bars"), k)).select("symbol", "max_dd_1y")
 
 
 def calendar(bench: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tapewright.functions.columns import average_rank, cagr, growth, labels, mean_of, ratio, rounded
-from tapewright.operators import backtest, desk, events, feeds, radar, scoring, sessions, statements, technicals
+from tapewright.operators import backtest, desk, events, feeds, radar, scoring, sessions, sliding, statements, technicals
 
 DAY0 = dt.date(2020, 1, 1)
 
@@ -97,7 +97,7 @@ def test_gap_aware_mean_is_that_of_pandas(spark):
 
 def test_rolling_rank_is_that_of_pandas(spark):
     closes = [round(c, 0) for c in walk(90)]
-    got = sessions.number_sessions(bars(spark, {"A": closes})).withColumn("p", sessions.percent_rank("close", 30, 10)).orderBy("date").collect()
+    got = sliding.sorted_rank(sessions.number_sessions(bars(spark, {"A": closes})), "close", 30, 10, "p").orderBy("date").collect()
     want = pd.Series(closes).rolling(30, min_periods=10).rank(pct=True)
     assert all((r["p"] is None and np.isnan(w)) or r["p"] == pytest.approx(w) for r, w in zip(got, want, strict=True))
 
