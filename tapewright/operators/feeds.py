@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import growth
+from ..functions.stored import stored
 
 
 def upsert(rows: DataFrame, keys: list[str], order: Column) -> DataFrame:
@@ -51,9 +54,31 @@ def pick(row: dict[str, Column], names: list[str]) -> Column:
     return F.coalesce(*[F.nullif(F.nullif(F.trim(c.cast("string")), F.lit("")), F.lit("-")) for c in found]) if found else F.lit(None).cast("string")
 
 
-def harvest(payload: Column) -> Column:
-    """Every non-empty symbol anywhere in a JSON document."""
-    return F.regexp_extract_all(payload, F.lit(r'"symbol"\s*:\s*"([^"]+)"'), F.lit(1))
+def walk(docs: DataFrame, payload: str) -> DataFrame:
+    """Every member of every object and element of every array of JSON documents: the other columns of ``docs``, depth, key (null in arrays), value (variant).
+
+    One level after another, each written before the next is read off it, so a level is computed once and its size, not
+    the depth of the tree, bounds a plan. Text inside strings is no part of the tree. Documents that are null or no JSON
+    have no members.
+    """
+    keys = [c for c in docs.columns if c != payload]
+    level = docs.select(*keys, F.lit(0).alias("depth"), F.try_parse_json(payload).alias("_v")).where("_v is not null")
+    spark, out = docs.sparkSession, []
+    while True:
+        inner = level.lateralJoin(spark.tvf.variant_explode(F.col("_v").outer()))
+        found = stored(inner.select(*keys, (F.col("depth") + 1).alias("depth"), "key", "value"))
+        out.append(found)
+        nested = found.where(F.schema_of_variant("value").rlike("^(OBJECT|ARRAY)<"))
+        if nested.isEmpty():
+            return reduce(DataFrame.unionByName, out)
+        level = nested.select(*keys, "depth", F.col("value").alias("_v"))
+
+
+def harvest(docs: DataFrame, payload: str) -> DataFrame:
+    """Every non-empty symbol anywhere in JSON documents, with the other columns of ``docs``; texts and numbers count."""
+    keys = [c for c in docs.columns if c != payload]
+    found = walk(docs, payload).where((F.col("key") == "symbol") & ~F.schema_of_variant("value").rlike("^(OBJECT|ARRAY)<"))
+    return found.select(*keys, F.try_variant_get("value", "$", "string").alias("symbol")).where("symbol not in ('', '0', 'false')")
 
 
 def key_inventory(payload: DataFrame, column: str) -> DataFrame:

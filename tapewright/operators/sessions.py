@@ -22,6 +22,17 @@ def number_sessions(panel: DataFrame) -> DataFrame:
     return panel.join(F.broadcast(calendar), "date")
 
 
+def onto_cash(cash: DataFrame, other: DataFrame, columns: list[str]) -> DataFrame:
+    """Another market's columns on the cash market's calendar: rows of symbol and date that either has, of the cash market's days and symbols alone.
+
+    Of rows that repeat a symbol and date the mean counts. A day on which a symbol has no bar still has the other
+    market's values, so that changes over sessions find them. Days and symbols are far fewer than rows.
+    """
+    one = other.groupBy("symbol", "date").agg(*[F.avg(c).alias(c) for c in columns])
+    held = one.join(cash.select("date").distinct(), "date", "left_semi").join(cash.select("symbol").distinct(), "symbol", "left_semi")
+    return cash.join(held, ["symbol", "date"], "full")
+
+
 def frame(a: int, b: int):
     return by_session().rangeBetween(a, b)
 

@@ -227,10 +227,6 @@ def feed(spark, sf_dir) -> DataFrame:
     return e.select("event_id", "user_id", "event_type", "ts", "value", "props", doc.alias("doc"))
 
 
-def harvested(spark, sf_dir):
-    return feed(spark, sf_dir).select(F.explode(N.harvest(F.col("doc"))).alias("symbol")).distinct()
-
-
 def picked(spark, sf_dir):
     d = feed(spark, sf_dir)
     rows = N.unwrap(F.col("doc"))
@@ -266,7 +262,7 @@ QUERIES = {
     "a03_sectors": partial(desk, D.sectors), "a04_breadth": breadth_now, "x11_swing": swing_tiers, "x14_move_quality": moves, "x14_trifecta": gathering, "x16_movers": partial(past, D.movers), "x17_deltas": partial(past, D.deltas), "a17_track": partial(past, D.track_record), "snk5_retention": partial(past, partial(D.retained, runs=3)),
     "w38_ca_adjust": repaired, "w40_radar_inputs": radar_measures, "w41_ath": radar_prior, "w42_promoters": promoters, "a14_heat": sector_heat, "a15_context": market_context, "x12_radar": radar_list,
     "a16_counts": radar_counts, "a20_coverage": filed_coverage, "b03_days": nominal, "snk4_audit": audit,
-    "o05_upsert": merged, "j07_interval_yoy": yoy, "j11_cross_check": checked, "a01_futures": futures, "a22_mcap": market_caps, "p19_freshness": fresh, "p18_expected": expected, "src_harvest": harvested, "src_pick": picked, "src_props": props, "src_keys": keys, "snk11_append": appended, "src_shards": sharded, "src_days": weekdays,
+    "o05_upsert": merged, "j07_interval_yoy": yoy, "j11_cross_check": checked, "a01_futures": futures, "a22_mcap": market_caps, "p19_freshness": fresh, "p18_expected": expected, "src_pick": picked, "src_props": props, "src_keys": keys, "snk11_append": appended, "src_shards": sharded, "src_days": weekdays,
 }
 
 # --- SQL
@@ -380,7 +376,6 @@ ORACLES = {
     "a22_mcap": f"WITH {BARS}, z AS (SELECT b.symbol, arg_max(close, date) AS price FROM bars b GROUP BY 1), s AS (SELECT 'S' || lpad(CAST(s_suppkey AS VARCHAR), 5, '0') AS symbol, 1e6 + 100 * abs(s_acctbal) AS shares FROM supplier) SELECT symbol, round(price * shares / 1e7, 1) AS mcap_cr FROM z JOIN s USING (symbol) WHERE round(price * shares / 1e7, 1) >= 300",
     "p19_freshness": f"WITH {BARS}, z AS (SELECT symbol, max(date) AS d FROM bars GROUP BY 1), y AS (SELECT max(d) AS prices_through, avg(CASE WHEN d >= DATE '2001-10-25' THEN 1.0 ELSE 0.0 END) AS covered, count(*) AS n_symbols FROM z) SELECT *, covered >= 0.6 AS fresh FROM y",
     "p18_expected": "WITH z AS (SELECT event_id, ts + INTERVAL 330 MINUTE AS l FROM events), y AS (SELECT event_id, CAST(l AS DATE) - CASE WHEN hour(l) < 16 THEN 1 ELSE 0 END AS d FROM z) SELECT event_id, CAST(d - CAST(greatest(0, isodow(d) - 5) AS INT) AS DATE) AS session FROM y",
-    "src_harvest": "SELECT DISTINCT symbol FROM (SELECT 'U' || user_id AS symbol FROM events UNION ALL SELECT event_type FROM events)",
     "src_pick": "SELECT event_id, 'U' || user_id AS symbol, event_type AS note FROM events",
     "src_props": "SELECT event_id, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events",
     "src_keys": "SELECT key, count(*) AS n FROM (SELECT unnest(json_keys(props)) AS key FROM events) GROUP BY key",

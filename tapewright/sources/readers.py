@@ -2,24 +2,26 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.stored import stored
 from ..operators.feeds import freshness
 
 BARS = "symbol string, date date, open double, high double, low double, close double, volume double"
-BUNDLE = (
-    "built string, mcap_floor_cr double, universe array<struct<symbol:string,name:string,mcap:double,price:double,shares:double>>, "
-    "fundamentals map<string, struct<info:map<string,string>, inc_a:map<string,map<string,double>>, inc_q:map<string,map<string,double>>, bs_a:map<string,map<string,double>>, bs_q:map<string,map<string,double>>, cf_a:map<string,map<string,double>>, cf_q:map<string,map<string,double>>, shares_hist:map<string,double>>>"
+BUNDLE_SHARE = "struct<symbol:string,name:string,mcap:double,price:double,shares:double>"
+BUNDLE_COMPANY = (
+    "struct<info:map<string,string>, inc_a:map<string,map<string,double>>, inc_q:map<string,map<string,double>>, bs_a:map<string,map<string,double>>, bs_q:map<string,map<string,double>>, cf_a:map<string,map<string,double>>, cf_q:map<string,map<string,double>>, shares_hist:map<string,double>>"
 )
+BUNDLE = f"built string, mcap_floor_cr double, universe array<{BUNDLE_SHARE}>, fundamentals map<string, {BUNDLE_COMPANY}>"
 STATEMENTS = ("inc_a", "inc_q", "bs_a", "bs_q", "cf_a", "cf_q")
 
 
 def bundle(spark: SparkSession, path: str) -> DataFrame:
-    """A (gzipped) JSON bundle: one row with universe and fundamentals."""
+    """A small (gzipped) JSON bundle in one row, with universe and fundamentals; ``archives.bundle_records`` cuts a large one into its records."""
     return spark.read.schema(BUNDLE).option("multiLine", True).json(path)
 
 
@@ -77,41 +79,19 @@ def json_folder(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return read.withColumn("file_symbol", F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)\.json", 1))
 
 
-def zipped_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    """CSV files inside zip archives: file and the named columns as text. Archives are opened where they are read, one at a time, and unpacked in batches of rows."""
-    import pyarrow as pa
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import csv
-        import io
-        import zipfile
-        from itertools import islice
-
-        for b in batches:
-            for name, content in zip(b.column("path").to_pylist(), b.column("content").to_pylist(), strict=True):
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    for member in z.namelist():
-                        lines = csv.DictReader(io.TextIOWrapper(z.open(member), "utf-8", errors="replace"))
-                        while rows := [{k.strip(): v for k, v in r.items() if k} for r in islice(lines, 10_000)]:
-                            yield pa.RecordBatch.from_pydict({"file": [name] * len(rows)} | {c: pa.array([r.get(c) for r in rows], pa.string()) for c in columns})
-
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInArrow(run, ", ".join(["file string", *(f"`{c}` string" for c in columns)]))
-
-
 def derivatives(contracts: DataFrame, kinds: tuple[str, ...] = ("STF", "IDF")) -> DataFrame:
     """Stock and index futures of a contracts file."""
     return contracts.where(F.trim("FinInstrmTp").isin(*kinds))
 
 
 def first_that_works(readers: list, least: int = 500) -> DataFrame:
-    """The first of several sources (functions without arguments) that reads and has ``least`` rows."""
+    """The first of several sources (functions without arguments) that reads and has ``least`` rows. A source is fetched once: what it gives is written before it is counted."""
     from pyspark.errors import PySparkException
 
     problems = []
     for read in readers:
         try:
-            df = read()
+            df = stored(read())
             if df.limit(least).count() >= least:
                 return df
             problems.append("too few rows")
@@ -128,9 +108,9 @@ def patch(bars: DataFrame, extra: DataFrame, expected: Column) -> DataFrame:
 
 
 def fresh_bars(fetch: Callable[[], DataFrame], extra: Callable[[], DataFrame], expected: Column) -> DataFrame:
-    """Bars that most symbols have the expected session in: fetched once more where they are not fresh, and filled from the exchange's rows where they still are not."""
+    """Bars that most symbols have the expected session in: fetched once more (and written, so that no fetch is done twice) where they are not fresh, and filled from the exchange's rows where they still are not."""
     for _ in range(2):
-        bars = fetch()
+        bars = stored(fetch())
         if freshness(bars, expected).where("fresh").count():
             return bars
     return patch(bars, extra(), expected)

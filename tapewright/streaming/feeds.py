@@ -10,10 +10,11 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..functions.stored import shared_folder
-from ..operators.feeds import upsert
+from ..sources import exchange
+from ..sources.remote import DailyFeed
+from .tables import VersionedTable, merge_stream
 
 
 def stream(spark: SparkSession, path: str, schema=None, files: int = 100) -> DataFrame:
@@ -44,25 +45,25 @@ def drain(out: DataFrame, at: str, mode: str = "append") -> DataFrame:
     return spark.read.schema(out.schema).parquet(f"{at}/table")
 
 
-def merge_newest(bars: DataFrame, at: str, keys: list[str], order: str, parts: int = 64) -> DataFrame:
-    """Keeps the newest row of each key in a table at ``at``, in ``parts`` parts by a hash of the key: a micro-batch rewrites those it touches.
+def merge_newest(bars: DataFrame, at: str, keys: list[str], order: str, rows: int = 1_000_000) -> DataFrame:
+    """The newest row of each key of what a stream has now, merged into a versioned table at ``at`` (see ``VersionedTable``)."""
+    table = VersionedTable(bars.sparkSession, f"{at}/newest", bars.schema, keys, order, rows=rows)
+    return merge_stream(bars, table, f"{at}/checkpoint")
 
-    Of rows of one key and ``order`` the one with the largest hash stays, so a batch that is run again leaves the same
-    table. Without any rows the table is empty.
+
+def feed_table(responses: DataFrame, name: str, at: str, rows: int = 1_000_000) -> DataFrame:
+    """A feed's table at ``at``, with what a stream of responses (day, body; other columns are left out) adds to it.
+
+    Of rows with one key the first stays, or the last where the feed says so, by the day of the response; so a response
+    that comes again adds nothing.
     """
-    spark, schema, path = bars.sparkSession, bars.schema, f"{at}/newest"
-    part = F.pmod(F.xxhash64(*keys), F.lit(parts)).cast("int")
-    whole = StructType([*schema.fields, StructField("_part", IntegerType())])
-    write = lambda df: df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_part").parquet(path)
-
-    def merge(batch: DataFrame, n: int) -> None:
-        new = batch.withColumn("_part", part)
-        touched = [r["_part"] for r in new.select("_part").distinct().collect()]
-        before = spark.read.schema(whole).parquet(path).where(F.col("_part").isin(touched))
-        if touched:
-            write(upsert(before.unionByName(new), keys, F.struct(F.col(order), F.xxhash64(*schema.names)).desc()).repartition("_part"))
-
-    write(spark.createDataFrame([], whole))
-    query = bars.writeStream.foreachBatch(merge).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.read.schema(whole).parquet(path).drop("_part")
+    typed = exchange.parse(responses.select(F.col("day").alias("fetched"), "body"), name)
+    feed = exchange.FEEDS[name]
+    table = VersionedTable(responses.sparkSession, f"{at}/{name}", typed.schema, list(feed.keys), "fetched", first=not feed.last, rows=rows)
+    return merge_stream(typed, table, f"{at}/checkpoint-{name}")
+
+
+def daily(spark: SparkSession, url: str, since: str, until: str) -> DataFrame:
+    """Responses of a feed that has an address a day, as a stream."""
+    spark.dataSource.register(DailyFeed)
+    return spark.readStream.format("daily_feed").option("url", url).option("since", since).option("until", until).load()

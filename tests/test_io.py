@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tapewright.functions.stored import cached
-from tapewright.sources import readers, remote, sinks
+from tapewright.sources import archives, readers, remote, sinks
 from tapewright.streaming import feeds as streams
 
 
@@ -51,7 +51,7 @@ def test_zip_reader(spark, tmp_path):
     with zipfile.ZipFile(buffer, "w") as z:
         z.writestr("fo.csv", "FinInstrmTp, TckrSymb,OpnIntrst\nSTF,A,10\nOPT,B,5\n")
     (tmp_path / "fo.zip").write_bytes(buffer.getvalue())
-    got = readers.derivatives(readers.zipped_csv(spark, f"file://{tmp_path}/fo.zip", ["FinInstrmTp", "TckrSymb", "OpnIntrst", "none"])).collect()
+    got = readers.derivatives(archives.zipped_csv(archives.contents(spark, f"file://{tmp_path}/fo.zip"), ["FinInstrmTp", "TckrSymb", "OpnIntrst", "none"])).collect()
     assert [(r["TckrSymb"], r["OpnIntrst"], r["none"]) for r in got] == [("A", "10", None)]
 
 
