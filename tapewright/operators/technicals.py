@@ -49,47 +49,55 @@ def first_of_day(bars: DataFrame, order: str = "close") -> DataFrame:
     return bars.withColumn("_n", n).where("_n = 1").drop("_n")
 
 
-def technicals(bars: DataFrame) -> DataFrame:
-    """Bars with all features as of each bar."""
+#: Windows over a symbol's bars that features are made of: name -> (aggregate, value, bars, of these the newest left out). And values some bars back.
+def frames() -> dict[str, tuple]:
+    c, h, l, v, dr = (F.col(x) for x in ("close", "high", "low", "volume", "dr"))  # noqa: E741
+    up = dr > 0
+    return {
+        "_above": (F.sum, (c > F.col("ema200")).cast("long"), 60, 0), **{f"_sd{k}": (F.stddev_pop, dr, k, 0) for k in (20, 60, 63, 126)}, **{f"_mean{k}": (F.avg, dr, k, 0) for k in (63, 126)},
+        **{f"hi{k}": (F.max, h, w, 0) for k, w in ((52, 252), (20, 20), (60, 60))}, **{f"lo{k}": (F.min, l, w, 0) for k, w in ((52, 252), (20, 20), (60, 60))},
+        "_path": (F.sum, F.col("step"), 60, 0), "_ma20": (F.avg, c, 20, 0), "_dev20": (F.stddev_samp, c, 20, 0), "turnover_20": (F.avg, F.col("turn"), 20, 0), "turnover_90": (F.avg, F.col("turn"), 90, 0),
+        **{f"v{k}": (F.avg, v, k, 0) for k in (5, 20, 50)}, "_rise": (F.sum, F.when(up, v).otherwise(0.0), 20, 0), "_fall": (F.sum, F.when(up, 0.0).otherwise(v), 20, 0), "_gaps": (F.sum, (F.col("gap") > 0.02).cast("long"), 20, 0),
+        "up_days_20": (F.sum, up.cast("long"), 20, 0), "sma200": (F.avg, c, 200, 0), **{f"h{k}": (F.max, h, 20, k - 20) for k in (40, 60)}, **{f"l{k}": (F.min, l, 20, k - 20) for k in (40, 60)},
+    }
+
+
+def steps() -> dict[str, tuple[str, int]]:
+    return {f"_c{k}": ("close", k) for k in (5, 21, 60, 63, 126, 252)} | {"_e200": ("ema200", 20), "_e50": ("ema50", 10), "_high": ("high", 1)}
+
+
+def running(bars: DataFrame) -> DataFrame:
+    """Numbered bars with what follows from a bar and the ones before it by running sums and single steps."""
     c, h, l, v, n = (F.col(x) for x in ("close", "high", "low", "volume", "n"))  # noqa: E741
-    lag = lambda k, x=c: F.lag(x, k).over(own())
-    guard = lambda k, x: F.when(n > k, x)
-    d = numbered(bars)
     prev = F.lag("close").over(own())
-    d = d.withColumns({
+    d = numbered(bars).withColumns({
         "ema20": ema(c, 2 / 21, n), "ema50": ema(c, 2 / 51, n), "ema200": ema(c, 2 / 201, n),
         "prev": prev, "dr": F.when(n > 1, F.log(c / prev)), "step": F.abs(c - prev),
         "tr": F.when(n > 1, F.greatest(h - l, F.abs(h - prev), F.abs(l - prev))), "turn": c * v / 1e7,
         "gap": F.when(n > 1, F.abs(F.col("open") / prev - 1)),
     })
-    e20, e50, e200, dr = (F.col(x) for x in ("ema20", "ema50", "ema200", "dr"))
-    up = dr > 0
+    return d.withColumn("atr", ema(F.col("tr"), 1 / 14, n, 2))
+
+
+def derived(d: DataFrame) -> DataFrame:
+    """All features from running values, frames and steps."""
+    col = F.col
+    c, h, v, n = (col(x) for x in ("close", "high", "volume", "n"))
+    e20, e50, e200 = (col(x) for x in ("ema20", "ema50", "ema200"))
+    guard = lambda k, x: F.when(n > k, x)
+    sharpe = lambda k: col(f"_mean{k}") / (col(f"_sd{k}") + 1e-12) * YEAR
     d = d.withColumns({
         "vs_ema20": c / e20 - 1, "vs_ema50": c / e50 - 1, "vs_ema200": c / e200 - 1,
         "ema_stack": F.when((e20 / e50 > 1 + 1e-12) & (e50 / e200 > 1 + 1e-12), 1).when((e20 / e50 < 1 - 1e-12) & (e50 / e200 < 1 - 1e-12), -1).otherwise(0),
-        "ema200_slope": guard(220, e200 / lag(20, e200) - 1), "ema50_slope": e50 / lag(10, e50) - 1,
-        "above_200_days": guard(199, F.sum((c > e200).cast("long")).over(back(60))),
-        **{name: guard(k, c / lag(k) - 1) for name, k in (("ret_1w", 5), ("ret_1m", 21), ("ret_3m", 63), ("ret_6m", 126), ("ret_12m", 252))},
-        "mom_12_1": guard(253, lag(21) / lag(252) - 1),
-        "vol_20": F.stddev_pop(dr).over(back(20)) * YEAR, "vol_60": F.stddev_pop(dr).over(back(60)) * YEAR,
-        "atr": ema(F.col("tr"), 1 / 14, n, 2),
-        "sharpe_3m": F.avg(dr).over(back(63)) / (F.stddev_pop(dr).over(back(63)) + 1e-12) * YEAR,
-        "sharpe_6m": guard(126, F.avg(dr).over(back(126)) / (F.stddev_pop(dr).over(back(126)) + 1e-12) * YEAR),
-        **{f"hi{k}": F.max(h).over(back(w)) for k, w in ((52, 252), (20, 20), (60, 60))},
-        **{f"lo{k}": F.min(l).over(back(w)) for k, w in ((52, 252), (20, 20), (60, 60))},
-        "eff_ratio_60": guard(61, F.abs(c - lag(60)) / (F.sum("step").over(back(60)) + 1e-12)),
-        "ma20": F.when(n >= 20, F.avg(c).over(back(20))), "sd20": F.when(n >= 20, F.stddev_samp(c).over(back(20))),
-        "turnover_20": F.avg("turn").over(back(20)), "turnover_90": F.avg("turn").over(back(90)),
-        "v5": F.avg(v).over(back(5)), "v20": F.avg(v).over(back(20)), "v50": F.avg(v).over(back(50)),
-        "updown_vol_20": (F.sum(F.when(up, v).otherwise(0.0)).over(back(20)) + 1) / (F.sum(F.when(up, 0.0).otherwise(v)).over(back(20)) + 1),
-        "gap_days_20": guard(21, F.sum((F.col("gap") > 0.02).cast("long")).over(back(20))), "up_days_20": F.sum(up.cast("long")).over(back(20)),
-        "sma200": F.avg(c).over(back(200)), "prev_high": guard(2, lag(1, h)),
-        "h40": F.max(h).over(back(20, 20)), "h60": F.max(h).over(back(20, 40)), "l40": F.min(l).over(back(20, 20)), "l60": F.min(l).over(back(20, 40)),
+        "ema200_slope": guard(220, e200 / col("_e200") - 1), "ema50_slope": e50 / col("_e50") - 1, "above_200_days": guard(199, col("_above")),
+        **{name: guard(k, c / col(f"_c{k}") - 1) for name, k in (("ret_1w", 5), ("ret_1m", 21), ("ret_3m", 63), ("ret_6m", 126), ("ret_12m", 252))},
+        "mom_12_1": guard(253, col("_c21") / col("_c252") - 1), "vol_20": col("_sd20") * YEAR, "vol_60": col("_sd60") * YEAR, "sharpe_3m": sharpe(63), "sharpe_6m": guard(126, sharpe(126)),
+        "eff_ratio_60": guard(61, F.abs(c - col("_c60")) / (col("_path") + 1e-12)), "ma20": F.when(n >= 20, col("_ma20")), "sd20": F.when(n >= 20, col("_dev20")),
+        "updown_vol_20": (col("_rise") + 1) / (col("_fall") + 1), "gap_days_20": guard(21, col("_gaps")), "prev_high": guard(2, col("_high")),
     })
-    col = F.col
     higher = (col("h40") > col("h60")).cast("int") + (col("hi20") > col("h40")).cast("int")
     lower = (col("l40") > col("l60")).cast("int") + (col("lo20") > col("l40")).cast("int")
-    return d.withColumns({
+    out = d.withColumns({
         "price": c, "atr_pct": col("atr") / c, "from_52h": c / col("hi52") - 1, "from_52l": c / col("lo52") - 1,
         "pos_52": (c - col("lo52")) / (col("hi52") - col("lo52") + 1e-12),
         "dist_hi20": col("hi20") / c - 1, "dist_hi60": col("hi60") / c - 1, "dist_lo20": 1 - col("lo20") / c,
@@ -100,6 +108,28 @@ def technicals(bars: DataFrame) -> DataFrame:
         "above_sma200": (n >= 200) & (c > col("sma200")), "vol_x50": guard(50, v / (col("v50") + 1e-9)),
         "mbv2_level": h + 0.5 * col("atr"), "mbv2_volneed": guard(50, 1.5 * col("v50")),
     })
+    return out.drop(*[k for k in (*frames(), *steps()) if k[0] == "_"])
+
+
+def technicals(bars: DataFrame) -> DataFrame:
+    """Bars with all features as of each bar."""
+    d = running(bars)
+    return derived(d.withColumns({k: f(x).over(back(w, skip)) for k, (f, x, w, skip) in frames().items()} | {k: F.lag(x, w).over(own()) for k, (x, w) in steps().items()}))
+
+
+def newest(bars: DataFrame, least: int = 60) -> DataFrame:
+    """Each symbol's newest bar with all features, its deepest fall within a year, and ``lagged`` closes and days; symbols of fewer than ``least`` bars are left out.
+
+    What each bar's windows hold is asked for one bar only: so every frame is one aggregate of the bars that stand in it,
+    by their place from the end, and no bar's window is gone through again for the next.
+    """
+    d = drawdown(running(bars).where(F.col("bars") >= least))
+    r = F.col("bars") - F.col("n")
+    at = lambda k, x: F.max(F.when(r == k, F.col(x))).alias
+    now = [at(0, x)(x) for x in d.columns if x != "symbol"]
+    held = [f(F.when((r >= skip) & (r < skip + w), x)).alias(k) for k, (f, x, w, skip) in frames().items()]
+    before = [at(w, x)(k) for k, (x, w) in steps().items()] + [at(k, x)(f"{a}{k}") for a, x in (("c", "close"), ("d", "date")) for k in (63, 126, 252)]
+    return derived(d.groupBy("symbol").agg(*now, *held, *before))
 
 
 def latest(df: DataFrame, least: int = 60) -> DataFrame:
@@ -166,8 +196,11 @@ def line_position() -> Column:
 
 def rs_line(bars: DataFrame, bench: DataFrame) -> DataFrame:
     """symbol, rs_line_pos_52: the line's position on the newest day that both have."""
-    both = numbered(bars.join(F.broadcast(bench), "date").select("symbol", "date", "close", "bench"))
-    return latest(both.withColumn("rs_line_pos_52", line_position())).select("symbol", "rs_line_pos_52")
+    both = numbered(bars.join(F.broadcast(bench), "date").select("symbol", "date", "close", "bench")).where("bars >= 60")
+    r, line = F.col("bars") - F.col("n"), F.col("close") / F.col("bench")
+    low, high = (f(F.when(r < 252, line)) for f in (F.min, F.max))
+    now = F.max(F.when(r == 0, line))
+    return both.groupBy("symbol").agg(F.when(F.max("bars") > 252, (now - low) / (high - low + 1e-12)).alias("rs_line_pos_52"))
 
 
 def levels(tech: DataFrame, atrs: float = 2.0) -> DataFrame:

@@ -90,7 +90,9 @@ def breadth_now(spark, sf_dir):
 
 
 def swing_tiers(spark, sf_dir):
-    return D.swing(stored(T.latest(T.technicals(panels.bars(spark, sf_dir)))), min_ret=0.0)
+    """By the fixed floor of returns, and by none."""
+    now = stored(T.newest(panels.bars(spark, sf_dir)))
+    return D.swing(now).withColumn("floor", F.lit(0.35)).unionByName(D.swing(now, min_ret=0.0).withColumn("floor", F.lit(0.0)))
 
 
 def moves(spark, sf_dir):
@@ -351,7 +353,7 @@ ORACLES = {
     "a21_picks": f"WITH {COHORTS} SELECT cohort, symbol, sector, round(score, 1) AS score, round(entry_px, 4) AS entry, round(exit_px, 4) AS exit_px, round(fwd, 4) + 0.0 AS ret, round(b, 4) + 0.0 AS bench FROM rk LEFT JOIN bfwd USING (cohort) WHERE down <= 10",
     "a03_sectors": f"WITH {FEATS} SELECT sector, count(*) AS n, {', '.join(f'{_med(c)} AS {c}' for c in ('ret_1m', 'ret_3m', 'ret_6m', 'vs_ema200', 'pe', 'sales_g3', 'roce'))}, round(avg(CASE WHEN vs_ema200 > 0 THEN 1.0 WHEN vs_ema200 <= 0 THEN 0.0 END), 2) AS pct_above_200 FROM feats GROUP BY sector",
     "a04_breadth": f"WITH {FEATS}, d AS (SELECT * FROM feats WHERE bars >= 200) SELECT count(*) AS n, {', '.join(f'round(count(*) FILTER (WHERE vs_ema{k} > 0) / greatest(1, count(*)), 3) AS above_{k}' for k in (200, 50, 20))}, count(*) FILTER (WHERE from_52h > -0.01) AS new_52w_high, count(*) FILTER (WHERE from_52l < 0.01) AS new_52w_low, {_med('ret_1m')} AS median_ret_1m, round(count(*) FILTER (WHERE ema_stack = 1) / greatest(1, count(*)), 3) AS bull_stack, round(count(*) FILTER (WHERE ema_stack = -1) / greatest(1, count(*)), 3) AS bear_stack FROM d",
-    "x11_swing": f"WITH {TECH}, e AS (SELECT *, round(ret_6m, 9) AS r6 FROM newest WHERE ret_6m >= 0.0 AND above_sma200 AND turnover_20 >= 2), p AS (SELECT *, row_number() OVER (ORDER BY r6 DESC, symbol) - 1 AS place, count(*) OVER () AS m FROM e), c AS (SELECT max(CASE WHEN place = greatest(0, CAST(floor(m * 0.25) AS INT) - 1) THEN r6 END) AS cut, max(CASE WHEN place = greatest(0, CAST(floor(m * 0.125) AS INT) - 1) THEN r6 END) AS cut_top FROM p) SELECT symbol, CASE WHEN r6 >= cut_top THEN 'A' ELSE 'B' END AS tier, coalesce(atr_pct > 0.055, false) AS hot, CASE WHEN coalesce(NOT coalesce(atr_pct > 0.055, false) AND price >= prev_high + 0.5 * atr AND vol_x50 >= 1.5, false) THEN 'TRIGGER' ELSE 'WATCH' END AS state FROM p, c WHERE m >= 4 AND r6 >= cut",
+    "x11_swing": f"WITH {TECH}, e AS (SELECT f.floor, n.*, round(ret_6m, 9) AS r6 FROM newest n, (VALUES (CAST(0.35 AS DOUBLE)), (0.0)) f(floor) WHERE ret_6m >= f.floor AND above_sma200 AND turnover_20 >= 2), p AS (SELECT *, row_number() OVER (PARTITION BY floor ORDER BY r6 DESC, symbol) - 1 AS place, count(*) OVER (PARTITION BY floor) AS m FROM e), c AS (SELECT floor, max(CASE WHEN place = greatest(0, CAST(floor(m * 0.25) AS INT) - 1) THEN r6 END) AS cut, max(CASE WHEN place = greatest(0, CAST(floor(m * 0.125) AS INT) - 1) THEN r6 END) AS cut_top FROM p GROUP BY floor) SELECT floor, symbol, CASE WHEN r6 >= cut_top THEN 'A' ELSE 'B' END AS tier, coalesce(atr_pct > 0.055, false) AS hot, CASE WHEN coalesce(NOT coalesce(atr_pct > 0.055, false) AND price >= prev_high + 0.5 * atr AND vol_x50 >= 1.5, false) THEN 'TRIGGER' ELSE 'WATCH' END AS state FROM p JOIN c USING (floor) WHERE m >= 4 AND r6 >= cut",
     "x14_move_quality": f"WITH {_LABS}, m AS (SELECT *, coalesce(deliv_per >= 1.5 * dpmed AND deliv_per >= 50, false) AS spike, coalesce(ret5 > 0.04, false) AS rally FROM lab WHERE session_no = (SELECT max(session_no) FROM lab) AND deliv_per IS NOT NULL) SELECT symbol, CASE WHEN coalesce(spike AND oi5 >= 0.10 AND abs(ret5) < 0.05, false) THEN 'accumulating' WHEN rally AND coalesce(deliv_per <= 0.5 * dpmed, false) THEN 'hollow' WHEN rally AND coalesce(oi5 <= -0.08, false) THEN 'covering' WHEN rally AND (coalesce(oi5 > 0.02, false) OR spike OR coalesce(dpmed <> 0 AND deliv_per >= 1.2 * dpmed, false)) THEN 'backed' END AS st, round(deliv_per, 1) AS dp, round(dpmed, 1) AS dp_med, round(oi5, 3) + 0.0 AS oi5, round(ret5, 3) + 0.0 AS ret5, round(vr5, 2) AS vr5 FROM m",
     "x14_trifecta": f"WITH {_LABS}, m AS (SELECT *, coalesce(deliv_per >= 1.5 * dpmed AND deliv_per >= 50, false) AS spike, coalesce(ret5 > 0.04, false) AS rally FROM lab WHERE session_no = (SELECT max(session_no) FROM lab) AND deliv_per IS NOT NULL) SELECT symbol, 7 AS days FROM m WHERE coalesce(spike AND oi5 >= 0.10 AND abs(ret5) < 0.05, false)",
     "x16_movers": _MOVERS,

@@ -35,10 +35,7 @@ def features(spark: SparkSession, sf_dir: str, asof: str = ASOF) -> DataFrame:
     """
     bars = stored(T.as_of(panels.bars(spark, sf_dir), F.lit(asof).cast("date")))
     bench = panels.bench(bars)
-    tech = T.technicals(bars)
-    now = T.latest(tech).drop("date", "open", "high", "low", "close", "volume", "price", "n")
-    for part in (T.max_drawdown(tech), T.relative_strength(bars, bench), T.rs_line(bars, bench)):
-        now = now.join(part, "symbol", "left")
+    now = T.against(T.newest(bars), bench).drop("date", "open", "high", "low", "close", "volume", "price", "n").join(T.rs_line(bars, bench), "symbol", "left")
     return stored(known(spark, sf_dir, asof, bars).join(now, "symbol", "left").join(S.share_growth(panels.share_counts(spark, sf_dir)), "symbol", "left"))
 
 

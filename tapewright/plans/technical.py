@@ -38,12 +38,12 @@ def split(cols: str) -> list[str]:
 
 def feature(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     plain, doubles = FEATURES[name]
-    return rounded(T.latest(T.technicals(bars(spark, sf_dir))).select("symbol", *split(plain), *split(doubles)))
+    return rounded(T.newest(bars(spark, sf_dir)).select("symbol", *split(plain), *split(doubles)))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten symbols of the highest mean percentile of distance to the 200-bar mean, 3-month return and range position."""
-    now = T.latest(T.technicals(bars(spark, sf_dir))).select("symbol", "vs_ema200", "ret_3m", "pos_52")
+    now = T.newest(bars(spark, sf_dir)).select("symbol", "vs_ema200", "ret_3m", "pos_52")
     long = now.unpivot("symbol", ["vs_ema200", "ret_3m", "pos_52"], "factor", "value").where("value is not null")
     score = long.withColumn("p", average_rank("value", ["factor"])).groupBy("symbol").agg(F.avg("p").alias("score"))
     return rounded(score.orderBy(F.desc("score"), "symbol").limit(10))
