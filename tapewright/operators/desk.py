@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import yes
-from ..functions.stored import stored
 from .ranking import at_place, tie_ranks
 
 
@@ -92,7 +89,10 @@ def deltas(history: DataFrame) -> DataFrame:
 
 
 def movers(history: DataFrame, top: int = 50, moved: int = 10, shown: int = 15) -> DataFrame:
-    """kind, place, symbol, d: who entered or left the best ``top``, gained or lost most, newly passes or fails, since the last run."""
+    """kind, place, symbol, d: who entered or left the best ``top``, gained or lost most, newly passes or fails, since the last run.
+
+    One reading of the history: a row a symbol, which names the lists that it might stand in, and the places there.
+    """
     h = snapshots(history).where("back < 2")
     one = lambda c, k: F.max(F.when(F.col("back") == k, F.col(c)))
     both = h.groupBy("symbol").agg(*[one(c, k).alias(f"{c}{k}") for c in ("score", "passes") for k in (0, 1)])
@@ -107,22 +107,20 @@ def movers(history: DataFrame, top: int = 50, moved: int = 10, shown: int = 15)
     each = both.select("symbol", change.alias("d"), F.explode(F.array_compact(F.array(*lists))).alias("x")).select("symbol", "d", "x.*")
     place = F.row_number().over(Window.partitionBy("kind").orderBy(F.col("o0").asc_nulls_last(), "symbol"))
     ranked = each.withColumn("r", place).where(F.col("r") <= SCORED)
-    ranked = stored(ranked.where(F.col("kind").isin("now", "passes") | (F.col("r") <= max(top, moved, shown))))
-    none = F.lit(None).cast("double")
-    of = lambda kind, most: ranked.where((F.col("kind") == kind) & (F.col("r") <= most))
-
-    def listed(kind, df, order, d=none, most=shown):
-        return df.withColumn("place", F.row_number().over(Window.orderBy(*order))).where(F.col("place") <= most).select(F.lit(kind).alias("kind"), "place", "symbol", F.round(d, 1).alias("d"))
-
-    now, before = of("now", top), of("before", top)
+    kinds = ("now", "before", "gainer", "loser", "passes", "unscored", "newly_fail")
+    r = ranked.groupBy("symbol").agg(F.max("d").alias("d"), F.max(F.when(F.col("kind") == "passes", F.col("o0"))).alias("o0"), *[F.max(F.when(F.col("kind") == k, F.col("r"))).alias(k) for k in kinds])
+    up_to = lambda k, most: yes(F.col(k) <= most)
     # a passing symbol without a score stands where the last scored place would be
-    passing = of("passes", shown).join(of("now", SCORED).select("symbol", F.col("r").alias("at")), "symbol", "left").unionByName(of("unscored", shown).withColumn("at", F.lit(SCORED)))
-    late = F.coalesce("at", F.lit(SCORED + 1))
-    parts = [
-        listed("new_top", now.join(before, "symbol", "left_anti"), ["r"]), listed("left_top", before.join(now, "symbol", "left_anti"), ["symbol"]), listed("gainer", of("gainer", moved), ["r"], F.col("d"), moved), listed("loser", of("loser", moved), ["r"], F.col("d"), moved),
-        listed("newly_pass", passing, [late, F.when(late > SCORED, F.col("o0")), "symbol"]), listed("newly_fail", of("newly_fail", shown), ["symbol"]),
+    late = F.when(F.col("unscored").isNotNull(), F.lit(SCORED)).otherwise(F.coalesce("now", F.lit(SCORED + 1)))
+    shown_in = [
+        inside(up_to("now", top) & ~up_to("before", top), "new_top", F.col("now")), inside(up_to("before", top) & ~up_to("now", top), "left_top", F.lit(0)),
+        inside(up_to("gainer", moved), "gainer", F.col("gainer")), inside(up_to("loser", moved), "loser", F.col("loser")),
+        inside(up_to("passes", shown) | up_to("unscored", shown), "newly_pass", late), inside(up_to("newly_fail", shown), "newly_fail", F.lit(0)),
     ]
-    return reduce(DataFrame.unionByName, parts)
+    out = r.select("symbol", "d", F.when(late > SCORED, F.col("o0")).alias("then"), F.explode(F.array_compact(F.array(*shown_in))).alias("x")).select("symbol", "d", "then", "x.*")
+    moves, late_pass = F.col("kind").isin("gainer", "loser"), F.when(F.col("kind") == "newly_pass", F.col("then"))
+    out = out.withColumn("place", F.row_number().over(Window.partitionBy("kind").orderBy("o0", late_pass, "symbol"))).where(F.col("place") <= F.when(moves, moved).otherwise(shown))
+    return out.select("kind", "place", "symbol", F.when(moves, F.round("d", 1)).alias("d"))
 
 
 def track_record(history: DataFrame, top: int = 10, least: int = 20, sign: int = 1) -> DataFrame:

@@ -146,3 +146,22 @@ def test_as_of_days_without_a_join_of_rows_and_days(spark):
     assert {(r["symbol"], r["day"], r["no"], r["date"], r["close"]) for r in got.collect()} == want
     assert "NestedLoop" not in plan_of(got) and "Cartesian" not in plan_of(got)
     assert backtest.as_of(d, asks.where("no > 99"), "day").count() == 0
+
+
+def test_movers_read_the_history_once(spark):
+    rng = random.Random(6)
+    rows = [(DAY0 + datetime.timedelta(7 * k), f"S{i:03d}", None if rng.random() < 0.1 else float(rng.randrange(40)), rng.random() < 0.6) for k in range(3) for i in range(150) if rng.random() < 0.9]
+    h = spark.createDataFrame(rows, "asof date, symbol string, score double, passes boolean").withColumns({"sector": F.lit("x"), "price": F.lit(1.0)})
+    of = [{s: (v, p) for d, s, v, p in rows if d == DAY0 + datetime.timedelta(7 * k)} for k in (2, 1)]
+    now, before = ([s for s, (v, p) in sorted(x.items(), key=lambda y: (-(y[1][0] or 0), y[0])) if p and v is not None] for x in of)
+    both = {s: of[0][s][0] - of[1][s][0] for s in of[0] if s in of[1] and of[0][s][0] is not None and of[1][s][0] is not None}
+    new = [s for s, (_, p) in of[0].items() if p and not of[1].get(s, (0, False))[1]]
+    want = {
+        "new_top": [s for s in now[:20] if s not in before[:20]][:15], "left_top": sorted(s for s in before[:20] if s not in now[:20])[:15], "gainer": sorted(both, key=lambda s: (-both[s], s))[:10], "loser": sorted(both, key=lambda s: (both[s], s))[:10],
+        "newly_pass": sorted(new, key=lambda s: (now.index(s) if s in now else 9999, s))[:15], "newly_fail": sorted(s for s, (_, p) in of[1].items() if p and not of[0].get(s, (0, False))[1])[:15],
+    }
+    got = desk.movers(h, top=20)
+    found: dict = {}
+    for r in sorted(got.collect(), key=lambda r: (r["kind"], r["place"])):
+        found.setdefault(r["kind"], []).append(r["symbol"])
+    assert found == {k: v for k, v in want.items() if v}
