@@ -167,6 +167,7 @@ def fundamentals(annual: DataFrame, quarterly: DataFrame, companies: DataFrame,
     ev = col("mcap") + F.coalesce(at("debt"), F.lit(0.0)) - F.coalesce(at("cash"), F.lit(0.0))
     d = d.withColumns({
         "q_rev_accel": col("q_rev_yoy") - col("q_rev_yoy_prev"), "q_pat_accel": col("q_pat_yoy") - col("q_pat_yoy_prev"),
+        "q_pat_qoq": F.lit(None).cast("double"),  # no quarter is held against the one before
         "ttm_pat_vs_fy": F.when(col("ttm_from_q"), growth(col("pat_ttm"), col("pat_fy"))),
         "opm": opm(0), "opm_3y_avg": three(opm), "opm_delta": opm(0) - three(opm), "opm_1y_delta": opm(0) - opm(1),
         "ebit_margin": ratio(at("ebit"), at("rev")), "npm": ratio(at("ni"), at("rev")), "q_opm": q_margin(dq), "q_opm_yoy_delta": q_margin(dq) - q_margin(year_before(dq)),
@@ -195,6 +196,7 @@ def fundamentals(annual: DataFrame, quarterly: DataFrame, companies: DataFrame,
     })
 
 
+# The items of a block, of years, of quarters, and of lenders alone.
 BLOCK_YEARS = ["rev", "ebit", "ebitda", "ni", "eps", "intr", "oth", "eq", "debt", "cash", "recv", "inv", "shares_a", "gppe", "ta", "cfo", "capex", "fcf", "divp"]
 BLOCK_QUARTERS = ["rev", "ebit", "ni", "eps"]
 BLOCK_LENDER = ["nii", "prov"]

@@ -16,7 +16,7 @@ from ..operators import radar as R
 from ..operators import scoring as X
 from ..operators import technicals as T
 from ..sources import panels
-from . import labs, scores
+from . import given, labs, scores
 from .scores import FEATS
 from .sql import BARS, TECH, WEEKLY
 
@@ -273,8 +273,6 @@ QUERIES = {
 ASOF_ = '"asof"'
 
 _TIE = lambda v, by: f"(rank() OVER (PARTITION BY {by} ORDER BY {v}) + (count(*) OVER (PARTITION BY {by}, {v}) - 1) / 2.0) / count(*) OVER (PARTITION BY {by}) * 100.0"
-_F = {k: X.FACTORS[k] for k in TECH_FACTORS}
-_FACTS = ", ".join(f"('{k}', {str(v[0]).lower()}, '{v[1]}')" for k, v in _F.items())
 
 
 def cohort_days(days: list[str]) -> str:
@@ -283,19 +281,18 @@ def cohort_days(days: list[str]) -> str:
 
 _COH = cohort_days(DAYS)
 _FWD = "(SELECT a.symbol, a.cohort, a.exit, entry_px, exit_px, exit_px / entry_px - 1 AS fwd FROM (SELECT symbol, cohort, exit, arg_max(close, date) AS entry_px FROM {0} JOIN coh ON date <= cohort GROUP BY 1, 2, 3) a JOIN (SELECT symbol, cohort, arg_max(close, date) AS exit_px FROM {0} JOIN coh ON date <= exit GROUP BY 1, 2) b USING (symbol, cohort))"
-_SZ = X.SIZES
 COHORTS = f"""{TECH}, {_COH},
 names AS (SELECT 'S' || lpad(CAST(s_suppkey AS VARCHAR), 5, '0') AS symbol, r_name AS sector FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
 now AS MATERIALIZED (SELECT cohort, t.* EXCLUDE (price, bars), close AS price, n AS bars, sector FROM tech t JOIN coh ON date <= cohort JOIN names USING (symbol) WHERE n >= 60 QUALIFY row_number() OVER (PARTITION BY t.symbol, cohort ORDER BY date DESC) = 1),
-facts(factor, higher, pillar) AS (VALUES {_FACTS}),
-l0 AS ({" UNION ALL ".join(f"SELECT cohort, symbol, '{k}' AS factor, CAST({k} AS DOUBLE) AS value FROM now" for k in TECH_FACTORS)}),
+facts(factor, higher, pillar, in_sector, lender_ok, other_ok) AS (VALUES {given.FACTORS}),
+l0 AS ({" UNION ALL ".join(f"SELECT cohort, symbol, '{k}' AS factor, CAST({k} AS DOUBLE) AS value FROM now" for k in given.TECHNICAL)}),
 cuts AS (SELECT cohort, factor, quantile_cont(value, 0.01) AS lo, quantile_cont(value, 0.99) AS hi FROM l0 WHERE factor IN ('updown_vol_20', 'vol_ratio_20_50') GROUP BY 1, 2),
 l2 AS (SELECT cohort, symbol, factor, pillar, higher, round(CASE WHEN lo IS NOT NULL THEN least(greatest(value, lo), hi) ELSE value END, 9) AS value FROM l0 LEFT JOIN cuts USING (cohort, factor) JOIN facts USING (factor) WHERE value IS NOT NULL),
 l3 AS (SELECT cohort, symbol, pillar, CASE WHEN higher THEN p ELSE 100 - p END AS p FROM (SELECT *, {_TIE("value", "cohort, factor")} AS p FROM l2)),
-pil AS (SELECT cohort, symbol, {", ".join(f"CASE WHEN count(CASE WHEN pillar = '{p}' THEN 1 END) / {_SZ[p]}.0 >= 0.5 THEN avg(CASE WHEN pillar = '{p}' THEN p END) END AS p_{p}" for p in X.PILLARS)} FROM l3 GROUP BY 1, 2),
+pil AS (SELECT cohort, symbol, {given.pillars()} FROM l3 GROUP BY 1, 2),
 bench1 AS (SELECT 'INDEX' AS symbol, date, bench AS close FROM bench),
 fwd AS {_FWD.format("bars")}, bfwd AS (SELECT cohort, fwd AS b FROM {_FWD.format("bench1")}),
-sc AS MATERIALIZED (SELECT now.cohort, exit, symbol, sector, price, entry_px, exit_px, fwd, {scores.sql_composite("swing_long")}, concat_ws(';', CASE WHEN bars < 200 THEN 'history' END, CASE WHEN NOT coalesce(turnover_20, 0) >= 2 THEN 'turnover' END, CASE WHEN NOT coalesce(vs_ema200, 0) > 0 THEN 'below' END) AS g FROM now JOIN pil USING (cohort, symbol) JOIN fwd USING (cohort, symbol)),
+sc AS MATERIALIZED (SELECT now.cohort, exit, symbol, sector, price, entry_px, exit_px, fwd, {given.composite("swing_long")}, concat_ws(';', CASE WHEN bars < 200 THEN 'history' END, CASE WHEN NOT coalesce(turnover_20, 0) >= 2 THEN 'turnover' END, CASE WHEN NOT coalesce(vs_ema200, 0) > 0 THEN 'below' END) AS g FROM now JOIN pil USING (cohort, symbol) JOIN fwd USING (cohort, symbol)),
 el AS (SELECT *, round(score_swing_long, 9) AS score, count(*) OVER (PARTITION BY cohort) AS n_elig FROM sc WHERE g = '' AND cov_swing_long >= 0.6 AND fwd IS NOT NULL AND score_swing_long IS NOT NULL),
 rk AS (SELECT *, n_elig - up + 1 AS down, greatest(1, CAST(ceil((up - 1) * 10 / (n_elig - 1) - 1e-9) AS INT)) AS decile FROM (SELECT *, row_number() OVER (PARTITION BY cohort ORDER BY score, symbol DESC) AS up FROM el WHERE n_elig >= {LEAST})),
 rr AS (SELECT rk.*, coalesce(b, 0) AS b, {_TIE("score", "cohort")} AS rs, {_TIE("round(fwd, 12)", "cohort")} AS rf FROM rk LEFT JOIN bfwd USING (cohort)),

@@ -11,7 +11,7 @@ from ..functions.columns import rounded
 from ..functions.stored import cached, shared_folder
 from ..operators import scoring, sessions, statements
 from ..sources import panels, readers, sinks
-from . import scores
+from . import given, scores
 from .sql import BARS
 
 
@@ -124,7 +124,7 @@ QUERIES = {
 _SYM = "'S' || lpad(CAST(s_suppkey AS VARCHAR), 5, '0')"
 _NAMED = f"c AS (SELECT {_SYM} AS symbol, r_name AS sector, s_suppkey AS key, CASE WHEN s_suppkey % 9 <> 4 THEN (s_suppkey % 70) / 100.0 END AS promoter FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"
 
-_EVEN = scores.sql_composite("longterm", {"quality": 1, "trend": 1})
+_EVEN = given.composite("longterm", {"quality": 1, "trend": 1})
 
 ORACLES = {
     "st3_fresh_gate": f"WITH {BARS}, l AS (SELECT max(date) AS last FROM bars), b AS (SELECT symbol, max(date) AS d, count(*) AS n FROM bars GROUP BY 1) SELECT 'fresh' AS kind, symbol, d AS through, n FROM b UNION ALL SELECT 'patched', symbol, last, CASE WHEN d < last THEN n + 1 ELSE n END FROM b, l",

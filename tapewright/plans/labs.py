@@ -11,6 +11,7 @@ from ..functions.columns import rounded
 from ..operators import events as E
 from ..operators import sessions as G
 from ..sources import panels
+from . import given
 from .sql import WEEKLY, pick
 
 TURNOVER, LEAST, CONTROL = 450.0, 15, 10
@@ -161,7 +162,7 @@ def recursive(sql: str) -> str:
     return sql.replace("WITH ", "WITH RECURSIVE ", 1)
 
 
-_KEPT_P, _KEPT_F = sql_kept(PRICE, E.PRICE_SIGNALS, "elig AND bars_ok"), sql_kept(FLOWS, E.FLOW_SIGNALS, "elig")
+_KEPT_P, _KEPT_F = sql_kept(PRICE, given.PRICE_SIGNALS, "elig AND bars_ok"), sql_kept(FLOWS, given.FLOW_SIGNALS, "elig")
 _one = lambda lab, signals, mask, name: f"WITH RECURSIVE {sql_kept(lab, {name: signals[name]}, mask)} SELECT symbol, session_no, signal, arm, round(xs20, 6) + 0.0 AS xs20 FROM kept JOIN lab USING (symbol, session_no)"
 _m = lambda arm, x, more="": f"avg(CASE WHEN arm = {arm}{more} THEN {x} END)"
 _VERDICT_P = f"""WITH RECURSIVE {_KEPT_P}, x AS (SELECT * FROM kept JOIN lab USING (symbol, session_no)), mid AS (SELECT max(session_no) // 2 + 1 AS mid FROM lab),
@@ -179,7 +180,7 @@ SELECT signal, n, ctrl_n, {", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in ("x5
 
 ORACLES = (
     {name: recursive(pick(PRICE, "lab", "symbol, date", cols)) for name, cols in SESSION.items()} | {name: f"WITH {FLOWS} SELECT symbol, date, {', '.join(f'round(CAST({c} AS DOUBLE), {WHOLE.get(c, 9)}) + 0.0 AS {c}' for c in split(cols))} FROM lab" for name, cols in FLOW.items()}
-    | {f"{name}_signal": _one(PRICE, E.PRICE_SIGNALS, "elig AND bars_ok", name) for name in E.PRICE_SIGNALS} | {f"{name}_signal": _one(FLOWS, E.FLOW_SIGNALS, "elig", name) for name in E.FLOW_SIGNALS}
+    | {f"{name}_signal": _one(PRICE, given.PRICE_SIGNALS, "elig AND bars_ok", name) for name in given.PRICE_SIGNALS} | {f"{name}_signal": _one(FLOWS, given.FLOW_SIGNALS, "elig", name) for name in given.FLOW_SIGNALS}
     | {
         "w31_flags": f"WITH RECURSIVE {PRICE} SELECT symbol, date, down3, bars_ok, elig, bo52, bo20, tight, nr7p, rs_hi60 FROM lab",
         "ev0_hits": f"WITH RECURSIVE {_KEPT_P} SELECT signal, arm, count(*) AS n, count(DISTINCT symbol) AS symbols FROM ev GROUP BY 1, 2",

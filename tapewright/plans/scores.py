@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -13,6 +14,7 @@ from ..operators import scoring as X
 from ..operators import statements as S
 from ..operators import technicals as T
 from ..sources import panels
+from . import given
 from .sql import TECH, TICKS, pick
 
 ASOF = "2000-09-01"
@@ -50,6 +52,7 @@ FUND = {
     "f11_balance": ("", "de, net_debt_ebitda, int_cover, current_ratio, dilution_3y, debt_change_1y"),
     "f13_cash": ("fcf_pos_years", "cfo_pat, cfo_pat_3y, fcf_now, fcf_yield, capex_dep, capex_sales, div_payout, other_inc_pbt"),
     "f15_working_capital": ("", "rec_days, rec_days_prev, rec_days_delta, inv_days, inv_days_delta, gross_block_g1"),
+    "f07_twelve_months": ("", "ttm_pat_vs_fy, q_pat_qoq"),
     "f19_forward": ("analyst_rec", "pe_fwd"),
     "f16_ownership": ("", "promoter, institutions, analyst_n, analyst_upside, beta"),
     "f17_valuation": ("", "pe, pe_yahoo, pb, ev_ebitda, ev_sales, ps, peg, earnings_yield, div_yield"),
@@ -74,7 +77,9 @@ def pit_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def block(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(S.financial_block(panels.periods(spark, sf_dir, False), panels.periods(spark, sf_dir, True), panels.companies(spark, sf_dir).select("symbol", "lender")), 5)
+    """Quarters with earnings a share for nine companies of ten."""
+    quarters = panels.periods(spark, sf_dir, True).withColumn("eps", F.when(F.col("key") % 10 != 9, F.col("ni") / 1e6))
+    return rounded(S.financial_block(panels.periods(spark, sf_dir, False), quarters, panels.companies(spark, sf_dir).select("symbol", "lender")), 5)
 
 
 def dilution(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,6 +127,26 @@ def flag_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features(spark, sf_dir).select("symbol", F.array_join(F.transform(fl, lambda x: F.concat(x["sev"], F.lit(":"), x["code"])), ";").alias("flags"), count("red"), count("amber"), count("grey"))
 
 
+def flag_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every flag with its text."""
+    each = features(spark, sf_dir).select("symbol", F.posexplode(X.flags()).alias("place", "f"))
+    return each.select("symbol", "place", "f.sev", "f.code", "f.text")
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nested result document of each company, written as JSON and read again: scores of all modes with their gates, and flags."""
+    from ..functions.stored import shared_folder
+    from ..sources import sinks
+
+    modes = F.create_map(*[x for m in X.MODES for x in (F.lit(m), F.struct(F.round(f"score_{m}", 6).alias("score"), F.round(f"cov_{m}", 6).alias("cov"), F.col(f"gates_{m}").alias("gates")))])
+    made = scored(spark, sf_dir).select("symbol", F.struct("sector", "lender").alias("company"), modes.alias("modes"), X.flags().alias("flags"))
+    at = f"{shared_folder(spark)}/documents-{uuid.uuid4().hex}"
+    sinks.document(made, "value").write.text(at)
+    read = spark.read.schema("symbol string, company struct<sector: string, lender: boolean>, modes map<string, struct<score: double, cov: double, gates: array<string>>>, flags array<struct<sev: string, code: string, text: string>>").json(at)
+    each = read.select("symbol", "company.*", F.explode("modes").alias("mode", "m"), F.size(F.filter("flags", lambda f: f["sev"] == "red")).alias("n_red"))
+    return each.select("symbol", "sector", "lender", "mode", "m.score", "m.cov", F.array_join("m.gates", ";").alias("gates"), "n_red")
+
+
 def ranked_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every company in each mode's list, with its place in it: what passes first, then by score."""
     all_ = scored(spark, sf_dir)
@@ -131,14 +156,14 @@ def ranked_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first 50 of the long-term mode's list: what passes first, then by score. ``ranked_all`` has all of all modes."""
+    """The long-term mode's whole list: what passes first, then by score. ``ranked_all`` has those of all modes."""
     one = lambda m: scored(spark, sf_dir).select(F.lit(m).alias("mode"), "symbol", (F.size(f"gates_{m}") == 0).alias("passes"), F.col(f"score_{m}").alias("score"))
-    return rounded(one("longterm").orderBy(F.desc("passes"), F.desc(F.round("score", 6)), "symbol").limit(50))
+    return rounded(one("longterm").orderBy(F.desc("passes"), F.desc(F.round("score", 6)), "symbol"))
 
 
 QUERIES = {name: partial(fund, name) for name in FUND} | {
     "p07_pit_cut": pit_cut, "f23_fin_block": block, "f12_dilution": dilution, "x02_winsor": winsor, "x04_pct_rank": universe_ranks, "x05_sector_blend": ranks, "x06_pillars": pillar_table,
-    "x08_composite": composites, "x08_weights": reweighted, "x09_gates": gate_table, "x15_flags": flag_table, "snk3_ranked": ranked, "snk3_ranked_all": ranked_all,
+    "x08_composite": composites, "x08_weights": reweighted, "x09_gates": gate_table, "x15_flags": flag_table, "x15_texts": flag_texts, "snk2_nested": documents, "snk3_ranked": ranked, "snk3_ranked_all": ranked_all,
 }
 
 # --- SQL
@@ -181,7 +206,7 @@ f0 AS (SELECT c.*, ap.* EXCLUDE (symbol), qp.* EXCLUDE (symbol), price, CASE WHE
   CASE WHEN all_has THEN rev0 + d_rev ELSE rev0 END AS rev_ttm, CASE WHEN all_has THEN ni0 + d_ni ELSE ni0 END AS pat_ttm FROM companies c JOIN ap USING (symbol) LEFT JOIN qp USING (symbol) LEFT JOIN price USING (symbol)),
 f1 AS (SELECT *, price * shares_used AS mcap, all_has AS ttm_from_q, CASE WHEN pat_ttm > 0 THEN price * shares_used / pat_ttm END AS pe, coalesce({_cagr("ni0", "ni3", 3)}, CASE WHEN ni3 IS NULL THEN {_cagr("ni0", "ni2", 2)} END) AS pat_g3, {_g("ni0", "ni1")} AS pat_g1,
   coalesce(nullif(dividend_rate, 0) / nullif(current_price, 0), dividend_yield) AS paid FROM f0),
-funds AS (SELECT * REPLACE (coalesce(nullif(promoter, 0), promoter_held) AS promoter, coalesce(nullif(institutions, 0), institutions_held) AS institutions), fx AS stmt_fx, rev0 AS rev_fy, ni0 AS pat_fy, ebit0 AS ebit_fy, ebitda0 AS ebitda_fy, CASE WHEN ttm_from_q THEN {_g("pat_ttm", "ni0")} END AS ttm_pat_vs_fy,
+funds AS (SELECT * REPLACE (coalesce(nullif(promoter, 0), promoter_held) AS promoter, coalesce(nullif(institutions, 0), institutions_held) AS institutions), CAST(NULL AS DOUBLE) AS q_pat_qoq, fx AS stmt_fx, rev0 AS rev_fy, ni0 AS pat_fy, ebit0 AS ebit_fy, ebitda0 AS ebitda_fy, CASE WHEN ttm_from_q THEN {_g("pat_ttm", "ni0")} END AS ttm_pat_vs_fy,
   {_g("rev0", "rev1")} AS sales_g1, CASE WHEN rev3 IS NOT NULL THEN {_cagr("rev0", "rev3", 3)} ELSE {_cagr("rev0", "rev2", 2)} END AS sales_g3, CASE WHEN eps3 IS NOT NULL THEN {_cagr("eps0", "eps3", 3)} END AS eps_g3,
   y_rev0 AS q_rev_yoy, y_ni0 AS q_pat_yoy, y_rev1 AS q_rev_yoy_prev, y_ni1 AS q_pat_yoy_prev, y_rev0 - y_rev1 AS q_rev_accel, y_ni0 - y_ni1 AS q_pat_accel,
   {_opm(0)} AS opm, {_avg3(_opm)} AS opm_3y_avg, {_opm(0)} - {_avg3(_opm)} AS opm_delta, {_opm(0)} - {_opm(1)} AS opm_1y_delta, {_r("ebit0", "rev0")} AS ebit_margin, {_r("ni0", "rev0")} AS npm, q_opm - q_opm_p AS q_opm_yoy_delta,
@@ -197,46 +222,26 @@ funds AS (SELECT * REPLACE (coalesce(nullif(promoter, 0), promoter_held) AS prom
   CASE WHEN lender THEN {_g("nii0", "nii1")} END AS nii_g1, CASE WHEN lender THEN {_r("prov0", "nii0")} END AS prov_pct_nii, CASE WHEN lender THEN {_r("ta0", "eq0")} END AS leverage,
   CASE WHEN shares_used / shares > 1.25 OR shares_used / shares < 0.8 THEN 'Share count ' || CAST(CAST(round(shares_used, 0) AS BIGINT) AS VARCHAR) || ' used instead of ' || CAST(CAST(round(shares, 0) AS BIGINT) AS VARCHAR) END AS shares_note FROM f1)"""
 TECH_NOW = TECH.replace("FROM ticks GROUP BY l_suppkey, day", f"FROM ticks WHERE day <= DATE '{ASOF}' GROUP BY l_suppkey, day")
-_FACTS = ", ".join(f"('{k}', {str(h).lower()}, '{p}', {str(i).lower()}, {str(lo).lower()}, {str(ok).lower()})" for k, (h, p, i, lo, ok) in X.FACTORS.items())
-_WINS = ", ".join(f"'{w}'" for w in X.WINSORISED)
+_WINS = given.WINSORISED
 FEATS = f"{TECH_NOW}, {FUNDAMENTALS[len(TICKS) + 2 :]}, feats AS MATERIALIZED (SELECT f.*, t.* EXCLUDE (symbol, date, open, high, low, close, volume, price, n), dd.max_dd_1y, rs.rs_3m, rs.rs_6m, rs.rs_12m, rsl.rs_line_pos_52 FROM funds f LEFT JOIN newest t USING (symbol) LEFT JOIN dd USING (symbol) LEFT JOIN rs USING (symbol) LEFT JOIN rsl USING (symbol))"
 _TIE = lambda v, by: f"(rank() OVER (PARTITION BY {by} ORDER BY {v}) + (count(*) OVER (PARTITION BY {by}, {v}) - 1) / 2.0) / count(*) OVER (PARTITION BY {by}) * 100.0"
 def ranking(by: str = "") -> str:
     """Percentiles and pillars of ``feats``; ``by``: "cohort, " to rank cohorts apart."""
-    return f"""facts(factor, higher, pillar, in_sector, lender_ok, other_ok) AS (VALUES {_FACTS}),
-l0 AS ({" UNION ALL ".join(f"SELECT {by}symbol, sector, lender, '{k}' AS factor, CAST({k} AS DOUBLE) AS value FROM feats" for k in X.FACTORS)}),
+    return f"""facts(factor, higher, pillar, in_sector, lender_ok, other_ok) AS (VALUES {given.FACTORS}),
+l0 AS ({" UNION ALL ".join(f"SELECT {by}symbol, sector, lender, '{k}' AS factor, CAST({k} AS DOUBLE) AS value FROM feats" for k in given.names())}),
 cuts AS (SELECT {by}factor, quantile_cont(value, 0.01) AS lo, quantile_cont(value, 0.99) AS hi FROM l0 WHERE factor IN ({_WINS}) GROUP BY {by}factor),
 l1 AS (SELECT {by}symbol, sector, lender, factor, CASE WHEN lo IS NOT NULL AND value IS NOT NULL THEN least(greatest(value, lo), hi) ELSE value END AS value FROM l0 LEFT JOIN cuts USING ({by}factor)),
 l2 AS (SELECT {by}symbol, sector, factor, pillar, higher, in_sector, round(value, 9) AS value FROM l1 JOIN facts USING (factor) WHERE value IS NOT NULL AND CASE WHEN lender THEN lender_ok ELSE other_ok END),
 l3 AS (SELECT *, {_TIE("value", by + "factor")} AS pu, {_TIE("value", by + "factor, sector")} AS ps, count(*) OVER (PARTITION BY {by}factor, sector) AS m FROM l2),
 l4 AS (SELECT {by}symbol, sector, pillar, factor, in_sector, m, CASE WHEN higher THEN pu ELSE 100 - pu END AS p, CASE WHEN higher THEN ps ELSE 100 - ps END AS ps FROM l3),
 ranked AS (SELECT {by}symbol, sector, pillar, factor, CASE WHEN in_sector AND m >= 8 THEN 0.5 * p + 0.5 * ps ELSE p END AS p FROM l4),
-pil AS (SELECT {by}symbol, {", ".join(f"CASE WHEN count(CASE WHEN pillar = '{p}' THEN 1 END) / {X.SIZES[p]}.0 >= 0.5 THEN avg(CASE WHEN pillar = '{p}' THEN p END) END AS p_{p}, count(CASE WHEN pillar = '{p}' THEN 1 END) / {X.SIZES[p]}.0 AS cov_{p}" for p in X.PILLARS)} FROM ranked GROUP BY {by}symbol)"""
+pil AS (SELECT {by}symbol, {given.pillars()} FROM ranked GROUP BY {by}symbol)"""
 
 
 LONG = f"{FEATS}, {ranking()}"
 
 
-def sql_composite(mode: str, weights: dict | None = None) -> str:
-    w = weights or X.MODES[mode]["weights"]
-    side = lambda p: f"100 - p_{p}" if X.MODES[mode]["short"] and p in X.INVERTED else f"p_{p}"
-    total = float(sum(w.values()))
-    return f"({' + '.join(f'{v} * coalesce({side(p)}, 50.0)' for p, v in w.items())}) / {total} AS score_{mode}, ({' + '.join(f'CASE WHEN p_{p} IS NOT NULL THEN {v}.0 ELSE 0 END' for p, v in w.items())}) / {total} AS cov_{mode}"
-
-
-def sql_gates(mode: str) -> str:
-    g = X.MODES[mode]["gates"]
-    rules = {
-        "min_bars": lambda v: (f"coalesce(bars, 0) < {v}", "history"), "turnover_min": lambda v: (f"NOT coalesce(turnover_20, 0) >= {v}", "turnover"), "pat_positive": lambda v: ("NOT coalesce(pat_ttm, 0) > 0", "loss-making"),
-        "above_ema200": lambda v: ("NOT coalesce(vs_ema200, 0) > 0", "below 200 EMA"), "below_ema200": lambda v: ("NOT coalesce(vs_ema200, 0) < 0", "above 200 EMA"), "atr_pct_min": lambda v: (f"NOT coalesce(atr_pct, 0) >= {v}", "ATR too low"),
-        "max_ext": lambda v: (f"vs_ema200 > {v}", "over-extended"), "pe_min": lambda v: (f"pe < {v}", f"P/E < {v:g} (one-off gain?)"), "other_inc_max": lambda v: (f"other_inc_pbt > {v}", "other income"), "dilution_max": lambda v: (f"coalesce(dilution_3y, dilution_hist) > {v}", "dilution"),
-        "cfo_pat_min": lambda v: (f"NOT lender AND cfo_pat_3y < {v}", "cash conversion"), "growth_min": lambda v: (f"NOT coalesce(p_growth >= {v}, false)", "growth unconfirmed"), "quality_min": lambda v: (f"NOT coalesce(p_quality >= {v}, false)", "quality unconfirmed"),
-    }
-    cases = ", ".join("CASE WHEN {} THEN '{}' END".format(*rule(g[k])) for k, rule in rules.items() if k in g)
-    return f"concat_ws(';', {cases}) AS gates_{mode}"
-
-
-SCORED = f"{LONG}, scored AS (SELECT *, {', '.join(sql_composite(m) for m in X.MODES)}, {', '.join(sql_gates(m) for m in X.MODES)} FROM feats LEFT JOIN pil USING (symbol))"
+SCORED = f"{LONG}, scored AS (SELECT *, {', '.join(given.composite(m) for m in given.SCORES)}, {', '.join(given.gates(m) for m in given.SCORES)} FROM feats LEFT JOIN pil USING (symbol))"
 _FLAGS = [
     ("red:CFO", "NOT lender AND cfo_pat_3y < 0.5"), ("amber:CFO", "NOT lender AND cfo_pat_3y >= 0.5 AND cfo_pat_3y < 0.8"), ("red:INTCOV", "NOT lender AND int_cover < 1.5"), ("amber:INTCOV", "NOT lender AND int_cover >= 1.5 AND int_cover < 3"),
     ("red:LEV", "NOT lender AND net_debt_ebitda > 4"), ("amber:OTHINC", "NOT lender AND other_inc_pbt > 0.3"), ("amber:RECV", "NOT lender AND rec_days_delta > 20 AND coalesce(sales_g1, 0) < 0.5"), ("amber:INV", "NOT lender AND inv_days_delta > 25"),
@@ -246,9 +251,32 @@ _FLAGS = [
 ]
 _count = lambda sev: " + ".join(f"CASE WHEN {c} THEN 1 ELSE 0 END" for k, c in _FLAGS if k.startswith(sev))
 
+_D = "coalesce(dilution_3y, dilution_hist)"
+#: Severity, code, condition and text of each flag, in order.
+_TEXTS = [
+    ("red", "CFO", "NOT lender AND cfo_pat_3y < 0.5", "printf('of each unit of profit, operations brought in %.2f over three years', round(cfo_pat_3y, 2))"),
+    ("amber", "CFO", "NOT lender AND cfo_pat_3y >= 0.5 AND cfo_pat_3y < 0.8", "printf('of each unit of profit, operations brought in %.2f over three years', round(cfo_pat_3y, 2))"),
+    ("red", "INTCOV", "NOT lender AND int_cover < 1.5", "printf('earnings pay the interest %.1f times', round(int_cover, 1))"),
+    ("amber", "INTCOV", "NOT lender AND int_cover >= 1.5 AND int_cover < 3", "printf('earnings pay the interest %.1f times', round(int_cover, 1))"),
+    ("red", "LEV", "NOT lender AND net_debt_ebitda > 4", "printf('debt less cash is worth %.1f years of EBITDA', round(net_debt_ebitda, 1))"),
+    ("amber", "OTHINC", "NOT lender AND other_inc_pbt > 0.3", "printf('%.0f %% of the profit before tax is not from operations', round(other_inc_pbt * 100))"),
+    ("amber", "RECV", "NOT lender AND rec_days_delta > 20 AND coalesce(sales_g1, 0) < 0.5", "printf('customers take %.0f days longer to pay than last year', round(rec_days_delta))"),
+    ("amber", "INV", "NOT lender AND inv_days_delta > 25", "printf('goods lie %.0f days longer than last year', round(inv_days_delta))"),
+    ("amber", "FCF", "NOT lender AND fcf_pos_years = 0 AND n_fy >= 3", "printf('none of the newest %d years left free cash', CAST(least(3, n_fy) AS INT))"),
+    ("amber", "PEAKMGN", "NOT lender AND opm_delta > 0.08 AND coalesce(sales_g3, 0) < 0.05", "printf('margin is %.1f points over its mean while sales grew %.1f %% a year', round(opm_delta * 100, 1), round(coalesce(sales_g3 * 100, 0), 1))"),
+    ("red", "DILUTE", f"{_D} > 0.25", f"printf('shares outstanding grew by %.0f %%', round({_D} * 100))"), ("amber", "DILUTE", f"{_D} > 0.10 AND {_D} <= 0.25", f"printf('shares outstanding grew by %.0f %%', round({_D} * 100))"),
+    ("amber", "PROM", "promoter < 0.25", "printf('insiders own %.1f %%', round(promoter * 100, 1))"), ("red", "LOSS", "pat_ttm <= 0", "printf('twelve months end with %.1f Cr', round(pat_ttm / 1e7, 1))"),
+    ("amber", "PE", "pe > 80", "printf('the price is %.0f times the profit', round(pe))"), ("amber", "QPAT", "q_pat_yoy < -0.25", "printf('the newest quarter earned %.0f %% less than a year before', round(-q_pat_yoy * 100))"),
+    ("grey", "DATA", "shares_note IS NOT NULL", "shares_note"), ("grey", "DATA", "pe / nullif(pe_yahoo, 0) > 2 OR pe / nullif(pe_yahoo, 0) < 0.5", "printf('P/E is %.1f here and %.1f at the vendor', round(pe, 1), round(pe_yahoo, 1))"),
+    ("grey", "DATA", "stmt_fx <> 1", "printf('statements are multiplied by %.2f', round(stmt_fx, 2))"), ("grey", "DATA", "n_fy < 3", "printf('%d yearly statements in all', CAST(n_fy AS INT))"), ("grey", "DATA", "bars < 260", "printf('%d days of prices in all', CAST(bars AS INT))"),
+    ("amber", "DEAD", "atr_pct < 0.012", "printf('a usual day moves it by %.2f %%', round(atr_pct * 100, 2))"), ("amber", "ILLIQ", "turnover_20 < 2", "printf('%.1f Cr are traded a day', round(turnover_20, 1))"),
+    ("amber", "DD", "max_dd_1y < -0.5", "printf('it stood %.0f %% higher within the year', round(-max_dd_1y * 100 / (1 + max_dd_1y)))"),
+]
+_ALL_FLAGS = " UNION ALL ".join(f"SELECT symbol, {i} AS i, '{sev}' AS sev, '{code}' AS code, {text} AS text FROM feats WHERE {when}" for i, (sev, code, when, text) in enumerate(_TEXTS))
+
 _Y = "rev ebit ebitda ni eps intr oth eq debt cash recv inv shares_a gppe ta cfo capex fcf divp".split()
 _BLOCK = f"""z AS (SELECT symbol, 'a' AS kind, row_number() OVER (PARTITION BY symbol ORDER BY period_end DESC) - 1 AS k, period_end, {", ".join(_Y)}, CASE WHEN lender THEN nii END AS nii, CASE WHEN lender THEN prov END AS prov FROM annual JOIN (SELECT symbol, lender FROM companies) c USING (symbol)
-UNION ALL SELECT symbol, 'q', row_number() OVER (PARTITION BY symbol ORDER BY period_end DESC) - 1, period_end, rev, ebit, NULL, ni, {", ".join(["NULL"] * (len(_Y) - 4))}, NULL, NULL FROM quarterly)
+UNION ALL SELECT symbol, 'q', row_number() OVER (PARTITION BY symbol ORDER BY period_end DESC) - 1, period_end, rev, ebit, NULL, ni, CASE WHEN key % 10 <> 9 THEN ni / 1e6 END, {", ".join(["NULL"] * (len(_Y) - 5))}, NULL, NULL FROM quarterly)
 SELECT symbol, kind, k, period_end, {", ".join(f"round(CAST({x} AS DOUBLE), 5) + 0.0 AS {x}" for x in [*_Y, "nii", "prov"])} FROM z WHERE k < CASE WHEN kind = 'a' THEN 4 ELSE 6 END"""
 
 ORACLES = {name: pick(FUNDAMENTALS, "funds", f"symbol, {plain}", doubles, DIGITS.get(name, 6)) for name, (plain, doubles) in FUND.items()} | {
@@ -258,11 +286,13 @@ ORACLES = {name: pick(FUNDAMENTALS, "funds", f"symbol, {plain}", doubles, DIGITS
     "x02_winsor": pick(LONG, "l1", "symbol, factor", "value", 5, f"factor IN ({_WINS})"),
     "x04_pct_rank": pick(LONG, "l4", "symbol, sector, pillar, factor", "p"),
     "x05_sector_blend": pick(LONG, "ranked", "symbol, sector, pillar, factor", "p"),
-    "x06_pillars": pick(LONG, "feats LEFT JOIN pil USING (symbol)", "symbol", ", ".join(f"{a}_{p}" for p in X.PILLARS for a in ("p", "cov"))),
-    "x08_composite": pick(SCORED, "scored", "symbol", ", ".join(f"{a}_{m}" for m in X.MODES for a in ("score", "cov"))),
-    "x08_weights": f"WITH {LONG}, z AS (SELECT symbol, {sql_composite('longterm', {'quality': 1, 'trend': 1})} FROM feats LEFT JOIN pil USING (symbol)) SELECT symbol, round(score_longterm, 6) AS score_longterm, round(cov_longterm, 6) AS cov_longterm FROM z",
-    "x09_gates": f"WITH {SCORED} SELECT symbol, {', '.join(f'gates_{m}' for m in X.MODES)} FROM scored",
+    "x06_pillars": pick(LONG, "feats LEFT JOIN pil USING (symbol)", "symbol", ", ".join(f"{a}_{p}" for p in given.PILLARS for a in ("p", "cov"))),
+    "x08_composite": pick(SCORED, "scored", "symbol", ", ".join(f"{a}_{m}" for m in given.SCORES for a in ("score", "cov"))),
+    "x08_weights": f"WITH {LONG}, z AS (SELECT symbol, {given.composite('longterm', {'quality': 1, 'trend': 1})} FROM feats LEFT JOIN pil USING (symbol)) SELECT symbol, round(score_longterm, 6) AS score_longterm, round(cov_longterm, 6) AS cov_longterm FROM z",
+    "x09_gates": f"WITH {SCORED} SELECT symbol, {', '.join(f'gates_{m}' for m in given.SCORES)} FROM scored",
     "x15_flags": f"WITH {FEATS} SELECT symbol, concat_ws(';', {', '.join(f'CASE WHEN {c} THEN {chr(39)}{k}{chr(39)} END' for k, c in _FLAGS)}) AS flags, {_count('red')} AS n_red, {_count('amber')} AS n_amber, {_count('grey')} AS n_grey FROM feats",
-    "snk3_ranked_all": f"WITH {SCORED} SELECT *, row_number() OVER (PARTITION BY mode ORDER BY passes DESC, score DESC NULLS LAST, symbol) AS place FROM ({" UNION ALL ".join(f"SELECT '{m}' AS mode, symbol, gates_{m} = '' AS passes, round(score_{m}, 6) AS score FROM scored" for m in X.MODES)})",
-    "snk3_ranked": f"WITH {SCORED} SELECT 'longterm' AS mode, symbol, gates_longterm = '' AS passes, round(score_longterm, 6) AS score FROM scored ORDER BY passes DESC, score DESC, symbol LIMIT 50",
+    "x15_texts": f"WITH {FEATS}, z AS ({_ALL_FLAGS}) SELECT symbol, CAST(row_number() OVER (PARTITION BY symbol ORDER BY i) - 1 AS INT) AS place, sev, code, text FROM z",
+    "snk2_nested": f"WITH {SCORED}, r AS (SELECT *, {_count('red')} AS n_red FROM scored) " + " UNION ALL ".join(f"SELECT symbol, sector, lender, '{m}' AS mode, round(score_{m}, 6) AS score, round(cov_{m}, 6) AS cov, gates_{m} AS gates, n_red FROM r" for m in given.SCORES),
+    "snk3_ranked_all": f"WITH {SCORED} SELECT *, row_number() OVER (PARTITION BY mode ORDER BY passes DESC, score DESC NULLS LAST, symbol) AS place FROM ({" UNION ALL ".join(f"SELECT '{m}' AS mode, symbol, gates_{m} = '' AS passes, round(score_{m}, 6) AS score FROM scored" for m in given.SCORES)})",
+    "snk3_ranked": f"WITH {SCORED} SELECT 'longterm' AS mode, symbol, gates_longterm = '' AS passes, round(score_longterm, 6) AS score FROM scored ",
 }
