@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import rounded
-from ..functions.stored import stored
+from ..functions.stored import shared_folder, stored
 from ..operators import backtest as B
 from ..operators import desk as D
 from ..operators import feeds as N
@@ -16,6 +17,7 @@ from ..operators import radar as R
 from ..operators import scoring as X
 from ..operators import technicals as T
 from ..sources import panels
+from ..sources.sinks import radar_bundle
 from . import given, labs, scores
 from .scores import FEATS
 from .sql import BARS, TECH, WEEKLY
@@ -135,6 +137,16 @@ def radar_prior(spark, sf_dir):
     return rounded(R.measures(panel, prior).select("symbol", "ath", "dd_ath", "bars"))
 
 
+def bundle(spark, sf_dir):
+    """What a later radar run starts from, written and read back, a row a symbol."""
+    panel, shares, sector, held, watched = radar_inputs(spark, sf_dir)
+    asof = panel.agg(F.max("date")).scalar()
+    t = radar_bundle(spark, f"{shared_folder(spark)}/radar-{uuid.uuid4().hex}", R.measures(panel), asof, {"shares": shares, "sector": sector, "held": held, "watched": watched})
+    n = t["held"].groupBy("symbol").agg(F.count("*").alias("n_held"), F.max("date").alias("newest"))
+    listed = t["watched"].withColumn("watched", F.lit(True))
+    return rounded(t["ath"].join(t["shares"], "symbol").join(t["sector"], "symbol").join(n, "symbol").join(listed, "symbol", "left").withColumn("watched", F.coalesce("watched", F.lit(False))), 5)
+
+
 def promoters(spark, sf_dir):
     return rounded(R.promoter_change(radar_inputs(spark, sf_dir)[3]))
 
@@ -262,7 +274,7 @@ def weekdays(spark, sf_dir):
 QUERIES = {
     "j05_asof_fwd": j05, "j04_asof_back": j04, "a07_cohorts": cohort_rows, "a08_deciles": decile_table, "a09_ic": cohort_ic, "a11_summary": summary, "a21_picks": ledger,
     "a03_sectors": partial(desk, D.sectors), "a04_breadth": breadth_now, "x11_swing": swing_tiers, "x14_move_quality": moves, "x14_trifecta": gathering, "x16_movers": partial(past, D.movers), "x17_deltas": partial(past, D.deltas), "a17_track": partial(past, D.track_record), "snk5_retention": partial(past, partial(D.retained, runs=3)),
-    "w38_ca_adjust": repaired, "w40_radar_inputs": radar_measures, "w41_ath": radar_prior, "w42_promoters": promoters, "a14_heat": sector_heat, "a15_context": market_context, "x12_radar": radar_list,
+    "w38_ca_adjust": repaired, "w40_radar_inputs": radar_measures, "w41_ath": radar_prior, "w42_promoters": promoters, "snk10_bundle": bundle, "a14_heat": sector_heat, "a15_context": market_context, "x12_radar": radar_list,
     "a16_counts": radar_counts, "a20_coverage": filed_coverage, "b03_days": nominal, "snk4_audit": audit,
     "o05_upsert": merged, "j07_interval_yoy": yoy, "j11_cross_check": checked, "a01_futures": futures, "a22_mcap": market_caps, "p19_freshness": fresh, "p18_expected": expected, "src_pick": picked, "src_props": props, "src_keys": keys, "snk11_append": appended, "src_shards": sharded, "src_days": weekdays,
 }
@@ -361,6 +373,7 @@ ORACLES = {
     "w40_radar_inputs": f"WITH {_RADAR} SELECT symbol, bars, {_r('price turn20 volreg ath ret3 ret6 ret12 dd_ath')} FROM meas",
     "w41_ath": f"WITH {_RADAR}, pr AS (SELECT symbol, arg_min(close, date) * 1.2 AS old, min(date) AS {ASOF_} FROM weekly GROUP BY symbol), ev AS (SELECT r.symbol, product(r.event) AS f FROM rep r JOIN pr USING (symbol) WHERE event IS NOT NULL AND r.date > {ASOF_} GROUP BY 1), z AS (SELECT m.symbol, price, greatest(ath, old * coalesce(f, 1)) AS ath FROM meas m JOIN pr USING (symbol) LEFT JOIN ev USING (symbol)) SELECT symbol, round(ath, 6) AS ath, round(price / ath - 1, 6) + 0.0 AS dd_ath, CAST(300 AS BIGINT) AS bars FROM z",
     "w42_promoters": f"WITH {_RADAR} SELECT symbol, CAST(prom_chg AS DOUBLE) AS prom_chg FROM prom",
+    "snk10_bundle": f"WITH {_RADAR}, l AS (SELECT max(date) AS {ASOF_} FROM weekly) SELECT m.symbol, round(ath, 5) AS ath, {ASOF_}, CAST(CAST(substr(m.symbol, 7, 2) AS INT) * 50000 AS DOUBLE) AS shares, substr(m.symbol, 7, 1) AS sector, CASE WHEN CAST(substr(m.symbol, 7, 2) AS INT) % 4 = 0 THEN 2 ELSE 4 END AS n_held, CASE WHEN CAST(substr(m.symbol, 7, 2) AS INT) % 4 = 0 THEN DATE '2001-07-01' ELSE DATE '2002-01-01' END AS newest, CAST(substr(m.symbol, 7, 2) AS INT) % 7 = 0 AS watched FROM meas m, l WHERE ath IS NOT NULL",
     "a14_heat": f"WITH {_RADAR} SELECT sector, heat FROM heat",
     "a15_context": f"WITH {_RADAR}, sc AS (SELECT {' + '.join(f'CASE WHEN {c} THEN {v} ELSE 0 END' for c, _, v in _RULES)} AS score FROM cand WHERE mcap >= 1 AND turn20 >= 5 AND bars >= 100), ls AS (SELECT count(*) FILTER (WHERE score >= 1) AS n_listed, {', '.join(f'count(*) FILTER (WHERE score = {k}) AS n_{k}' for k in (2, 3, 4, 5))} FROM sc), d AS (SELECT count(*) FILTER (WHERE mcap >= 1) AS n_universe, quantile_cont(CASE WHEN mcap >= 1 AND turn20 >= 5 AND bars >= 100 THEN dd_ath END, 0.5) AS dd FROM cand) SELECT n_universe, n_listed, n_2, n_3, n_4, n_5, round(dd, 3) + 0.0 AS mkt_dd, CASE WHEN dd <= -0.35 THEN 'CRUSHED' WHEN dd <= -0.22 THEN 'MODERATE' ELSE 'NEAR HIGHS' END AS context FROM d, ls",
     "x12_radar": f"WITH {_RADAR}, s AS (SELECT *, {' + '.join(f'CASE WHEN {c} THEN {v} ELSE 0 END' for c, _, v in _RULES)} AS score FROM cand WHERE mcap >= 1 AND turn20 >= 5 AND bars >= 100) SELECT symbol, score, concat_ws(', ', {', '.join(f'CASE WHEN {c} THEN {chr(39)}{t}{chr(39)} END' for c, t, _ in _RULES)}) AS why, concat_ws(', ', CASE WHEN b % 7 = 0 THEN 'SURVEILLANCE' END, CASE WHEN turn20 < 50 THEN 'thin' END) AS flags, concat_ws(', ', CASE WHEN dd_ath <= -0.5 THEN 'deep' END, CASE WHEN turn20 < 100 AND (ret12 IS NULL OR ret12 < 0.4) THEN 'quiet' END, CASE WHEN ret12 >= 0.6 THEN 'late' END) AS tags, heat, sector, round(mcap, 0) AS mcap_cr, round(price, 1) AS price, round(ret6, 3) + 0.0 AS ret6, round(dd_ath, 2) + 0.0 AS dd_ath, round(volreg, 4) AS volreg FROM s WHERE score >= 1 ORDER BY score DESC, coalesce(round(volreg, 4), 0) DESC, symbol LIMIT 400",

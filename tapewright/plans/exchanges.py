@@ -93,7 +93,7 @@ def vendor_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = panels.periods(spark, sf_dir, False).select("symbol", F.col("period_end").cast("string").alias("d"), "rev", "ni")
     entries = lambda c: F.map_from_entries(F.collect_list(F.struct("d", F.col(c))))
     c = a.groupBy("symbol").agg(F.to_json(F.struct(F.first("symbol").alias("symbol"), F.lit("2001-12-31").alias("fetched"), F.create_map(F.lit("Total Revenue"), entries("rev"), F.lit("Net Income"), entries("ni")).alias("inc_a"))).alias("body"))
-    return rounded(exchange.statements(c), 2)
+    return rounded(exchange.statements(c), 5)
 
 
 def lists(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -241,7 +241,7 @@ ORACLES = {
     "src11_shareholding": f"WITH {_E}, z AS (SELECT symbol, any_value(user_id) AS u, max(day) AS fetched FROM e GROUP BY 1) SELECT fetched, symbol, DATE '2024-03-31' AS day, CAST(day(fetched) + 20.5 AS DOUBLE) AS promoter_pct, CAST(79.5 - day(fetched) AS DOUBLE) AS public_pct, CAST(NULL AS VARCHAR) AS submitted FROM z UNION ALL SELECT fetched, symbol, DATE '2023-12-31', CAST(u % 50 + 0.25 AS DOUBLE), CAST(99.75 - u % 50 AS DOUBLE), NULL FROM z",
     "src11_surveillance": f"WITH {_E} SELECT symbol FROM e UNION SELECT event_type FROM e",
     "src9_bars": f"WITH {BARS} SELECT symbol, date AS day, CAST(NULL AS DOUBLE) AS open, round(close, 4) AS close, round(volume, 4) AS volume FROM bars",
-    "src9_statements": f"WITH {TICKS}, a AS (SELECT 'S' || lpad(CAST(l_suppkey AS VARCHAR), 5, '0') AS symbol, make_date(year(day), 12, 31) AS period_end, sum(l_extendedprice) AS rev, sum(l_extendedprice * (0.12 - 2 * l_discount)) AS ni FROM ticks GROUP BY l_suppkey, year(day)) SELECT symbol, DATE '2001-12-31' AS fetched, 'inc_a' AS stmt, 'Total Revenue' AS item, period_end, round(rev, 2) AS value FROM a UNION ALL SELECT symbol, DATE '2001-12-31', 'inc_a', 'Net Income', period_end, round(ni, 2) FROM a",
+    "src9_statements": f"WITH {TICKS}, a AS (SELECT 'S' || lpad(CAST(l_suppkey AS VARCHAR), 5, '0') AS symbol, make_date(year(day), 12, 31) AS period_end, sum(l_extendedprice) AS rev, sum(l_extendedprice * (0.12 - 2 * l_discount)) AS ni FROM ticks GROUP BY l_suppkey, year(day)) SELECT symbol, DATE '2001-12-31' AS fetched, 'inc_a' AS stmt, 'Total Revenue' AS item, period_end, round(rev, 5) AS value FROM a UNION ALL SELECT symbol, DATE '2001-12-31', 'inc_a', 'Net Income', period_end, round(ni, 5) FROM a",
     "src_harvest": "WITH z AS (SELECT * FROM events WHERE event_id % 40 <> 3) SELECT event_id, 'U' || user_id AS symbol FROM z UNION ALL SELECT event_id, event_type FROM z UNION ALL SELECT event_id, CAST(event_id % 4 AS VARCHAR) FROM z WHERE event_id % 4 > 0",
     "src8_members": f"WITH {BARS} SELECT year(date) || '.zip' AS file, 'bars_' || strftime(date, '%m') || '.csv' AS member, symbol, date, round(close, 4) AS close, CAST(NULL AS VARCHAR) AS none FROM bars",
     "src1_bundle": f"WITH {TICKS} SELECT 'S' || lpad(CAST(l_suppkey AS VARCHAR), 5, '0') AS symbol, 'inc_a' AS stmt, 'Total Revenue' AS item, make_date(year(day), 12, 31) AS period_end, round(sum(l_extendedprice), 2) AS value, 'Company ' || l_suppkey AS name, l_suppkey * 1e7 AS mcap FROM ticks GROUP BY l_suppkey, year(day)",

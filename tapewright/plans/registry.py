@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import backtests, desks, exchanges, files, labs, scores, streams, technical
+from . import backtests, desks, exchanges, files, labs, scores, streams, technical, variants
 
-MODULES = (technical, scores, labs, desks, backtests, streams, files, exchanges)
+MODULES = (technical, scores, labs, desks, backtests, streams, files, exchanges, variants)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLES: dict[str, str] = {k: s for m in MODULES for k, s in m.ORACLES.items()}

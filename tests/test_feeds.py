@@ -205,3 +205,20 @@ def test_open_interest_stands_on_the_cash_calendar(spark):
     oi = spark.createDataFrame([("A", day(1), 5.0), ("A", day(1), 7.0), ("A", day(2), 8.0), ("A", day(4), 9.0), ("X", day(1), 1.0)], "symbol string, date date, oi double")
     got = {(r["symbol"], r["date"].day): (r["close"], r["oi"]) for r in sessions.onto_cash(cash, oi, ["oi"]).collect()}
     assert got == {("A", 1): (1.0, 6.0), ("A", 2): (None, 8.0), ("A", 3): (2.0, None), ("B", 2): (3.0, None)}
+
+
+def test_pages_and_reports(spark, tmp_path):
+    from tapewright.sources import sinks
+
+    tests = spark.createDataFrame([("longterm", 3, 0.5, None)], "variant string, cohorts int, top_cagr double, note string")
+    got = sinks.page("<script>a=__DATA__;b=__BT__;c=__RADAR__</script>", {"x": "</script>"}, tests)
+    assert got == '<script>a={"x": "<\\/script>"};b={"variants": [{"variant": "longterm", "cohorts": 3, "top_cagr": 0.5, "note": null}]};c=null</script>'
+    sides = ("top", "bottom", "universe", "bench")
+    kinds = ("total", "cagr", "avg", "max_dd", "pos")
+    total = spark.createDataFrame([("m", 1, "2000-01-03", "2000-04-03", *[0.1] * 20, 0.5, 0.25, 0.01, None, 0.02, 0.03)], "mode string, cohorts int, first string, last_exit string, " + ", ".join(f"{s}_{k} double" for s in sides for k in kinds) + ", hit_rate double, beat_rate double, excess_universe double, excess_bench double, ic_mean double, spread_avg double")
+    rows = spark.createDataFrame([("m", "2000-01-03", "2000-04-03", 30, 0.1, -0.1, 0.05, None, 0.6)], "mode string, cohort string, exit string, n_elig int, top double, bottom double, universe double, bench double, hit double")
+    text = sinks.backtest_report(rows, total, "Backtest", ["prices alone"])
+    assert "| 2000-01-03 | 2000-04-03 | 30 | +10.0% | -10.0% | +5.0% | – | +60.0% |" in text and text.endswith("- prices alone\n") and "| Deepest fall | +10.0% | +10.0%" in text
+    measured = spark.createDataFrame([("A", 2.0), ("B", None)], "symbol string, ath double")
+    back = sinks.radar_bundle(spark, f"file://{tmp_path}/radar", measured, F.lit("2024-01-01").cast("date"), {"shares": spark.createDataFrame([("A", 5.0)], "symbol string, shares double")})
+    assert [tuple(r) for r in back["ath"].collect()] == [("A", 2.0, datetime.date(2024, 1, 1))] and back["shares"].first()[1] == 5.0
