@@ -157,7 +157,7 @@ def cells(element: np.ndarray, weight: np.ndarray) -> np.ndarray:
 
 
 def sets_of(docs: DataFrame, nodes: DataFrame, shared: DataFrame) -> DataFrame:
-    """id, cells of the nodes that share a bucket, from one of the texts of each."""
+    """id, cells of the nodes that share a bucket, from the texts of one doc_id each: more than once where rows repeat it."""
     wanted = nodes.join(shared.select("id").distinct().hint("merge"), "id", "left_semi").select("id", F.col("first").alias("doc_id"), "h1", "h2")
     # sorted and merged at every size: the texts are the large side, and the wanted ones grow with them
     rows = doc_columns(docs).where("text is not null").join(wanted.hint("merge"), "doc_id").select("id", "h1", "h2", "text")
@@ -172,7 +172,13 @@ def sets_of(docs: DataFrame, nodes: DataFrame, shared: DataFrame) -> DataFrame:
             at = np.flatnonzero(own)
             yield pa.RecordBatch.from_pydict({"id": b.column("id").take(pa.array(at)), "cells": pa.array([cells(element[edge[i] : edge[i + 1]], weight[edge[i] : edge[i + 1]]).tobytes() for i in at], pa.binary())})
 
-    return rows.mapInArrow(run, "id long, cells binary").dropDuplicates(["id"])
+    return rows.mapInArrow(run, "id long, cells binary")
+
+
+def once(sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """One row an id. Sets are large, so they are moved for it only where some id is there twice."""
+    n = sets.agg(F.count("*").alias("rows"), F.count_distinct("id").alias("ids")).first()
+    return sets if n["rows"] == n["ids"] else scratch.put(sets.dropDuplicates(["id"]), "sets")
 
 
 def alike(a: np.ndarray, b: np.ndarray) -> float:
@@ -338,7 +344,7 @@ def classes(docs: DataFrame, at_least: float) -> tuple[DataFrame, DataFrame]:
     nodes = scratch.put(each.orderBy("first", "h1", "h2").withColumn("id", F.monotonically_increasing_id()), "nodes")
     edges, shared = candidates(nodes, scratch, at_least)
     edges = scratch.put(edges, "candidates")
-    sets = scratch.put(sets_of(docs, nodes, shared), "sets")
+    sets = once(scratch.put(sets_of(docs, nodes, shared), "sets"), scratch)
     whole = lambda links, root: stars(links.unionByName(root.select(F.col("node").alias("a"), F.col("root").alias("b"))), scratch)
     root = stars(check(edges, sets, scratch, at_least), scratch)
     # a bucket of two has had its only pair
