@@ -50,20 +50,26 @@ def load(media: bytes, size: int) -> bytes:
 
 def features(grids: list[np.ndarray]) -> str:
     """Of images as read: size, mean, deviation and entropy of samples, mean step along rows, and a 64-bit hash of block means."""
-    return "|".join(describe(g.astype(np.int64)) for g in grids)
+    return "|".join(describe(g) for g in grids)
 
 
 def describe(grid: np.ndarray) -> str:
     height, width = grid.shape
     n = grid.size
-    share = np.bincount(grid.ravel(), minlength=256) / n
-    held = share[share > 0]
+    counts = np.bincount(grid.ravel(), minlength=256)
+    share, value = counts / n, np.arange(256)
+    held, mean = share[share > 0], int((counts * value).sum()) / n
+    deviation = np.sqrt((share * (value - mean) ** 2).sum())
+    step = np.abs(np.diff(grid.astype(np.int16), axis=1)).sum(dtype=np.int64) / max(1, n - height)
     # at least eight rows: short images repeat theirs
     rows = np.linspace(0, height, 9).astype(int)
-    tall = np.array([grid[a : max(b, a + 1)].mean(0) if a < height else grid[-1] for a, b in zip(rows[:-1], rows[1:], strict=True)])
+    if height >= 8:
+        tall = np.add.reduceat(grid, rows[:-1], axis=0, dtype=np.int64) / np.diff(rows)[:, None]
+    else:
+        tall = grid[np.minimum(rows[:-1], height - 1)].astype(np.float64)
     blocks = tall.reshape(8, 8, -1).mean(-1)
     sign = "".join("1" if v else "0" for v in (blocks > np.median(blocks)).ravel())
-    return f"{width}x{height};mean={grid.mean():.4f};sd={grid.std():.4f};entropy={-(held * np.log2(held)).sum():.4f};step={np.abs(np.diff(grid, axis=1)).mean():.4f};hash={int(sign, 2):016x}"
+    return f"{width}x{height};mean={mean:.4f};sd={deviation:.4f};entropy={-(held * np.log2(held)).sum():.4f};step={step:.4f};hash={int(sign, 2):016x}"
 
 
 SCHEMA = "doc_id long, n_bytes long, payload_bytes long, media binary"

@@ -138,14 +138,21 @@ class Prefix:
         raise ValueError("no such prefix code")
 
 
-def read_prefix(bits: Bits, size: int) -> Prefix:
+@functools.lru_cache(4096)
+def simple(size: int, *symbols: int) -> Prefix:
+    """A code of one or two symbols; most codes are such, and few of them differ."""
     lengths = [0] * size
+    for s in symbols:
+        lengths[s] = 1
+    return Prefix(lengths)
+
+
+def read_prefix(bits: Bits, size: int) -> Prefix:
     if bits.read(1):
         two = bits.read(1)
-        lengths[bits.read(8 if bits.read(1) else 1)] = 1
-        if two:
-            lengths[bits.read(8)] = 1
-        return Prefix(lengths)
+        first = bits.read(8 if bits.read(1) else 1)
+        return simple(size, first, bits.read(8)) if two else simple(size, first)
+    lengths = [0] * size
     order = [0] * 19
     for i in range(bits.read(4) + 4):
         order[CODE_LENGTH_ORDER[i]] = bits.read(3)
