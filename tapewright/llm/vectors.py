@@ -15,6 +15,7 @@ from .common import Scratch, bounded, mix64, runs
 from .components import stars
 
 CHUNK = 1024
+FILL = 128
 LINK = "a long, b long, n long"
 
 
@@ -31,25 +32,33 @@ def codes(vectors: np.ndarray, tables: int, bits: int) -> np.ndarray:
 
 def quantise(units: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Unit vectors as int8 times a scale each, and the length of what that leaves out, rounded up."""
-    scale = np.abs(units).max(1) / 127
-    q = np.rint(units / scale[:, None]).astype(np.int8)
-    return q, scale, np.linalg.norm(units - q * scale[:, None], axis=1) + 1e-6
+    scale = (np.abs(units).max(1) / 127).astype(np.float32)
+    q = np.clip(np.rint(units / scale[:, None].astype(np.float64)), -127, 127).astype(np.int8)
+    return q, scale, (np.linalg.norm(units - q * scale[:, None].astype(np.float64), axis=1) + 1e-6).astype(np.float32)
 
 
-def tile(left: tuple, right: tuple, least: float, square: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Places (i, j) of pairs with cosine >= ``least``; of a square tile those with i < j.
+def possible(left: tuple, right: tuple, least: float, square: bool) -> np.ndarray:
+    """Which pairs of two quantised lists may have a cosine >= ``least``; of a square tile those with i < j.
 
     The int8 product differs from the cosine by at most e_j + (1 + e_j) e_i, where e are the lengths of the quantisation
-    errors. Pairs that may reach ``least`` by that bound are computed again in double precision, and only they.
+    errors.
     """
-    (raw_a, q_a, s_a, e_a), (raw_b, q_b, s_b, e_b) = left, right
+    (q_a, s_a, e_a), (q_b, s_b, e_b) = left, right
     # sums of at most 1,040 products of int8 are exact in single precision; longer vectors are summed in double
     kind = np.float32 if q_a.shape[1] <= 1024 else np.float64
     about = (q_a.astype(kind) @ q_b.astype(kind).T) * s_a[:, None] * s_b[None, :]
-    about += e_b[None, :] + (1 + e_b[None, :]) * e_a[:, None] + 1e-6
-    maybe = about >= least
-    if square:
-        maybe = np.triu(maybe, 1)
+    about += e_b[None, :] + (1 + e_b[None, :]) * e_a[:, None] + np.float32(2e-6)
+    maybe = about >= np.float32(least)
+    return np.triu(maybe, 1) if square else maybe
+
+
+def tile(left: tuple, right: tuple, least: float, square: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i, j) of pairs with cosine >= ``least``; of a square tile those with i < j.
+
+    Pairs that ``possible`` leaves are computed again in double precision, and only they.
+    """
+    raw_a, raw_b = left[0], right[0]
+    maybe = possible(left[1:], right[1:], least, square)
     i, j = np.nonzero(maybe)
     good = np.zeros(len(i), bool)
     for s in range(0, len(i), 65536):
@@ -103,18 +112,53 @@ def read(vectors: DataFrame, id_column: str, column: str) -> DataFrame:
 
 
 def deal(tables: int, bits: int, kind: str):
+    """A row for each vector and table: the bucket's key and the vector's int8 code (code, scale, error), not the vector."""
+
     def run(batches):
         for b in bounded(batches):
-            raw, ids, m = b.column("vec").to_pylist(), b.column("id"), b.column("m")
+            raw, ids = b.column("vec").to_pylist(), b.column("id")
             sizes = np.array([len(r) for r in raw])
-            key = np.zeros((len(raw), tables), np.uint64)
+            key, code = np.zeros((len(raw), tables), np.uint64), np.empty(len(raw), object)
             for size in np.unique(sizes):
                 at = np.flatnonzero(sizes == size)
                 x = np.frombuffer(b"".join(raw[i] for i in at), kind).reshape(len(at), -1).astype(np.float64)
-                own = codes(x / np.linalg.norm(x, axis=1, keepdims=True), tables, bits)
+                u = x / np.linalg.norm(x, axis=1, keepdims=True)
+                own = codes(u, tables, bits)
                 key[at] = mix64(own ^ mix64(np.arange(tables, dtype=np.uint64) + np.uint64(int(size) << 16)))
+                for i, q, s, e in zip(at, *quantise(u), strict=True):
+                    code[i] = q.tobytes() + s.tobytes() + e.tobytes()
+            code = pa.array(code, pa.binary())
             for t in range(tables):
-                yield pa.RecordBatch.from_pydict({"key": pa.array(key[:, t].view(np.int64)), "t": pa.array([t] * len(raw), pa.int32()), "id": ids, "m": m, "vec": b.column("vec")})
+                yield pa.RecordBatch.from_pydict({"key": pa.array(key[:, t].view(np.int64)), "t": pa.array([t] * len(raw), pa.int32()), "id": ids, "code": code})
+
+    return run
+
+
+def sift(least: float):
+    """Of each tile's rows those that may have a partner there, by the codes alone."""
+
+    def load(t):
+        flat = np.frombuffer(b"".join(t["code"].to_pylist()), np.uint8).reshape(len(t), -1)
+        ends = np.ascontiguousarray(flat[:, -8:]).view("<f4")
+        return flat[:, :-8].view(np.int8), ends[:, 0], ends[:, 1]
+
+    def run(batches):
+        for t in runs(batches, "key", "i", "j"):
+            if len(t) < 2:
+                continue
+            if t["i"][0].as_py() == t["j"][0].as_py():
+                codes = load(t)
+                maybe = possible(codes, codes, least, True)
+                keep = maybe.any(0) | maybe.any(1)
+            else:
+                part = t["chunk"].to_numpy() == t["i"][0].as_py()
+                if part.all() or not part.any():
+                    continue
+                maybe = possible(load(t.filter(pa.array(part))), load(t.filter(pa.array(~part))), least, False)
+                keep = np.zeros(len(t), bool)
+                keep[part], keep[~part] = maybe.any(1), maybe.any(0)
+            if keep.any():
+                yield from t.drop_columns(["code"]).filter(pa.array(keep)).combine_chunks().to_batches()
 
     return run
 
@@ -179,9 +223,10 @@ def compare(least: float, tables: int, bits: int, kind: str):
 def near_vectors(vectors: DataFrame, least: float = 0.95, miss: float = 0.003, id_column: str = "vec_id", column: str = "embedding") -> DataFrame:
     """Links between vectors of cosine >= ``least`` and what they connect: vec_id, n_links, component_id, kept.
 
-    Candidate pairs share a bucket in one of several tables of hashed directions. There are as many bits as make buckets
-    small for the number of vectors, and as many tables as find a pair at the threshold but for a chance of ``miss``
-    (closer pairs are missed more rarely); no link below the threshold is given. Equal vectors are compared as one and
+    Candidate pairs share a bucket in one of several tables of hashed directions. There are as many bits as leave some FILL
+    vectors to a bucket, and as many tables as find a pair at the threshold but for a chance of ``miss`` (closer pairs are
+    missed more rarely); no link below the threshold is given. What goes to the buckets is an int8 code of each vector;
+    whole vectors follow, once for each tile, for those alone that by the codes may have a partner there. Equal vectors are compared as one and
     counted as many. A bucket of over CHUNK vectors is compared in tiles of chunks, dealt out over many tasks. Vectors of
     different lengths don't link; nor do null, empty, zero ones or ones with null or non-finite components, which are
     their own component. Each row has its row here, with the links of its own vector; rows that repeat an id and a vector
@@ -195,10 +240,10 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, miss: float = 0.003, i
     nodes = scratch.put(each.orderBy("first", "h1", "h2").withColumn("id", F.monotonically_increasing_id()), "nodes")
     single = nodes.select("id", "m", "vec")
     n = single.count()
-    bits = min(40, max(6, math.ceil(math.log2(max(1, n) / 16)) if n > 16 else 6))
+    bits = min(40, max(6, math.ceil(math.log2(max(1, n) / FILL))))
     same = (1 - math.acos(least) / math.pi) ** bits
     tables = max(1, math.ceil(math.log(miss) / math.log1p(-same)))
-    rows = single.mapInArrow(deal(tables, bits, kind), "key long, t int, id long, m long, vec binary")
+    rows = single.mapInArrow(deal(tables, bits, kind), "key long, t int, id long, code binary")
     keys = rows.groupBy("key").agg(F.count("*").alias("n"))
     big = scratch.put(keys.where(F.col("n") > CHUNK), "big")
     if big.isEmpty():
@@ -208,7 +253,9 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, miss: float = 0.003, i
         dealt = rows.join(big, "key", "left").select(*rows.columns, ways.alias("ways"), F.pmod(F.xxhash64("id"), ways.cast("long")).cast("int").alias("chunk"))
         other = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("ways") - 1)).alias("other"))
         tiles = other.select(*rows.columns, "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
-    found = scratch.put(tiles.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(compare(least, tables, bits, kind), LINK), "links")
+    near = tiles.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(sift(least), "key long, t int, id long, chunk int, i int, j int")
+    pairs = scratch.put(near, "near").join(single, "id").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    found = scratch.put(pairs.mapInArrow(compare(least, tables, bits, kind), LINK), "links")
     links = found.where("n is not null").groupBy("a").agg(F.sum("n").alias("n"))
     root = stars(found.where("b is not null").select("a", "b"), scratch).join(nodes.select(F.col("id").alias("root"), F.col("first").alias("component_id")), "root").select(F.col("node").alias("id"), "component_id")
     of = nodes.select("id", "h1", "h2", "first", "m").join(links, nodes["id"] == links["a"], "left").join(root, "id", "left")
