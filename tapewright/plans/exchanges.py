@@ -205,7 +205,7 @@ def folder(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = place(spark, "folder")
     c = panels.companies(spark, sf_dir)
     doc = sinks.document(c.select("symbol", "sector", "key"), "value").withColumn("k", F.get_json_object("value", "$.key").cast("long"))
-    doc.select(F.when(F.col("k") % 7 == 2, F.lit('{"symbol": "broken')).otherwise(F.col("value")).alias("value")).write.option("maxRecordsPerFile", 1).text(at)
+    sinks.json_folder(doc.select(F.when(F.col("k") % 7 == 2, F.lit('{"symbol": "broken')).otherwise(F.col("value")).alias("value")), at)
     return readers.json_folder(spark, at, "symbol string, sector string, key long").drop("file_symbol")
 
 

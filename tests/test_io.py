@@ -158,3 +158,11 @@ def test_freshness_gate_asks_twice_then_fills(spark):
     assert {r["close"] for r in readers.fresh_bars(source(old, new), never, day).collect()} == {2.0} and len(asked) == 2
     assert readers.fresh_bars(source(old), lambda: new.union(frame([("C", "2024-01-03", 2.0)])), day).count() == 4 and len(asked) == 2
     assert readers.fresh_bars(source(old.limit(0)), lambda: new, day).count() == 0
+
+
+def test_a_folder_of_documents_is_written_by_several_tasks(spark, tmp_path):
+    docs = spark.range(0, 60, 1, 1).select(F.to_json(F.struct(F.concat(F.lit("S"), "id").alias("symbol"))).alias("value"))
+    sinks.json_folder(docs, str(tmp_path / "docs"), files=10)
+    names = [f.name for f in (tmp_path / "docs").glob("part-*")]
+    assert len(names) == 60 and len({n.split("-")[1] for n in names}) > 1
+    assert readers.json_folder(spark, str(tmp_path / "docs"), "symbol string").select("symbol").distinct().count() == 60
