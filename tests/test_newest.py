@@ -1,8 +1,12 @@
-"""The newest bar's features against those of all bars."""
+"""The newest bar's features against those of all bars, and rank correlations that are exactly nothing."""
 
 import datetime
+import itertools
 import math
 
+from pyspark.sql import functions as F
+
+from tapewright.operators import backtest as B
 from tapewright.operators import technicals as T
 from tapewright.operators.sliding import drawdown
 
@@ -29,3 +33,14 @@ def test_newest_features_are_those_of_the_last_bar(spark):
 def test_newest_takes_few_window_steps(spark):
     plan = T.newest(bars(spark, {"A": 60}))._jdf.queryExecution().optimizedPlan().toString()
     assert sum(line.lstrip(" :+-").startswith("Window ") for line in plan.splitlines()) <= 8
+
+
+def test_no_rank_correlation_is_zero(spark):
+    n, found = 7, []
+    for p in itertools.permutations(range(n)):
+        if 6 * sum((i - v) ** 2 for i, v in enumerate(p)) == n * (n * n - 1):
+            found.append(p)
+    rows = [(f"c{k:03d}", "x", f"S{i}", float(i), v / 10, n, n - i, i + 1, 1) for k, p in enumerate(found[:40]) for i, v in enumerate(p)]
+    ranks = spark.createDataFrame(rows, "cohort string, exit string, symbol string, score double, fwd double, n_elig int, down int, up int, decile int")
+    bench = ranks.select("cohort", F.lit(0.0).alias("fwd")).distinct()
+    assert {r["ic"] for r in B.portfolios(ranks, bench, 2).select("ic").collect()} == {0.0}
