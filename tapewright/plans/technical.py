@@ -62,6 +62,10 @@ def of_tech(f, spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(f(T.technicals(bars(spark, sf_dir))))
 
 
+def of_bars(f, spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(f(bars(spark, sf_dir)))
+
+
 def lab_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Returns and means on every bar, to test windows beyond the newest bar."""
     return rounded(T.technicals(bars(spark, sf_dir)).select("symbol", "date", "ret_1w", "ema20", "atr", "vol_20"), 4)
@@ -78,7 +82,7 @@ QUERIES = {name: partial(feature, name) for name in FEATURES} | {
     "w20_levels_desk": partial(of_tech, partial(T.levels, atrs=3.0)),
     "w21_weekly": partial(of_tech, T.weekly_closes),
     "w22_daily": partial(of_tech, partial(T.daily_tail, digits=4)),
-    "w24_early": partial(of_tech, T.setups),
+    "w24_early": partial(of_bars, T.setups),
     "w43_index": partial(of_bench, T.index_ladder),
     "w44_regime": partial(of_bench, T.regime),
 }

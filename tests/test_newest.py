@@ -81,3 +81,7 @@ def test_rows_as_of_days_carry_no_calendar(spark):
     days = spark.createDataFrame([(datetime.date(2000, 2, 1),), (datetime.date(2000, 3, 1),)], "cohort date")
     held = B.as_of(panel, days, "cohort")
     assert "subquery" not in held._jdf.queryExecution().optimizedPlan().toString() and held.count() == 2
+
+
+def test_setups_slide_band_widths_alone(spark):
+    assert sliding_frames(T.setups(bars(spark, {"A": 60}))) <= 2
